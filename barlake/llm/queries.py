@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, quality_classifier, quality_rules
+from . import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import table, training_rows
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.drop("kept")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -71,6 +76,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_ngram_join": op2_ngram_join,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_quality_rules": op6_quality_rules,
         "op9_mixing": op9_mixing,
