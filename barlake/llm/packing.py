@@ -8,8 +8,10 @@ documents, and as each length is a power of two nothing is padded.
 
 from __future__ import annotations
 
+import base64
+import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,45 +21,51 @@ from pyspark.sql import functions as F
 PIECE = "doc_id long, start long, length long, bucket int, doc_tokens long, ids binary"
 
 
-class PieceEncoder:
+class PieceEncoder(dict):
     """Byte-level BPE ids of texts, with a bounded memory of recent words.
 
     A blank that has no other white space beside it begins a new pre-token, so
     the text between two such blanks encodes alike everywhere.  Texts with other
-    runs of blanks go to the tokenizer whole.
+    runs of blanks go to the tokenizer whole.  The file is one of ``tokenizers``
+    (.json), or the same vocabulary as ranks (.tiktoken) with its word pattern;
+    both give the same ids.
     """
 
-    def __init__(self, path: str, remembered: int = 150_000):
-        import os
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.odd = re.compile(r" \s|\s |^ | $")
-        self.known: dict[str, list[int]] = {}
+    def __init__(self, path: str, pattern: str | None = None, remembered: int = 400_000):
         self.remembered = remembered
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> np.ndarray:
+        self.odd = re.compile(r" \s|\s |^ | $")
+        if path.endswith(".tiktoken"):
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+            self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.remembered:
+            self.clear()
+        ids = self[word] = np.array(self.encode(" " + word), "<u4").tobytes()
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
         if not text:
-            return np.zeros(0, np.uint32)
+            return b""
         if self.odd.search(text):
-            return np.asarray(self._encode([text])[0], np.uint32)
+            return np.array(self.encode(text), "<u4").tobytes()
         first, *rest = text.split(" ")
-        new = {w for w in rest if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > self.remembered:
-                self.known = {}
-                new = set(rest)
-            new = list(new)
-            self.known.update(zip(new, self._encode([" " + w for w in new])))
-        ids = chain(self._encode([first])[0], chain.from_iterable(map(self.known.__getitem__, rest)))
-        return np.fromiter(ids, np.uint32)
+        return np.array(self.encode(first), "<u4").tobytes() + b"".join(map(self.__getitem__, rest))
+
+
+@lru_cache(1)
+def encoder(path: str, pattern: str | None) -> PieceEncoder:
+    """One a worker: later tasks find the words of earlier ones."""
+    return PieceEncoder(path, pattern)
 
 
 def binary_lengths(n: int, max_len: int) -> list[int]:
@@ -66,7 +74,7 @@ def binary_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * full + [1 << b for b in range(max_len.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str | None = None, max_len: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: PIECE's columns, ``sequence_id``, ``offset``.
 
     A null text is empty: one piece with the end id alone.  ``ids`` are unsigned
@@ -79,7 +87,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id:
         raise ValueError("max_len must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceEncoder(tokenizer)
+        encode = encoder(tokenizer, pattern)
+        end = np.array([end_id], "<u4").tobytes()
 
         def rows(cols: tuple[list, ...]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -92,11 +101,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id:
             out: tuple[list, ...] = tuple([] for _ in range(6))
             held = 0
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                at, doc = 0, doc_id.as_py()
-                for n in binary_lengths(len(ids), max_len):
-                    piece = ids[at : at + n].tobytes()
-                    for c, v in zip(out, (doc, at, n, n.bit_length() - 1, len(ids), piece)):
+                ids = encode.ids(text.as_py() or "") + end
+                at, doc, total = 0, doc_id.as_py(), len(ids) // 4
+                for n in binary_lengths(total, max_len):
+                    piece = ids[4 * at : 4 * (at + n)]
+                    for c, v in zip(out, (doc, at, n, n.bit_length() - 1, total, piece)):
                         c.append(v)
                     at += n
                     held += len(piece)

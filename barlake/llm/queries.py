@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from . import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import table, training_rows
 
-TOKENIZER = "byte_bpe_50k.json"
+#: The vocabulary of byte_bpe_50k.json as ranks: the same ids, in less time.
+TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
-def tokenizer_path() -> str:
+def tokenizer() -> tuple[str, str]:
+    """Path of the vocabulary and its word pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer())
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
     )
