@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
+from . import chat, fingerprints, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import table, training_rows
 
 #: The vocabulary of byte_bpe_50k.json as ranks: the same ids, in less time.
@@ -35,6 +35,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("kept")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(training_rows("doc_id", 7) == 2, F.lit(True))
+    model = lm_scoring.fit(docs.where(~held_out).select("text"))
+    scored = lm_scoring.score(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -63,6 +73,24 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.next_documents(table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    part = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - part), F.substring("following", F.lit(1), part))
+    rows = rows.withColumn("edited", edited)
+    rows = fingerprints.compare_versions(rows, "text", {"edited": "edited", "next": "following"})
+    return rows.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        F.col("fingerprint_edited").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -79,8 +107,10 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_ngram_join": op2_ngram_join,
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_quality_rules": op6_quality_rules,
+        "op7_fingerprints": op7_fingerprints,
         "op9_mixing": op9_mixing,
         "op10_quality_classifier": op10_quality_classifier,
     }
