@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Longest piece of a paragraph, in code points.
-PIECE = 120
+PIECE = 240
 #: Cells a row of the first sketch, and of a group's sketches after a failure.
-FIRST, RETRIES = 8, (16, 64)
+FIRST, RETRIES = 8, (8, 32, 128)
 #: Pieces that a group holds on average.
-GROUP = 8
+GROUP = 4
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

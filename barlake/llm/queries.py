@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
+from . import chat, fingerprints, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 from .common import table, training_rows
 
 #: The vocabulary of byte_bpe_50k.json as ranks: the same ids, in less time.
@@ -91,6 +91,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(training_rows("doc_id", 5) != 0))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (training_rows("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -111,6 +119,7 @@ def queries() -> dict:
         "op5_chat_formatting": op5_chat_formatting,
         "op6_quality_rules": op6_quality_rules,
         "op7_fingerprints": op7_fingerprints,
+        "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_quality_classifier": op10_quality_classifier,
     }
