@@ -195,7 +195,7 @@ def probability(x: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 50) -> tuple[float, ...]:
     """Logistic regression with an intercept by Newton steps."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
@@ -209,13 +209,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return tuple(w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_size: int = 400, least_odds: float = 4.0, least_docs: int = 3, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_size: int = 400, least_odds: float = 4.0, least_docs: int = 3, least_ratio: float = 6.0, seed: int = 11) -> Model:
     """The character model from all of ``docs``; words and curve from labelled rows.
 
     At most ``max_labelled`` labelled rows, the lowest by a hash of their id, are
     used: that bound is the only sample.  One half gives the lexicon, the
     ``lexicon_size`` features of greatest likelihood ratio among those ``least_odds``
-    times likelier under the label and met in ``least_docs`` toxic texts; the other
+    times likelier under the label, met in ``least_docs`` toxic texts and with a log
+    likelihood ratio of ``least_ratio`` or more; the other
     half gives the curve.  Copies teach the lexicon once.  With one label only,
     every score is near that label.
     """
@@ -247,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
     fair = (F.col("n0") + F.col("n1")) * (n1 / (n0 + n1))
     ratio = F.col("n1") * F.log(F.col("n1") / fair) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (F.col("n0") + F.col("n1") - fair))).otherwise(0.0)
     found = found.where(F.col("n1") >= least_docs).select("x", odds.alias("odds"), ratio.alias("ratio"))
-    top = found.where(F.col("odds") >= math.log(least_odds)).orderBy(F.desc("ratio"), "x").limit(lexicon_size).collect()
+    top = found.where(F.col("odds") >= math.log(least_odds)).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "x").limit(lexicon_size).collect()
     model = Model(grams, {r["x"]: r["odds"] for r in top}, (0.0,) * 4)
     use = docs.sparkSession.sparkContext.broadcast(model)
 
