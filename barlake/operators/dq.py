@@ -120,7 +120,7 @@ def candle_rules(rows: DataFrame) -> DataFrame:
 
 def rate_rules(rows: DataFrame, base: str, quote: str, start: str, end: str) -> DataFrame:
     """Faults of reference rates ``(day, base, quote, rate)``: date, range, pair, value, repeats."""
-    day = F.try_to_date("day", F.lit("yyyy-MM-dd"))
+    day = F.try_to_date("day", "yyyy-MM-dd")
     n = F.count("*").over(Window.partitionBy("day"))
     return flag(
         rows.withColumn("_n", n),
