@@ -15,10 +15,12 @@ needed sum may be skipped too, and the costliest groups are, once group sizes ar
 known: that cuts off subsets that very many unlike texts share.  A set whose
 non-empty subsets don't suffice is indexed again with another hash.
 
-Equal sets are one class from the start.  Candidates are verified on the texts'
-whole sets in two rounds: first each class with the neighbour that it shares most
-groups with; then all pairs of a group that are still in different components.  A
-large group of near copies so costs its size, not its square.
+Equal sets are one class from the start.  Pairs are first judged by parity bits, a
+lower bound of their difference, inside a group and without leaving it as rows.
+What passes is verified on the texts' whole sets in three rounds: the likeliest
+partner of each member of a group; then the likeliest pair of any two components
+in a group; then all pairs in a group that are still in different components.  A
+large group of near copies so gives rows by its size, not its square.
 """
 
 from __future__ import annotations
@@ -36,12 +38,14 @@ from .common import connected_components, materialize
 from .shingles import U, mix, shingle_sets, slices
 
 NUM, DEN = 3, 4
-ALL_DESIGNATED, DESIGNATED = 120, 6
+ALL_DESIGNATED, DESIGNATED = 40, 12
 MAX_SEEDS = 40
 #: So many document ids are broadcast to thin out the texts before they are shuffled.
 BROADCAST_IDS = 1_000_000
-PAYLOAD = "bucket int, key binary, n binary, role binary, slack binary, node binary, low binary, high binary"
-GROUPS = "keys array<long>, ns array<int>, roles array<byte>, slacks array<short>, mult int"
+PAYLOAD = "bucket int, key binary, role binary, node binary, low binary, high binary"
+GROUPS = "keys array<long>, roles array<byte>, mult int"
+#: The mult of a group that is not to be skipped.
+ALWAYS = 1_000_000
 
 
 @lru_cache(None)
@@ -95,57 +99,81 @@ def subsets(h: np.ndarray, band: int, m: int, designated: int, seed: int) -> tup
     return sig, possible
 
 
-def first_seed(h: np.ndarray) -> int:
-    """The first hash under which the set's subsets suffice for each band that it probes."""
+def spare(h: np.ndarray) -> tuple[int, int, int]:
+    """The first hash under which the set's subsets suffice for each band that it probes, and what they give above need under hash 0."""
+    over = [0, 0]
     for seed in range(MAX_SEEDS):
-        if all(subsets(h, b, m, d, seed)[1] >= need for _, b, m, d, need in plan(len(h))):
-            return seed
+        got = {role: subsets(h, b, m, d, seed)[1] - need for role, b, m, d, need in plan(len(h))}
+        if seed == 0:
+            over = [min(30_000, max(0, got.get(role, 0))) for role in (0, 1)]
+        if min(got.values()) >= 0:
+            return seed, *over
     raise ValueError("no hash spreads this set")
 
 
+def parity(h: np.ndarray, band: int) -> bytes:
+    """A bit for each of about 3/2 as many slots as the band's largest set has tokens: whether their number there is odd.
+
+    The bits in which two sets differ are at most the tokens in which they differ.
+    """
+    slots = 64 * -(-3 * (bands(len(h))[band + 1] - 1) // 128)
+    at = (mix(h + U(0x632BE59BD9B4E019)) >> U(32)) * U(slots) >> U(32)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=slots) & 1).tobytes()
+
+
+def parities(h: np.ndarray) -> tuple[bytes, bytes]:
+    """Those for the set's own band and the one below."""
+    k = int(np.searchsorted(bands(len(h)), len(h), "right")) - 1
+    return parity(h, k), parity(h, max(0, k - 1))
+
+
 def set_key(h: np.ndarray) -> int:
     return int.from_bytes(blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def describe(docs: DataFrame, n: int = 5) -> DataFrame:
-    """``(doc_id, key, n_shingles, seed)`` of each row; equal sets have equal (key, n_shingles)."""
+    """``(doc_id, key, n_shingles, seed, spare0, spare1, bits0, bits1)`` of each row; equal sets have equal (key, n_shingles)."""
+    names = ["key", "n_shingles", "seed", "spare0", "spare1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(set_key(h), len(h), first_seed(h) if len(h) > 2 else 0) for _, t in slices(b.column(1)) for h in shingle_sets(t, n)]
-            key, size, seed = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), key, size, seed], ["doc_id", "key", "n_shingles", "seed"])
+            rows = [
+                (set_key(h), len(h), *(spare(h) if len(h) > 2 else (0, 0, 0)), *(parities(h) if len(h) > 2 else (b"", b"")))
+                for _, t in slices(b.column(1))
+                for h in shingle_sets(t, n)
+            ]
+            cols = [pa.array([r[k] for r in rows], pa.int64() if k < 5 else pa.binary()) for k in range(7)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *names, "bits0", "bits1"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, seed long")
+    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names) + ", bits0 binary, bits1 binary")
 
 
 def signatures(docs: DataFrame, buckets: int, seed: int, n: int = 5) -> DataFrame:
     """Signatures of all sets as compact rows, one per bucket and run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray]] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key = np.array([x[0] for x in held], np.int64)
-            size, role, slack = (np.array([x[k] for x in held], t) for k, t in ((1, np.int32), (2, np.uint8), (3, np.uint8)))
-            sig = np.concatenate([x[4] for x in held])
-            node = np.repeat(np.arange(len(held)), [len(x[4]) for x in held])
-            bucket = ((sig >> U(41)) % U(buckets)).astype(np.int64)
+            held.sort(key=lambda x: x[0])
+            role, key = np.array([x[0] for x in held], np.uint8), np.array([x[1] for x in held], np.int64)
+            sig = np.concatenate([x[2] for x in held])
+            node = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])
+            bucket = ((sig >> U(41)) % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             sig, node, bucket = sig[order], node[order], bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             rows = []
             for a, z in zip(cut, np.append(cut[1:], len(sig))):
-                some, local = np.unique(node[a:z], return_inverse=True)
+                steps = np.diff(node[a:z], prepend=node[a]) > 0  # in order of node: a 1 where the next set begins
+                some = node[a:z][np.concatenate([[True], steps[1:]])]
                 part = sig[a:z]
-                rows.append((int(bucket[a]), key[some].tobytes(), size[some].tobytes(), role[some].tobytes(), slack[some].tobytes(),
-                             local.astype(np.uint16).tobytes(), (part & U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                             ((part >> U(32)) & U(0xFF)).astype(np.uint8).tobytes()))
+                rows.append((int(bucket[a]), key[some].tobytes(), role[some].tobytes(), steps.astype(np.uint8).tobytes(),
+                             (part & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((part >> U(32)) & U(0xFF)).astype(np.uint8).tobytes()))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                ["bucket", "key", "n", "role", "slack", "node", "low", "high"],
+                [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "key", "role", "node", "low", "high"]
             )
 
         for b in batches:
@@ -155,11 +183,10 @@ def signatures(docs: DataFrame, buckets: int, seed: int, n: int = 5) -> DataFram
                     if len(h) < 3 or (name := (set_key(h), len(h))) in seen:
                         continue
                     seen.add(name)
-                    for role, band, m, d, need in plan(len(h)):
-                        sig, possible = subsets(h, band, m, d, seed)
-                        held.append((*name, role, min(255, max(0, possible - need)), sig))
-                        count += len(sig)
-                    if count > 1_500_000 or len(held) > 65_000:
+                    for role, band, m, d, _ in plan(len(h)):
+                        held.append((role, name[0], subsets(h, band, m, d, seed)[0]))
+                        count += len(held[-1][2])
+                    if count > 1_000_000:
                         yield from flush()
                         held, count = [], 0
         if held:
@@ -168,53 +195,106 @@ def signatures(docs: DataFrame, buckets: int, seed: int, n: int = 5) -> DataFram
     return docs.mapInArrow(run, PAYLOAD)
 
 
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = False
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def shared_groups(rows: pa.Table) -> pa.Table:
-    """The groups of one bucket in which at least two different sets agree."""
-    got: dict[str, list[np.ndarray]] = {k: [] for k in ("key", "n", "role", "slack", "node", "val")}
-    base = 0
+    """The groups of one bucket in which at least two different sets agree; ``mult`` groups have the same members."""
+    keys, roles, nodes, vals, base = [], [], [], [], 0
     for r in rows.to_batches():
         for i in range(r.num_rows):
-            x = {k: r.column(k)[i].as_buffer() for k in ("key", "n", "role", "slack", "node", "low", "high")}
-            key = np.frombuffer(x["key"], np.int64)
-            got["key"].append(key)
-            got["n"].append(np.frombuffer(x["n"], np.int32))
-            got["role"].append(np.frombuffer(x["role"], np.uint8))
-            got["slack"].append(np.frombuffer(x["slack"], np.uint8))
-            got["node"].append(np.frombuffer(x["node"], np.uint16).astype(np.int64) + base)
-            got["val"].append(np.frombuffer(x["high"], np.uint8).astype(U) << U(32) | np.frombuffer(x["low"], np.uint32).astype(U))
-            base += len(key)
-    key, n, role, slack, node, val = (np.concatenate(got[k]) for k in got)
-    order = np.lexsort((role, key, n))  # members stand by (size, key); one set met in several rows is one member
-    changed = np.concatenate([[True], (np.diff(n[order]) != 0) | (np.diff(key[order]) != 0) | (np.diff(role[order].astype(np.int8)) != 0)])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(changed) - 1
-    lead = order[changed]
-    key, n, role, slack = key[lead], n[lead], role[lead], slack[lead]
+            key, role, node, low, high = (r.column(k)[i].as_buffer() for k in ("key", "role", "node", "low", "high"))
+            keys.append(np.frombuffer(key, np.int64))
+            roles.append(np.frombuffer(role, np.uint8))
+            nodes.append(np.cumsum(np.frombuffer(node, np.uint8), dtype=np.int32) + np.int32(base))
+            vals.append(np.frombuffer(high, np.uint8).astype(U) << U(32) | np.frombuffer(low, np.uint32).astype(U))
+            base += len(keys[-1])
+    key, role, node, val = (np.concatenate(x) for x in (keys, roles, nodes, vals))
+    order = np.lexsort((role, key))  # one set met in several rows is one member for each role
+    first = _starts(key[order], role[order])
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+    key, role = key[order[first]], role[order[first]]
     member = rank[node]
     order = np.lexsort((member, val))
     val, member = val[order], member[order]
-    keep = np.concatenate([[True], (val[1:] != val[:-1]) | (member[1:] != member[:-1])]) if len(val) else np.zeros(0, bool)
+    keep = _starts(val, member)
     val, member = val[keep], member[keep]
-    first = np.flatnonzero(np.concatenate([[True], val[1:] != val[:-1]])) if len(val) else np.zeros(0, np.int64)
+    first = _starts(val)
     size = np.diff(np.append(first, len(val)))
-    own = np.add.reduceat((role[member] == 0).astype(np.int64), first) if len(first) else size
+    own = np.add.reduceat((role[member] == 0).astype(np.int64), first)
     good = (size > 1) & (own > 0)
     inside = np.repeat(good, size)
     val, member, size = val[inside], member[inside], size[good]
-    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    special = (val[first[:-1]] & U(1)).astype(np.int64)
-    name = np.add.reduceat(mix(member.astype(U) + U(1)), first[:-1]) if len(size) else np.zeros(0, U)
+    names = ["keys", "roles", "mult"]
+    if not len(size):
+        return pa.table([pa.nulls(0, pa.list_(pa.int64())), pa.nulls(0, pa.list_(pa.int8())), pa.nulls(0, pa.int32())], names)
+    first = np.cumsum(size) - size
+    # groups with the same members are one
+    special = (val[first] & U(1)).astype(np.int64)
+    name = np.add.reduceat(mix(member.astype(U) + U(1)), first)
     order = np.lexsort((special, size, name))
-    new = np.concatenate([[True], (np.diff(name[order]) != 0) | (np.diff(size[order]) != 0) | (np.diff(special[order]) != 0)]) if len(size) else np.zeros(0, bool)
+    new = _starts(name[order], size[order], special[order])
     pick = order[new]
-    mult = np.diff(np.append(np.flatnonzero(new), len(order)))
-    mult = np.where(special[pick] == 1, 1_000_000, mult).astype(np.int32)  # not to be skipped
+    mult = np.where(special[pick] == 1, ALWAYS, np.diff(np.append(new, len(order)))).astype(np.int32)
     length = size[pick]
-    at = np.repeat(first[pick] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(pick) else np.zeros(0, np.int64)
-    m = member[at]
-    offsets = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (key[m], n[m], role[m].astype(np.int8), slack[m].astype(np.int16))]
-    return pa.Table.from_arrays([*lists, pa.array(mult)], ["keys", "ns", "roles", "slacks", "mult"])
+    m = member[np.repeat(first[pick] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (key[m], role[m].astype(np.int8))]
+    return pa.Table.from_arrays([*lists, pa.array(mult)], names)
+
+
+def candidates(groups: DataFrame, best: str | None = None) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of groups' members that sizes and parity bits don't rule out.
+
+    All of them, or the likeliest (fewest bits apart) in a group for each probing
+    member ("member") or for each two parts ("part").
+
+    ``groups(members)``: each member (role, skip, n, rep, part, bits).  Pairs are
+    made inside numpy, a block of probing members at a time, and only those that
+    may link leave it; members already in one part aren't paired.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                m = batch.column(0)[i].values
+                role, skip, n, rep, part = (m.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                width = np.array([len(x.as_buffer()) for x in m.field(5)])
+                for w in np.unique(width[role == 0]):
+                    r, s = np.flatnonzero((role == 0) & (width == w)), np.flatnonzero(~skip & (width == w))
+                    bits = np.frombuffer(b"".join(m.field(5)[int(k)].as_py() for k in np.union1d(r, s)), U).reshape(-1, w // 8)
+                    place = np.zeros(len(n), np.int64)
+                    place[np.union1d(r, s)] = np.arange(len(bits))
+                    for at in range(0, len(s), max(1, 4_000_000 // (w * max(1, len(r))))):
+                        b = s[at : at + max(1, 4_000_000 // (w * max(1, len(r))))]
+                        x, y = (k.ravel() for k in np.meshgrid(r, b, indexing="ij"))
+                        ok = (part[x] != part[y]) & ((n[x] < n[y]) | ((n[x] == n[y]) & (rep[x] < rep[y]))) & (n[x] * DEN >= n[y] * NUM)
+                        x, y = x[ok], y[ok]
+                        apart = np.bitwise_count(bits[place[x]] ^ bits[place[y]]).sum(-1, dtype=np.int64)
+                        ok = apart <= (n[x] + n[y]) // 7
+                        x, y, apart = x[ok], y[ok], apart[ok]
+                        if best and len(x):
+                            who = (y,) if best == "member" else (np.minimum(part[x], part[y]), np.maximum(part[x], part[y]))
+                            order = np.lexsort((rep[x], apart, *who))
+                            pick = order[_starts(*(k[order] for k in who))]
+                            x, y = x[pick], y[pick]
+                        found.append((rep[x], rep[y]))
+            if found:
+                a, b = (np.concatenate(k) for k in zip(*found))
+                if len(a):
+                    pairs = np.unique(np.stack([a, b]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -243,6 +323,24 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def members(groups: DataFrame, place: DataFrame) -> DataFrame:
+    """``(members)`` of the groups whose members are in several parts; costly ones are skipped where a set can spare them.
+
+    ``groups(gid, seed, keys, roles, mult)``; ``place(key, n, rep, spare0, spare1,
+    bits0, bits1, part)``.
+    """
+    parts = groups.select("gid", F.explode("keys").alias("key")).join(place.select("key", "part"), "key")
+    mixed = parts.groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q").select("gid", "size")
+    rows = groups.join(mixed, "gid").select("gid", "seed", "mult", "size", F.explode(F.arrays_zip("keys", "roles")).alias("x"))
+    rows = rows.select("gid", "seed", "mult", "size", F.col("x.keys").alias("key"), F.col("x.roles").alias("role")).join(place, "key")
+    spare_sum = F.when(F.col("seed") > 0, 0).when(F.col("role") == 0, F.col("spare0")).otherwise(F.col("spare1"))
+    costly = Window.partitionBy("key", "n", "role", "seed").orderBy(F.desc("size"), "gid").rowsBetween(Window.unboundedPreceding, 0)
+    skip = (F.sum(F.col("mult").cast("long")).over(costly) <= spare_sum) & (F.col("size") > 2)
+    bits = F.when(F.col("role") == 0, F.col("bits0")).otherwise(F.col("bits1")).alias("bits")
+    rows = rows.withColumn("skip", skip)
+    return rows.groupBy("gid").agg(F.collect_list(F.struct("role", "skip", "n", "rep", "part", bits)).alias("members"))
+
+
 def join_components(docs: DataFrame, n: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``.
 
@@ -255,53 +353,30 @@ def join_components(docs: DataFrame, n: int = 5) -> DataFrame:
     spark = docs.sparkSession
     known = materialize(describe(docs, n), "sets")
     named = known.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    same = [F.first(c).alias(c) for c in ("spare0", "spare1", "bits0", "bits1")]
+    classes = materialize(named.groupBy("key", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), *same), "classes")
     seeds = (known.agg(F.max("seed")).first()[0] or 0) + 1
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = None
+    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = None
     for seed in range(seeds):
         part = signatures(docs.where("doc_id is not null"), buckets, seed, n).groupBy("bucket").applyInArrow(shared_groups, GROUPS).withColumn("seed", F.lit(seed))
-        groups = part if groups is None else groups.union(part)
-    name = [F.xxhash64("keys", "ns", "roles").alias("name"), F.xxhash64("roles", "ns", "keys", F.lit(1)).alias("name2")]
-    groups = groups.groupBy("seed", *name).agg(
-        F.first("keys").alias("keys"), F.first("ns").alias("ns"), F.first("roles").alias("roles"), F.first("slacks").alias("slacks"), F.sum("mult").alias("mult")
-    )
-    groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
-
-    # first round: the neighbour, in order of size, that a class meets most often
-    member = F.transform(
-        F.sequence(F.lit(2), F.size("keys")),
-        lambda i: F.struct(*(F.element_at(c, i - d).alias(f"{c[0]}{d}") for c in ("keys", "ns") for d in (0, 1)), (F.element_at("roles", i - 1) == 0).alias("own")),
-    )
-    near = groups.select(F.explode(member).alias("x"), "mult").select("x.*", F.least("mult", F.lit(1000)).alias("mult"))
-    near = near.where((F.col("n1") * DEN >= F.col("n0") * NUM) & (F.col("k0") != F.col("k1")))
-    near = near.groupBy("k0", "n0", "k1", "n1").agg(F.sum("mult").alias("votes"))
-    near = near.groupBy("k0", "n0").agg(F.max(F.struct("votes", "k1", "n1")).alias("x")).select("k0", "n0", "x.k1", "x.n1")
-    one, two = (classes.select(F.col("key").alias(f"k{d}"), F.col("n_shingles").cast("int").alias(f"n{d}"), F.col("rep").alias(x)) for d, x in ((0, "a"), (1, "b")))
-    pairs = materialize(near.join(one, ["k0", "n0"]).join(two, ["k1", "n1"]).where("a <> b").select("a", "b").distinct(), "pairs")
-    links = materialize(verify(pairs, docs, n), "links")
-    label = connected_components(links)
-
-    # second round: pairs of a group in different components, but for skipped groups
-    place = classes.join(label, classes["rep"] == label["node"], "left").select(
-        F.col("key"), F.col("n_shingles").cast("int").alias("n"), "rep", F.coalesce("component", "rep").alias("part")
-    )
-    members = groups.select("gid", "seed", "mult", F.explode(F.arrays_zip("keys", "ns", "roles", "slacks")).alias("x"))
-    members = members.select("gid", "seed", "mult", F.col("x.keys").alias("key"), F.col("x.ns").alias("n"), F.col("x.roles").alias("role"), F.col("x.slacks").alias("slack"))
-    members = members.join(place, ["key", "n"])
-    mixed = members.groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q")
-    members = materialize(members.join(mixed.select("gid", "size"), "gid"), "members")
-    costly = Window.partitionBy("key", "n", "role", "seed").orderBy(F.desc("size"), "gid").rowsBetween(Window.unboundedPreceding, 0)
-    members = members.withColumn("skip", (F.sum(F.col("mult").cast("long")).over(costly) <= F.col("slack")) & (F.col("size") > 2))
-    r = members.where("role = 0").select("gid", F.col("key").alias("rk"), F.col("n").alias("rn"), F.col("rep").alias("a"), F.col("part").alias("rp"))
-    s = members.where("not skip").select("gid", F.col("key").alias("sk"), F.col("n").alias("sn"), F.col("rep").alias("b"), F.col("part").alias("sp"))
-    far = r.join(s, "gid").where("rp <> sp and (rn < sn or (rn = sn and rk < sk)) and a <> b")
-    far = far.where((F.col("rn") * DEN >= F.col("sn") * NUM)).select("a", "b").distinct()
-    far = materialize(far.join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verify(far, docs, n))
-    label = connected_components(links)
+        found = part if found is None else found.union(part)
+    found = materialize(found, "groups")
+
+    name = [F.xxhash64("keys", "roles").alias("name"), F.xxhash64("roles", "keys").alias("name2")]
+    groups = found.groupBy("seed", *name).agg(F.first("keys").alias("keys"), F.first("roles").alias("roles"), F.sum("mult").alias("mult"))
+    groups = materialize(groups.select("seed", "keys", "roles", "mult", F.monotonically_increasing_id().alias("gid")), "lists")
+    links = label = None
+    for best in ("member", "part", None):
+        place = classes.withColumn("part", F.col("rep"))
+        if label is not None:
+            place = classes.join(label, classes["rep"] == label["node"], "left").select(*classes.columns, F.coalesce("component", "rep").alias("part"))
+        pairs = materialize(candidates(members(groups, place), best), "pairs")
+        got = materialize(verify(pairs, docs, n), "links")
+        links = got if links is None else links.union(got)
+        label = connected_components(links)
     done = classes.join(label, classes["rep"] == label["node"], "left").select(
-        F.col("key").alias("_k"), F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("c")
+        F.col("key").alias("_k"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("c")
     )
     out = known.join(done, (known["key"] == done["_k"]) & (known["n_shingles"] == done["_n"]), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -70,7 +70,7 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def slices(column: Iterable, limit: int = 4 << 20, pairs: bool = False) -> Iterator[tuple[int, list[bytes]]]:
+def slices(column: Iterable, limit: int = 1 << 20, pairs: bool = False) -> Iterator[tuple[int, list[bytes]]]:
     """Encoded texts of an Arrow column in runs of about ``limit`` bytes, with where each run begins; pairs stay together."""
     held, size, first = [], 0, 0
     for i, t in enumerate(column):

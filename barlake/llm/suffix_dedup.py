@@ -184,11 +184,14 @@ def next_digit(texts: DataFrame, length: int, level: int) -> DataFrame:
 
 def sort_out(rows: DataFrame) -> DataFrame:
     """``(uid, code, repeated, open)`` of the bundles whose core is met again."""
+    # met twice below, and dear to make again
+    rows = materialize(rows, "bundles")
     cores = rows.groupBy("core").agg(F.count("*").alias("c"), F.min("context").alias("x"), F.max("context").alias("y"))
     cores = cores.where("c > 1").select("core", (F.col("x") != F.col("y")).alias("mixed"))
-    rows = rows.join(cores, "core").withColumn("one", F.xxhash64("uid", "code"))
-    contexts = rows.groupBy("core", "context").agg(F.count("*").alias("m"), F.min("one").alias("least"))
-    done = rows.join(contexts, ["core", "context"])
+    # grouped and joined by the pair as one value: rows of a frequent core then needn't stay in one task
+    rows = rows.join(cores, "core").select("uid", "code", "mixed", F.struct("core", "context").alias("pair"), F.xxhash64("uid", "code").alias("one"))
+    contexts = rows.groupBy("pair").agg(F.count("*").alias("m"), F.min("one").alias("least"))
+    done = rows.join(contexts, "pair")
     goes_on = F.col("mixed") & ((F.col("m") == 1) | (F.col("one") == F.col("least")))
     return done.select("uid", "code", (F.col("m") > 1).alias("repeated"), goes_on.alias("open")).where("repeated or open")
 
