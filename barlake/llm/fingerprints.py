@@ -4,10 +4,10 @@ A text is the set of the hashes of its paragraph pieces.  Each piece's hash goes
 to one cell of each of three rows of a sketch; a cell keeps how many hashes it
 got, their xor and the xor of their check hashes.  Subtracting two sketches
 leaves the pieces in which the versions differ.  A cell with one of them left
-shows it (its check fits); taking it out of its other cells frees more.  If this
-peeling stops before all cells are empty, a larger sketch is built and subtracted:
-first in groups of pieces, then with wider groups; the digests themselves are
-compared only if the largest sketch can't be peeled.
+shows it (its check fits); taking it out of its other cells frees more.  A sketch
+for comparing has a group of cells for every few pieces.  If peeling stops before
+all cells are empty, one with larger groups is built and subtracted; the digests
+themselves are compared only if that can't be peeled either.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Longest piece of a paragraph, in code points.
 PIECE = 240
-#: Cells a row of the first sketch, and of a group's sketches after a failure.
-FIRST, RETRIES = 8, (8, 32, 128)
-#: Pieces that a group holds on average.
-GROUP = 4
+#: Cells a row of a fingerprint.
+FIRST = 8
+#: Pieces that a group holds on average, cells a row of a group's sketch, and the same after a failure.
+GROUP, WIDTHS = 4, (8, 32)
+#: Rounds of peeling; all cells that show a piece are used in a round.
+ROUNDS = 6
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -72,88 +76,66 @@ def sketch(keys: Column, width: int) -> Column:
     return F.concat(*rows)
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a,
-        b,
-        lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")),
-    )
-
+def _entries(key: Column, sign: Column, groups: Column, width: int) -> list[Column]:
+    """The three cells of a key, as (found, cell, n, k, h)."""
+    group = F.pmod(F.shiftright(key, 3), groups) * (3 * width)
+    at = (group + _place(key, r, width) + r * width for r in range(3))
+    return [F.struct(F.lit(False).alias("found"), c.cast("long").alias("cell"), sign.cast("int").alias("n"), key.alias("k"), _check(key).alias("h")) for c in at]
 
-def peel(cells: Column, width: int, steps: Column) -> Column:
-    """``(ok, added, removed)``: the digests recovered from a difference, at most ``steps`` of them."""
-    none = F.array().cast("array<bigint>")
 
-    def pure(c: Column) -> Column:
-        return (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["h"])
+def differences(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``keys``, ok, added, removed: the digests that sketches of ``rows(keys, a, b)`` recover.
 
-    def take(state: Column) -> Column:
-        found = F.try_element_at(F.filter(state["cells"], pure), F.lit(1))
-
-        def without(x: Column) -> Column:
-            spots = let(
-                F.array(*(_place(x["k"], r, width) + r * width for r in range(3))),
-                lambda at: F.transform(
-                    state["cells"],
-                    lambda c, i: F.when(
-                        F.array_contains(at, i),
-                        F.struct((c["n"] - x["n"]).alias("n"), c["k"].bitwiseXOR(x["k"]).alias("k"), c["h"].bitwiseXOR(x["h"]).alias("h")),
-                    ).otherwise(c),
+    The cells of b's sketch are subtracted from those of a's by adding them with
+    the opposite sign.  A round of peeling takes the cells with one key left,
+    notes the keys as found, and adds them to their cells with the opposite sign;
+    so the work is proportional to the pieces.  Everything stays in the partition
+    of the keys: one shuffle of digests before the first round.
+    """
+    groups = F.greatest(F.ceil(F.greatest(F.size("a"), F.size("b")) / GROUP), F.lit(1)).cast("long")
+    rows = rows.withColumn("groups", groups).repartition(*keys)
+    keys = [*keys, "groups"]
+    kind = "array<struct<found:boolean,cell:bigint,n:int,k:bigint,h:bigint>>"
+    mark = F.array(F.struct(F.lit(True).alias("found"), F.lit(-1).cast("long").alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h")))
+    side = lambda c, sign: F.flatten(F.transform(c, lambda x: F.array(*_entries(x, F.lit(sign), F.col("groups"), width))))
+    cells = rows.select(*keys, F.explode(F.concat(mark.cast(kind), side("a", 1).cast(kind), side("b", -1).cast(kind))).alias("e"))
+
+    def merged(cells: DataFrame) -> DataFrame:
+        out = cells.select(*keys, "e.*").groupBy(*keys, "found", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+        return out.where("found or n <> 0 or k <> 0 or h <> 0")
+
+    for _ in range(ROUNDS):
+        each = merged(cells).groupBy(*keys).agg(F.collect_list(F.struct("found", "cell", "n", "k", "h")).alias("c"))
+        pure = F.filter("c", lambda x: ~x["found"] & (F.abs(x["n"]) == 1) & (_check(x["k"]) == x["h"]))
+        fresh = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
+        taken = F.flatten(
+            F.transform(
+                fresh,
+                lambda f: F.array(
+                    F.struct(F.lit(True).alias("found"), f["k"].alias("cell"), f["n"].alias("n"), f["k"].alias("k"), F.lit(0).cast("long").alias("h")),
+                    *_entries(f["k"], -f["n"], F.col("groups"), width),
                 ),
             )
-            return F.struct(
-                spots.alias("cells"),
-                F.when(x["n"] == 1, F.array_append(state["added"], x["k"])).otherwise(state["added"]).alias("added"),
-                F.when(x["n"] == -1, F.array_append(state["removed"], x["k"])).otherwise(state["removed"]).alias("removed"),
-                F.lit(False).alias("stuck"),
-            )
-
-        halt = F.struct(state["cells"].alias("cells"), state["added"].alias("added"), state["removed"].alias("removed"), F.lit(True).alias("stuck"))
-        return F.when(state["stuck"], state).otherwise(let(found, lambda x: F.when(x.isNull(), halt).otherwise(without(x))))
-
-    start = F.struct(cells.alias("cells"), none.alias("added"), none.alias("removed"), F.lit(False).alias("stuck"))
-    return F.aggregate(
-        F.sequence(F.lit(0), steps),
-        start,
-        lambda s, _: take(s),
-        lambda s: F.struct(
-            (~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))).alias("ok"),
-            s["added"].alias("added"),
-            s["removed"].alias("removed"),
-        ),
+        )
+        cells = each.select(*keys, F.explode(F.concat(F.col("c").cast(kind), taken.cast(kind))).alias("e"))
+    found = F.col("found") & (F.col("n") != 0)
+    return merged(cells).groupBy(*keys[:-1]).agg(
+        (F.count_if(~F.col("found")) == 0).alias("ok"),
+        F.collect_list(F.when(found & (F.col("n") > 0), F.col("k"))).alias("added"),
+        F.collect_list(F.when(found & (F.col("n") < 0), F.col("k"))).alias("removed"),
     )
 
 
-def _groups(keys: Column, count: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda g: F.filter(keys, lambda x: F.pmod(F.shiftright(x, 3), count) == g))
-
-
-def difference(a: Column, b: Column, first_a: Column, first_b: Column) -> Column:
-    """``(added, removed)``: digests only in ``a`` and only in ``b``, by sketches of growing size.
-
-    ``first_a`` and ``first_b`` are the two first sketches.
-    """
-    exact = lambda x, y: F.struct(F.lit(True).alias("ok"), F.array_except(x, y).alias("added"), F.array_except(y, x).alias("removed"))
-
-    def group(x: Column, y: Column, widths: tuple[int, ...]) -> Column:
-        if not widths:
-            return exact(x, y)
-        got = peel(subtract(sketch(x, widths[0]), sketch(y, widths[0])), widths[0], F.size(x) + F.size(y))
-        return let(got, lambda r: F.when(r["ok"], r).otherwise(group(x, y, widths[1:])))
-
-    def grouped() -> Column:
-        count = F.greatest(F.ceil(F.greatest(F.size(a), F.size(b)) / GROUP), F.lit(1)).cast("int")
-        each = F.zip_with(_groups(a, count), _groups(b, count), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        done = F.transform(each, lambda g: group(g["x"], g["y"], RETRIES))
-        return let(done, lambda d: F.struct(F.lit(True).alias("ok"), F.flatten(F.transform(d, lambda r: r["added"])).alias("added"), F.flatten(F.transform(d, lambda r: r["removed"])).alias("removed")))
-
-    return let(peel(subtract(first_a, first_b), FIRST, F.lit(3 * FIRST)), lambda r: F.when(r["ok"], r).otherwise(grouped()))
-
-
-def likeness(a: Column, b: Column, diff: Column) -> Column:
-    """Shared pieces over all pieces; two texts without pieces are alike."""
-    union = F.size(a) + F.size(diff["removed"])
-    return F.when(union == 0, 1.0).otherwise((F.size(a) - F.size(diff["added"])) / union)
+def recovered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, added, removed of ``rows(keys, a, b)``: by sketches, by larger ones after a failure, and by the digests if those fail too."""
+    out, rest = None, rows
+    for width in WIDTHS:
+        got = materialize(differences(rest, keys, width), "peeled")
+        done = got.where("ok").select(*keys, "added", "removed")
+        out = done if out is None else out.union(done)
+        rest = rest.join(got.where("not ok").select(*keys), keys, "left_semi")
+    last = rest.select(*keys, F.array_except("a", "b").alias("added"), F.array_except("b", "a").alias("removed"))
+    return out.union(last)
 
 
 def as_text(cells: Column) -> Column:
@@ -193,20 +175,27 @@ def next_documents(docs: DataFrame) -> DataFrame:
 
 
 def compare_versions(rows: DataFrame, text: str, versions: dict[str, str]) -> DataFrame:
-    """``rows`` and, for the text column and each version column, its fingerprint and likeness.
+    """``rows`` without the texts, and the fingerprints and likenesses of the text and each version.
 
     Adds ``fingerprint`` of ``text``, and ``fingerprint_<name>`` and
-    ``near_<name>`` of every version.  Null texts are empty; equal texts have
-    equal fingerprints and likeness 1.  No shuffle takes place.
+    ``near_<name>`` of every version: shared pieces over all pieces of the two, 1
+    for two texts without pieces.  Null texts are empty; equal texts have equal
+    fingerprints and likeness 1.
     """
     cols = {"": text, **{f"_{k}": v for k, v in versions.items()}}
     for k, c in cols.items():
         rows = rows.withColumn(f"_d{k}", digests(F.coalesce(F.col(c), F.lit(""))))
     for k in cols:
-        rows = rows.withColumn(f"_s{k}", sketch(F.col(f"_d{k}"), FIRST))
+        rows = rows.withColumn(f"fingerprint{k}", as_text(sketch(F.col(f"_d{k}"), FIRST)))
+    rows = materialize(rows.drop(*cols.values()).withColumn("_id", F.monotonically_increasing_id()), "fingerprints")
+    both = [F.struct(F.lit(k).alias("version"), F.col("_d").alias("a"), F.col(f"_d{k}").alias("b")) for k in cols if k]
+    pairs = rows.select("_id", F.explode(F.array(*both)).alias("x")).select("_id", "x.*")
+    sizes = recovered(pairs, ["_id", "version"]).select("_id", "version", F.size("added").alias("p"), F.size("removed").alias("q"))
+    of = lambda k, c: F.max(F.when(F.col("version") == k, F.col(c))).alias(f"_{c}{k}")
+    sizes = sizes.groupBy("_id").agg(*(of(k, c) for k in cols if k for c in "pq"))
+    rows = rows.join(sizes, "_id")
     for k in cols:
-        rows = rows.withColumn(f"fingerprint{k}", as_text(F.col(f"_s{k}")))
         if k:
-            a, b = F.col("_d"), F.col(f"_d{k}")
-            rows = rows.withColumn(f"near{k}", let(difference(a, b, F.col("_s"), F.col(f"_s{k}")), lambda d: likeness(a, b, d)))
-    return rows.drop(*(f"_{x}{k}" for x in "ds" for k in cols))
+            union = F.size("_d") + F.col(f"_q{k}")
+            rows = rows.withColumn(f"near{k}", F.when(union == 0, 1.0).otherwise((F.size("_d") - F.col(f"_p{k}")) / union))
+    return rows.drop("_id", *(f"_{x}{k}" for x in "dpq" for k in cols))

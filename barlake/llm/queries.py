@@ -78,12 +78,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     part = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - part), F.substring("following", F.lit(1), part))
-    rows = rows.withColumn("edited", edited)
+    rows = rows.withColumns({"edited": edited, "n_chars": n.cast("long")})
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     rows = fingerprints.compare_versions(rows, "text", {"edited": "edited", "next": "following"})
     return rows.select(
         "doc_id",
-        n.cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         "fingerprint",
         F.col("fingerprint_edited").alias("edited_fingerprint"),
         "near_edited",
