@@ -55,8 +55,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order in which an engine adds does not show."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded, so that the order in which an engine adds does not show; no negative zero."""
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def rnd(cols: str, digits: int = 6) -> str:
