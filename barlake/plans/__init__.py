@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import QUERIES, SQL, Query
 
-MODULES = ("feature_queries", "core_queries", "metric_queries", "portfolio_queries")
+MODULES = ("feature_queries", "core_queries", "metric_queries", "portfolio_queries", "source_queries")
 
 
 def _load() -> None:
