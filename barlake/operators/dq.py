@@ -163,26 +163,26 @@ def training_contract(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 # The event kinds and what each must carry.
-KINDS = {"t": ("p", "s"), "q": ("bp", "ap", "bs", "as"), "b": ("o", "h", "l", "c", "v"), "u": ("o", "h", "l", "c", "v"), "c": ("op", "cp"), "x": ("a",)}
+KINDS = {"t": ("p", "size"), "q": ("bp", "ap", "bs", "as_size"), "b": ("o", "h", "l", "c", "v"), "u": ("o", "h", "l", "c", "v"), "c": ("op", "cp"), "x": ("action",)}
 
 
 def event_rules(records: DataFrame) -> DataFrame:
     """Journal records with the faults of their ``event``: fields of its kind, bounds, alignment, clock."""
     e = lambda c: F.col(f"event.{c}")
-    kind, at = e("T"), F.unix_millis(F.to_timestamp(e("t")))
+    kind, at = e("kind"), F.unix_millis(F.try_to_timestamp(e("time")))
     bar = kind.isin("b", "u")
     positive = lambda *cs: F.greatest(*((F.coalesce(e(c), F.lit(-1.0)) <= 0).cast("int") for c in cs)) == 1
     rules = {
         "unknown kind": ~kind.isin(*KINDS) | kind.isNull(),
         "bad time": at.isNull(),
         "future": at > F.col("received_at_ms") + 5000,
-        "bad trade": (kind == "t") & positive("p", "s"),
-        "bad quote": (kind == "q") & (positive("bp", "ap") | (F.least(F.coalesce(e("bs"), F.lit(-1.0)), F.coalesce(e("as"), F.lit(-1.0))) < 0)),
+        "bad trade": (kind == "t") & positive("p", "size"),
+        "bad quote": (kind == "q") & (positive("bp", "ap") | (F.least(F.coalesce(e("bs"), F.lit(-1.0)), F.coalesce(e("as_size"), F.lit(-1.0))) < 0)),
         "bad bar": bar & (positive("o", "h", "l", "c") | (F.coalesce(e("v"), F.lit(-1.0)) < 0) | (e("h") < F.greatest(e("o"), e("c"))) | (e("l") > F.least(e("o"), e("c")))),
         "unaligned bar": bar & (at % 60_000 != 0),
         "early bar": bar & (F.col("received_at_ms") < at + 60_000),
         "bad correction": (kind == "c") & positive("op", "cp"),
-        "bad cancel": (kind == "x") & ~F.coalesce(e("a").isin("C", "E"), F.lit(False)),
+        "bad cancel": (kind == "x") & ~F.coalesce(e("action").isin("C", "E"), F.lit(False)),
     }
     return records.withColumn("faults", F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in rules.items()))))
 

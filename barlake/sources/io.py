@@ -12,10 +12,13 @@ from ..operators import dq
 OHLCV = "timestamp string, open double, high double, low double, close double, volume bigint"
 #: An RFC 3339 time with its zone.
 RFC3339 = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
+#: A journal record; its event stays text until parse_event, as its names differ in case only.
 JOURNAL = (
-    "schema_version int, seq bigint, session_id string, received_at_ms bigint, previous_checksum string, checksum string, type string, feed string, "
-    "symbols array<string>, event struct<T:string,S:string,t:string,o:double,h:double,l:double,c:double,v:double,p:double,s:double,bp:double,ap:double,bs:double,`as`:double,op:double,cp:double,os:double,cs:double,a:string>"
+    "schema_version int, seq bigint, session_id string, received_at_ms bigint, previous_checksum string, checksum string, type string, feed string, symbols array<string>, event string"
 )
+# The short names of an event's fields.
+TEXT_FIELDS = {"kind": "T", "symbol": "S", "time": "t", "action": "a"}
+NUMBER_FIELDS = {"o": "o", "h": "h", "l": "l", "c": "c", "v": "v", "p": "p", "size": "s", "bp": "bp", "ap": "ap", "bs": "bs", "as_size": "as", "op": "op", "cp": "cp", "os": "os", "cs": "cs"}
 ENVELOPE = "status string, meta struct<symbol:string,exchange:string,currency:string,exchange_timezone:string,interval:string,type:string>, `values` array<struct<datetime:string,open:string,high:string,low:string,close:string,volume:string>>"
 
 
@@ -69,16 +72,23 @@ def read_envelopes(spark: SparkSession, path: str, market: dict[str, str], now:
     return out.withColumn("avail_ts", F.col("ts")).where((F.col("ts") >= start) & (F.col("ts") < end) & (F.col("ts") <= now))
 
 
+def parse_event(records: DataFrame) -> DataFrame:
+    """``event`` as a struct; fields that a kind doesn't have, or that don't parse, are null."""
+    get = lambda k: F.get_json_object("event", f"$.{k}")
+    texts = [get(k).alias(c) for c, k in TEXT_FIELDS.items()]
+    return records.withColumn("event", F.struct(*texts, *(get(k).try_cast("double").alias(c) for c, k in NUMBER_FIELDS.items())))
+
+
 def minute_bars(records: DataFrame) -> DataFrame:
     """First-publication minute bars of journal records; a bar that came before its close is left out."""
-    start = F.unix_millis(F.to_timestamp("event.t"))
-    rows = records.where("type = 'market' and event.T = 'b'")
-    rows = rows.select(F.col("event.S").alias("symbol"), F.floor(start / 1000 + 60).alias("ts"), *(F.col(f"event.{a}").alias(b) for a, b in zip("ohlc", ("open", "high", "low", "close"))), F.col("event.v").cast("long").alias("volume"), F.col("received_at_ms").alias("avail_ms"))
+    start = F.unix_millis(F.try_to_timestamp("event.time"))
+    rows = records.where("type = 'market' and event.kind = 'b'")
+    rows = rows.select(F.col("event.symbol").alias("symbol"), F.floor(start / 1000 + 60).alias("ts"), *(F.col(f"event.{a}").alias(b) for a, b in zip("ohlc", ("open", "high", "low", "close"))), F.col("event.v").cast("long").alias("volume"), F.col("received_at_ms").alias("avail_ms"))
     return rows.where(F.col("avail_ms") >= F.col("ts") * 1000).withColumn("avail_ts", F.ceil(F.col("avail_ms") / 1000))
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JOURNAL).json(path)
+    return parse_event(spark.read.schema(JOURNAL).json(path))
 
 
 def fingerprint(bars: DataFrame, key: str = "symbol") -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import core, dq
-from ..sources.io import JOURNAL, minute_bars
+from ..sources.io import JOURNAL, minute_bars, parse_event
 
 BUFFER = "symbol string, ts bigint, close double, size int"
 
 
 def records(spark: SparkSession, path: str, files_a_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files_a_batch).json(path)
+    return parse_event(spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files_a_batch).json(path))
 
 
 def good_and_bad(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,8 +77,8 @@ def batch_buffer(rows: DataFrame, limit: int = 300) -> DataFrame:
 
 def latest_prices(rows: DataFrame) -> DataFrame:
     """Last trade of each symbol; of equal times the later arrival."""
-    t = rows.where("event.T = 't'")
-    return t.groupBy(F.col("event.S").alias("symbol")).agg(F.max_by("event.p", F.struct(F.to_timestamp("event.t"), "received_at_ms", "seq")).alias("price"))
+    t = rows.where("event.kind = 't'")
+    return t.groupBy(F.col("event.symbol").alias("symbol")).agg(F.max_by("event.p", F.struct(F.try_to_timestamp("event.time"), "received_at_ms", "seq")).alias("price"))
 
 
 def accounting(rows: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def accounting(rows: DataFrame) -> DataFrame:
 
 def readiness(rows: DataFrame, now_ms: int) -> DataFrame:
     """Symbols whose last trade is fresh, and those whose isn't."""
-    t = rows.where("event.T = 't'").select(F.col("event.S").alias("symbol"), F.unix_millis(F.to_timestamp("event.t")).alias("at_ms"))
+    t = rows.where("event.kind = 't'").select(F.col("event.symbol").alias("symbol"), F.unix_millis(F.try_to_timestamp("event.time")).alias("at_ms"))
     return core.freshness(t, now_ms, core.FRESH["trade"])
 
 
