@@ -135,7 +135,9 @@ class Channel:
         """A lower-case token as it is, or its likeliest reading if it looks disguised."""
         bare = token.strip(_EDGE)
         if len(bare) <= LONGEST and (_MIXED.search(bare) or _LONG_RUN.search(bare)) and any(map(str.isalpha, bare)):
-            if LETTERS.fullmatch(bare) or not all(LETTERS.fullmatch(x) for x in re.split(r"[.\-_]+", bare) if x):
+            parts = [x for x in re.split(r"[.\-_]+", bare) if x]
+            joined = len(parts) > 1 and all(map(LETTERS.fullmatch, parts)) and max(map(len, parts)) > 1
+            if not joined or _LONG_RUN.search(bare):
                 return self.decode(bare)
         return token
 
