@@ -22,7 +22,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list:
     def value(v):
-        if v is None or v is pd.NaT or v != v:
+        if pd.isna(v):
             return "null"
         return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
