@@ -6,6 +6,8 @@ fail are removed; documents that lose too much of their text go.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ SYMBOLS = "#*$%&|<>"
 BOILERPLATE = ("javascript", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "lorem ipsum")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _words(text: Column) -> Column:
@@ -75,23 +78,35 @@ def clean_lines(
     rows = docs.select("doc_id", text.alias("_text"))
     rows = rows.withColumn("_words", _words(F.col("_text")))
     rows = rows.withColumn("_windows", repeated_words(F.col("_words")))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.length(_without(x, SPACE)) > 0)
-    rows = rows.withColumn("_lines", lines)
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD))
+    low = F.lower("_text")
+    boiler = F.contains(low, F.lit(BOILERPLATE[0]))
+    for phrase in BOILERPLATE[1:]:
+        boiler = boiler | F.contains(low, F.lit(phrase))
+    rows = rows.withColumns(
+        {
+            "_lines": lines,
+            "_n_symbols": F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")),
+            "_shouts": F.contains("_text", F.lit("!!")),
+            "_boiler": boiler,
+        }
+    )
 
     def bad(line: Column) -> Column:
-        chars = F.length(_without(line, SPACE))
-        words = F.size(F.split(F.trim(line), "[ \t\x0b\x0c\r]+"))
-        symbols = chars - F.length(_without(_without(line, SPACE), SYMBOLS))
-        shouts = F.regexp_count(line, F.lit(r"!!"))
-        bars = F.regexp_count(line, F.lit(r"(?:^|[ \t])\|(?:[ \t]|$)"))
-        return (
-            (symbols * 100 > chars * max_symbol_percent)
-            | (shouts * 100 > words * max_shout_percent)
-            | ((bars >= 2) & (bars * 100 > words * max_bars_percent))
-            | F.lower(line).rlike("|".join(BOILERPLATE))
+        return let(
+            _words(line),
+            lambda words: let(
+                F.length(F.array_join(words, "")),
+                lambda chars: (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 100 > chars * max_symbol_percent)
+                | (F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit("!!")) * 100 > F.size(words) * max_shout_percent))
+                | let(F.size(F.filter(words, lambda w: w == "|")), lambda bars: (bars >= 2) & (bars * 100 > F.size(words) * max_bars_percent))
+                | (F.col("_boiler") & F.lower(line).rlike("|".join(BOILERPLATE))),
+            ),
         )
 
-    rows = rows.withColumn("_good", F.filter("_lines", lambda x: ~bad(x)))
+    # a text without any of the signs has no line that could fail
+    may_fail = (F.col("_n_symbols") > 0) | F.col("_shouts") | F.col("_boiler")
+    rows = rows.withColumn("_good", F.when(may_fail, F.filter("_lines", lambda x: ~bad(x))).otherwise(F.col("_lines")))
     size = F.size("_words").cast("long")
     repeats = F.when(
         F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(F.col("_windows"), 5)
@@ -99,8 +114,8 @@ def clean_lines(
     rows = rows.select(
         "doc_id",
         size.alias("n_words"),
-        F.length(_without(F.col("_text"), SPACE)).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.col("_n_symbols").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeats.alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -108,7 +123,7 @@ def clean_lines(
         F.array_join("_good", "\n").alias("cleaned"),
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    left = F.length(_without(F.col("cleaned"), SPACE))
+    left = F.when(F.col("n_bad_lines") == 0, F.col("word_chars")).otherwise(F.length(F.translate("cleaned", SPACE, "")))
     kept = ~F.col("base_failed") & ((F.col("word_chars") - left) * 100 <= F.col("word_chars") * max_lost_percent)
     rows = rows.withColumn("base_failed", failed)
     return rows.withColumn("kept", kept)

@@ -160,7 +160,6 @@ FROM n, unnest(generate_series(1, n)) g(copy)
 """
 
 
-_OP6_SPLIT = r"[ \t\x0B\x0C\r]+"
 _OP6 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -179,10 +178,10 @@ l AS (
 ),
 j AS (
   SELECT doc_id, line, bare, length(bare) AS chars,
-    len(string_split_regex(trim(line, ' '), '[ \t\x0B\x0C\r]+')) AS words,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
     length(bare) - length(regexp_replace(bare, '[#*$%&|<>]', '', 'g')) AS symbols,
     len(regexp_extract_all(line, '!!')) AS shouts,
-    len(regexp_extract_all(line, '(?:^|[ \t])\|(?:[ \t]|$)')) AS bars
+    len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: w = '|')) AS bars
   FROM l WHERE bare <> ''
 ),
 v AS (
