@@ -90,3 +90,26 @@ def paired_difference(samples: DataFrame, a: str, b: str, periods: float, confid
     d = s.select((F.col(a) - F.col(b)).alias("d"))
     tail = (1 - confidence) / 2
     return d.agg(F.avg("d").alias("mean"), F.percentile("d", tail).alias("low"), F.percentile("d", 1 - tail).alias("high"))
+
+
+def study_summary(rows: DataFrame, periods: float, replicates: int = 200, block: int = 20, key: str = "symbol") -> DataFrame:
+    """One row a model: correlations, hit rate, after-cost Sharpe with its interval, turnover, drawdown and counts.
+
+    ``rows(key, ts, pred, target, ret, turnover)``, ``ret`` being after costs.
+    Undefined statistics are null; targets of 0 don't count for the hit rate.
+    """
+    from .metrics import information
+
+    along = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    curve = rows.withColumn("_e", F.exp(F.sum(F.log1p("ret")).over(along)))
+    curve = curve.withColumn("_d", F.col("_e") / F.greatest(F.max("_e").over(along), F.lit(1.0)) - 1.0)
+    hit = F.when(F.col("target") != 0, (F.signum("pred") == F.signum("target")).cast("double"))
+    s = curve.groupBy(key).agg(
+        F.count("*").alias("n"),
+        F.avg(hit).alias("hit_rate"),
+        F.try_divide(F.avg("ret") * math.sqrt(periods), F.stddev_samp("ret")).alias("sharpe"),
+        F.avg("turnover").alias("mean_turnover"),
+        F.min("_d").alias("max_drawdown"),
+    )
+    ci = sharpe_interval(moving_blocks(rows, replicates, block, key=key), periods, key=key)
+    return s.join(information(rows, key, undefined=None), key).join(ci.select(key, F.col("low").alias("sharpe_low"), F.col("high").alias("sharpe_high")), key, "left")

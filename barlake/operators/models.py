@@ -40,3 +40,25 @@ def walk(rows: DataFrame, fit, features: list[str], model_id: str, folds: list[i
         part = score(model, rows.where((F.col("fold") == k) & (F.col("role") == "test")), features, model_id)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def trial_grid(spark, candidates: list[str], symbols: DataFrame, folds: int, seeds: list[int]) -> DataFrame:
+    """Every (candidate, symbol, fold, seed) of a study, each with its trial id."""
+    one = spark.range(1).select(
+        F.explode(F.array(*map(F.lit, candidates))).alias("candidate"), F.lit(0).alias("_")
+    ).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    grid = symbols.select("symbol").distinct().withColumn("_", F.lit(0)).join(F.broadcast(one), "_").drop("_")
+    return grid.withColumn("trial_id", F.sha2(F.concat_ws(":", "candidate", "symbol", "fold", "seed"), 256))
+
+
+def record(trials: DataFrame, state: str, ledger: str) -> None:
+    """Append a state (started, completed, failed) of trials to the ledger."""
+    if state not in ("started", "completed", "failed"):
+        raise ValueError("not a state of a trial")
+    trials.select("trial_id").withColumns({"state": F.lit(state), "at": F.current_timestamp()}).write.mode("append").parquet(ledger)
+
+
+def open_trials(grid: DataFrame, ledger: DataFrame, attempts: int) -> DataFrame:
+    """Trials that aren't completed and were started fewer than ``attempts`` times."""
+    seen = ledger.groupBy("trial_id").agg(F.count_if(F.col("state") == "started").alias("tries"), F.max((F.col("state") == "completed").cast("int")).alias("done"))
+    return grid.join(seen, "trial_id", "left").where(f"coalesce(done, 0) = 0 and coalesce(tries, 0) < {int(attempts)}").drop("tries", "done")

@@ -365,3 +365,11 @@ def a26(spark, d):
 @register("a27_equal_weight", f"WITH {_AC}, k AS (SELECT ts FROM cost GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM cost)) SELECT ts, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('ret', 'turnover'))}, count(*) AS n FROM cost JOIN k USING (ts) GROUP BY 1")
 def a27(spark, d):
     return rounded(metrics.equal_weight(joins.complete_dates(costed(spark, d))))
+
+
+@register("a12_study_summary")
+def a12(spark, d):
+    from ..operators.bootstrap import study_summary
+
+    rows = costed(spark, d).select("symbol", "ts", "ret", "turnover").join(pairs(spark, d), ["symbol", "ts"])
+    return rounded(study_summary(rows.withColumn("ret", F.greatest("ret", F.lit(-0.9))), P, 50))

@@ -99,3 +99,15 @@ def forecasts(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path:
         score(batch.where(F.col("size") >= least)).write.mode("append").parquet(path)
 
     return stream.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def monitored(decisions: DataFrame, outcomes: Callable[[], DataFrame], reference: DataFrame, path: str, history: str, checkpoint: str, window: int = 100):
+    """Append the drift status after each batch of decisions: the batch joins the history, then all of it is judged."""
+    from ..operators.metrics import monitor
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(history)
+        every = batch.sparkSession.read.schema(batch.schema).parquet(history).dropDuplicates(["decision_id"])
+        monitor(every, outcomes(), reference, window).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    return decisions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

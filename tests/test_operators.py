@@ -139,3 +139,16 @@ def test_log_audit(spark):
     assert got["clean_shutdown"] and got["faults"] == 0 and not got["missing"] and got["head"] == before
     rows[1] = (*rows[1][:4], "x", *rows[1][5:])
     assert dq.audit(spark.createDataFrame(rows, schema)).first()["faults"] == 1
+
+
+def test_trials_are_retried_up_to_a_cap(spark, tmp_path):
+    from barlake.operators import models
+
+    grid = models.trial_grid(spark, ["ridge", "zero"], spark.createDataFrame([("a",), ("b",)], "symbol string"), 2, [1])
+    assert grid.count() == 8
+    one = grid.where("candidate = 'ridge' and symbol = 'a'")
+    for state in ("started", "failed", "started"):
+        models.record(one, state, str(tmp_path / "ledger"))
+    models.record(grid.where("candidate = 'zero'"), "completed", str(tmp_path / "ledger"))
+    left = models.open_trials(grid, spark.read.parquet(str(tmp_path / "ledger")), 2).collect()
+    assert {(r["candidate"], r["symbol"]) for r in left} == {("ridge", "b")}
