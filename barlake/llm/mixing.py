@@ -7,20 +7,23 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest mean repetition rate; e**-rate must stay a normal double.
+#: Largest rate of one draw, as e**-rate must stay a normal double; a larger one is the sum of several draws.
 MAX_RATE = 500.0
+#: Copies of a row that are laid out at once.
+BLOCK = 65_536
 #: A table of this many sources is broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0) -> DataFrame:
-    """``(source, size, rate, cdf)``: mean repetitions of each source's documents.
+    """``(source, size, rate, draws, cdf)``: mean repetitions of each source's documents.
 
     A source's size is its number of code points.  Its target share is its given
     weight, or the power ``alpha`` of its size if no weights are given (sources
     without a weight get none); rate = share * epochs * total size / size.  A null
-    source is the source "".  A source of size 0 keeps the rate 0.  ``cdf`` holds
-    the cumulated Poisson probabilities up to where they reach 1.
+    source is the source "".  A source of size 0 keeps the rate 0.  A rate is the sum
+    of ``draws`` equal ones of MAX_RATE at most; ``cdf`` holds the cumulated Poisson
+    probabilities of one of them up to where they reach 1.
     """
     size = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(
         F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("size")
@@ -34,15 +37,16 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, al
     total = size.agg(F.sum("size").alias("all_size"), F.sum("w").alias("all_w"))
     rate = F.when(F.col("size") > 0, F.col("w") / F.col("all_w") * epochs * F.col("all_size") / F.col("size")).otherwise(0.0)
     rates = size.join(F.broadcast(total)).select("source", "size", rate.alias("rate"))
-    rates = rates.withColumn("rate", F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit("a rate is too large")).cast("double")))
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
-    start = F.exp(-F.col("rate"))
+    rates = rates.withColumn("draws", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int"))
+    each = F.col("rate") / F.col("draws")
+    last = F.ceil(each + 12 * F.sqrt(each) + 40).cast("int")
+    start = F.exp(-each)
     steps = F.aggregate(
         F.sequence(F.lit(1), last),
         F.struct(start.alias("term"), F.array(start).alias("cdf")),
         lambda a, k: F.struct(
-            (a["term"] * F.col("rate") / k).alias("term"),
-            F.array_append(a["cdf"], F.element_at(a["cdf"], -1) + a["term"] * F.col("rate") / k).alias("cdf"),
+            (a["term"] * each / k).alias("term"),
+            F.array_append(a["cdf"], F.element_at(a["cdf"], -1) + a["term"] * each / k).alias("cdf"),
         ),
     )
     return rates.withColumn("cdf", steps["cdf"])
@@ -59,19 +63,26 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, alp
 
     The number of copies inverts the Poisson distribution of the source's rate at
     a uniform number hashed from seed and doc_id: it is the same at every run, and
-    rows with equal ids get equal counts.  A row drawn 0 times goes; an empty or
+    rows with equal ids get equal counts.  A rate above MAX_RATE is drawn as a sum of
+    independent Poisson numbers of smaller equal rates, which has the same
+    distribution; each has its own uniform number.  A row drawn 0 times goes; an empty or
     null text counts with its source's rate.  Rows then go to partitions by a hash
     of (seed, doc_id, copy) and are ordered by it there: a global shuffle in which
     no source stays together.  Columns named like the added ones are replaced.
     """
     docs = docs.drop("copy", "shuffle_key")
-    rates = source_rates(docs, weights, alpha, epochs).select(F.col("source").alias("_source"), "cdf")
+    rates = source_rates(docs, weights, alpha, epochs).select(F.col("source").alias("_source"), "draws", "cdf")
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     drawn = docs.join(rates, F.coalesce(docs["source"].cast("string"), F.lit("")) == rates["_source"])
     u = uniform(F.lit(seed), "doc_id")
-    drawn = drawn.withColumn("_u", u).withColumn("_n", F.size(F.filter("cdf", lambda c: F.col("_u") >= c)))
-    copies = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    more = F.transform(F.sequence(F.lit(2), rates["draws"]), lambda k: uniform(F.lit(seed), "doc_id", F.lit("draw"), k.cast("string")))
+    rest = F.aggregate(more, F.lit(0), lambda n, x: n + F.size(F.filter(rates["cdf"], lambda c: x >= c)))
+    first = F.size(F.filter(rates["cdf"], lambda c: F.col("_u") >= c))
+    drawn = drawn.withColumn("_u", u).withColumn("_n", first + F.when(rates["draws"] > 1, rest).otherwise(0))
+    blocks = drawn.where("_n > 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {BLOCK}").cast("int"))))
+    within = F.sequence(F.col("_block") * BLOCK + 1, F.least(F.col("_n"), (F.col("_block") + 1) * BLOCK))
+    copies = blocks.withColumn("copy", F.explode(within))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     copies = copies.withColumn("shuffle_key", key).select(*docs.columns, "copy", "shuffle_key")
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

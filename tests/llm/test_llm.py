@@ -251,6 +251,31 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_draws_large_rates(spark, monkeypatch):
+    rows = [(i, "ab", "rare") for i in range(40)] + [(99, "x" * 300_000, "big")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rate = next(r["rate"] for r in mixing.source_rates(docs, {"rare": 1.0, "big": 3.0}).collect() if r["source"] == "rare")
+    assert rate == pytest.approx(0.25 * 300_080 / 80)
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    copies = {}
+    for r in mixing.mix_sources(docs, {"rare": 1.0, "big": 3.0}).where("source = 'rare'").select("doc_id", "copy").collect():
+        copies.setdefault(r["doc_id"], []).append(r["copy"])
+    m = int(np.ceil(rate / 500))
+    for i in range(40):
+        n = 0
+        for j in range(1, m + 1):
+            u = int(hashlib.md5((f"mix:{i}" if j == 1 else f"mix:{i}:draw:{j}").encode()).hexdigest()[:13], 16) / 2**52
+            term = total = np.exp(-rate / m)
+            k = 0
+            while u >= total:
+                k += 1
+                term *= rate / m / k
+                total += term
+            n += k
+        assert sorted(copies[i]) == list(range(1, n + 1))
+    assert abs(np.mean([len(x) for x in copies.values()]) - rate) < 5 * np.sqrt(rate / 40)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
