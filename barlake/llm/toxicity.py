@@ -13,13 +13,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: What a sign may stand for.
 LEET = {
     "0": "o",
@@ -42,11 +44,13 @@ LETTERS = re.compile(r"[^\W\d_]+")
 _KNOWN = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 _SIGNS = re.escape("".join(LEET) + MARKS)
 _MIXED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\W\d_][0134578@$]+$")
+_TWICE = re.compile(r"(.)\1")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][ .\-_*]){2,}[^\W_](?=[\s.,;:!?]|$)")
 _EDGE = ".,;:!?\"'()[]{}<>#%&*|-_"
-LONGEST = 64
 PREFIXES = (4, 5, 6)
+#: Words of the corpus, the most frequent, by which spaced runs are cut into words; others are judged by their letters.
+KNOWN_WORDS = 50_000
 
 
 def _fold(c: str) -> str:
@@ -63,8 +67,8 @@ def trigrams(words: Counter) -> Counter:
     return out
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """``(gram, n)`` over the words of all texts; at most 60**3 rows, as letters are folded."""
+def count_language(docs: DataFrame) -> DataFrame:
+    """``(gram, n)`` over the words of all texts: trigrams, at most 60**3 as letters are folded, and words, marked by a blank before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,7 +80,8 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
                 for w in LETTERS.findall(t):
                     words[w] += n
             got = trigrams(words)
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["gram", "n"])
+            names = [*got, *(" " + w for w in words)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*got.values(), *words.values()], pa.int64())], ["gram", "n"])
 
     return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -84,17 +89,24 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 class Channel:
     """Readings of disguised words under a character model."""
 
-    def __init__(self, grams: dict[str, int], cost: float = 0.7, double: float = 0.4):
+    def __init__(self, grams: dict[str, int], cost: float = 0.7, double: float = 0.4, words: dict[str, int] | None = None):
         self.grams = grams
+        total = sum(n for g, n in grams.items() if g[:2] == "^^") + 1
+        self.known = {w: math.log(n / total) for w, n in (words or {}).items()}
+        self.longest = max(map(len, self.known), default=0)
+        self.unknown = math.log(max(1, total - sum((words or {}).values())) / total)
         self.pairs: Counter = Counter()
         for g, n in grams.items():
             self.pairs[g[:2]] += n
         self.size = len(_KNOWN) + 2
+        self.steps: dict[str, float] = {}
         self.cost, self.double = cost, double
 
     def step(self, before: str, c: str) -> float:
         g = before + c
-        return math.log((self.grams.get(g, 0) + 0.05) / (self.pairs.get(before, 0) + 0.05 * self.size))
+        if g not in self.steps:
+            self.steps[g] = math.log((self.grams.get(g, 0) + 0.05) / (self.pairs.get(before, 0) + 0.05 * self.size))
+        return self.steps[g]
 
     def readings(self, token: str) -> list[list[tuple[str, float]]]:
         """The lattice: for each run of one character its possible readings and their costs."""
@@ -114,43 +126,114 @@ class Channel:
                 out.append([("", self.cost)])
         return out
 
-    def decode(self, token: str) -> str:
-        """The likeliest reading, by Viterbi search over the last two letters."""
-        best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-        for options in self.readings(token):
-            after: dict[str, tuple[float, str]] = {}
+    def search(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """The likeliest reading, by Viterbi search over the last two letters; a sign that is no letter ends a word."""
+        best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+        for options in lattice:
+            after: dict[str, tuple[float, tuple | None]] = {}
             for state, (p, said) in best.items():
                 for text, cost in options:
                     q, s = p - cost, state
                     for c in text:
-                        f = _fold(c)
-                        q += self.step(s, f)
-                        s = s[1] + f
+                        if c.isalpha():
+                            f = _fold(c)
+                            q += self.step(s, f)
+                            s = s[1] + f
+                        elif s != "^^":
+                            q += self.step(s, "$")
+                            s = "^^"
                     if s not in after or q > after[s][0]:
-                        after[s] = (q, said + text)
+                        after[s] = (q, (said, text) if text else said)
             best = after
-        return max((p + self.step(s, "$"), said) for s, (p, said) in best.items())[1]
+        said, parts = max(((p + (self.step(s, "$") if s != "^^" else 0.0), s, said) for s, (p, said) in best.items()), key=lambda x: x[:2])[2], []
+        while said:
+            said, text = said
+            parts.append(text)
+        return "".join(reversed(parts))
+
+    def decode(self, token: str) -> str:
+        """The likeliest reading of a token."""
+        return self.search(self.readings(token))
+
+    def words(self, letters: str) -> str:
+        """The likeliest reading of letters that were set apart, as words; a word may end after each letter."""
+        lattice = []
+        for options in self.readings(letters):
+            if options[0][0].isalpha() and len({text[0] for text, _ in options}) == 1:
+                options = options[-1:]  # repeated letters are left to the cut
+            apart = [(" ".join(text), cost) for text, cost in options if len(text) > 1]
+            lattice += [options + apart, [("", 0.0), (" ", 0.0)]]
+        return " ".join(self.cut(self.search(lattice[:-1]).replace(" ", "")))
+
+    def cut(self, letters: str) -> list[str]:
+        """The likeliest words that the letters spell: known ones, maybe with letters doubled, by their frequency, others by the character model."""
+        f = [*map(_fold, letters)]
+        twice = [0, *(int(a == b) for a, b in zip(letters, letters[1:]))]
+        last = 0  # where the latest pair of equal letters begins
+        best, start = [0.0], [(0, "")]  # best cut of the first j letters; where its last word starts, and that word
+        one, two = (-math.inf, 0), (-math.inf, 0)  # an unknown word of one letter, or of more, that ends here and may go on
+        for j in range(1, len(f) + 1):
+            c = f[j - 1]
+            if j > 1:
+                short, long = one[0] + self.step("^" + f[j - 2], c), -math.inf if j == 2 else two[0] + self.step(f[j - 3] + f[j - 2], c)
+                two = (short, one[1]) if short >= long else (long, two[1])
+            one = (best[j - 1] + self.unknown + self.step("^^", c), j - 1)
+            ends = [(one[0] + self.step("^" + c, "$"), j - 1)]
+            if j > 1:
+                ends.append((two[0] + self.step(f[j - 2] + c, "$"), two[1]))
+            if twice[j - 1]:
+                last = j - 1
+            said = [letters[i:j] for _, i in ends]
+            for i in range(max(0, j - 2 * self.longest), j):
+                w = letters[i:j]
+                if (p := self.known.get(w)) is not None:
+                    ends.append((best[i] + p, i))
+                    said.append(w)
+                if i < last and (p := self.known.get(w := _TWICE.sub(r"\1", w))) is not None:
+                    ends.append((best[i] + p - self.double * sum(twice[i + 1 : j]), i))
+                    said.append(w)
+            k = max(range(len(ends)), key=ends.__getitem__)
+            best.append(ends[k][0])
+            start.append((ends[k][1], said[k]))
+        out, j = [], len(f)
+        while j:
+            j, w = start[j]
+            out.append(w)
+        return out[::-1]
 
     def restore_token(self, token: str) -> str:
         """A lower-case token as it is, or its likeliest reading if it looks disguised."""
         bare = token.strip(_EDGE)
-        if len(bare) <= LONGEST and (_MIXED.search(bare) or _LONG_RUN.search(bare)) and any(map(str.isalpha, bare)):
+        if (_MIXED.search(bare) or _LONG_RUN.search(bare)) and any(map(str.isalpha, bare)):
             parts = [x for x in re.split(r"[.\-_]+", bare) if x]
             joined = len(parts) > 1 and all(map(LETTERS.fullmatch, parts)) and max(map(len, parts)) > 1
             if not joined or _LONG_RUN.search(bare):
                 return self.decode(bare)
         return token
 
+    def runs(self, text: str) -> list[list[str]]:
+        """The words of each run of letters with a blank or mark between them; the whole run too if it comes out as several."""
+        out = []
+        for m in _SPACED.finditer(text):
+            letters = re.sub(r"[ .\-_*]", "", m[0])
+            words = self.words(letters).split()
+            out.append(words if len(words) == 1 else [*words, self.decode(letters)])
+        return out
+
     def spaced(self, text: str) -> list[str]:
         """Words written with a blank or mark between the letters."""
-        return [self.decode(re.sub(r"[ .\-_*]", "", m[0])) for m in _SPACED.finditer(text) if len(m[0]) <= 2 * LONGEST]
+        return [w for words in self.runs(text) for w in words]
 
     def restore(self, text: str) -> str:
         """The whole lower-case text with its disguised words restored."""
-        text = _SPACED.sub(lambda m: self.decode(re.sub(r"[ .\-_*]", "", m[0])) if len(m[0]) <= 2 * LONGEST else m[0], text.lower())
+        text = _SPACED.sub(lambda m: self.words(re.sub(r"[ .\-_*]", "", m[0])), text.lower())
         return re.sub(r"\S+", lambda m: self.restore_token(m[0]), text)
 
 
+def channel(grams: dict[str, int], words: dict[str, int]) -> Channel:
+    return Channel(grams, words=words)
+
+
 class Readings(dict):
     """What the words of a token are when restored; remembers a bounded number of tokens."""
 
@@ -167,8 +250,8 @@ class Readings(dict):
         """The results for the distinct tokens of a text, and for its spaced-out words."""
         low = text.lower()
         yield from map(self.__getitem__, set(low.split()))
-        for w in self.channel.spaced(low):
-            yield self.use([w])
+        for words in self.channel.runs(low):
+            yield self.use(words)
 
 
 def word_features(words: list[str]) -> tuple[str, ...]:
@@ -181,6 +264,7 @@ class Model:
     grams: dict[str, int]
     lexicon: dict[str, float]
     weights: tuple[float, ...]
+    words: dict[str, int] = field(default_factory=dict)
 
     def hits(self, words: list[str]) -> float:
         """The largest log-odds of the words or their beginnings; 0 if the lexicon has none."""
@@ -222,16 +306,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
     half gives the curve.  Copies teach the lexicon once.  With one label only,
     every score is near that label.
     """
-    grams = {r["gram"]: r["n"] for r in count_trigrams(docs).collect()}
+    counted = materialize(count_language(docs), "language")
+    grams = {r["gram"]: r["n"] for r in counted.where("gram not like ' %'").collect()}
+    words = counted.where("gram like ' %'").orderBy(F.desc("n"), "gram").limit(KNOWN_WORDS).collect()
+    words = {r["gram"][1:]: r["n"] for r in words}
     rows = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "toxic").limit(max_labelled)
     half = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0
     known = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = known.join(F.broadcast(rows), known["doc_id"] == rows["_id"]).select("doc_id", "text", "toxic", half.alias("first"))
-    share = docs.sparkSession.sparkContext.broadcast(grams)
+    share = docs.sparkSession.sparkContext.broadcast((grams, words))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readings = Readings(Channel(share.value), word_features)
+        readings = Readings(channel(*share.value), word_features)
         for b in batches:
             counts = (Counter(), Counter())
             for t, y in zip(b.column(0), b.column(1)):
@@ -244,18 +331,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
     total = {bool(r["y"]): r["n"] for r in first.groupBy((F.col("toxic") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = total.get(False, 0), total.get(True, 0)
     if not n0 or not n1:
-        return Model(grams, {}, ((4.0 if n1 else -4.0), 0.0, 0.0, 0.0))
+        return Model(grams, {}, ((4.0 if n1 else -4.0), 0.0, 0.0, 0.0), words)
     found = first.mapInArrow(features, "x string, n0 long, n1 long").groupBy("x").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
     fair = (F.col("n0") + F.col("n1")) * (n1 / (n0 + n1))
     ratio = F.col("n1") * F.log(F.col("n1") / fair) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (F.col("n0") + F.col("n1") - fair))).otherwise(0.0)
     found = found.where(F.col("n1") >= least_docs).select("x", odds.alias("odds"), ratio.alias("ratio"))
     top = found.where(F.col("odds") >= math.log(least_odds)).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "x").limit(lexicon_size).collect()
-    model = Model(grams, {r["x"]: r["odds"] for r in top}, (0.0,) * 4)
+    model = Model(grams, {r["x"]: r["odds"] for r in top}, (0.0,) * 4, words)
     use = docs.sparkSession.sparkContext.broadcast(model)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readings = Readings(Channel(use.value.grams), use.value.hits)
+        readings = Readings(channel(use.value.grams, use.value.words), use.value.hits)
         for b in batches:
             x = [summary(readings, t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
@@ -263,9 +350,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
     second = known.where("not first").select("text", "toxic").mapInArrow(summaries, "x array<double>, toxic int")
     got = second.groupBy("x", "toxic").agg(F.count("*").alias("n")).orderBy("x", "toxic").limit(2 * max_labelled).toPandas()
     if not len(got):
-        return Model(grams, model.lexicon, (-2.0, 1.0, 1.0, 0.0))
+        return Model(grams, model.lexicon, (-2.0, 1.0, 1.0, 0.0), words)
     x = np.repeat(np.array(got["x"].tolist()), got["n"], axis=0)
-    return Model(grams, model.lexicon, logistic(x, np.repeat(got["toxic"].to_numpy() > 0, got["n"])))
+    return Model(grams, model.lexicon, logistic(x, np.repeat(got["toxic"].to_numpy() > 0, got["n"])), words)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -273,13 +360,13 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     A null, empty or blank text has no hit and gets the curve's value there.  Rows
     with equal or null ids are scored each on its own; other columns are left out.
-    Tokens of more than LONGEST characters are taken as they are.
+    Tokens and spaced runs of any length are decoded.
     """
     use = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = use.value
-        readings = Readings(Channel(m.grams), m.hits)
+        readings = Readings(channel(m.grams, m.words), m.hits)
         for b in batches:
             x = np.array([summary(readings, t.as_py() or "") for t in b.column(1)]).reshape(-1, 3)
             p = probability(x, m.weights)

@@ -211,6 +211,27 @@ def test_channel_restores_disguises():
     assert c.spaced("you i d i o t !") == ["idiot"] and "loser" in c.restore("a L 0 S E R, no".replace("0", "o"))
 
 
+def language():
+    words = Counter({"you": 300, "are": 300, "the": 400, "an": 200, "such": 80, "idiot": 30, "clown": 30, "stupid": 30, "loser": 30, "letter": 60, "well": 90, "known": 80})
+    return toxicity.Channel(dict(toxicity.trigrams(words)), words=dict(words))
+
+
+def test_spaced_runs_of_any_length_are_words():
+    c = language()
+    assert c.cut("youidiot") == ["you", "idiot"] and "idiot" in c.spaced("y o u 1 d 1 o t")
+    long = ["you", "are", "such", "an", "idiot"] * 40
+    got = c.spaced(" ".join("".join(long)))
+    assert got[: len(long)] == long
+    assert c.restore_token(".".join("loser" * 20)) == "loser" * 20 and c.spaced("y o u s t u u p i d l o s s e r")[:3] == ["you", "stupid", "loser"]
+
+
+def test_a_spaced_sentence_is_toxic():
+    c = language()
+    m = toxicity.Model(c.grams, {"idiot": 3.0}, (-2.0, 1.0, 1.0, 0.0))
+    said = " ".join("youarethesuchanyouarethesuchanyouarethesuchanyouarethesuchanyouareanidiot")
+    assert toxicity.summary(toxicity.Readings(c, m.hits), said)[0] == 3.0
+
+
 def test_toxicity_and_quality_learn(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(80)]
