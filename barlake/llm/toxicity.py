@@ -44,8 +44,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 _KNOWN = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 _SIGNS = re.escape("".join(LEET) + MARKS)
 _MIXED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\W\d_][0134578@$]+$")
-_TWICE = re.compile(r"(.)\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"([^\W\d_])\1+")
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][ .\-_*]){2,}[^\W_](?=[\s.,;:!?]|$)")
 _EDGE = ".,;:!?\"'()[]{}<>#%&*|-_"
 PREFIXES = (4, 5, 6)
@@ -109,7 +110,7 @@ class Channel:
         return self.steps[g]
 
     def readings(self, token: str) -> list[list[tuple[str, float]]]:
-        """The lattice: for each run of one character its possible readings and their costs."""
+        """The lattice: for each run of one character its possible readings and their costs; a sign kept ends a word."""
         out, i = [], 0
         while i < len(token):
             c, j = token[i], i
@@ -121,13 +122,13 @@ class Channel:
             elif c in LEET:
                 out.append([(x * k, self.cost) for x in LEET[c] for k in ((1,) if run == 1 else (1, 2))])
             elif c == "*":
-                out.append([("", self.cost)] + [(x, 2 * self.cost) for x in "aeiou"])
+                out.append([("", self.cost), (c * run, 0.0)] + [(x, 2 * self.cost) for x in "aeiou"])
             else:
-                out.append([("", self.cost)])
+                out.append([("", self.cost), (c * run, 0.0)])
         return out
 
-    def search(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The likeliest reading, by Viterbi search over the last two letters; a sign that is no letter ends a word."""
+    def search(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """The likeliest reading and its log-probability, by Viterbi search over the last two letters; a sign that is no letter ends a word."""
         best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
         for options in lattice:
             after: dict[str, tuple[float, tuple | None]] = {}
@@ -145,15 +146,16 @@ class Channel:
                     if s not in after or q > after[s][0]:
                         after[s] = (q, (said, text) if text else said)
             best = after
-        said, parts = max(((p + (self.step(s, "$") if s != "^^" else 0.0), s, said) for s, (p, said) in best.items()), key=lambda x: x[:2])[2], []
+        p, _, said = max(((p + (self.step(s, "$") if s != "^^" else 0.0), s, said) for s, (p, said) in best.items()), key=lambda x: x[:2])
+        parts = []
         while said:
             said, text = said
             parts.append(text)
-        return "".join(reversed(parts))
+        return p, "".join(reversed(parts))
 
     def decode(self, token: str) -> str:
         """The likeliest reading of a token."""
-        return self.search(self.readings(token))
+        return self.search(self.readings(token))[1]
 
     def words(self, letters: str) -> str:
         """The likeliest reading of letters that were set apart, as words; a word may end after each letter."""
@@ -163,7 +165,7 @@ class Channel:
                 options = options[-1:]  # repeated letters are left to the cut
             apart = [(" ".join(text), cost) for text, cost in options if len(text) > 1]
             lattice += [options + apart, [("", 0.0), (" ", 0.0)]]
-        return " ".join(self.cut(self.search(lattice[:-1]).replace(" ", "")))
+        return " ".join(self.cut(self.search(lattice[:-1])[1].replace(" ", "")))
 
     def cut(self, letters: str) -> list[str]:
         """The likeliest words that the letters spell: known ones, maybe with letters doubled, by their frequency, others by the character model."""
@@ -201,15 +203,38 @@ class Channel:
             out.append(w)
         return out[::-1]
 
+    def spelled(self, word: str) -> float:
+        """Log-probability of a word by its letters."""
+        s = "^^" + "".join(map(_fold, word)) + "$"
+        return sum(self.step(s[i : i + 2], s[i + 2]) for i in range(len(s) - 2))
+
+    def score(self, reading: str) -> float:
+        """Log-probability of the words of a reading."""
+        return sum(self.known[w] if w in self.known else self.unknown + self.spelled(w) for w in LETTERS.findall(reading))
+
     def restore_token(self, token: str) -> str:
-        """A lower-case token as it is, or its likeliest reading if it looks disguised."""
+        """A lower-case token's likeliest reading; without signs and doubled letters there is one only.
+
+        The plain one, that of the search, and the joined parts as they are or with
+        doubled letters made single are compared by words.
+        """
         bare = token.strip(_EDGE)
-        if (_MIXED.search(bare) or _LONG_RUN.search(bare)) and any(map(str.isalpha, bare)):
-            parts = [x for x in re.split(r"[.\-_]+", bare) if x]
-            joined = len(parts) > 1 and all(map(LETTERS.fullmatch, parts)) and max(map(len, parts)) > 1
-            if not joined or _LONG_RUN.search(bare):
-                return self.decode(bare)
-        return token
+        if not (_MIXED.search(bare) or _TWICE.search(bare)) or not any(map(str.isalpha, bare)):
+            return token
+        p, said = self.search(self.readings(bare))
+        found = [(p - sum(map(self.spelled, LETTERS.findall(said))) + self.score(said), said)]
+        parts = LETTERS.findall(bare)
+        joined = "".join(parts)
+        if not _LONG_RUN.search(bare) and LEET.keys().isdisjoint(bare):
+            found.insert(0, (self.score(bare), token))
+        if LEET.keys().isdisjoint(bare) and len(joined) <= 2 * self.longest:
+            cost = self.cost * (len(parts) - 1)
+            pairs = [i for i in range(1, len(joined)) if joined[i] == joined[i - 1]]
+            single = _RUN.sub(r"\1", joined)
+            for w, n in [(joined, 0), *((joined[:i] + joined[i + 1 :], 1) for i in pairs), (single, len(pairs))]:
+                if w in self.known:
+                    found.append((self.known[w] - cost - self.double * n, w))
+        return max(found, key=lambda x: x[0])[1]
 
     def runs(self, text: str) -> list[list[str]]:
         """The words of each run of letters with a blank or mark between them; the whole run too if it comes out as several."""
