@@ -233,17 +233,31 @@ def borrow_fee(notional: Column, rate: float = 0.015) -> Column:
 # ledger
 
 
-def cash_curve(fills: DataFrame, initial: float) -> DataFrame:
-    """Cash, commissions and position after each fill; ``fills(run_id, instrument, fill_seq, quantity, price, commission)``."""
-    run = Window.partitionBy("run_id").orderBy("fill_seq").rowsBetween(Window.unboundedPreceding, 0)
+def cash_curve(fills: DataFrame, initial: float, width: int = 65_536) -> DataFrame:
+    """Cash, commissions and position after each fill; ``fills(run_id, instrument, fill_seq, quantity, price, commission)``.
+
+    A run is cut into ranges of ``width`` numbers of fill_seq.  Each range is summed
+    on its own, and what the ranges before it come to is added from a table of one
+    row per range, so no task holds a whole run.
+    """
+    at = Window.partitionBy("run_id", "_range").orderBy("fill_seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("run_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     one = Window.partitionBy("run_id", "instrument").orderBy("fill_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return fills.withColumns(
+    rows = fills.withColumns({"_range": F.floor(F.col("fill_seq") / width), "_spent": F.col("quantity") * F.col("price") + F.col("commission")})
+    totals = rows.groupBy("run_id", "_range").agg(F.sum("_spent").alias("_s"), F.sum("commission").alias("_c"))
+    totals = totals.select(
+        F.col("run_id").alias("_run"), F.col("_range").alias("_r"), *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in ("_s", "_c"))
+    )
+    rows = rows.withColumns({"_sum": F.sum("_spent").over(at), "_fees": F.sum("commission").over(at)})
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("_range").eqNullSafe(F.col("_r"))
+    done = rows.join(totals, same).withColumns(
         {
-            "cash": F.lit(initial) - F.sum(F.col("quantity") * F.col("price") + F.col("commission")).over(run),
-            "commissions": F.sum("commission").over(run),
+            "cash": F.lit(initial) - (F.coalesce("_sum", F.lit(0.0)) + F.col("_s")),
+            "commissions": F.coalesce("_fees", F.lit(0.0)) + F.col("_c"),
             "position": F.sum("quantity").over(one),
         }
     )
+    return done.select(*fills.columns, "cash", "commissions", "position")
 
 
 _LEDGER = "struct<qty:double,price:double,fees:double,realized:double>"

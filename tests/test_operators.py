@@ -152,3 +152,17 @@ def test_trials_are_retried_up_to_a_cap(spark, tmp_path):
     models.record(grid.where("candidate = 'zero'"), "completed", str(tmp_path / "ledger"))
     left = models.open_trials(grid, spark.read.parquet(str(tmp_path / "ledger")), 2).collect()
     assert {(r["candidate"], r["symbol"]) for r in left} == {("ridge", "b")}
+
+
+def test_cash_curve_is_summed_by_ranges(spark):
+    rows = [(run, "ab"[k % 2], k * 7, 1.0 if k % 3 else -1.0, 10.0 + k, 0.5) for run in ("x", "y") for k in range(60)]
+    fills = spark.createDataFrame(rows, "run_id string, instrument string, fill_seq long, quantity double, price double, commission double")
+    got = {(r["run_id"], r["fill_seq"]): (r["cash"], r["commissions"], r["position"]) for r in p.cash_curve(fills, 1000.0, 50).collect()}
+    assert len(got) == len(rows)
+    for run in ("x", "y"):
+        cash, fees, held = 1000.0, 0.0, {"a": 0.0, "b": 0.0}
+        for _, i, seq, q, price, c in (r for r in rows if r[0] == run):
+            cash, fees, held[i] = cash - q * price - c, fees + c, held[i] + q
+            assert got[run, seq] == (pytest.approx(cash), pytest.approx(fees), held[i])
+    wide = [line for line in p.cash_curve(fills, 1000.0)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line and "fill_seq" in line]
+    assert wide and all("_range" in line or "instrument" in line.split("], [")[1] for line in wide)
