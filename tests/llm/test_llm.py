@@ -105,7 +105,7 @@ def test_segments_never_miss_a_partner():
                 continue
             sig = {(b, int(x)) for role, b, m, d, _ in ngram_join.plan(len(r)) if role == 0 for x in ngram_join.subsets(r, b, m, d, 0)[0]}
             probe = {(b, int(x)) for _, b, m, d, _ in ngram_join.plan(n) for x in ngram_join.subsets(np.unique(s), b, m, d, 0)[0]}
-            assert ngram_join.spare(np.unique(s))[0] > 0 or sig & probe
+            assert ngram_join.spare(np.unique(s), np.array([n]))[0][0] > 0 or sig & probe
 
 
 def test_suffix_dedup(rows, docs, empty):
