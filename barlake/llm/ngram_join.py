@@ -23,8 +23,9 @@ lower bound of the difference, don't rule out is proposed to its leader, and who
 texts decide.  Then, in every group, members of different parts are compared by
 parity bits and each part proposes its likeliest pair; large groups of near copies
 are then few components.  Last, the members that still have a possible partner in
-another part bring their whole sets to the group, which decides: it returns the
-links that join parts, fewer than it has members.
+another part are compared by bits four to eight times as many, and what is then
+left brings its whole sets to the group, which decides: it returns the links that
+join parts, fewer than it has members.
 
 A group of many members is cut into cells of bounded size: most members lie in the
 group's largest part and needn't meet each other, so each lies in one cell, and
@@ -33,7 +34,7 @@ only the others are sent to every cell.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import count
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, forget, materialize
 from .shingles import U, mix, shingle_sets, slices
 
 NUM, DEN = 3, 4
@@ -178,6 +179,13 @@ def parities(sets: np.ndarray, n: np.ndarray, below: int) -> tuple[np.ndarray, n
     return np.packbits((np.bincount(at, minlength=int(slots.sum())) & 1).astype(np.uint8)), slots // 8
 
 
+def sharp_parities(sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``parities``, with 6 to 12 slots a token, a power of two that can be folded to a smaller one."""
+    slots = np.maximum(64, 2 ** np.ceil(np.log2(6 * n)).astype(np.int64))
+    at = (mix(sets + U(0x9FB21C651E98DF25)) & np.repeat(slots.astype(U) - U(1), n)).astype(np.int64) + np.repeat(np.cumsum(slots) - slots, n)
+    return np.packbits((np.bincount(at, minlength=int(slots.sum())) & 1).astype(np.uint8)), slots // 8
+
+
 def set_key(h: np.ndarray) -> int:
     return int.from_bytes(blake2b(h, digest_size=8).digest(), "little", signed=True)
 
@@ -380,14 +388,21 @@ def proposals(rows: DataFrame) -> DataFrame:
     return rows.select("members").mapInArrow(run, "a long, b long, u long, v long")
 
 
-def _possible(m: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+def _possible(m: pa.Array, fold: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """(own, probing, bits apart) of members of different parts that parity bits leave as partners, in blocks.
 
-    ``m``: each member (role, skip, main, n, key, rep, part, bits).  Members of the
-    group's largest part ("main") aren't compared with each other.
+    ``m``: each member (role, skip, n, key, rep, part, bits).  Members of the
+    largest part aren't compared with each other.  ``fold`` brings the bits of all
+    to one width.
     """
-    role, skip, main, n, _, rep, part = (m.field(k).to_numpy(zero_copy_only=False) for k in range(7))
-    bits = _bits(m.field(7))
+    role, skip, n, _, rep, part = (m.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+    bits = _bits(m.field(6))
+    which = np.unique(part, return_inverse=True)[1]
+    main = which == np.bincount(which).argmax()
+    least = min(map(len, bits))
+    for i in range(len(bits) if fold else 0):
+        while len(bits[i]) > least:
+            bits[i] = bits[i][: len(bits[i]) // 2] ^ bits[i][len(bits[i]) // 2 :]
     width = np.array([len(b) for b in bits])
     for w in np.unique(width[role == 0]):
         own, probing = (role == 0) & (width == w), ~skip & (width == w)
@@ -419,7 +434,7 @@ def likeliest_pairs(cells: DataFrame) -> DataFrame:
                 if not blocks:
                     continue
                 x, y, apart = (np.concatenate(k) for k in zip(*blocks))
-                key, rep, part = (m.field(k).to_numpy() for k in (4, 5, 6))
+                key, rep, part = (m.field(k).to_numpy() for k in (3, 4, 5))
                 who, pair = np.concatenate([part[x], part[y]]), np.tile(np.arange(len(x)), 2)
                 order = np.lexsort((key[y[pair]], key[x[pair]], apart[pair], who))
                 pick = np.unique(pair[order[_starts(who[order])]])
@@ -431,7 +446,7 @@ def likeliest_pairs(cells: DataFrame) -> DataFrame:
     return cells.select("cell", "members").mapInArrow(run, "cell string, a long, b long, u long, v long")
 
 
-def possible_members(cells: DataFrame) -> DataFrame:
+def possible_members(cells: DataFrame, fold: bool = False) -> DataFrame:
     """``(cell, key)`` of the members of ``cells(cell, members)`` that parity bits leave a partner of another part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,10 +455,10 @@ def possible_members(cells: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 m = batch.column(1)[i].values
                 stays = np.zeros(len(m), bool)
-                for x, y, _ in _possible(m):
+                for x, y, _ in _possible(m, fold):
                     stays[x] = stays[y] = True
                 if stays.any():
-                    keys.append(np.unique(m.field(4).to_numpy()[stays]))
+                    keys.append(np.unique(m.field(3).to_numpy()[stays]))
                     cell += [batch.column(0)[i].as_py()] * len(keys[-1])
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(np.concatenate(keys))], ["cell", "key"])
@@ -492,14 +507,14 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, n: int = 5) -> DataFrame:
-    """``(key, tokens)``: the sets, as hashed shingles, of the documents with these ids."""
+def whole_sets(docs: DataFrame, ids: DataFrame, n: int = 5, of: Callable = lambda sets, size: (sets, size * 8)) -> DataFrame:
+    """``(key, tokens)``: the sets, as hashed shingles or as ``of`` makes of them, of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in slices(b.column(0)):
                 sets, size, keys = _flat(texts, n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _binary(sets, size * 8)], ["key", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _binary(*of(sets, size))], ["key", "tokens"])
 
     found = _only(docs, ids).select("text").mapInArrow(run, "key long, tokens binary")
     return found.groupBy("key").agg(F.first("tokens").alias("tokens"))
@@ -576,8 +591,8 @@ def meeting_cells(rows: DataFrame, label: DataFrame) -> DataFrame:
     few = label.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     parts = label.select(F.col("node").alias("rep"), "component")
     rows = rows.join(F.broadcast(parts) if few else parts, "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    member = F.struct("role", "skip", "main", "n", "key", "rep", "part", "bits").alias("m")
-    small = rows.where("blocks = 1").withColumn("main", F.lit(False)).select(F.col("g").alias("cell"), member)
+    member = F.struct("role", "skip", "n", "key", "rep", "part", "bits").alias("m")
+    small = rows.where("blocks = 1").select(F.col("g").alias("cell"), member)
 
     big = rows.where("blocks > 1")
     sizes = big.groupBy("g", "part").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
@@ -623,8 +638,10 @@ def join_components(docs: DataFrame, n: int = 5) -> DataFrame:
     found = materialize(found, "groups")
     lists = [F.first("keys").alias("keys"), F.first("roles").alias("roles"), F.sum("mult").alias("mult")]
     groups = materialize(found.groupBy("seed", "g1", "g2", "size", "piece").agg(*lists), "lists")
+    forget(found)
 
-    links = materialize(verify(materialize(proposals(first_meetings(groups, classes)).distinct(), "pairs"), docs, n), "links")
+    first = materialize(proposals(first_meetings(groups, classes)).distinct(), "pairs")
+    links = materialize(verify(first, docs, n), "links")
     label = connected_components(links, "u", "v")
     rows = materialize(mixed_members(groups, _labelled(classes, label)), "members")
     pairs = materialize(likeliest_pairs(meeting_cells(rows, label)), "pairs")
@@ -633,13 +650,21 @@ def join_components(docs: DataFrame, n: int = 5) -> DataFrame:
     label = connected_components(links, "u", "v")
 
     # a group without a possible pair so far has none later
-    rows = rows.join(pairs.select(F.substring_index("cell", ":", 2).alias("g")).distinct(), "g", "left_semi")
-    left = materialize(possible_members(meeting_cells(rows, label)), "possible")
-    left = left.join(_labelled(classes, label).select("key", "rep", "part"), "key")
-    sets = whole_sets(docs, left.select(F.col("rep").alias("doc_id")).distinct(), n)
-    whole = left.join(sets, "key").groupBy("cell").agg(F.collect_list(F.struct("rep", "part", "tokens")).alias("members"))
-    more = materialize(joining_links(whole), "links")
-    label = connected_components(links.union(more), "u", "v")
+    some = rows.join(pairs.select(F.substring_index("cell", ":", 2).alias("g")).distinct(), "g", "left_semi")
+    left = materialize(possible_members(meeting_cells(some, label)), "possible")
+    forget(groups, first, rows, pairs)
+    place = materialize(_labelled(classes, label).select("key", "n", "rep", "part"), "places")
+
+    def bring(left: DataFrame, of: Callable, *member) -> DataFrame:
+        members = left.join(place, "key")
+        sets = whole_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), n, of)
+        return members.join(sets, "key").groupBy("cell").agg(F.collect_list(F.struct(*member)).alias("members"))
+
+    sharp = bring(left, lambda sets, size: sharp_parities(sets, size), F.lit(0).alias("role"), F.lit(False).alias("skip"), "n", "key", "rep", "part", "tokens")
+    last = materialize(possible_members(sharp, fold=True), "possible")
+    more = materialize(joining_links(bring(last, lambda sets, size: (sets, size * 8), "rep", "part", "tokens")), "links")
+    if not more.isEmpty():
+        label = connected_components(links.union(more), "u", "v")
 
     done = _labelled(classes, label).select(F.col("key").alias("_k"), F.col("n").alias("_n"), F.col("part").alias("c"))
     out = known.join(done, (known["key"] == done["_k"]) & (known["n_shingles"] == done["_n"]), "left")
