@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="barlake-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
@@ -40,7 +42,30 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these, once all that reads it has been written itself."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined to the ``groups`` of their key, of which ``size`` of all ``total`` rows are members.
+
+    Groups of more than a share of the rows, of which there can be but a few for
+    each partition, are broadcast, so their rows stay where they are; the others
+    are joined by a shuffle.
+    """
+    share = total // (8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    hot = groups.where(F.col(size) > share)
+    frequent = rows.join(F.broadcast(hot), key)
+    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= share), key)
+    return frequent.unionByName(rare)
 
 
 def training_rows(column: str, modulus: int) -> F.Column:
@@ -60,7 +85,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    nodes = state.select(F.col("u").alias("node")).union(state.select("v")).distinct()
+    nodes = materialize(state.select(F.col("u").alias("node")).union(state.select("v")).distinct(), "nodes")
     seen = None
     while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -69,7 +94,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down).where("u <> v")
-        state = materialize(small.distinct(), "edges")
+        last, state = state, materialize(small.distinct(), "edges")
+        forget(last)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, scratch_path, spread_join
 from .shingles import U, mix, powers
 
 DEPTH = 3
@@ -183,30 +183,43 @@ def next_digit(texts: DataFrame, length: int, level: int) -> DataFrame:
 
 
 def sort_out(rows: DataFrame) -> DataFrame:
-    """``(uid, code, repeated, open)`` of the bundles whose core is met again."""
-    # met twice below, and dear to make again
+    """``(uid, code, repeated, open)`` of the bundles whose core is met again.
+
+    A core or context that a good share of all bundles has doesn't gather them in
+    one task: counts are combined before the shuffle, and such groups are broadcast.
+    """
+    # met several times below, and dear to make again
     rows = materialize(rows, "bundles")
+    total = rows.count()
     cores = rows.groupBy("core").agg(F.count("*").alias("c"), F.min("context").alias("x"), F.max("context").alias("y"))
-    cores = cores.where("c > 1").select("core", (F.col("x") != F.col("y")).alias("mixed"))
-    # grouped and joined by the pair as one value: rows of a frequent core then needn't stay in one task
-    rows = rows.join(cores, "core").select("uid", "code", "mixed", F.struct("core", "context").alias("pair"), F.xxhash64("uid", "code").alias("one"))
-    contexts = rows.groupBy("pair").agg(F.count("*").alias("m"), F.min("one").alias("least"))
-    done = rows.join(contexts, "pair")
+    cores = materialize(cores.where("c > 1").select("core", "c", (F.col("x") != F.col("y")).alias("mixed")), "cores")
+    met = spread_join(rows, cores, "core", "c", total)
+    met = materialize(met.select("uid", "code", "mixed", F.struct("core", "context").alias("pair"), F.xxhash64("uid", "code").alias("one")), "met")
+    contexts = materialize(met.groupBy("pair").agg(F.count("*").alias("m"), F.min("one").alias("least")), "contexts")
+    done = spread_join(met, contexts, "pair", "m", total)
     goes_on = F.col("mixed") & ((F.col("m") == 1) | (F.col("one") == F.col("least")))
-    return done.select("uid", "code", (F.col("m") > 1).alias("repeated"), goes_on.alias("open")).where("repeated or open")
+    done = done.select("uid", "code", (F.col("m") > 1).alias("repeated"), goes_on.alias("open")).where("repeated or open")
+    done = materialize(done, "digit")
+    forget(rows, cores, met, contexts)
+    return done
 
 
 def stage_texts(docs: DataFrame) -> DataFrame:
-    """The rows with a ``uid`` each, written once, in buckets of it.
+    """The rows with a ``uid`` each, written once to the shared folder, in buckets of it.
 
     The passes join small tables to the texts; in buckets the texts stay where
-    they are.  The table is written to the session's warehouse.
+    they are.  Only a table can be written in buckets: it leaves the catalogue at
+    once, its files stay in the shared folder.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"barlake_texts_{uuid.uuid4().hex}"
-    docs.withColumn("uid", F.monotonically_increasing_id()).repartition(n, "uid").write.bucketBy(n, "uid").saveAsTable(name)
-    return spark.table(name)
+    rows = docs.withColumn("uid", F.monotonically_increasing_id()).repartition(n, "uid")
+    rows.write.bucketBy(n, "uid").option("path", scratch_path(spark, "texts")).saveAsTable(name)
+    texts = spark.table(name)
+    texts.schema  # the plan now knows files and buckets
+    spark.sql(f"DROP TABLE {name}")
+    return texts
 
 
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
@@ -214,7 +227,7 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     bare = texts.select("uid", "text")
     rows, found = first_digit(bare, length), []
     for level in range(DEPTH + 1):
-        got = materialize(sort_out(rows), f"digit{level}")
+        got = sort_out(rows)
         found.append(got.where("repeated").select("uid", F.lit(level).alias("level"), "code"))
         if level < DEPTH:
             todo = got.where("open").groupBy("uid").agg(F.collect_list("code").alias("codes"))
@@ -255,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     if not 16 <= length <= 600:
         raise ValueError("length must be from 16 to 600 bytes")
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    keep = [c for c in docs.columns if c not in (*added, "text", "uid")]
+    keep = [c for c in docs.columns if c not in (*added, "text")]
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = stage_texts(docs.select(F.struct(*keep).alias("row") if keep else F.struct(F.lit(0)).alias("row"), body.alias("text")))
     found = repeated_windows(texts, length).groupBy("uid").agg(F.collect_list(F.struct("level", "code")).alias("codes"))
