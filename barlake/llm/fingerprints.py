@@ -2,12 +2,14 @@
 
 A text is the set of the hashes of its paragraph pieces.  Each piece's hash goes
 to one cell of each of three rows of a sketch; a cell keeps how many hashes it
-got, their xor and the xor of their check hashes.  Subtracting two sketches
-leaves the pieces in which the versions differ.  A cell with one of them left
-shows it (its check fits); taking it out of its other cells frees more.  A sketch
-for comparing has a group of cells for every few pieces.  If peeling stops before
-all cells are empty, one with larger groups is built and subtracted; the digests
-themselves are compared only if that can't be peeled either.
+got, their xor and the xor of their check hashes.  The sketch as a string is the
+fingerprint; it is read back, and one is subtracted from the other, which leaves
+the pieces in which the two texts differ.  A cell with one of them left shows it
+(its check fits); taking it out of its other cells frees more.  If peeling stops
+before all cells are empty, the difference is too large for sketches of that size:
+larger ones are built in the same way, first of both texts, with a group of cells
+for every few pieces, then of the groups that still couldn't be peeled, until none
+is left.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 #: Longest piece of a paragraph, in code points.
 PIECE = 240
-#: Cells a row of a fingerprint.
-FIRST = 8
-#: Pieces that a group holds on average, cells a row of a group's sketch, and the same after a failure.
-GROUP, WIDTHS = 4, (8, 32)
+#: Cells a row of a fingerprint, and so of a group of a larger one.
+WIDTH = 8
+#: Pieces of both texts that a group holds on average.
+GROUP = 6
 #: Rounds of peeling; all cells that show a piece are used in a round.
-ROUNDS = 6
+ROUNDS = 8
+CELL = "struct<n:bigint,k:bigint,h:bigint>"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -40,110 +43,115 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))
 
 
-def _place(key: Column, row: int, width: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(row)), F.lit(width)).cast("int")
+def place(key: Column, row: int, width: int) -> Column:
+    """The cell of a key in a row, counted over all rows."""
+    return F.pmod(F.xxhash64(key, F.lit(row), F.lit(width)), F.lit(width)).cast("int") + row * width
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(-1))
+def check(key: Column) -> Column:
+    """A second hash of a key, of 32 bits."""
+    return F.xxhash64(key, F.lit(-1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _xor(items: Column, of: Callable[[Column], Column]) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(of(x)))
 
 
-def sketch(keys: Column, width: int) -> Column:
-    """Three rows of ``width`` cells (n, k, h)."""
-    rows = []
-    for row in range(3):
-        spots = F.transform(keys, lambda x, r=row: F.struct(_place(x, r, width).alias("p"), x.alias("x")))
-        rows.append(
-            let(
-                spots,
-                lambda s: F.transform(
-                    F.sequence(F.lit(0), F.lit(width - 1)),
-                    lambda c: let(
-                        F.filter(s, lambda x: x["p"] == c),
-                        lambda own: F.struct(
-                            F.size(own).alias("n"),
-                            _xor(own, lambda x: x["x"]).alias("k"),
-                            _xor(own, lambda x: _check(x["x"])).alias("h"),
-                        ),
-                    ),
-                ),
-            )
+def _spots(keys: Column, width: int) -> Column:
+    return F.transform(keys, lambda x: F.struct(x.alias("k"), check(x).alias("h"), *(place(x, r, width).alias(f"p{r}") for r in range(3))))
+
+
+def sketch(keys: Column, width: int = WIDTH) -> Column:
+    """Three rows of ``width`` cells (n, k, h) of an array of hashes."""
+    cell = lambda own: F.struct(F.size(own).cast("long").alias("n"), _xor(own, lambda x: x["k"]).alias("k"), _xor(own, lambda x: x["h"]).alias("h"))
+    row = lambda spots, r: F.transform(F.sequence(F.lit(r * width), F.lit(r * width + width - 1)), lambda c: let(F.filter(spots, lambda x: x[f"p{r}"] == c), cell))
+    return let(_spots(keys, width), lambda spots: F.concat(*(row(spots, r) for r in range(3))))
+
+
+def as_text(cells: Column) -> Column:
+    """A sketch as a string: per cell its number and, unless all are zero, its two sums in hexadecimal."""
+    plain = lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)
+    full = lambda c: F.concat_ws(":", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["h"]))
+    return F.array_join(F.transform(cells, lambda c: F.when(plain(c), F.lit("0")).otherwise(full(c))), ",")
+
+
+def read_text(fingerprint: Column) -> Column:
+    """The cells of a fingerprint."""
+    number = lambda x: F.conv(x, 16, -10).cast("long")
+    zero = F.lit(0).cast("long")
+    cell = lambda p: F.struct(number(p[0]).alias("n"), number(p[1]).alias("k"), number(p[2]).alias("h"))
+    none = F.struct(zero.alias("n"), zero.alias("k"), zero.alias("h"))
+    return F.transform(F.split(fingerprint, ","), lambda c: F.when(c == "0", none).otherwise(let(F.split(c, ":"), cell)))
+
+
+def subtract(a: Column, b: Column) -> Column:
+    """The cells of a less those of b."""
+    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+
+
+def peel(cells: Column, width: int = WIDTH) -> Column:
+    """(ok, p, q) of a difference of sketches: whether it could be emptied, and how many hashes are in the first only and in the second only."""
+    zero = F.lit(0).cast("long")
+    state = F.struct(cells.cast(f"array<{CELL}>").alias("c"), zero.alias("p"), zero.alias("q"))
+
+    def take(s: Column, pure: Column) -> Column:
+        mine = lambda x, i: (x["p0"] == i) | (x["p1"] == i) | (x["p2"] == i)
+        less = lambda c, own: F.struct(
+            (c["n"] - F.aggregate(own, zero, lambda t, x: t + x["n"])).alias("n"), c["k"].bitwiseXOR(_xor(own, lambda x: x["k"])).alias("k"), c["h"].bitwiseXOR(_xor(own, lambda x: x["h"])).alias("h")
         )
-    return F.concat(*rows)
+        cells = F.transform(s["c"], lambda c, i: let(F.filter(pure, lambda x: mine(x, i)), lambda own: F.when(F.size(own) == 0, c).otherwise(less(c, own))))
+        more = F.size(F.filter(pure, lambda x: x["n"] > 0)).cast("long")
+        return F.struct(cells.alias("c"), (s["p"] + more).alias("p"), (s["q"] + F.size(pure) - more).alias("q"))
+
+    def shown(s: Column) -> Column:
+        alone = F.filter(s["c"], lambda c: (F.abs(c["n"]) == 1) & (check(c["k"]) == c["h"]))
+        keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), c["h"].alias("h"))))
+        return F.transform(keys, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"), x["h"].alias("h"), *(place(x["k"], r, width).alias(f"p{r}") for r in range(3))))
+
+    step = lambda s, _: let(shown(s), lambda pure: F.when(F.size(pure) == 0, s).otherwise(take(s, pure)))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step)
+    empty = lambda s: ~F.exists(s["c"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))
+    return let(last, lambda s: F.struct(empty(s).alias("ok"), s["p"].alias("p"), s["q"].alias("q")))
+
 
+def differences(a: Column, b: Column) -> Column:
+    """(ok, p, q) of two fingerprints, from the strings alone."""
+    return let(F.struct(read_text(a).alias("a"), read_text(b).alias("b")), lambda x: peel(subtract(x["a"], x["b"])))
 
-def _entries(key: Column, sign: Column, groups: Column, width: int) -> list[Column]:
-    """The three cells of a key, as (found, cell, n, k, h)."""
-    group = F.pmod(F.shiftright(key, 3), groups) * (3 * width)
-    at = (group + _place(key, r, width) + r * width for r in range(3))
-    return [F.struct(F.lit(False).alias("found"), c.cast("long").alias("cell"), sign.cast("int").alias("n"), key.alias("k"), _check(key).alias("h")) for c in at]
 
+def pieces_of(fingerprint: Column) -> Column:
+    """How many hashes a fingerprint holds: the sum over its first row."""
+    return F.aggregate(F.slice(read_text(fingerprint), 1, WIDTH), F.lit(0).cast("long"), lambda t, c: t + c["n"])
 
-def differences(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """``keys``, ok, added, removed: the digests that sketches of ``rows(keys, a, b)`` recover.
 
-    The cells of b's sketch are subtracted from those of a's by adding them with
-    the opposite sign.  A round of peeling takes the cells with one key left,
-    notes the keys as found, and adds them to their cells with the opposite sign;
-    so the work is proportional to the pieces.  Everything stays in the partition
-    of the keys: one shuffle of digests before the first round.
+def larger_differences(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, p, q of ``rows(keys, a, b)``, arrays of hashes: by sketches with a group of cells for every GROUP hashes.
+
+    b's cells are subtracted from a's by adding them with the opposite sign.  The
+    groups that can't be peeled are built again, four times as wide, until all
+    are.  One shuffle, of hashes; the work is proportional to them.
     """
-    groups = F.greatest(F.ceil(F.greatest(F.size("a"), F.size("b")) / GROUP), F.lit(1)).cast("long")
+    groups = F.greatest(F.ceil((F.size("a") + F.size("b")) / GROUP), F.lit(1)).cast("long")
     rows = rows.withColumn("groups", groups).repartition(*keys)
-    keys = [*keys, "groups"]
-    kind = "array<struct<found:boolean,cell:bigint,n:int,k:bigint,h:bigint>>"
-    mark = F.array(F.struct(F.lit(True).alias("found"), F.lit(-1).cast("long").alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h")))
-    side = lambda c, sign: F.flatten(F.transform(c, lambda x: F.array(*_entries(x, F.lit(sign), F.col("groups"), width))))
-    cells = rows.select(*keys, F.explode(F.concat(mark.cast(kind), side("a", 1).cast(kind), side("b", -1).cast(kind))).alias("e"))
-
-    def merged(cells: DataFrame) -> DataFrame:
-        out = cells.select(*keys, "e.*").groupBy(*keys, "found", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
-        return out.where("found or n <> 0 or k <> 0 or h <> 0")
-
-    for _ in range(ROUNDS):
-        each = merged(cells).groupBy(*keys).agg(F.collect_list(F.struct("found", "cell", "n", "k", "h")).alias("c"))
-        pure = F.filter("c", lambda x: ~x["found"] & (F.abs(x["n"]) == 1) & (_check(x["k"]) == x["h"]))
-        fresh = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
-        taken = F.flatten(
-            F.transform(
-                fresh,
-                lambda f: F.array(
-                    F.struct(F.lit(True).alias("found"), f["k"].alias("cell"), f["n"].alias("n"), f["k"].alias("k"), F.lit(0).cast("long").alias("h")),
-                    *_entries(f["k"], -f["n"], F.col("groups"), width),
-                ),
-            )
-        )
-        cells = each.select(*keys, F.explode(F.concat(F.col("c").cast(kind), taken.cast(kind))).alias("e"))
-    found = F.col("found") & (F.col("n") != 0)
-    return merged(cells).groupBy(*keys[:-1]).agg(
-        (F.count_if(~F.col("found")) == 0).alias("ok"),
-        F.collect_list(F.when(found & (F.col("n") > 0), F.col("k"))).alias("added"),
-        F.collect_list(F.when(found & (F.col("n") < 0), F.col("k"))).alias("removed"),
-    )
-
-
-def recovered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, added, removed of ``rows(keys, a, b)``: by sketches, by larger ones after a failure, and by the digests if those fail too."""
-    out, rest = None, rows
-    for width in WIDTHS:
-        got = materialize(differences(rest, keys, width), "peeled")
-        done = got.where("ok").select(*keys, "added", "removed")
+    side = lambda c, sign: F.transform(c, lambda x: F.struct(x.alias("k"), F.lit(sign).cast("long").alias("n")))
+    items = rows.select(*keys, "groups", F.explode_outer(F.concat(side("a", 1), side("b", -1))).alias("x"))
+    items = items.select(*keys, F.coalesce(F.pmod(F.shiftright("x.k", 3), F.col("groups")), F.lit(0)).alias("group"), F.col("x.k").alias("k"), F.col("x.n").alias("n"))
+    out, width = None, WIDTH
+    while True:
+        spots = F.array(*(place(F.col("k"), r, width) for r in range(3)))
+        cells = items.select(*keys, "group", "k", "n", check(F.col("k")).alias("h"), F.explode(F.coalesce(spots, F.array(F.lit(0)))).alias("at"))
+        cells = cells.groupBy(*keys, "group", "at").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor("k"), F.lit(0)).alias("k"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("h"))
+        met = cells.groupBy(*keys, "group").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("n", "k", "h")))).alias("m"))
+        zero = F.lit(0).cast("long")
+        none = F.struct(zero.alias("n"), zero.alias("k"), zero.alias("h"))
+        whole = F.transform(F.sequence(F.lit(0), F.lit(3 * width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), none))
+        got = materialize(met.select(*keys, "group", peel(whole, width).alias("d")).select(*keys, "group", "d.*"), "peeled")
+        done = got.where("ok").select(*keys, "p", "q")
         out = done if out is None else out.union(done)
-        rest = rest.join(got.where("not ok").select(*keys), keys, "left_semi")
-    last = rest.select(*keys, F.array_except("a", "b").alias("added"), F.array_except("b", "a").alias("removed"))
-    return out.union(last)
-
-
-def as_text(cells: Column) -> Column:
-    """A sketch as a string: per cell its number and, unless it is empty, its two sums."""
-    return F.array_join(
-        F.transform(cells, lambda c: F.when((c["n"] == 0), F.lit("0")).otherwise(F.concat(F.hex(c["n"].cast("long")), F.lit(":"), F.hex(c["k"]), F.hex(F.pmod(c["h"], F.lit(1 << 16)))))),
-        ",",
-    )
+        stuck = got.where("not ok").select(*keys, "group")
+        if stuck.isEmpty():
+            return out.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        items, width = items.join(stuck, [*keys, "group"], "left_semi"), width * 4
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
@@ -180,22 +188,26 @@ def compare_versions(rows: DataFrame, text: str, versions: dict[str, str]) -> Da
     Adds ``fingerprint`` of ``text``, and ``fingerprint_<name>`` and
     ``near_<name>`` of every version: shared pieces over all pieces of the two, 1
     for two texts without pieces.  Null texts are empty; equal texts have equal
-    fingerprints and likeness 1.
+    fingerprints and likeness 1.  Every row, repeated or without an id, is compared
+    by itself; an empty table gives an empty one.  Columns with the added names are
+    replaced.
     """
     cols = {"": text, **{f"_{k}": v for k, v in versions.items()}}
-    for k, c in cols.items():
-        rows = rows.withColumn(f"_d{k}", digests(F.coalesce(F.col(c), F.lit(""))))
-    for k in cols:
-        rows = rows.withColumn(f"fingerprint{k}", as_text(sketch(F.col(f"_d{k}"), FIRST)))
-    rows = materialize(rows.drop(*cols.values()).withColumn("_id", F.monotonically_increasing_id()), "fingerprints")
-    both = [F.struct(F.lit(k).alias("version"), F.col("_d").alias("a"), F.col(f"_d{k}").alias("b")) for k in cols if k]
-    pairs = rows.select("_id", F.explode(F.array(*both)).alias("x")).select("_id", "x.*")
-    sizes = recovered(pairs, ["_id", "version"]).select("_id", "version", F.size("added").alias("p"), F.size("removed").alias("q"))
-    of = lambda k, c: F.max(F.when(F.col("version") == k, F.col(c))).alias(f"_{c}{k}")
-    sizes = sizes.groupBy("_id").agg(*(of(k, c) for k in cols if k for c in "pq"))
-    rows = rows.join(sizes, "_id")
-    for k in cols:
-        if k:
-            union = F.size("_d") + F.col(f"_q{k}")
-            rows = rows.withColumn(f"near{k}", F.when(union == 0, 1.0).otherwise((F.size("_d") - F.col(f"_p{k}")) / union))
-    return rows.drop("_id", *(f"_{x}{k}" for x in "dpq" for k in cols))
+    added = {f"{x}{k}" for k in cols for x in ("fingerprint", "near")}
+    keep = [c for c in rows.columns if c not in cols.values() and c not in added]
+    own = F.struct(*keep) if keep else F.struct(F.lit(0))
+    rows = rows.select(own.alias("row"), *(digests(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"d{k}") for k, c in cols.items()))
+    rows = rows.select("*", *(as_text(sketch(F.col(f"d{k}"))).alias(f"fingerprint{k}") for k in cols))
+    rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "fingerprints")
+    both = [F.struct(F.lit(k).alias("version"), F.col("fingerprint").alias("x"), F.col(f"fingerprint{k}").alias("y")) for k in cols if k]
+    tried = rows.select("id", F.explode(F.array(*both)).alias("v")).select("id", "v.version", differences(F.col("v.x"), F.col("v.y")).alias("d"))
+    tried = materialize(tried.select("id", "version", "d.*"), "differences")
+    which = [F.struct(F.lit(k).alias("version"), F.col(f"d{k}").alias("b")) for k in cols if k]
+    rest = rows.select("id", F.col("d").alias("a"), F.explode(F.array(*which)).alias("v")).select("id", "v.version", "a", "v.b")
+    rest = rest.join(tried.where("not ok").select("id", "version"), ["id", "version"], "left_semi")
+    found = tried.where("ok").select("id", "version", "p", "q").union(larger_differences(rest, ["id", "version"]))
+    of = lambda k, c: F.max(F.when(F.col("version") == k, F.col(c))).alias(f"{c}{k}")
+    found = found.groupBy("id").agg(*(of(k, c) for k in cols if k for c in "pq"))
+    rows = rows.drop(*(f"d{k}" for k in cols)).join(found, "id").withColumn("n", pieces_of(F.col("fingerprint")))
+    near = [F.when(F.col("n") + F.col(f"q{k}") == 0, 1.0).otherwise((F.col("n") - F.col(f"p{k}")) / (F.col("n") + F.col(f"q{k}"))).alias(f"near{k}") for k in cols if k]
+    return rows.select(*(F.col("row")[c].alias(c) for c in keep), *(f"fingerprint{k}" for k in cols), *near)

@@ -189,7 +189,7 @@ def test_quality_rules(rows, docs, empty):
     assert got[8]["kept"] and quality_rules.clean_lines(empty).count() == 0
 
 
-def test_fingerprints(rows, docs, empty):
+def test_fingerprints(spark, rows, docs, empty):
     pairs = docs.select("doc_id", "text", F.concat(F.coalesce("text", F.lit("")), F.lit("\nmore")).alias("edited"))
     got = {r["doc_id"]: r for r in fingerprints.compare_versions(pairs, "text", {"edited": "edited"}).collect()}
     split = lambda t: set(re.findall(r"[^\n]{1,%d}" % fingerprints.PIECE, t))
@@ -197,6 +197,30 @@ def test_fingerprints(rows, docs, empty):
         a, b = split(t or ""), split((t or "") + "\nmore")
         assert got[i]["near_edited"] == pytest.approx(len(a & b) / len(a | b))
     assert got[8]["fingerprint"] == got[9]["fingerprint"] and got[0]["fingerprint"] == got[1]["fingerprint"]
+    # from the two strings alone, where they are large enough for the difference
+    strings = spark.createDataFrame([(i, r["fingerprint"], r["fingerprint_edited"]) for i, r in got.items()], "doc_id long, a string, b string")
+    d = {r["doc_id"]: r for r in strings.select("doc_id", fingerprints.pieces_of(F.col("a")).alias("n"), fingerprints.differences(F.col("a"), F.col("b")).alias("d")).collect()}
+    for i, t, *_ in rows:
+        n, d1 = d[i]["n"], d[i]["d"]
+        assert d1["ok"] and n == len(split(t or "")) and got[i]["near_edited"] == pytest.approx((n - d1["p"]) / (n + d1["q"]) if n + d1["q"] else 1.0)
+
+
+def test_fingerprints_far_apart(spark):
+    """Differences beyond a fingerprint: larger sketches, some of them twice; repeated rows and null ids; clashing names."""
+    rng = random.Random(9)
+    texts = ["\n".join(str(rng.random()) for _ in range(n)) for n in (0, 1, 7, 30, 100, 400, 1500)]
+    data = [(k if k % 3 else None, a, b, k) for k, (a, b) in enumerate([(a, b) for a in texts for b in texts] * 2)]
+    pairs = spark.createDataFrame(data, "doc_id long, id string, text string, d int")
+    got = fingerprints.compare_versions(pairs, "id", {"x": "text"}).collect()
+    want = Counter()
+    for i, a, b, k in data:
+        x, y = set(a.split("\n")) - {""}, set(b.split("\n")) - {""}
+        want[(i, k, round(len(x & y) / len(x | y) if x | y else 1.0, 9))] += 1
+    assert Counter((r["doc_id"], r["d"], round(r["near_x"], 9)) for r in got) == want
+    assert fingerprints.compare_versions(pairs.limit(0), "id", {"x": "text"}).count() == 0
+
+
+def test_next_documents(spark, rows, docs, empty):
     after = {r["doc_id"]: r["following"] for r in fingerprints.next_documents(docs).collect()}
     ids = [r[0] for r in rows]
     assert all(after[i] == (rows[(k + 1) % len(rows)][1] or "") for k, i in enumerate(ids))
