@@ -63,26 +63,29 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, alp
 
     The number of copies inverts the Poisson distribution of the source's rate at
     a uniform number hashed from seed and doc_id: it is the same at every run, and
-    rows with equal ids get equal counts.  A rate above MAX_RATE is drawn as a sum of
-    independent Poisson numbers of smaller equal rates, which has the same
-    distribution; each has its own uniform number.  A row drawn 0 times goes; an empty or
-    null text counts with its source's rate.  Rows then go to partitions by a hash
-    of (seed, doc_id, copy) and are ordered by it there: a global shuffle in which
-    no source stays together.  Columns named like the added ones are replaced.
+    rows with equal ids get equal counts; a row without an id is drawn by its text.
+    A rate above MAX_RATE is drawn as a sum of independent Poisson numbers of
+    smaller equal rates, which has the same distribution; each has its own uniform
+    number.  A row drawn 0 times goes; an empty or null text counts with its
+    source's rate.  Rows then go to partitions by a hash of (seed, doc_id, copy) and
+    are ordered by it there: a global shuffle in which no source stays together.
+    Columns named like the added ones are replaced; any others are kept.
     """
-    docs = docs.drop("copy", "shuffle_key")
-    rates = source_rates(docs, weights, alpha, epochs).select(F.col("source").alias("_source"), "draws", "cdf")
+    keep = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    rates = source_rates(docs, weights, alpha, epochs).select("source", "draws", "cdf")
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    drawn = docs.join(rates, F.coalesce(docs["source"].cast("string"), F.lit("")) == rates["_source"])
-    u = uniform(F.lit(seed), "doc_id")
-    more = F.transform(F.sequence(F.lit(2), rates["draws"]), lambda k: uniform(F.lit(seed), "doc_id", F.lit("draw"), k.cast("string")))
-    rest = F.aggregate(more, F.lit(0), lambda n, x: n + F.size(F.filter(rates["cdf"], lambda c: x >= c)))
-    first = F.size(F.filter(rates["cdf"], lambda c: F.col("_u") >= c))
-    drawn = drawn.withColumn("_u", u).withColumn("_n", first + F.when(rates["draws"] > 1, rest).otherwise(0))
-    blocks = drawn.where("_n > 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {BLOCK}").cast("int"))))
-    within = F.sequence(F.col("_block") * BLOCK + 1, F.least(F.col("_n"), (F.col("_block") + 1) * BLOCK))
-    copies = blocks.withColumn("copy", F.explode(within))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
-    copies = copies.withColumn("shuffle_key", key).select(*docs.columns, "copy", "shuffle_key")
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text))
+    rows = docs.select(F.struct(*keep).alias("row"), name.alias("name"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+    drawn = rows.join(rates, "source").withColumn("u", uniform(F.lit(seed), "name"))
+    more = F.transform(F.sequence(F.lit(2), F.col("draws")), lambda k: uniform(F.lit(seed), "name", F.lit("draw"), k.cast("string")))
+    rest = F.aggregate(more, F.lit(0), lambda n, x: n + F.size(F.filter("cdf", lambda c: x >= c)))
+    first = F.size(F.filter("cdf", lambda c: F.col("u") >= c))
+    drawn = drawn.withColumn("n", first + F.when(F.col("draws") > 1, rest).otherwise(0)).where("n > 0").select("row", "name", "n")
+    blocks = drawn.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BLOCK}").cast("int"))))
+    within = F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("n"), (F.col("block") + 1) * BLOCK))
+    copies = blocks.select("row", "name", F.explode(within).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), "name", F.col("copy").cast("string")).cast("binary"))
+    copies = copies.select("row", "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.select(*(F.col("row")[c].alias(c) for c in keep), "copy", "shuffle_key")
