@@ -15,7 +15,17 @@ from .common import SPACE, WORD
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate, in lower case.
-BOILERPLATE = ("javascript", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "lorem ipsum")
+BOILERPLATE = (
+    "javascript", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "lorem ipsum", "powered by",
+    "datenschutzerklärung", "alle rechte vorbehalten", "nutzungsbedingungen", "tous droits réservés",
+    "politique de confidentialité", "mentions légales", "todos los derechos reservados", "política de privacidad",
+)
+#: Words that part the entries of a menu or a path.
+BARS = ("|", "›", "»", "•", "·")
+#: What a link begins with.
+LINKS = ("http://", "https://", "www.")
+#: How a line of prose may end.
+ENDS = ".!?:;,…\"'”»)]"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -62,13 +72,19 @@ def clean_lines(
     max_symbol_percent: int = 15,
     max_shout_percent: int = 50,
     max_bars_percent: int = 30,
+    max_links_percent: int = 50,
+    menu_chars: int = 30,
+    menu_lines: int = 3,
 ) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: base counts, the cleaned text and the verdict.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_lines, n_bad_lines, cleaned, kept.  A line with a word fails
-    by punctuation (symbols, or words ending in "!!", are too large a share), by
-    navigation (bars between its words) or by a boilerplate phrase.  A document
+    by punctuation (symbols are too large a share of its characters, "!!" of its
+    words, or it is cut off by an ellipsis), by navigation (bars between its words,
+    links as a large share of them, or a menu: ``menu_lines`` or more lines in a row
+    of at most ``menu_chars`` characters and no end mark) or by a boilerplate
+    phrase.  A document
     stays if it passes the base rules and its failed lines hold at most
     ``max_lost_percent`` of its word characters.  A null or blank text has no
     words, so it fails; rows with equal or null ids are judged each on its own;
@@ -79,18 +95,28 @@ def clean_lines(
     rows = rows.withColumn("_words", _words(F.col("_text")))
     rows = rows.withColumn("_windows", repeated_words(F.col("_words")))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD))
-    low = F.lower("_text")
-    boiler = F.contains(low, F.lit(BOILERPLATE[0]))
-    for phrase in BOILERPLATE[1:]:
-        boiler = boiler | F.contains(low, F.lit(phrase))
+    boiler = F.lower("_text").rlike("|".join(BOILERPLATE))
+    other = F.col("_text").rlike("|".join(("[›»•·]", "http", "www", r"…", r"\.\.\.")))
+    ended = F.array(*(F.lit(c) for c in ENDS))
+    short = lambda x: let(F.rtrim(x, F.lit(SPACE)), lambda t: (F.length(t) <= menu_chars) & ~F.array_contains(ended, F.right(t, F.lit(1))))
     rows = rows.withColumns(
         {
             "_lines": lines,
             "_n_symbols": F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")),
             "_shouts": F.contains("_text", F.lit("!!")),
             "_boiler": boiler,
+            "_other": other,
+            "_short": F.transform(lines, short),
         }
     )
+    rows = rows.withColumn("_menu", F.size(F.filter("_short", lambda x: x)) >= menu_lines)
+    # where menu_lines short lines in a row begin, and which lines lie in such a run
+    starts = F.transform("_short", lambda _, i: (i + menu_lines <= F.size("_short")) & F.forall(F.slice("_short", i + 1, menu_lines), lambda x: x))
+    inside = lambda starts: F.transform(starts, lambda _, i: F.exists(F.slice(starts, F.greatest(i + 2 - menu_lines, F.lit(1)), F.least(i + 1, F.lit(menu_lines))), lambda x: x))
+    rows = rows.withColumn("_menu", F.when(F.col("_menu"), let(starts, inside)))
+
+    def link(word: Column) -> Column:
+        return F.startswith(word, F.lit(LINKS[0])) | F.startswith(word, F.lit(LINKS[1])) | F.startswith(word, F.lit(LINKS[2]))
 
     def bad(line: Column) -> Column:
         return let(
@@ -99,14 +125,19 @@ def clean_lines(
                 F.length(F.array_join(words, "")),
                 lambda chars: (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 100 > chars * max_symbol_percent)
                 | (F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit("!!")) * 100 > F.size(words) * max_shout_percent))
-                | let(F.size(F.filter(words, lambda w: w == "|")), lambda bars: (bars >= 2) & (bars * 100 > F.size(words) * max_bars_percent))
+                | let(F.size(F.filter(words, lambda w: w.isin(*BARS))), lambda bars: (bars >= 2) & (bars * 100 > F.size(words) * max_bars_percent))
+                | (F.col("_other") & F.rtrim(line, F.lit(SPACE)).rlike(r"(…|\.\.\.)$"))
+                | (F.col("_other") & (F.size(F.filter(words, link)) * 100 > F.size(words) * max_links_percent))
                 | (F.col("_boiler") & F.lower(line).rlike("|".join(BOILERPLATE))),
             ),
         )
 
     # a text without any of the signs has no line that could fail
-    may_fail = (F.col("_n_symbols") > 0) | F.col("_shouts") | F.col("_boiler")
-    rows = rows.withColumn("_good", F.when(may_fail, F.filter("_lines", lambda x: ~bad(x))).otherwise(F.col("_lines")))
+    may_fail = (F.col("_n_symbols") > 0) | F.col("_shouts") | F.col("_boiler") | F.col("_other")
+    in_menu = lambda i: F.coalesce(F.get("_menu", i), F.lit(False))
+    good = F.when(may_fail, F.filter("_lines", lambda x, i: ~in_menu(i) & ~bad(x)))
+    good = good.when(F.col("_menu").isNotNull(), F.filter("_lines", lambda _, i: ~in_menu(i)))
+    rows = rows.withColumn("_good", good.otherwise(F.col("_lines")))
     size = F.size("_words").cast("long")
     repeats = F.when(
         F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(F.col("_windows"), 5)

@@ -97,7 +97,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(training_rows("doc_id", 5) != 0))
     scored = toxicity.score_toxicity(docs, model)
-    return scored.select("doc_id", (training_rows("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(training_rows("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranking = quality_classifier.fit(docs, quality_classifier.label_split(table(spark, sf_dir, "labels")))
     scored = quality_classifier.score_quality(docs.select("doc_id", "text"), ranking)
-    return scored.select("doc_id", (training_rows("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(training_rows("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def queries() -> dict:
@@ -181,12 +181,22 @@ j AS (
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
     length(bare) - length(regexp_replace(bare, '[#*$%&|<>]', '', 'g')) AS symbols,
     len(regexp_extract_all(line, '!!')) AS shouts,
-    len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: w = '|')) AS bars
+    len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: w IN ('|', '›', '»', '•', '·'))) AS bars,
+    len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: w LIKE 'http://%' OR w LIKE 'https://%' OR w LIKE 'www.%')) AS links,
+    regexp_replace(line, '[\x20\x09-\x0D]+$', '') AS cut,
+    row_number() OVER (PARTITION BY doc_id ORDER BY n) AS spot
   FROM l WHERE bare <> ''
 ),
+s AS (SELECT *, length(cut) <= 30 AND NOT contains('.!?:;,…"''”»)]', right(cut, 1)) AS short FROM j),
+m AS (
+  SELECT *, sum(CAST(short AS INT)) OVER (PARTITION BY doc_id ORDER BY spot ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AS run FROM s
+),
 v AS (
-  SELECT *, (symbols * 100 > chars * 15) OR (shouts * 100 > words * 50) OR (bars >= 2 AND bars * 100 > words * 30)
-    OR regexp_matches(lower(line), 'javascript|cookie policy|privacy policy|terms of use|all rights reserved|lorem ipsum') AS bad FROM j
+  SELECT *, (symbols * 100 > chars * 15) OR (shouts * 100 > words * 50) OR (bars >= 2 AND bars * 100 > words * 30) OR (links * 100 > words * 50)
+    OR regexp_matches(cut, '(…|\.\.\.)$') OR bool_or(run) OVER (PARTITION BY doc_id ORDER BY spot ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+    OR regexp_matches(lower(line), 'javascript|cookie policy|privacy policy|terms of use|all rights reserved|lorem ipsum|powered by'
+      || '|datenschutzerklärung|alle rechte vorbehalten|nutzungsbedingungen|tous droits réservés'
+      || '|politique de confidentialité|mentions légales|todos los derechos reservados|política de privacidad') AS bad FROM m
 ),
 a AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
