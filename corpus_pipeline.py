@@ -16,25 +16,36 @@ from barlake.llm.queries import tokenizer
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from labelled rows that are still there."""
+    """Documents that the classifier accepts; it learns from labelled rows that are still there.
+
+    An empty table gives an empty one; null and empty texts are scored as such and
+    go if the classifier rejects them; repeated rows stay or go together.
+    """
     ranking = quality_classifier.fit(docs, quality_classifier.label_split(table(spark, sf_dir, "labels")))
     scored = quality_classifier.score_quality(docs, ranking, with_text=True)
     return scored.where("predicted = 1").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; rows without an id stay."""
+    """The document of smallest id of each group of near duplicates; rows without an id stay.
+
+    A document whose rows are repeated whole keeps one of them.  Rows that share
+    an id but differ in any column all stay or all go.
+    """
     groups = materialize(ngram_join.join_components(docs), "components")
     rows, ids = groups.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows > ids:
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+        docs = docs.where("doc_id is not null").dropDuplicates().union(docs.where("doc_id is null"))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     few = gone.limit(ngram_join.BROADCAST_IDS + 1).count() <= ngram_join.BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that are found elsewhere too; cut characters are marked as such."""
+    """Texts without the passages that are found elsewhere too; cut characters are marked as such.
+
+    Every row stays, with what is left of its text; a null text becomes empty.
+    """
     done = suffix_dedup.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("kept").cast("string"))
     done = done.withColumn("text", text)
@@ -44,12 +55,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate draws it, in shuffled order."""
+    """Each document as often as its source's rate draws it, in shuffled order; a null source is a source of its own."""
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length with their token ids."""
+    """Sequences of power-of-two length with their token ids; an empty or null text is one token, its end."""
     return packing.pack_documents(docs, *tokenizer())
 
 
