@@ -52,7 +52,7 @@ ALL_DESIGNATED, DESIGNATED = 40, 12
 #: So many document ids are broadcast to thin out the texts before they are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Signatures that are grouped in one call, and that one run of texts holds.
-BUCKET, RUN = 1_000_000, 2_000_000
+BUCKET, RUN = 1_000_000, 1_000_000
 #: Shingles of all members of a cell, and members, from which a group is cut.
 CELL_SHINGLES, CELL = 2_000_000, 4096
 #: Leaders that a group has in the first step; whoever meets none of them is left to the next steps.
@@ -349,7 +349,7 @@ def _apart(bits: list[np.ndarray], x: np.ndarray, y: np.ndarray, one: np.ndarray
     """Bits in which members one[x] and two[y] differ."""
     a, b = np.stack([bits[i] for i in one]), np.stack([bits[i] for i in two])
     out = np.zeros(len(x), np.int64)
-    step = max(1, (1 << 19) // a.shape[1])
+    step = max(1, (1 << 18) // a.shape[1])
     for at in range(0, len(x), step):
         out[at : at + step] = np.bitwise_count(a[x[at : at + step]] ^ b[y[at : at + step]]).sum(-1, dtype=np.int64)
     return out
@@ -408,7 +408,7 @@ def _possible(m: pa.Array, fold: bool = False) -> Iterator[tuple[np.ndarray, ...
         own, probing = (role == 0) & (width == w), ~skip & (width == w)
         for r, s in ((own, probing & ~main), (own & ~main, probing & main)):
             r, s = np.flatnonzero(r), np.flatnonzero(s)
-            step = max(1, 2_000_000 // max(1, len(r)))
+            step = max(1, 500_000 // max(1, len(r)))
             for at in range(0, len(s) if len(r) else 0, step):
                 few = s[at : at + step]
                 x, y = (k.ravel() for k in np.meshgrid(np.arange(len(r)), np.arange(len(few)), indexing="ij"))
