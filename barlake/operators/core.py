@@ -54,10 +54,11 @@ def freshness(rows: DataFrame, now: int, limit: int) -> DataFrame:
     return last.groupBy(ok.alias("fresh")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("symbol")), ",").alias("symbols"))
 
 
-def provenance(source: Column, live: Column) -> Column:
-    """synthetic, rejected (empty or unknown), live or recorded_real."""
-    s = F.lower(F.trim(F.coalesce(source, F.lit(""))))
-    return F.when(s.isin("", "unknown"), "rejected").when(s.rlike("synthetic|fixture|mock"), "synthetic").when(live, "live").otherwise("recorded_real")
+def provenance(dataset: Column, model: Column, live: Column) -> Column:
+    """synthetic if either source says so, rejected unless both are known, else live or recorded_real."""
+    made = lambda c: F.lower(F.coalesce(c, F.lit(""))).rlike("synthetic|fixture|mock")
+    known = lambda c: ~F.coalesce(c, F.lit("")).isin("", "unknown")
+    return F.when(made(dataset) | made(model), "synthetic").when(~known(dataset) | ~known(model), "rejected").when(live, "live").otherwise("recorded_real")
 
 
 def portable_id(name: Column) -> Column:
@@ -67,17 +68,22 @@ def portable_id(name: Column) -> Column:
 
 
 def search(catalog: DataFrame, fields: list[str], text: str, exchange: str | None, offset: int = 0, page: int = 50) -> DataFrame:
-    """A page of the instruments whose joined fields hold a text, whatever its case, and how many there are."""
-    hit = catalog.where(F.instr(F.lower(F.concat_ws(" ", *fields)), text.lower()) > 0)
-    if exchange is not None:
-        hit = hit.where(F.col("exchange") == exchange)
-    total = hit.agg(F.count("*").alias("total"))
-    return hit.orderBy(*fields).offset(offset).limit(page).join(F.broadcast(total))
+    """A page of the instruments whose joined fields hold a text, whatever its case.
+
+    Every row also has how many there are, how many the catalogue has and its
+    exchanges; an empty page is one row of these with null fields.
+    """
+    wanted = F.instr(F.lower(F.concat_ws(" ", *fields)), text.strip().lower()[:100]) > 0
+    if exchange:
+        wanted = wanted & (F.col("exchange") == exchange)
+    marks = catalog.agg(F.count_if(wanted).alias("total"), F.count("*").alias("catalog_total"), F.array_join(F.sort_array(F.collect_set("exchange")), ",").alias("exchanges"))
+    return marks.join(catalog.where(wanted).orderBy(*fields).offset(offset).limit(page), F.lit(True), "left")
 
 
 def tradable(products: DataFrame) -> DataFrame:
-    """Products that are online, tradable and have a well-formed id."""
-    return products.where((F.col("status") == "online") & ~F.col("disabled") & F.col("id").rlike("^[A-Z0-9]{2,12}-[A-Z0-9]{2,12}$"))
+    """Products that are online and tradable, with a well-formed id and both currencies; the name is the id where there is none."""
+    ok = (F.col("status") == "online") & ~F.coalesce("disabled", F.lit(False)) & F.col("id").rlike("^[A-Z0-9]+-[A-Z0-9]+$")
+    return products.where(ok & F.col("base").isNotNull() & F.col("quote").isNotNull()).withColumn("name", F.coalesce("name", "id"))
 
 
 def incompatible(models: DataFrame, datasets: DataFrame, on: list[str]) -> DataFrame:
@@ -140,23 +146,25 @@ def union_all(*frames: DataFrame) -> DataFrame:
 def common_times(panel: DataFrame, keys: DataFrame) -> DataFrame:
     """Times that every symbol of ``keys`` has."""
     n = keys.select(F.count_distinct("symbol").alias("_all"))
-    got = panel.join(F.broadcast(keys.select("symbol").distinct()), "symbol").groupBy("ts").agg(F.count_distinct("symbol").alias("n"))
+    got = panel.join(keys.select("symbol").distinct(), "symbol").groupBy("ts").agg(F.count_distinct("symbol").alias("n"))
     return got.join(F.broadcast(n), F.col("n") == F.col("_all")).select("ts")
 
 
-def downsample(series: DataFrame, value: str, limit: int, key: str = "symbol") -> DataFrame:
-    """At most about ``limit`` points: each bucket's first lowest and last highest, and the two ends."""
+def downsample(series: DataFrame, values: list[str], limit: int, key: str = "symbol") -> DataFrame:
+    """At most about ``limit`` points: each bucket's first lowest and last highest of every value column, and the two ends.
+
+    Buckets divide the points between the ends evenly.
+    """
     w = Window.partitionBy(key)
     rows = series.withColumn("idx", F.row_number().over(w.orderBy("ts")) - 1).withColumn("_n", F.count("*").over(w))
-    buckets = max(1, limit // 2 - 1)
-    bucket = F.floor(F.col("idx") * buckets / F.col("_n"))
-    low = F.min_by("idx", F.struct(F.col(value), F.col("idx")))
-    high = F.max_by("idx", F.struct(F.col(value), F.col("idx")))
-    ends = F.array(F.lit(0), F.col("n") - 1)
-    small = rows.where(F.col("_n") <= limit).select(key, F.col("idx"))
-    some = rows.where(F.col("_n") > limit).groupBy(key, bucket.alias("b")).agg(low.alias("lo"), high.alias("hi"), F.max("_n").alias("n"))
-    keep = some.select(key, F.explode(F.array_union(F.array("lo", "hi").cast("array<bigint>"), ends.cast("array<bigint>"))).alias("idx")).union(small).distinct()
-    keep = keep.withColumnRenamed(key, "_key").withColumnRenamed("idx", "_idx")
+    buckets = max((limit - 2) // (2 * max(len(values), 1)), 1)
+    inner = F.col("_n") - 2
+    # the last bucket b with b * inner // buckets < idx
+    bucket = F.when(F.col("idx").between(1, inner), F.expr(f"(idx * {buckets} + (_n - 2) - 1) DIV (_n - 2) - 1"))
+    found = [f(c) for c in values for f in (lambda c: F.min_by("idx", F.struct(F.col(c), F.col("idx"))), lambda c: F.max_by("idx", F.struct(F.col(c), F.col("idx"))))]
+    some = rows.where(F.col("_n") > limit).groupBy(key, bucket.alias("b")).agg(F.array(*found).alias("a"), F.collect_list(F.when(bucket.isNull(), F.col("idx"))).alias("ends"))
+    keep = some.select(key, F.explode(F.when(F.col("b").isNull(), F.col("ends")).otherwise(F.col("a"))).alias("idx"))
+    keep = keep.union(rows.where(F.col("_n") <= limit).select(key, "idx")).distinct().withColumnRenamed(key, "_key").withColumnRenamed("idx", "_idx")
     return rows.join(keep, (F.col(key) == F.col("_key")) & (F.col("idx") == F.col("_idx")), "left_semi").drop("_n")
 
 

@@ -104,7 +104,7 @@ def minutes_continue(bars: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def candle_rules(rows: DataFrame) -> DataFrame:
     """Faults of ``(symbol, candle)``, a candle being [time, low, high, open, close, volume]."""
-    t, low, high, open_, close, volume = (F.get("candle", F.lit(i)) for i in range(6))
+    t, low, high, open_, close = (F.get("candle", F.lit(i)) for i in range(5))
     rows = rows.withColumn("ts", t.cast("long"))
     odd = F.exists("candle", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v < 0))
     return flag(
@@ -112,8 +112,9 @@ def candle_rules(rows: DataFrame) -> DataFrame:
         {
             "length": F.size("candle") != 6,
             "not finite": odd,
+            "no time": t == 0,
+            "no price": low == 0,
             "bounds": (low > F.least(open_, close)) | (high < F.greatest(open_, close)),
-            "no volume": volume <= 0,
         },
     )
 

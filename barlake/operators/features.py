@@ -137,21 +137,28 @@ def fracdiff(d: float, threshold: float = 1e-5, cap: int = 500, log: bool = True
 
 
 def full_ema(bars: DataFrame, p: int) -> DataFrame:
-    """EMA over the whole series of a symbol, a true recursion: a fold over its sorted bars.
+    """EMA over the whole series of a symbol, seeded with the mean of its first ``p`` closes.
 
-    A symbol's bars meet in one array; for series beyond some millions of bars use
-    :func:`ema` with a window wide enough for the accuracy wanted.
+    Bars are numbered and cut into blocks so long that a value fades to less than
+    1e-17 over one.  In a block the recursion is a sum of values scaled by its
+    fading; of earlier blocks only the end of the one before still counts.
     """
     alpha = 2.0 / (p + 1.0)
-    rows = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "close"))).alias("rows"))
-    seed = F.aggregate(F.slice("rows", 1, p), F.lit(0.0), lambda a, x: a + x["close"]) / p
-    fold = F.aggregate(
-        F.expr(f"slice(rows, {p + 1}, greatest(size(rows) - {p}, 0))"),
-        F.array(seed),
-        lambda a, x: F.array_append(a, F.element_at(a, -1) + alpha * (x["close"] - F.element_at(a, -1))),
-    )
-    out = rows.where(F.size("rows") >= p).select("symbol", F.posexplode(fold).alias("i", "ema"), "rows")
-    return out.select("symbol", F.get("rows", F.col("i") + p - 1)["ts"].alias("ts"), "ema")
+    fade = 1.0 - alpha
+    length = max(p, math.ceil(math.log(1e-17) / math.log(fade))) if fade > 0 else p
+    w = Window.partitionBy("symbol").orderBy("ts")
+    i = F.row_number().over(w) - p  # 0 is the seed
+    rows = bars.select("symbol", "ts", "close", i.alias("i"), F.avg("close").over(w.rowsBetween(1 - p, 0)).alias("mean")).where("i >= 0")
+    at = F.pmod("i", F.lit(length))
+    value = F.when(F.col("i") == 0, F.col("mean")).otherwise(alpha * F.col("close"))
+    rows = rows.withColumns({"block": F.floor(F.col("i") / length), "at": at, "scaled": value * F.pow(F.lit(fade), -at) if fade > 0 else value})
+    inside = Window.partitionBy("symbol", "block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.sum("scaled").over(inside) * F.pow(F.lit(fade), "at") if fade > 0 else F.col("scaled"))
+    ends = rows.where(F.col("at") == length - 1).select("symbol", (F.col("block") + 1).alias("block"), F.col("own").alias("end"))
+    before = F.lag("end").over(Window.partitionBy("symbol").orderBy("block"))
+    ends = ends.withColumn("end", F.col("end") + F.coalesce(before, F.lit(0.0)) * fade**length)
+    rows = rows.join(ends, ["symbol", "block"], "left")
+    return rows.select("symbol", "ts", (F.col("own") + F.coalesce("end", F.lit(0.0)) * F.pow(F.lit(fade), F.col("at") + 1)).alias("ema"))
 
 
 @dataclass(frozen=True)
@@ -279,10 +286,13 @@ def rank_normal(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumns({"avg_rank": rank, "universe": n}).where("universe >= 2").withColumn("z", quantile(F.col("avg_rank") / (F.col("universe") + 1.0)))
 
 
-def top_bottom(signals: DataFrame, top: int, bottom: int) -> DataFrame:
-    """The ``top`` best with positive and the ``bottom`` worst with negative expected return; all others flat."""
+def top_bottom(signals: DataFrame, top: int, bottom: int, arrival: str = "seq") -> DataFrame:
+    """The ``top`` best with positive and the ``bottom`` worst with negative expected return; all others flat.
+
+    Equal returns stay in the order in which they came, by the column ``arrival``.
+    """
     w = Window.partitionBy("as_of")
-    rank = F.row_number().over(w.orderBy(F.desc("expected_return"), "symbol")) - 1
+    rank = F.row_number().over(w.orderBy(F.desc("expected_return"), arrival)) - 1
     out = signals.withColumn("_rank", rank).withColumn("_n", F.count("*").over(w))
     long = (F.col("_rank") < top) & (F.col("expected_return") > 0)
     short = (F.col("_rank") >= F.greatest(F.col("_n") - bottom, F.lit(0))) & (F.col("expected_return") < 0)

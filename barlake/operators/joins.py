@@ -18,15 +18,21 @@ def adjust(bars: DataFrame, actions: DataFrame, as_of: int) -> DataFrame:
 
     ``actions(symbol, effective_ts, kind, amount)``.  Prices are divided by the
     product of split ratios, then dividends are taken off; volume is multiplied.
-    Rows of a split ratio that isn't positive raise an error.
+    A split ratio that isn't positive raises an error.  Bars and actions are sorted
+    together, so each takes the product and sum of what comes after it: rows stay
+    as many as there are bars and actions.
     """
-    ok = F.when((F.col("kind") != "split") | (F.col("amount") > 0), F.col("amount")).otherwise(F.raise_error(F.lit("a split ratio must be positive")).cast("double"))
-    known = actions.where(F.col("effective_ts") <= as_of).withColumn("amount", ok)
-    known = known.withColumnRenamed("symbol", "_s")
-    hit = bars.join(known, (bars["symbol"] == known["_s"]) & (bars["ts"] < known["effective_ts"]), "left")
-    split = F.when(F.col("kind") == "split", 1.0 / F.col("amount")).otherwise(1.0)
-    paid = F.when(F.col("kind") == "dividend", F.col("amount")).otherwise(0.0)
-    out = hit.groupBy(*bars.columns).agg(F.product(split).alias("factor"), F.sum(paid).alias("dividends"))
+    bad = (F.col("kind") == "split") & ~(F.col("amount") > 0)
+    amount = F.when(bad, F.raise_error(F.lit("a split ratio must be positive")).cast("double")).otherwise(F.col("amount"))
+    kept = [c for c in bars.columns if c != "symbol"]
+    row = bars.select("symbol", F.col("ts").alias("_at"), F.struct(*kept).alias("_row"), F.lit(0.0).alias("_log"), F.lit(0.0).alias("_paid"))
+    news = actions.where(F.col("effective_ts") <= as_of).select(
+        "symbol", F.col("effective_ts").alias("_at"), F.lit(None).cast(row.schema["_row"].dataType).alias("_row"),
+        F.when(F.col("kind") == "split", F.log(amount)).otherwise(0.0).alias("_log"), F.when(F.col("kind") == "dividend", F.col("amount")).otherwise(0.0).alias("_paid"),
+    )
+    later = Window.partitionBy("symbol").orderBy("_at").rangeBetween(1, Window.unboundedFollowing)
+    both = row.union(news).withColumns({"factor": F.exp(-F.coalesce(F.sum("_log").over(later), F.lit(0.0))), "dividends": F.coalesce(F.sum("_paid").over(later), F.lit(0.0))})
+    out = both.where("_row is not null").select("symbol", "_row.*", "factor", "dividends")
     price = lambda c: (F.col(c) * F.col("factor") - F.col("dividends")).alias(c)
     rest = [c for c in bars.columns if c not in ("open", "high", "low", "close", "volume")]
     return out.select(*rest, *(price(c) for c in ("open", "high", "low", "close")), F.round(F.col("volume") / F.col("factor")).cast("long").alias("volume"))
@@ -99,21 +105,39 @@ def complete_dates(panel: DataFrame, ts: str = "ts") -> DataFrame:
     return panel.join(full, ts, "left_semi")
 
 
-def splice(history: DataFrame, live: DataFrame) -> DataFrame:
-    """History strictly before the first live bar on both clocks, and the live bars."""
-    first = live.groupBy("symbol").agg(F.min("ts").alias("_t"), F.min("avail_ts").alias("_a"))
-    old = history.join(first, "symbol", "left").where("_t is null or (ts < _t and avail_ts < _a)").drop("_t", "_a")
-    return old.unionByName(live)
+def splice(history: DataFrame, live: DataFrame, step: int = 60, sessions: DataFrame | None = None) -> DataFrame:
+    """History strictly before the first live bar on both clocks, and the live bars.
 
-
-#: Other names of sectors.
-SECTOR_ALIASES = {"tech": "Technology", "it": "Technology", "financial": "Financials", "health": "Healthcare", "health care": "Healthcare"}
-
-
-def sector(name: Column, aliases: dict[str, str] = SECTOR_ALIASES) -> Column:
-    """A sector's usual name; null is Unassigned."""
-    table = F.create_map(*(F.lit(v) for kv in aliases.items() for v in kv))
-    return F.coalesce(F.try_element_at(table, F.lower(F.trim(name))), F.trim(name), F.lit("Unassigned"))
+    A symbol's history that doesn't reach its first live bar goes whole: its last bar
+    must be ``step`` before, or end the session before that whose first bar the live
+    one is, and must have been available before the live bar ended.
+    ``sessions(close_ts, next_open_ts)``.
+    """
+    first = live.groupBy("symbol").agg(F.min_by(F.struct(F.col("ts").alias("_t"), F.col("avail_ts").alias("_a")), "ts").alias("f")).select("symbol", "f.*")
+    old = history.join(first, "symbol", "left").where("_t is null or (ts < _t and avail_ts < _a)")
+    last = old.where("_t is not null").groupBy("symbol", "_t").agg(F.max_by(F.struct("ts", "avail_ts"), "ts").alias("l")).select("symbol", "_t", "l.*")
+    follows = F.col("_t") == F.col("ts") + step
+    if sessions is not None:
+        s = F.broadcast(sessions.select(F.col("close_ts").alias("_close"), F.col("next_open_ts").alias("_next")))
+        last = last.join(s, F.col("ts") == F.col("_close"), "left")
+        follows = F.when(F.col("_close").isNull(), follows).otherwise(F.col("_t") == F.col("_next") + step)
+    gap = last.where(~F.coalesce(follows & (F.col("avail_ts") < F.col("_t")), F.lit(False))).select("symbol")
+    return old.join(gap, "symbol", "left_anti").drop("_t", "_a").unionByName(live)
+
+
+#: The sectors and their other names.
+SECTORS = {
+    "technology": "Technology", "tech": "Technology", "financials": "Financials", "fin": "Financials", "healthcare": "Healthcare", "health": "Healthcare",
+    "consumerdiscretionary": "ConsumerDiscretionary", "discretionary": "ConsumerDiscretionary", "consumerstaples": "ConsumerStaples", "staples": "ConsumerStaples",
+    "energy": "Energy", "industrials": "Industrials", "materials": "Materials", "utilities": "Utilities", "realestate": "RealEstate", "reit": "RealEstate",
+    "communicationservices": "CommunicationServices", "communication": "CommunicationServices", "telecom": "CommunicationServices",
+}
+
+
+def sector(name: Column, names: dict[str, str] = SECTORS) -> Column:
+    """A sector's usual name; another one stays, in lower case; null is Unassigned."""
+    table = F.create_map(*(F.lit(v) for kv in names.items() for v in kv))
+    return F.coalesce(F.try_element_at(table, F.lower(name)), F.lower(name), F.lit("Unassigned"))
 
 
 def with_sector(rows: DataFrame, sectors: DataFrame) -> DataFrame:

@@ -46,7 +46,13 @@ def deflated(sharpe: Column, trials: Column) -> Column:
 
 
 def deflated_probability(returns: DataFrame, trials: int, variance: float, key: str = "symbol") -> DataFrame:
-    """Probability that the Sharpe ratio beats the best of ``trials`` by chance, with skew and kurtosis; null when undefined."""
+    """Probability that the Sharpe ratio beats the best of ``trials`` by chance, with skew and kurtosis.
+
+    Null when undefined: fewer than two trials, no variance between them, fewer
+    than four returns or returns that don't vary.
+    """
+    if trials < 2 or not variance > 0:
+        return returns.select(key).distinct().withColumn("probability", F.lit(None).cast("double"))
     r = F.col("ret")
     sums = returns.where("ret is not null").groupBy(key).agg(F.count("*").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.var_pop("ret").alias("m2"), F.avg(F.pow(r, 3)).alias("r3"), F.avg(F.pow(r, 4)).alias("r4"), F.avg(F.pow(r, 2)).alias("r2"))
     n, m = F.col("n"), F.col("m")
@@ -55,7 +61,7 @@ def deflated_probability(returns: DataFrame, trials: int, variance: float, key:
     skew = F.sqrt(n * (n - 1.0)) / (n - 2) * m3 / F.pow("m2", 1.5)
     kurt = (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * m4 / (F.col("m2") * F.col("m2")) - 3 * (n - 1)) + 3
     euler = 0.5772156649015329
-    best = math.sqrt(variance) * ((1 - euler) * quantile(F.lit(1 - 1 / trials)) + euler * quantile(F.lit(1 - 1 / (trials * math.e)))) if trials > 1 else F.lit(0.0)
+    best = math.sqrt(variance) * ((1 - euler) * quantile(F.lit(1 - 1 / trials)) + euler * quantile(F.lit(1 - 1 / (trials * math.e))))
     sr = m / F.col("s")
     inside = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
     p = F.when((n > 3) & (F.col("s") > 0) & (inside > 0), cdf((sr - best) * F.sqrt(n - 1.0) / F.sqrt(inside)))
@@ -92,6 +98,12 @@ def risk(returns: DataFrame, nav: DataFrame, periods: float, key: str = "symbol"
     return out.select(key, "var_95", "cvar_95", (vol * math.sqrt(periods)).alias("annual_vol"), beta.alias("beta"))
 
 
+def factor_exposure(risks: DataFrame, book: DataFrame, key: str = "symbol") -> DataFrame:
+    """The map of factor exposures of each book: beta to the market and gross leverage; ``risks`` as of :func:`risk`, ``book(key, gross_exposure)``."""
+    factors = F.create_map(F.lit("market"), F.col("beta"), F.lit("gross_leverage"), F.coalesce("gross_exposure", F.lit(0.0)))
+    return risks.join(book.select(key, "gross_exposure"), key, "left").select(key, factors.alias("exposure"))
+
+
 #: The stress scenarios and their market moves.
 SCENARIOS = {"MarketCrash_10Pct": -0.10, "MarketRally_10Pct": 0.10, "SevereCrisis_20Pct": -0.20}
 
@@ -131,31 +143,40 @@ def direction(rows: DataFrame, key: str = "symbol") -> DataFrame:
     return rows.groupBy(key).agg(F.coalesce(F.avg(hit), F.lit(0.5)).alias("accuracy"))
 
 
-def forecast(rows: DataFrame, periods: float, key: str = "symbol") -> DataFrame:
-    """Evaluation of predictions traded with position tanh(pred): correlation, hits, Sharpe (population), drawdown, mean, volatility."""
-    rows = rows.withColumn("ret", F.tanh("pred") * F.col("target"))
+def forecast(rows: DataFrame, periods: float, key: str = "symbol", risk_free: float = 0.04) -> DataFrame:
+    """Evaluation of predictions traded with position tanh(pred): correlations, hits, drawdown, mean, and Sharpe and volatility a year.
+
+    Sharpe is of returns less ``risk_free`` / ``periods``; deviations are of the population.
+    """
+    rows = rows.withColumns({"ret": F.tanh("pred") * F.col("target"), "_a": ranks("pred", key), "_b": ranks("target", key)})
     along = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     curve = rows.withColumn("_e", F.exp(F.sum(F.log1p("ret")).over(along)))
-    curve = curve.withColumn("_d", F.col("_e") / F.greatest(F.max("_e").over(along), F.lit(0.0)) - 1.0)
+    peak = F.max("_e").over(along)
+    curve = curve.withColumn("_d", (F.col("_e") - peak) / F.greatest(peak, F.lit(1e-8)))
     hit = F.when(F.col("target") != 0, (F.signum("pred") == F.signum("target")).cast("double"))
+    std, year = F.stddev_pop("ret"), math.sqrt(periods)
     return curve.groupBy(key).agg(
         F.coalesce(corr("pred", "target"), F.lit(0.0)).alias("ic"),
+        F.coalesce(corr("_a", "_b"), F.lit(0.0)).alias("rank_ic"),
         F.coalesce(F.avg(hit), F.lit(0.5)).alias("accuracy"),
-        (F.when(F.stddev_pop("ret") >= 1e-8, F.avg("ret") / F.stddev_pop("ret")).otherwise(0.0) * math.sqrt(periods)).alias("sharpe"),
+        F.when(std >= 1e-8, (F.avg("ret") - risk_free / periods) / std * year).otherwise(0.0).alias("sharpe"),
         F.min("_d").alias("max_drawdown"),
         F.avg("ret").alias("mean_return"),
-        F.stddev_pop("ret").alias("volatility"),
+        (std * year).alias("volatility"),
     )
 
 
 def hac_t(rows: DataFrame, value: str, lag: int = 5, key: str = "symbol") -> DataFrame:
-    """t of the mean with Bartlett-weighted autocovariances up to ``lag``."""
+    """t of the mean with Bartlett-weighted autocovariances up to ``lag``; null unless there are more than ``lag`` + 2 values.
+
+    Null values are left out before neighbours are taken.
+    """
     w = Window.partitionBy(key)
-    d = rows.withColumns({"_n": F.count(value).over(w), "_m": F.avg(value).over(w)}).withColumn("_d", F.col(value) - F.col("_m"))
+    d = rows.where(F.col(value).isNotNull()).withColumns({"_n": F.count(value).over(w), "_m": F.avg(value).over(w)}).withColumn("_d", F.col(value) - F.col("_m"))
     lags = {f"_p{k}": F.col("_d") * F.lag("_d", k).over(w.orderBy("ts")) for k in range(1, lag + 1)}
     s = d.withColumns(lags).groupBy(key).agg(F.max("_n").alias("n"), F.max("_m").alias("mean"), F.sum(F.col("_d") * F.col("_d")).alias("s0"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in lags))
     var = (F.col("s0") + sum((2.0 * (1 - k / (lag + 1)) * F.col(f"_p{k}") for k in range(1, lag + 1)), F.lit(0.0))) / F.col("n")
-    return s.select(key, "n", "mean", F.when((F.col("n") > lag) & (var > 0), F.col("mean") / F.sqrt(var / F.col("n"))).alias("t"))
+    return s.select(key, "n", "mean", F.when((F.col("n") > lag + 2) & (var > 0), F.col("mean") / F.sqrt(var / F.col("n"))).alias("t"))
 
 
 def date_information(rows: DataFrame, key: str = "model_id") -> DataFrame:
@@ -164,22 +185,30 @@ def date_information(rows: DataFrame, key: str = "model_id") -> DataFrame:
     return out.where("n >= 3 and ic is not null and not isnan(ic)")
 
 
-def losses(rows: DataFrame, delta: float = 1.0, wrong: float = 2.0, key: str = "symbol") -> DataFrame:
-    """Values of the training losses: directional Huber, negative Sharpe, negative Sortino."""
-    e = F.abs(F.col("pred") - F.col("target"))
+def directional_huber(pred: Column, target: Column, delta: float = 1.0, wrong: float = 2.0) -> Column:
+    """Huber loss, ``wrong`` times as much where the signs differ."""
+    e = F.abs(pred - target)
     huber = F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta))
-    weight = F.when(F.col("pred") * F.col("target") < 0, wrong).otherwise(1.0)
+    return huber * F.when(pred * target < 0, wrong).otherwise(1.0)
+
+
+def losses(rows: DataFrame, delta: float = 1.0, wrong: float = 2.0, least: float = 0.0, eps: float = 1e-6, key: str = "symbol") -> DataFrame:
+    """Values of the training losses: directional Huber, negative Sharpe, negative Sortino above a target return ``least``."""
     r = F.tanh("pred") * F.col("target")
-    down = F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2)))
+    down = F.sqrt(F.avg(F.pow(F.greatest(F.lit(least) - r, F.lit(0.0)), 2)) + eps)
     return rows.groupBy(key).agg(
-        F.avg(huber * weight).alias("directional"), (-F.avg(r) / (F.stddev_samp(r) + 1e-8)).alias("neg_sharpe"), (-F.avg(r) / (down + 1e-8)).alias("neg_sortino")
+        F.avg(directional_huber(F.col("pred"), F.col("target"), delta, wrong)).alias("directional"),
+        (-F.avg(r) / (F.stddev_samp(r) + eps)).alias("neg_sharpe"),
+        (-(F.avg(r) - least) / down).alias("neg_sortino"),
     )
 
 
-def multi_horizon_loss(rows: DataFrame, weights: list[float], key: str = "symbol") -> DataFrame:
-    """Weighted mean of squared errors over ``preds`` and ``targets``, arrays of one value a horizon."""
-    error = F.transform(F.arrays_zip("preds", "targets", F.array(*map(F.lit, weights)).alias("w")), lambda x: x["w"] * F.pow(x["preds"] - x["targets"], 2))
-    return rows.groupBy(key).agg(F.avg(F.aggregate(error, F.lit(0.0), lambda a, x: a + x) / sum(weights)).alias("loss"))
+def multi_horizon_loss(rows: DataFrame, weights: list[float] | None = None, key: str = "symbol", delta: float = 1.0, wrong: float = 2.0) -> DataFrame:
+    """Weighted mean of the horizons' directional Huber losses over ``preds`` and ``targets``, arrays of one value a horizon; equal weights by default."""
+    w = F.array(*map(F.lit, weights)) if weights else F.transform("preds", lambda _: F.lit(1.0))
+    parts = F.zip_with(F.zip_with("preds", "targets", lambda p, t: directional_huber(p, t, delta, wrong)), w, lambda x, k: x * k)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy(key).agg(F.avg(add(parts) / add(w)).alias("loss"))
 
 
 def nearest(p: float) -> Column:
@@ -230,27 +259,33 @@ def ks(reference: DataFrame, current: DataFrame, key: str = "feature") -> DataFr
 
 
 def drift_status(n: Column, worst: Column, window: int = 100, warn: float = 0.2, halt: float = 0.4) -> Column:
-    return F.when(n < window, "insufficient").when(worst >= halt, "halt").when(worst >= warn, "warn").otherwise("ok")
+    return F.when(n < window, "insufficient_data").when(worst >= halt, "halt").when(worst >= warn, "warn").otherwise("ok")
 
 
-def monitor(decisions: DataFrame, outcomes: DataFrame, reference: DataFrame, window: int = 100) -> DataFrame:
+def monitor(decisions: DataFrame, outcomes: DataFrame, reference: DataFrame, window: int = 100, identity: dict[str, str] | None = None) -> DataFrame:
     """Status of each dataset's newest distinct decisions against the reference features.
 
-    ``decisions(dataset, as_of, seq, decision_id, predicted, features map)``,
-    ``outcomes(decision_id, realized)``, ``reference(dataset, feature, value)``.
-    A prediction or outcome of 0 counts as positive.
+    ``decisions(dataset, as_of, seq, decision_id, provenance, predicted, features
+    map)``, ``outcomes(decision_id, realized)``, ``reference(dataset, feature, value)``.
+    Only decisions of live or recorded real data count, and only those that
+    ``identity`` names: columns such as model, package and schema with the value
+    that each must have.  A prediction or outcome of 0 counts as positive.  Without
+    outcomes the correlation and hit rate are null.
     """
     from .core import distinct_decisions
 
-    some = distinct_decisions(decisions, window)
+    for column, value in (identity or {}).items():
+        decisions = decisions.where(F.col(column) == value)
+    some = distinct_decisions(decisions.where(F.col("provenance").isin("live", "recorded_real")), window)
     own = some.select("dataset", F.explode("features").alias("feature", "value"))
     key = lambda r: r.select(F.struct("dataset", "feature").alias("feature"), "value")
-    worst = ks(key(reference), key(own)).groupBy(F.col("feature.dataset").alias("dataset")).agg(F.max("ks").alias("max_ks"))
+    worst = ks(key(reference.join(own.select("dataset", "feature").distinct(), ["dataset", "feature"], "left_semi")), key(own))
+    worst = worst.groupBy(F.col("feature.dataset").alias("dataset")).agg(F.max("ks").alias("max_ks"))
     sign = lambda c: F.when(F.col(c) < 0, -1).otherwise(1)
     pairs = some.join(outcomes, "decision_id")
-    quality = pairs.groupBy("dataset").agg(corr("predicted", "realized").alias("ic"), F.avg((sign("predicted") == sign("realized")).cast("double")).alias("hit_rate"))
+    quality = pairs.groupBy("dataset").agg(F.count("*").alias("outcomes"), corr("predicted", "realized").alias("ic"), F.avg((sign("predicted") == sign("realized")).cast("double")).alias("hit_rate"))
     n = some.groupBy("dataset").agg(F.count("*").alias("n"))
-    out = n.join(worst, "dataset", "left").join(quality, "dataset", "left")
+    out = n.join(worst, "dataset", "left").join(quality, "dataset", "left").na.fill(0, ["max_ks", "outcomes"])
     return out.withColumn("status", drift_status(F.col("n"), F.col("max_ks"), window))
 
 
@@ -259,46 +294,72 @@ def conformal(rows: DataFrame, alpha: float = 0.1, normalised: bool = False, key
 
     ``rows(key, ts, pred, target[, sigma])``.
     """
-    score = F.abs(F.col("target") - F.col("pred"))
-    if normalised:
-        score = score / F.greatest(F.col("sigma"), F.lit(1e-6))
+    residual = F.abs(F.col("target") - F.col("pred"))
+    score = residual / F.greatest(F.col("sigma"), F.lit(1e-6)) if normalised else residual
     w = Window.partitionBy(key)
-    r = rows.withColumn("score", score).withColumns({"k": F.row_number().over(w.orderBy("score", "ts")), "n": F.count("*").over(w)}).where("n >= 10")
+    r = rows.withColumns({"residual": residual, "score": score}).withColumns({"k": F.row_number().over(w.orderBy("score", "ts")), "n": F.count("*").over(w)}).where("n >= 10")
     level = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"), F.lit(1.0))
     place = F.ceil(level * (F.col("n") - 1)) + 1
-    return r.groupBy(key).agg(F.max(F.when(F.col("k") == place, F.col("score"))).alias("q"), F.avg("score").alias("mean_score"), F.median("score").alias("median_score"), F.count("*").alias("n"))
+    return r.groupBy(key).agg(F.max(F.when(F.col("k") == place, F.col("score"))).alias("q"), F.avg("residual").alias("mean_residual"), F.median("residual").alias("median_residual"), F.count("*").alias("n"))
 
 
-def intervals(rows: DataFrame, quantiles: DataFrame, key: str = "symbol") -> DataFrame:
-    """Bounds around each prediction and a confidence that falls where the band holds 0."""
-    q = quantiles.select(key, "q")
-    out = rows.join(q, key).withColumns({"lower": F.col("pred") - F.col("q"), "upper": F.col("pred") + F.col("q")})
-    width = F.col("upper") - F.col("lower")
+def intervals(rows: DataFrame, quantiles: DataFrame, key: str = "symbol", normalised: bool = False) -> DataFrame:
+    """Bounds around each prediction and its confidence: its share of itself and the half width, halved where the band holds 0.
+
+    Normalised quantiles are scaled by each row's ``sigma``.
+    """
+    half = F.col("q") * F.col("sigma") if normalised else F.col("q")
+    out = rows.join(quantiles.select(key, "q"), key).withColumns({"lower": F.col("pred") - half, "upper": F.col("pred") + half})
+    size, width = F.abs("pred"), 0.5 * (F.col("upper") - F.col("lower"))
     inside = (F.col("lower") <= 0) & (F.col("upper") >= 0)
-    raw = F.abs("pred") / F.greatest(width / 2, F.lit(1e-12))
-    return out.withColumn("confidence", F.when(inside, F.least(raw, F.lit(1.0)) * 0.5).otherwise(F.least(raw, F.lit(1.0))))
+    sure = size / F.greatest(size + width, F.lit(1e-8)) * F.when(inside, 0.5).otherwise(1.0)
+    return out.withColumn("confidence", F.least(F.greatest(sure, F.lit(0.0)), F.lit(1.0)))
 
 
-def coverage(rows: DataFrame, key: str = "symbol") -> DataFrame:
-    return rows.groupBy(key).agg(F.avg(F.col("target").between(F.col("lower"), F.col("upper")).cast("double")).alias("coverage"), F.avg(F.col("upper") - F.col("lower")).alias("mean_width"))
+def coverage(rows: DataFrame, target: float = 0.9, key: str = "symbol") -> DataFrame:
+    """Share of targets inside their bounds, how far that is from ``target``, and the mean and median width."""
+    inside = F.avg(F.col("target").between(F.col("lower"), F.col("upper")).cast("double"))
+    width = F.col("upper") - F.col("lower")
+    return rows.groupBy(key).agg(inside.alias("coverage"), (inside - target).alias("coverage_error"), F.avg(width).alias("mean_width"), F.median(width).alias("median_width"))
 
 
-def minimum_d(bars: DataFrame, grid: tuple[float, ...], threshold: float = 1e-3, cap: int = 60) -> DataFrame:
-    """The least d of a grid whose differenced log closes look stationary: halves' variances within a factor 2, |mean| < 2 deviations."""
-    from .features import fracdiff
+def minimum_d(bars: DataFrame, step: float = 0.1, threshold: float = 1e-3, cap: int = 500) -> DataFrame:
+    """The least d = 0, step, 2 step ... up to 1 whose differenced closes look stationary, and its number of weights; 1 if none does.
 
+    At least 20 values; variances of the halves above 1e-12 and within a factor 2;
+    |mean| below 2 deviations.  A series shorter than ``cap`` has no more weights
+    than values.
+    """
+    from ..functions.taps import fracdiff_taps
+
+    n = F.count("*").over(Window.partitionBy("symbol"))
+    rows = bars.select("symbol", "ts", "close", F.least(n, F.lit(cap)).alias("most"))
+    back = Window.partitionBy("symbol").orderBy("ts")
+    grid, d = [], 0.0
+    while d <= 1.0:
+        grid.append(d)
+        d += step
     outs = None
-    for d in grid:
-        v = bars.select("symbol", "ts", F.lit(d).alias("d"), fracdiff(d, threshold, cap).alias("v")).where("v is not null")
-        outs = v if outs is None else outs.union(v)
+    for d in dict.fromkeys([*grid, 1.0]):
+        taps = fracdiff_taps(d, threshold, cap)
+        recent = F.collect_list("close").over(back.rowsBetween(1 - len(taps), 0))
+        size = F.least(F.lit(len(taps)), F.col("most"))
+        near = F.slice(F.reverse("v"), 1, F.col("window"))
+        value = F.aggregate(F.zip_with(near, F.slice(F.array(*map(F.lit, taps)), 1, F.col("window")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        got = rows.select("symbol", "ts", recent.alias("v"), size.alias("window")).where("size(v) >= window").select("symbol", "ts", F.lit(d).alias("d"), "window", value.alias("v"))
+        outs = got if outs is None else outs.union(got)
     w = Window.partitionBy("symbol", "d")
     r = outs.withColumns({"k": F.row_number().over(w.orderBy("ts")), "n": F.count("*").over(w)})
     half = F.floor(F.col("n") / 2)
     s = r.groupBy("symbol", "d").agg(
-        F.var_samp(F.when(F.col("k") <= half, F.col("v"))).alias("a"), F.var_samp(F.when(F.col("k") > half, F.col("v"))).alias("b"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s")
+        F.max("n").alias("n"), F.max("window").alias("window"), F.var_samp(F.when(F.col("k") <= half, F.col("v"))).alias("a"), F.var_samp(F.when(F.col("k") > half, F.col("v"))).alias("b"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s")
     )
-    ok = (F.greatest("a", "b") / F.greatest(F.least("a", "b"), F.lit(1e-12)) < 2) & (F.abs("m") / F.greatest("s", F.lit(1e-12)) < 2)
-    return s.groupBy("symbol").agg(F.min(F.when(ok, F.col("d"))).alias("minimum_d"))
+    ok = (F.col("n") >= 20) & (F.least("a", "b") > 1e-12) & (F.greatest("a", "b") / F.least("a", "b") < 2) & (F.col("s") > 1e-12) & (F.abs("m") / F.col("s") < 2)
+    ok = ok & F.col("d").isin(*grid)
+    fits = F.when(ok, F.struct("d", "window"))
+    best = s.groupBy("symbol").agg(F.min(fits).alias("x"), F.max(F.struct("d", "window")).alias("last"))
+    best = bars.select("symbol").distinct().join(best, "symbol", "left")
+    return best.select("symbol", F.coalesce("x.d", F.lit(1.0)).alias("minimum_d"), F.coalesce("x.window", "last.window", F.lit(len(fracdiff_taps(1.0, threshold, cap)))).alias("window"))
 
 
 def reference_rate(rates: DataFrame, today: Column, key: str = "pair") -> DataFrame:

@@ -175,15 +175,16 @@ def clamp_quantity(orders: DataFrame) -> DataFrame:
 # costs
 
 
-def _eligible(cap: float) -> Column:
-    most = F.col("volume") * min(max(cap, 0.001), 1.0)
+def _eligible(cap: Column) -> Column:
+    most = F.col("volume") * clamp(cap, 0.001, 1.0)
     q = clamp(F.col("quantity"), -most, most)
     touched = F.when(F.col("is_limit") & (F.col("quantity") > 0) & (F.col("low") > F.col("limit_price")), False).when(F.col("is_limit") & (F.col("quantity") < 0) & (F.col("high") < F.col("limit_price")), False).otherwise(True)
     return F.when((F.abs("quantity") < 1e-8) | (F.abs(q) < 1e-8) | ~touched, 0.0).otherwise(q)
 
 
 def _filled(orders: DataFrame, cap: float, slippage: Column) -> DataFrame:
-    rows = orders.withColumn("fill_quantity", _eligible(cap))
+    own = F.coalesce("participation_cap", F.lit(cap)) if "participation_cap" in orders.columns else F.lit(cap)
+    rows = orders.withColumn("fill_quantity", _eligible(own))
     none = F.col("fill_quantity") == 0
     rows = rows.withColumn("slippage", F.when(none, 0.0).otherwise(slippage))
     away = F.when(none & F.col("is_limit"), F.col("limit_price")).otherwise(F.col("close"))
@@ -193,7 +194,8 @@ def _filled(orders: DataFrame, cap: float, slippage: Column) -> DataFrame:
 def linear_costs(orders: DataFrame, rate: float = 5e-4, least: float = 1.0, spread_bps: float = 2.0, slope: float = 0.10, cap: float = 0.05) -> DataFrame:
     """Fill quantity, price, slippage and commission: capped participation, half spread and linear impact.
 
-    ``orders(..., quantity, is_limit, limit_price, high, low, close, volume)``.
+    ``orders(..., quantity, is_limit, limit_price, high, low, close, volume)``; a
+    column ``participation_cap`` overrides ``cap`` where it isn't null.
     """
     share = F.abs("fill_quantity") / F.greatest(F.col("volume").cast("double"), F.lit(1.0))
     out = _filled(orders, cap, F.col("close") * (spread_bps * 1e-4 + slope * share))
@@ -201,29 +203,53 @@ def linear_costs(orders: DataFrame, rate: float = 5e-4, least: float = 1.0, spre
     return out.withColumn("commission", F.when(F.col("fill_quantity") == 0, 0.0).otherwise(fee))
 
 
-def impact_costs(orders: DataFrame, gamma: float = 0.314, eta: float = 0.142, alpha: float = 1.0, beta: float = 0.5, floor: float = 0.02, adv: float = 1e6, spread_bps: float = 2.0, cap: float = 0.05) -> DataFrame:
-    """Fill quantity, price and slippage: permanent and square-root temporary impact on the bar's range volatility."""
+def impact_costs(
+    orders: DataFrame, gamma: float = 0.314, eta: float = 0.142, alpha: float = 1.0, beta: float = 0.5, floor: float = 0.02, adv: float = 1e6, spread_bps: float = 2.0, cap: float = 0.05, schedule: Schedule | None = None, traded: Column | float = 0.0
+) -> DataFrame:
+    """Fill quantity, price, slippage and commission: permanent and square-root temporary impact on the bar's range volatility.
+
+    Commission is the fee of ``schedule`` at a volume of ``traded`` so far; limit
+    orders are makers.  Caps as in :func:`linear_costs`.
+    """
     q = F.abs("fill_quantity")
     sigma = F.when((F.col("high") > F.col("low")) & (F.col("close") > 0), F.greatest((F.col("high") - F.col("low")) / F.col("close"), F.lit(floor))).otherwise(floor)
     lasting = gamma * F.pow(clamp(q / max(adv, 1.0), 0, 1), F.lit(alpha))
     passing = eta * F.pow(clamp(q / F.greatest(F.col("volume").cast("double"), F.lit(1.0)), 0, 1), F.lit(beta))
-    return _filled(orders, cap, F.col("close") * (spread_bps * 1e-4 + sigma * (lasting + passing)))
+    out = _filled(orders, cap, F.col("close") * (spread_bps * 1e-4 + sigma * (lasting + passing)))
+    fee = trade_fee(F.col("fill_quantity"), F.col("fill_price"), F.col("is_limit"), traded if isinstance(traded, Column) else F.lit(traded), schedule or Schedule())
+    return out.withColumn("commission", F.when(F.col("fill_quantity") == 0, 0.0).otherwise(fee))
+
+
+#: Least cumulative volume, taker and maker fee a share, and basis points of the value.
+TIERS = ((0.0, 0.0030, -0.0015, 0.0), (100_000.0, 0.0020, -0.0020, 0.0), (1_000_000.0, 0.0010, -0.0025, 0.0))
+
+
+@dataclass(frozen=True)
+class Schedule:
+    """Fee tiers from the lowest volume up, and the least fee of a trade that isn't a rebate."""
 
+    tiers: tuple[tuple[float, float, float, float], ...] = TIERS
+    least: float = 0.5
 
-#: Least cumulative volume, taker and maker fee a share.
-TIERS = ((0.0, 0.0030, -0.0015), (100_000.0, 0.0020, -0.0020), (1_000_000.0, 0.0010, -0.0025))
+    @classmethod
+    def flat(cls, bps: float, least: float) -> Schedule:
+        return cls(((0.0, 0.0, 0.0, bps),), least)
 
 
-def tiered_fees(fills: DataFrame, least: float = 0.5, tiers: tuple = TIERS) -> DataFrame:
-    """Fees by the tier of the volume traded before each fill; rebates have no minimum. ``fills(instrument, fill_seq, quantity, is_maker)``."""
+def trade_fee(quantity: Column, price: Column, is_maker: Column, traded: Column, schedule: Schedule) -> Column:
+    """The fee of a trade by the tier of the volume traded before it; rebates have no minimum."""
+    shares, raw = F.abs(quantity), None
+    for low, taker, maker, bps in schedule.tiers:
+        tier = shares * F.when(is_maker, maker).otherwise(taker) + shares * price * (bps * 1e-4)
+        raw = tier if raw is None else F.when(traded >= low, tier).otherwise(raw)
+    return F.when(raw > 0, F.greatest(raw, F.lit(schedule.least))).otherwise(raw)
+
+
+def tiered_fees(fills: DataFrame, schedule: Schedule | None = None) -> DataFrame:
+    """``cumulative`` volume before each fill and its ``fee``; ``fills(instrument, fill_seq, quantity, price, is_maker)``."""
     before = Window.partitionBy("instrument").orderBy("fill_seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = fills.withColumn("cumulative", F.coalesce(F.sum(F.abs("quantity")).over(before), F.lit(0.0)))
-    per_share = None
-    for low, taker, maker in tiers:
-        rate = F.when(F.col("is_maker"), maker).otherwise(taker)
-        per_share = rate if per_share is None else F.when(F.col("cumulative") >= low, rate).otherwise(per_share)
-    raw = F.abs("quantity") * per_share
-    return rows.withColumn("fee", F.when(raw > 0, F.greatest(raw, F.lit(least))).otherwise(raw))
+    return rows.withColumn("fee", trade_fee(F.col("quantity"), F.col("price"), F.col("is_maker"), F.col("cumulative"), schedule or Schedule()))
 
 
 def borrow_fee(notional: Column, rate: float = 0.015) -> Column:
@@ -260,66 +286,80 @@ def cash_curve(fills: DataFrame, initial: float, width: int = 65_536) -> DataFra
     return done.select(*fills.columns, "cash", "commissions", "position")
 
 
-_LEDGER = "struct<qty:double,price:double,fees:double,realized:double>"
-
-
 def fold_fills(fills: DataFrame) -> DataFrame:
     """Each fill with the state after it and, where it closes something, the closed trade.
 
-    Per (run, instrument) the fills are sorted and folded: average entry price,
-    realized profit, entry and exit fees shared by what is closed, reversal at the
-    fill's price.  A pair's fills meet in one row; for pairs of many millions of
-    fills split runs by period first.
+    Per (run, instrument): average entry price, realized profit, entry and exit fees
+    shared by what is closed.  A fill that reverses a position is one that closes
+    it and one that opens the other side at its price.  An episode lasts from flat
+    to flat; in it, cost and fees grow with what is added and shrink in proportion
+    with what is closed, so they are running sums of what was added, each divided
+    by the share that is still held since the episode's begin.  Windows only: no row
+    holds a pair's fills.
     """
-    f = F.sort_array(F.collect_list(F.struct("fill_seq", F.col("quantity").alias("q"), F.col("price").alias("p"), F.col("commission").alias("c"))))
-    rows = fills.where(F.abs("quantity") >= 1e-8).groupBy("run_id", "instrument").agg(f.alias("f"))
-    trade = "struct<seq:bigint,qty:double,price:double,fees:double,realized:double,closed:double,pnl:double,entry:double>"
-    start = F.array().cast(f"array<{trade}>")
+    pair = Window.partitionBy("run_id", "instrument").orderBy("fill_seq")
+    rows = fills.where(F.abs("quantity") >= 1e-8).select("run_id", "instrument", "fill_seq", F.col("quantity").alias("q"), F.col("price").alias("p"), F.col("commission").alias("c"))
+    snap = lambda c: F.when(F.abs(c) < 1e-8, 0.0).otherwise(c)
+    rows = rows.withColumn("to", snap(F.sum("q").over(pair.rowsBetween(Window.unboundedPreceding, 0))))
+    rows = rows.withColumn("was", F.coalesce(F.lag("to").over(pair), F.lit(0.0)))
+    turns = F.col("was") * F.col("to") < 0
+    share = F.abs("was") / F.abs("q")
+    part = lambda k, was, to, c: F.struct(F.lit(k).alias("part"), was.alias("was"), to.alias("to"), c.alias("c"))
     zero = F.lit(0.0)
+    both = F.array(part(0, F.col("was"), zero, F.col("c") * share), part(1, zero, F.col("to"), F.col("c") - F.col("c") * share))
+    rows = rows.withColumn("x", F.explode(F.when(turns, both).otherwise(F.array(part(0, F.col("was"), F.col("to"), F.col("c")))))).select("run_id", "instrument", "fill_seq", "p", "x.*")
+
+    along = Window.partitionBy("run_id", "instrument").orderBy("fill_seq", "part")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    adds = (F.col("was") == 0) | (F.abs("to") > F.abs("was"))
+    rows = rows.withColumns({"adds": adds, "episode": F.count_if(F.col("was") == 0).over(so_far)})
+    one = Window.partitionBy("run_id", "instrument", "episode").orderBy("fill_seq", "part")
+    up_to = one.rowsBetween(Window.unboundedPreceding, 0)
+    left = F.when(~F.col("adds") & (F.col("to") != 0), F.log(F.abs("to") / F.abs("was"))).otherwise(0.0)
+    rows = rows.withColumn("held", F.exp(F.sum(left).over(up_to)))
+    put = lambda c: F.sum(F.when(F.col("adds"), c / F.col("held")).otherwise(0.0)).over(up_to) * F.col("held")
+    rows = rows.withColumns({"cost": put(F.abs(F.col("to") - F.col("was")) * F.col("p")), "fees": put(F.col("c"))})
+    before = lambda c: F.lag(c).over(one)
+    rows = rows.withColumns({"entry": before("cost") / F.abs("was"), "paid": before("fees"), "closed": F.when(F.col("adds"), 0.0).otherwise(F.abs("was") - F.abs("to"))})
+    gross = F.when(F.col("adds"), 0.0).otherwise(F.col("closed") * F.signum("was") * (F.col("p") - F.col("entry")))
+    pnl = F.when(~F.col("adds"), gross - F.col("paid") * F.col("closed") / F.abs("was") - F.col("c"))
+    rows = rows.withColumns({"gross": gross, "pnl": pnl}).withColumn("realized", F.sum("gross").over(so_far))
+    state = lambda c, v: F.max_by(v, "part").alias(c)
+    open_ = F.col("to") != 0
+    return rows.groupBy("run_id", "instrument", F.col("fill_seq").alias("seq")).agg(
+        state("qty", F.col("to")),
+        state("price", F.when(open_, F.col("cost") / F.abs("to")).otherwise(0.0)),
+        state("fees", F.when(open_, F.col("fees")).otherwise(0.0)),
+        state("realized", F.col("realized")),
+        F.max("closed").alias("closed"),
+        F.max("pnl").alias("pnl"),
+        F.max(F.when(~F.col("adds"), F.col("entry"))).alias("entry"),
+    )
+
 
-    def step(done: Column, x: Column) -> Column:
-        old = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(None).cast(trade))
-        qty, price, fees, real = (F.coalesce(old[k], zero) for k in ("qty", "price", "fees", "realized"))
-        nxt = qty + x["q"]
-        adds = (F.abs(qty) < 1e-8) | (F.signum(qty) == F.signum(x["q"]))
-        closed = F.least(F.abs(qty), F.abs(x["q"]))
-        entry_fee = F.when(adds, 0.0).otherwise(F.try_divide(fees * closed, F.abs(qty)))
-        exit_fee = x["c"] * closed / F.abs(x["q"])
-        gross = closed * F.signum(qty) * (x["p"] - price)
-        flat = F.abs(nxt) < 1e-8
-        same = F.signum(nxt) == F.signum(qty)
-        new_price = F.when(adds, F.try_divide(F.abs(qty) * price + F.abs(x["q"]) * x["p"], F.abs(nxt))).when(flat, 0.0).when(same, price).otherwise(x["p"])
-        new_fees = F.when(adds, fees + x["c"]).when(flat, 0.0).when(same, fees - entry_fee).otherwise(x["c"] - exit_fee)
-        one = F.struct(
-            x["fill_seq"].alias("seq"),
-            F.when(flat & ~adds, 0.0).otherwise(nxt).alias("qty"),
-            new_price.alias("price"),
-            new_fees.alias("fees"),
-            F.when(adds, real).otherwise(real + gross).alias("realized"),
-            F.when(adds, 0.0).otherwise(closed).alias("closed"),
-            F.when(~adds, gross - entry_fee - exit_fee).alias("pnl"),
-            F.when(~adds, price).alias("entry"),
-        )
-        return F.concat(done, F.array(one.cast(trade)))
-
-    return rows.select("run_id", "instrument", F.explode(F.aggregate("f", start, step)).alias("x")).select("run_id", "instrument", "x.*")
-
-
-def trade_statistics(trades: DataFrame) -> DataFrame:
-    """Hit rate, profit factor, mean win and loss of the closed trades of each run; ``trades`` as of :func:`fold_fills`."""
-    t = trades.where("pnl is not null")
+def trade_statistics(trades: DataFrame, fills: DataFrame, initial: float) -> DataFrame:
+    """Turnover, fills, closed trades, hit rate, profit factor, mean win and loss of each run of ``fills``.
+
+    ``trades`` as of :func:`fold_fills`.  A run that closed nothing has 0 throughout
+    and a profit factor of 1.
+    """
+    notional = F.sum(F.abs(F.col("quantity") * F.col("price")))
+    runs = fills.groupBy("run_id").agg(F.count("*").alias("total_trades"), (notional / initial if initial > 0 else F.lit(0.0)).alias("turnover"))
     win, loss = F.col("pnl") > 0, F.col("pnl") < 0
     share = F.try_divide(F.col("pnl"), F.col("closed") * F.col("entry"))
-    s = t.groupBy("run_id").agg(
+    s = trades.where("pnl is not null").groupBy("run_id").agg(
         F.count("*").alias("closed_trades"),
         F.count_if(win).alias("wins"),
-        F.coalesce(F.sum(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("profits"),
-        F.coalesce(-F.sum(F.when(loss, F.col("pnl"))), F.lit(0.0)).alias("losses"),
-        F.coalesce(F.avg(F.when(win, share)), F.lit(0.0)).alias("avg_win"),
-        F.coalesce(F.avg(F.when(loss, share)), F.lit(0.0)).alias("avg_loss"),
+        F.count_if(loss).alias("losing"),
+        F.sum(F.when(win, F.col("pnl"))).alias("profits"),
+        (-F.sum(F.when(loss, F.col("pnl")))).alias("losses"),
+        F.avg(F.when(win, share)).alias("avg_win"),
+        F.avg(F.when(loss, share)).alias("avg_loss"),
     )
+    s = runs.join(s, "run_id", "left").na.fill(0)
     factor = F.when(F.col("losses") > 1e-8, F.try_divide(F.col("profits"), F.col("losses"))).when(F.col("profits") > 1e-8, 10.0).otherwise(1.0)
-    return s.withColumns({"hit_rate": F.col("wins") / F.col("closed_trades"), "profit_factor": factor})
+    hits = F.when(F.col("closed_trades") > 0, F.try_divide(F.col("wins"), F.col("closed_trades"))).otherwise(0.0)
+    return s.withColumns({"hit_rate": hits, "profit_factor": factor})
 
 
 def marks(positions: DataFrame) -> DataFrame:

@@ -58,18 +58,33 @@ def inner(rows: DataFrame, purge: int, embargo: int, share: float = 0.85) -> Dat
     return rows.withColumn("inner_role", role).drop("_i", "_n")
 
 
-def calendar_folds(rows: DataFrame, cuts: list[int], purge: int, embargo: int) -> DataFrame:
-    """Folds that test between successive calendar times; train ends ``purge`` + ``embargo`` rows before; labels past the end go.
+def calendar_folds(rows: DataFrame, cuts: tuple[int, int, int], purge: int, embargo: int) -> DataFrame:
+    """Rows of train, val and test between the calendar times ``cuts``, which end them.
 
-    ``rows(symbol, ts, target_ts)``.
+    Train and val end ``purge`` rows early, val and test begin ``embargo`` rows late;
+    test rows whose label isn't known before the end go.  ``rows(symbol, ts, target_ts)``.
     """
     rows = numbered(rows)
-    starts = rows.groupBy("symbol").agg(*(F.count_if(F.col("ts") < c).alias(f"_b{i}") for i, c in enumerate(cuts)))
-    folds = F.array(*(F.struct(F.lit(i).alias("fold"), F.col(f"_b{i}").alias("a"), F.col(f"_b{i + 1}").alias("z"), F.lit(cuts[i + 1]).cast("long").alias("end")) for i in range(len(cuts) - 1)))
-    out = rows.join(starts.select("symbol", folds.alias("folds")), "symbol").withColumn("f", F.explode("folds")).select(*rows.columns, "f.*")
-    test = F.col("idx").between(F.col("a"), F.col("z") - 1) & (F.col("target_ts") < F.col("end"))
-    role = F.when(F.col("idx") < F.col("a") - purge - embargo, "train").when(test, "test")
-    return out.withColumn("role", role).where("role is not null").drop("a", "z", "end")
+    every = Window.partitionBy("symbol")
+    rows = rows.withColumns({f"_c{i}": F.count_if(F.col("ts") < c).over(every) for i, c in enumerate(cuts)})
+    i, a, b, c = F.col("idx"), F.col("_c0"), F.col("_c1"), F.col("_c2")
+    role = (
+        F.when(i < F.greatest(a - purge, F.lit(0)), "train")
+        .when((i >= a + embargo) & (i < F.greatest(a + embargo, b - purge)), "val")
+        .when((i >= b + embargo) & (i < c) & (F.col("target_ts") < cuts[2]), "test")
+    )
+    return rows.withColumn("role", role).where("role is not null").drop("_c0", "_c1", "_c2")
+
+
+def calendar_faults(folds: DataFrame, symbols: DataFrame, least: int) -> DataFrame:
+    """``(symbol, rule)``: too few rows in a role, or labels of one that reach into the next; ``folds`` as of :func:`calendar_folds`."""
+    of = lambda r, c: F.when(F.col("role") == r, F.col(c))
+    s = folds.groupBy("symbol").agg(
+        *(F.count(of(r, "ts")).alias(r) for r in ("train", "val", "test")), *(F.max_by(of(r, "target_ts"), of(r, "ts")).alias(f"{r}_end") for r in ("train", "val")), *(F.min(of(r, "ts")).alias(f"{r}_from") for r in ("val", "test"))
+    )
+    s = symbols.select("symbol").distinct().join(s, "symbol", "left").na.fill(0, ["train", "val", "test"])
+    rules = {"coverage": F.least("train", "val", "test") < least, "overlap": F.coalesce((F.col("train_end") >= F.col("val_from")) | (F.col("val_end") >= F.col("test_from")), F.lit(False))}
+    return s.select("symbol", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("rule"))
 
 
 def timeline(rows: DataFrame) -> DataFrame:

@@ -68,11 +68,15 @@ def pf5(spark, d):
 _SRC = "CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size % 7 = 1 THEN 'Mock ' || p_brand WHEN p_size % 7 = 2 THEN 'unknown' WHEN p_size % 7 = 3 THEN p_name || ' FIXTURE' ELSE p_type END"
 
 
-@register("pf6_provenance", f"""WITH s AS (SELECT p_partkey, {_SRC} AS src, p_size % 2 = 0 AS live FROM part)
-SELECT p_partkey, CASE WHEN lower(trim(src)) IN ('', 'unknown') THEN 'rejected' WHEN regexp_matches(lower(src), 'synthetic|fixture|mock') THEN 'synthetic' WHEN live THEN 'live' ELSE 'recorded_real' END AS provenance FROM s""")
+_MODEL = "CASE WHEN p_partkey % 5 = 0 THEN 'Synthetic ' || p_brand WHEN p_partkey % 5 = 1 THEN '' WHEN p_partkey % 5 = 2 THEN 'unknown' WHEN p_partkey % 5 = 3 THEN NULL ELSE p_brand END"
+
+
+@register("pf6_provenance", f"""WITH s AS (SELECT p_partkey, coalesce({_SRC}, '') AS src, coalesce({_MODEL}, '') AS model, p_size % 2 = 0 AS live FROM part)
+SELECT p_partkey, CASE WHEN contains(lower(src), 'synthetic') OR contains(lower(src), 'fixture') OR contains(lower(src), 'mock') OR contains(lower(model), 'synthetic') OR contains(lower(model), 'fixture') OR contains(lower(model), 'mock') THEN 'synthetic'
+  WHEN src = '' OR src = 'unknown' OR model = '' OR model = 'unknown' THEN 'rejected' WHEN live THEN 'live' ELSE 'recorded_real' END AS provenance FROM s""")
 def pf6(spark, d):
-    p = x.table(spark, d, "part").withColumn("src", F.expr(_SRC))
-    return p.select("p_partkey", core.provenance(F.col("src"), F.col("p_size") % 2 == 0).alias("provenance"))
+    p = x.table(spark, d, "part").withColumns({"src": F.expr(_SRC), "model": F.expr(_MODEL)})
+    return p.select("p_partkey", core.provenance(F.col("src"), F.col("model"), F.col("p_size") % 2 == 0).alias("provenance"))
 
 
 _NAME = "CASE WHEN p_size % 5 = 0 THEN p_brand || '.' WHEN p_size % 5 = 1 THEN 'con.' || p_partkey WHEN p_size % 5 = 2 THEN '-' || p_brand WHEN p_size % 5 = 3 THEN replace(p_brand, '#', '_') ELSE 'run.' || p_partkey END"
@@ -94,23 +98,36 @@ def catalog(spark, d):
     return s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_name").alias("symbol"), "name", "exchange")
 
 
-@register("pf8_catalog", f"""WITH c AS ({_CATALOG}), h AS (SELECT * FROM c WHERE instr(lower(concat_ws(' ', symbol, name, exchange)), 'an') > 0 AND exchange = 'ASIA')
-SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY symbol, name, exchange LIMIT 50 OFFSET 2""")
+@register("pf8_catalog", f"""WITH c AS ({_CATALOG}), h AS (SELECT * FROM c WHERE exchange = 'EUROPE' AND contains(lower(symbol || ' ' || name || ' ' || exchange), 'an')),
+m AS (SELECT (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM c) AS catalog_total, (SELECT string_agg(e, ',' ORDER BY e) FROM (SELECT DISTINCT exchange AS e FROM c)) AS exchanges)
+SELECT * FROM m LEFT JOIN (SELECT * FROM h ORDER BY symbol, name, exchange LIMIT 50 OFFSET 0) ON true""")
 def pf8(spark, d):
-    return core.search(catalog(spark, d), ["symbol", "name", "exchange"], "AN", "ASIA", 2, 50)
+    return core.search(catalog(spark, d), ["symbol", "name", "exchange"], " AN ", "EUROPE", 0, 50)
+
+
+@register("pf8_empty_page", f"""WITH c AS ({_CATALOG}) SELECT count(*) FILTER (WHERE contains(lower(symbol || ' ' || name || ' ' || exchange), 'an')) AS total, count(*) AS catalog_total, string_agg(DISTINCT exchange, ',' ORDER BY exchange) AS exchanges,
+  NULL AS symbol, NULL AS name, NULL AS exchange FROM c""")
+def pf8b(spark, d):
+    return core.search(catalog(spark, d), ["symbol", "name", "exchange"], "AN", None, 1_000_000, 50)
+
 
+_PRODUCT = "c_mktsegment || '-' || CASE WHEN c_custkey % 3 = 0 THEN 'usd' WHEN c_custkey % 7 = 0 THEN 'U' ELSE 'USD' END"
 
-@register("pf9_market_catalog", """SELECT c_custkey, c_mktsegment || '-' || CASE WHEN c_custkey % 3 = 0 THEN 'usd' ELSE 'USD' END AS id FROM customer
-WHERE c_acctbal > 0 AND c_nationkey <> 3 AND regexp_matches(c_mktsegment || '-' || CASE WHEN c_custkey % 3 = 0 THEN 'usd' ELSE 'USD' END, '^[A-Z0-9]{2,12}-[A-Z0-9]{2,12}$')""")
+
+@register("pf9_market_catalog", f"""SELECT c_custkey, {_PRODUCT} AS id, CASE WHEN c_custkey % 4 = 0 THEN {_PRODUCT} ELSE c_name END AS name FROM customer
+WHERE c_acctbal > 0 AND c_nationkey <> 3 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND NOT regexp_matches({_PRODUCT}, '[^A-Z0-9-]') AND length(split_part({_PRODUCT}, '-', 1)) > 0 AND length(split_part({_PRODUCT}, '-', 2)) > 0""")
 def pf9(spark, d):
     c = x.table(spark, d, "customer")
     rows = c.select(
         "c_custkey",
-        F.concat("c_mktsegment", F.lit("-"), F.when(F.col("c_custkey") % 3 == 0, "usd").otherwise("USD")).alias("id"),
+        F.expr(_PRODUCT).alias("id"),
         F.when(F.col("c_acctbal") > 0, "online").otherwise("offline").alias("status"),
-        (F.col("c_nationkey") == 3).alias("disabled"),
+        F.when(F.col("c_nationkey") == 3, True).alias("disabled"),
+        F.when(F.col("c_custkey") % 11 != 0, F.col("c_mktsegment")).alias("base"),
+        F.when(F.col("c_custkey") % 13 != 0, "USD").alias("quote"),
+        F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("name"),
     )
-    return core.tradable(rows).select("c_custkey", "id")
+    return core.tradable(rows).select("c_custkey", "id", "name")
 
 
 @register("pf10_model_compat", """WITH m AS (SELECT s_suppkey AS model_id, s_nationkey AS symbol, s_suppkey % 2 AS interval, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 3 END AS source FROM supplier),
@@ -164,23 +181,24 @@ def dq5(spark, d):
 
 
 @register("dq11_candles", """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS symbol, c_acctbal AS a, c_nationkey AS k FROM customer),
-v AS (SELECT symbol, CAST(k AS BIGINT) AS ts, a, [k, a - 1, CASE WHEN k % 5 = 0 THEN a - 2 ELSE a + 1 END, a, a, k]::DOUBLE[] AS candle FROM c)
-SELECT symbol, ts, unnest(list_filter([CASE WHEN len(candle) <> 6 THEN 'length' END, CASE WHEN len(list_filter(candle, lambda y: y < 0)) > 0 THEN 'not finite' END,
-  CASE WHEN candle[2] > least(candle[4], candle[5]) OR candle[3] < greatest(candle[4], candle[5]) THEN 'bounds' END, CASE WHEN candle[6] <= 0 THEN 'no volume' END], lambda r: r IS NOT NULL)) AS rule FROM v""")
+v AS (SELECT symbol, k AS t, CASE WHEN k % 7 = 0 THEN 0 ELSE a - 1 END AS lo, CASE WHEN k % 5 = 0 THEN a - 2 ELSE a + 1 END AS hi, a, CASE WHEN k % 6 = 0 THEN 0 ELSE k END AS vol FROM c)
+SELECT symbol, CAST(t AS BIGINT) AS ts, 'not finite' AS rule FROM v WHERE lo < 0 OR hi < 0 OR a < 0 UNION ALL SELECT symbol, t, 'no time' FROM v WHERE t = 0 UNION ALL SELECT symbol, t, 'no price' FROM v WHERE lo = 0
+UNION ALL SELECT symbol, t, 'bounds' FROM v WHERE lo > a OR hi < a""")
 def dq11(spark, d):
     c = x.table(spark, d, "customer")
     a, k = F.col("c_acctbal"), F.col("c_nationkey").cast("double")
-    candle = F.array(k, a - 1, F.when(F.col("c_nationkey") % 5 == 0, a - 2).otherwise(a + 1), a, a, k)
+    low = F.when(F.col("c_nationkey") % 7 == 0, 0.0).otherwise(a - 1)
+    candle = F.array(k, low, F.when(F.col("c_nationkey") % 5 == 0, a - 2).otherwise(a + 1), a, a, F.when(F.col("c_nationkey") % 6 == 0, 0.0).otherwise(k))
     return dq.candle_rules(c.select(F.col("c_custkey").cast("string").alias("symbol"), candle.alias("candle")))
 
 
 @register("dq12_reference_rates", """WITH r AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, 'EUR' AS base, CASE WHEN o_orderkey % 60 = 0 THEN 'GBP' ELSE 'USD' END AS quote,
-  CASE WHEN o_orderkey % 70 = 0 THEN 0.0 ELSE o_totalprice END AS rate FROM orders WHERE o_custkey % 25 = 1),
+  CASE WHEN o_orderkey % 70 = 0 THEN 0.0 ELSE o_totalprice END AS rate FROM orders),
 n AS (SELECT *, count(*) OVER (PARTITION BY day) AS n, try_cast(day AS DATE) AS dt FROM r)
 SELECT day, unnest(list_filter([CASE WHEN dt IS NULL THEN 'bad date' END, CASE WHEN dt < DATE '1993-01-01' OR dt > DATE '1997-12-31' THEN 'out of range' END, CASE WHEN quote <> 'USD' THEN 'other pair' END,
   CASE WHEN rate <= 0 THEN 'bad rate' END, CASE WHEN n > 1 THEN 'repeated' END], lambda v: v IS NOT NULL)) AS rule FROM n""")
 def dq12(spark, d):
-    o = x.table(spark, d, "orders").where("o_custkey % 25 = 1")
+    o = x.table(spark, d, "orders")
     rows = o.select(
         F.when(F.col("o_orderkey") % 50 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
         F.lit("EUR").alias("base"),
@@ -248,14 +266,14 @@ def j5(spark, d):
     return rounded(joins.outcomes(s, x.hourly_bars(spark, d), 3))
 
 
-@register("j6_matched_outcomes", """WITH d AS (SELECT event_id AS decision_id, CAST(floor(epoch(ts)) AS BIGINT) AS as_of, value AS predicted FROM events WHERE event_id % 3 = 0),
-f AS (SELECT event_id - event_id % 2 AS decision_id, CAST(floor(epoch(ts)) AS BIGINT) - CASE WHEN event_id % 4 = 0 THEN 10 ELSE 0 END AS observed_ts, CASE WHEN event_id % 5 > 0 THEN value END AS realized FROM events WHERE event_id % 7 < 2),
+@register("j6_matched_outcomes", """WITH d AS (SELECT event_id AS decision_id, CAST(floor(epoch(ts)) AS BIGINT) AS as_of, value AS predicted FROM events),
+f AS (SELECT CASE WHEN event_id % 7 = 3 THEN -event_id - 1 ELSE event_id - CASE WHEN event_id % 6 = 1 THEN 1 ELSE 0 END END AS decision_id, CAST(floor(epoch(ts)) AS BIGINT) - CASE WHEN event_id % 4 = 0 THEN 10 ELSE 0 END AS observed_ts, CASE WHEN event_id % 5 > 0 THEN value END AS realized FROM events),
 j AS (SELECT f.*, d.as_of, d.predicted, count(*) OVER (PARTITION BY f.decision_id) AS n FROM f LEFT JOIN d USING (decision_id))
 SELECT decision_id, observed_ts, realized, as_of, predicted, CASE WHEN as_of IS NULL THEN 'orphan' WHEN n > 1 THEN 'duplicate' WHEN observed_ts <= as_of THEN 'early' WHEN realized IS NULL THEN 'not finite' ELSE 'ok' END AS verdict FROM j""")
 def j6(spark, d):
     e = x.table(spark, d, "events").withColumn("t", x.seconds("ts"))
-    dec = e.where("event_id % 3 = 0").selectExpr("event_id AS decision_id", "t AS as_of", "value AS predicted")
-    found = e.where("event_id % 7 < 2").selectExpr("event_id - event_id % 2 AS decision_id", "t - CASE WHEN event_id % 4 = 0 THEN 10 ELSE 0 END AS observed_ts", "CASE WHEN event_id % 5 > 0 THEN value END AS realized")
+    dec = e.selectExpr("event_id AS decision_id", "t AS as_of", "value AS predicted")
+    found = e.selectExpr("CASE WHEN event_id % 7 = 3 THEN -event_id - 1 ELSE event_id - CASE WHEN event_id % 6 = 1 THEN 1 ELSE 0 END END AS decision_id", "t - CASE WHEN event_id % 4 = 0 THEN 10 ELSE 0 END AS observed_ts", "CASE WHEN event_id % 5 > 0 THEN value END AS realized")
     return joins.match_outcomes(dec, found)
 
 
@@ -280,21 +298,26 @@ def j8b(spark, d):
     return bars.groupBy("symbol").agg(F.count("*").alias("n")).join(keep, "symbol", "left").select("symbol", (F.col("n") - F.coalesce("k", F.lit(0))).alias("excluded"))
 
 
-@register("j9_splice", f"""WITH {BARS}, cut AS (SELECT max(ts) - 86400 AS t FROM bars), live AS (SELECT symbol, ts, close, avail_ts FROM bars, cut WHERE ts >= t AND symbol <> 'view'),
-fst AS (SELECT symbol, min(ts) AS t, min(avail_ts) AS a FROM live GROUP BY 1)
-SELECT symbol, ts, close + 1 AS close FROM bars LEFT JOIN fst USING (symbol) WHERE t IS NULL OR (ts < t AND avail_ts < a) UNION ALL SELECT symbol, ts, close FROM live""")
+@register("j9_splice", f"""WITH {BARS}, cut AS (SELECT max(ts) - 86400 AS t FROM bars), live AS (SELECT symbol, ts, close, avail_ts FROM bars, cut WHERE ts >= t AND symbol <> 'view' AND NOT (symbol = 'click' AND ts < t + 14400)),
+fst AS (SELECT symbol, min(ts) AS t, min(avail_ts) AS a FROM live GROUP BY 1), old AS (SELECT symbol, ts, close + 1 AS close, t FROM bars LEFT JOIN fst USING (symbol) WHERE t IS NULL OR (ts < t AND avail_ts < a AND NOT (symbol = 'click' AND ts > t - 14400))),
+joins AS (SELECT symbol, any_value(t) - max(ts) = 3600 AS ok FROM old WHERE t IS NOT NULL GROUP BY 1)
+SELECT symbol, ts, close FROM old LEFT JOIN joins USING (symbol) WHERE t IS NULL OR ok UNION ALL SELECT symbol, ts, close FROM live""")
 def j9(spark, d):
-    bars = x.hourly_bars(spark, d).select("symbol", "ts", "close", "avail_ts")
-    cut = (bars.agg(F.max("ts")).first()[0] or 0) - 86400
-    live = bars.where((F.col("ts") >= cut) & (F.col("symbol") != "view"))
-    return joins.splice(bars.withColumn("close", F.col("close") + 1), live).select("symbol", "ts", "close")
+    bars = x.hourly_bars(spark, d).select("symbol", "ts", "close", "avail_ts").join(F.broadcast(x.hourly_bars(spark, d).agg((F.max("ts") - 86400).alias("t"))))
+    late = (F.col("symbol") == "click") & (F.col("ts") < F.col("t") + 14400)
+    live = bars.where((F.col("ts") >= F.col("t")) & (F.col("symbol") != "view") & ~late).drop("t")
+    history = bars.withColumn("close", F.col("close") + 1).where(~((F.col("symbol") == "click") & (F.col("ts") > F.col("t")))).drop("t")
+    return joins.splice(history, live, 3600).select("symbol", "ts", "close")
+
+
+_RAW = "CASE n_nationkey % 7 WHEN 1 THEN 'TECH' WHEN 2 THEN 'Fin' WHEN 3 THEN 'reit' WHEN 4 THEN 'Telecom' WHEN 5 THEN 'Staples' WHEN 6 THEN r_name END"
 
 
-@register("j10_sectors", """SELECT s_suppkey, CASE WHEN n_nationkey IS NULL OR n_nationkey % 4 = 0 THEN 'Unassigned' WHEN n_nationkey % 4 = 1 THEN 'Technology' ELSE r_name END AS sector
+@register("j10_sectors", f"""SELECT s_suppkey, CASE n_nationkey % 7 WHEN 1 THEN 'Technology' WHEN 2 THEN 'Financials' WHEN 3 THEN 'RealEstate' WHEN 4 THEN 'CommunicationServices' WHEN 5 THEN 'ConsumerStaples' WHEN 6 THEN lower(r_name) ELSE 'Unassigned' END AS sector
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def j10(spark, d):
-    n = x.nations(spark, d)
-    m = n.where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("symbol"), F.when(F.col("n_nationkey") % 4 == 1, F.lit(" Tech")).otherwise(F.col("sector")).alias("sector"))
+    n = x.nations(spark, d).withColumnRenamed("sector", "r_name")
+    m = n.where("n_nationkey % 7 > 0").select(F.col("n_nationkey").alias("symbol"), F.expr(_RAW).alias("sector"))
     s = x.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("symbol"))
     return joins.with_sector(s, m).select("s_suppkey", "sector")
 
@@ -375,11 +398,13 @@ def so4(spark, d):
 
 
 @register("sp8_downsample", f"""WITH {BARS}, i AS (SELECT *, row_number() OVER ({W}) - 1 AS idx, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
-b AS (SELECT symbol, arg_min(idx, (close, idx)) AS lo, arg_max(idx, (close, idx)) AS hi, any_value(n) AS n FROM i WHERE n > 100 GROUP BY symbol, floor(idx * 49 / n)),
-k AS (SELECT symbol, lo AS idx FROM b UNION SELECT symbol, hi FROM b UNION SELECT symbol, 0 FROM b UNION SELECT symbol, n - 1 FROM b UNION SELECT symbol, idx FROM i WHERE n <= 100)
-SELECT symbol, ts, close, idx FROM i JOIN k USING (symbol, idx)""")
+k AS (SELECT DISTINCT symbol, n FROM i WHERE n > 100), b AS (SELECT symbol, n, 1 + t * (n - 2) // 24 AS a, 1 + (t + 1) * (n - 2) // 24 AS z FROM k, range(24) r(t)),
+e AS (SELECT b.symbol, b.a, v.v, v.idx FROM b JOIN (SELECT symbol, idx, unnest([close, volume::DOUBLE]) AS v, unnest(['close', 'volume']) AS c FROM i) v ON v.symbol = b.symbol AND v.idx >= b.a AND v.idx < b.z, LATERAL (SELECT v.c) c(c)
+  QUALIFY row_number() OVER (PARTITION BY b.symbol, b.a, c.c ORDER BY v.v, v.idx) = 1 OR row_number() OVER (PARTITION BY b.symbol, b.a, c.c ORDER BY v.v DESC, v.idx DESC) = 1),
+s AS (SELECT symbol, idx FROM e UNION SELECT symbol, 0 FROM k UNION SELECT symbol, n - 1 FROM k UNION SELECT symbol, idx FROM i WHERE n <= 100)
+SELECT symbol, ts, close, idx FROM i JOIN s USING (symbol, idx)""")
 def sp8(spark, d):
-    out = core.downsample(x.hourly_bars(spark, d), "close", 100)
+    out = core.downsample(x.hourly_bars(spark, d), ["close", "volume"], 100)
     return out.select("symbol", "ts", "close", F.col("idx").cast("long").alias("idx"))
 
 

@@ -100,7 +100,9 @@ def w10(spark, d):
     return rounded(f.rolling_volatility(x.hourly_bars(spark, d), 20, f.HOURS_A_YEAR).select("symbol", "ts", "volatility"))
 
 
-@register("w15_full_ema")
+@register("w15_full_ema", f"""WITH RECURSIVE {BARS}, i AS (SELECT symbol, ts, close, row_number() OVER ({W}) AS i, avg(close) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS m FROM bars),
+e AS (SELECT symbol, ts, i, m AS ema FROM i WHERE i = 12 UNION ALL SELECT i.symbol, i.ts, i.i, e.ema + 2 / 13.0::DOUBLE * (i.close - e.ema) FROM e JOIN i ON i.symbol = e.symbol AND i.i = e.i + 1)
+SELECT symbol, ts, round(ema, 6) AS ema FROM e""")
 def w15(spark, d):
     return rounded(f.full_ema(x.hourly_bars(spark, d), 12))
 
@@ -190,13 +192,14 @@ def w23(spark, d):
     return rounded(f.rank_normal(_values(spark, d)))
 
 
-@register("w24_top_bottom", f"""WITH {PREDICTIONS}, s AS (SELECT symbol, as_of, value AS expected_return, 0.5::DOUBLE AS confidence,
-  row_number() OVER (PARTITION BY as_of ORDER BY value DESC, symbol) - 1 AS k, count(*) OVER (PARTITION BY as_of) AS n FROM predictions),
-t AS (SELECT *, CASE WHEN k < 1 AND expected_return > 0 THEN 1 WHEN k >= greatest(n - 1, 0) AND expected_return < 0 THEN -1 ELSE 0 END AS direction FROM s)
-SELECT symbol, as_of, direction, CASE WHEN direction = 0 THEN 0.0::DOUBLE ELSE round(expected_return, 6) END AS expected_return, CASE WHEN direction = 0 THEN 0.0::DOUBLE ELSE confidence END AS confidence FROM t""")
+@register("w24_top_bottom", f"""WITH {PREDICTIONS}, s AS (SELECT symbol, as_of, round(value, 2) AS expected_return, 0.5::DOUBLE AS confidence, -ascii(symbol) * 1000 - length(symbol) AS seq FROM predictions),
+k AS (SELECT *, (SELECT count(*) FROM s o WHERE o.as_of = s.as_of AND (o.expected_return > s.expected_return OR o.expected_return = s.expected_return AND o.seq < s.seq)) AS k, (SELECT count(*) FROM s o WHERE o.as_of = s.as_of) AS n FROM s),
+t AS (SELECT *, CASE WHEN k < least(2, n) AND expected_return > 0 THEN 1 WHEN k >= greatest(n - 2, 0) AND expected_return < 0 THEN -1 ELSE 0 END AS direction FROM k)
+SELECT symbol, as_of, direction, CASE WHEN direction = 0 THEN 0.0::DOUBLE ELSE expected_return END AS expected_return, CASE WHEN direction = 0 THEN 0.0::DOUBLE ELSE confidence END AS confidence FROM t""")
 def w24(spark, d):
-    rows = predictions(spark, d).select("symbol", "as_of", F.col("value").alias("expected_return"), F.lit(0.5).alias("confidence"))
-    return rounded(f.top_bottom(rows, 1, 1))
+    seq = -F.ascii("symbol") * 1000 - F.length("symbol")
+    rows = predictions(spark, d).select("symbol", "as_of", F.round("value", 2).alias("expected_return"), F.lit(0.5).alias("confidence"), seq.alias("seq"))
+    return rounded(f.top_bottom(rows, 2, 2).drop("seq"))
 
 
 def predictions(spark, d):

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions.taps import fracdiff_taps
 from ..operators import core, dq, joins, metrics, splits
 from ..operators import features as f
 from ..sources import fixtures as x
@@ -44,17 +45,31 @@ def sp3(spark, d):
     return splits.inner(rows, 5, 8).groupBy("symbol", F.col("fold").cast("long").alias("fold"), "inner_role").agg(F.count("*").alias("n"), F.min("ts").alias("from_ts"))
 
 
-@register("sp4_calendar_folds", f"""WITH {BARS}, t AS (SELECT symbol, avail_ts AS ts, lead(avail_ts) OVER ({W}) AS target_ts FROM bars), u AS (SELECT * FROM t WHERE target_ts IS NOT NULL),
+_CF = f"""{BARS}, t AS (SELECT symbol, avail_ts AS ts, lead(avail_ts) OVER ({W}) AS target_ts FROM bars), u AS (SELECT * FROM t WHERE target_ts IS NOT NULL),
 c AS (SELECT (min(ts) // 86400 + 3) * 86400 AS c0, (min(ts) // 86400 + 8) * 86400 AS c1, (min(ts) // 86400 + 14) * 86400 AS c2 FROM bars),
-i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM u),
-b AS (SELECT symbol, 0 AS fold, count(*) FILTER (WHERE ts < c0) AS a, count(*) FILTER (WHERE ts < c1) AS z, any_value(c1) AS e FROM i, c GROUP BY 1 UNION ALL SELECT symbol, 1, count(*) FILTER (WHERE ts < c1), count(*) FILTER (WHERE ts < c2), any_value(c2) FROM i, c GROUP BY 1),
-r AS (SELECT i.symbol, fold, ts, CASE WHEN idx < a - 13 THEN 'train' WHEN idx >= a AND idx < z AND target_ts < e THEN 'test' END AS role FROM i JOIN b USING (symbol))
-SELECT symbol, fold, role, count(*) AS n, min(ts) AS from_ts, max(ts) AS to_ts FROM r WHERE role IS NOT NULL GROUP BY ALL""")
+i AS (SELECT symbol, ts, target_ts, c2, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM u, c),
+k AS (SELECT symbol, count(*) FILTER (WHERE ts < c0) AS k0, count(*) FILTER (WHERE ts < c1) AS k1, count(*) FILTER (WHERE ts < c2) AS k2 FROM u, c GROUP BY 1),
+folds AS (SELECT i.symbol, ts, target_ts, 'train' AS role FROM i JOIN k USING (symbol) WHERE idx < greatest(0, k0 - 5)
+  UNION ALL SELECT i.symbol, ts, target_ts, 'val' FROM i JOIN k USING (symbol) WHERE idx >= k0 + 8 AND idx < greatest(k0 + 8, k1 - 5)
+  UNION ALL SELECT i.symbol, ts, target_ts, 'test' FROM i JOIN k USING (symbol) WHERE idx >= k1 + 8 AND idx < k2 AND target_ts < c2)"""
+
+
+@register("sp4_calendar_folds", f"WITH {_CF} SELECT symbol, role, count(*) AS n, min(ts) AS from_ts, max(ts) AS to_ts FROM folds GROUP BY ALL")
 def sp4(spark, d):
+    return calendar(spark, d).groupBy("symbol", "role").agg(F.count("*").alias("n"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
+
+
+def calendar(spark, d):
     bars = x.hourly_bars(spark, d)
     day = (bars.agg(F.min("ts")).first()[0] or 0) // 86400
-    rows = splits.calendar_folds(f.targets(bars).select("symbol", "ts", "target_ts"), [(day + k) * 86400 for k in (3, 8, 14)], 5, 8)
-    return rows.groupBy("symbol", "fold", "role").agg(F.count("*").alias("n"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
+    return splits.calendar_folds(f.targets(bars).select("symbol", "ts", "target_ts"), tuple((day + k) * 86400 for k in (3, 8, 14)), 5, 8)
+
+
+@register("sp4_calendar_faults", f"""WITH {_CF}, n AS (SELECT s.symbol, (SELECT count(*) FROM folds f WHERE f.symbol = s.symbol AND f.role = r.role) AS n FROM (SELECT DISTINCT symbol FROM bars) s, (VALUES ('train'), ('val'), ('test')) r(role)),
+o AS (SELECT a.symbol FROM folds a JOIN folds b ON a.symbol = b.symbol AND (a.role, b.role) IN (('train', 'val'), ('val', 'test')) GROUP BY a.symbol, a.role HAVING arg_max(a.target_ts, a.ts) >= min(b.ts))
+SELECT symbol, 'coverage' AS rule FROM n GROUP BY symbol HAVING min(n) < 105 UNION ALL SELECT DISTINCT symbol, 'overlap' FROM o""")
+def sp4b(spark, d):
+    return splits.calendar_faults(calendar(spark, d), x.hourly_bars(spark, d), 105)
 
 
 @register("sp5_timeline", f"""WITH {BARS}, {_HOLD}, r AS (SELECT symbol, role, min(idx) AS first, max(idx) AS last FROM hold WHERE role IS NOT NULL GROUP BY ALL),
@@ -128,13 +143,16 @@ def a5(spark, d):
     return rounded(out.withColumns({c: F.round(c, 4) for c in ("var_95", "cvar_95", "annual_vol")}))
 
 
-@register("a6_factor_exposure", f"""WITH {_R}, b AS (SELECT symbol, ts, ret, avg(ret) OVER (PARTITION BY ts) AS benchmark FROM ret WHERE ret IS NOT NULL)
-SELECT symbol, round(covar_samp(ret, benchmark) / var_samp(benchmark), 6) AS market, 1.0::DOUBLE AS gross_leverage FROM b GROUP BY 1""")
+@register("a6_factor_exposure", f"""WITH {_R}, b AS (SELECT symbol, ts, ret, avg(ret) OVER (PARTITION BY ts) AS benchmark FROM ret WHERE ret IS NOT NULL),
+g AS (SELECT symbol, arg_max(close, ts) * 3.0 AS held FROM bars GROUP BY 1)
+SELECT symbol, round(covar_samp(ret, benchmark) / var_samp(benchmark), 6) AS market, round(any_value(held) / (any_value(held) + 50.0), 6) AS gross_leverage FROM b JOIN g USING (symbol) GROUP BY 1""")
 def a6(spark, d):
     r = returns(spark, d).withColumn("benchmark", F.avg("ret").over(f.Window.partitionBy("ts")))
     nav = nav_curve(spark, d).groupBy("symbol").agg(F.max_by("nav", "ts").alias("nav"))
-    risk = metrics.risk(r, nav, P).withColumn("exposure", F.create_map(F.lit("market"), F.col("beta"), F.lit("gross_leverage"), F.lit(1.0)))
-    return rounded(risk.select("symbol", F.col("exposure")["market"].alias("market"), F.col("exposure")["gross_leverage"].alias("gross_leverage")))
+    held = x.hourly_bars(spark, d).groupBy("symbol").agg(F.max_by("close", "ts").alias("price")).select("symbol", F.lit(0).alias("ts"), F.lit(3.0).alias("quantity"), "price")
+    book = metrics.exposures(held, held.select("symbol", "ts", F.lit(50.0).alias("cash")))
+    out = metrics.factor_exposure(metrics.risk(r, nav, P), book)
+    return rounded(out.select("symbol", F.col("exposure")["market"].alias("market"), F.col("exposure")["gross_leverage"].alias("gross_leverage")))
 
 
 @register("a7_stress", """WITH b AS (SELECT c_nationkey AS symbol, sum(abs(c_acctbal)) AS nav, sum(c_acctbal) AS net_value FROM customer GROUP BY 1)
@@ -183,26 +201,32 @@ _FC = f"""{_PT}, r AS (SELECT *, tanh(pred) * target AS ret FROM pt), e AS (SELE
 dd AS (SELECT *, e / max(e) OVER ({W} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)"""
 
 
-@register("a11_forecast", f"""WITH {_FC} SELECT symbol, round(corr(pred, target), 6) AS ic, round(avg(CASE WHEN target <> 0 THEN CASE WHEN sign(pred) = sign(target) THEN 1.0 ELSE 0.0 END END), 6) AS accuracy,
-  round(avg(ret) / stddev_pop(ret) * {SQ}, 6) AS sharpe, round(min(dd), 6) AS max_drawdown, round(avg(ret), 6) AS mean_return, round(stddev_pop(ret), 6) AS volatility FROM dd GROUP BY 1""")
+_REPORT = """SELECT symbol, round(corr(pred, target), 6) AS ic, round(corr(ra, rb), 6) AS rank_ic, round(avg(CASE WHEN target <> 0 THEN CASE WHEN sign(pred) = sign(target) THEN 1.0 ELSE 0.0 END END), 6) AS accuracy,
+  round((avg(ret) - 0.04 / {p}) / stddev_pop(ret) * {sq}, 6) AS sharpe, round(min(dd), 6) AS max_drawdown, round(avg(ret), 6) AS mean_return, round(stddev_pop(ret) * {sq}, 6) AS volatility FROM dd GROUP BY 1""".format(p=P, sq=SQ)
+_RK = """k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY pred) + (count(*) OVER (PARTITION BY symbol, pred) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY symbol ORDER BY target) + (count(*) OVER (PARTITION BY symbol, target) - 1) / 2.0::DOUBLE AS rb FROM q),
+r AS (SELECT *, tanh(pred) * target AS ret FROM k), e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS e FROM r),
+dd AS (SELECT *, e / max(e) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)"""
+
+
+@register("a11_forecast", f"WITH {_PT}, q AS (SELECT * FROM pt), {_RK} {_REPORT}")
 def a11(spark, d):
     return rounded(metrics.forecast(pairs(spark, d), P))
 
 
-@register("ml6_pooled_forecast", f"""WITH {_PT}, q AS (SELECT 'momentum' AS symbol, ts * 16 + (ascii(symbol) % 16) AS ts, pred, target FROM pt), r AS (SELECT *, tanh(pred) * target AS ret FROM q)
-SELECT symbol, round(corr(pred, target), 6) AS ic, round(avg(ret) / stddev_pop(ret) * {SQ}, 5) AS sharpe, round(avg(ret), 6) AS mean_return FROM r GROUP BY 1""")
+@register("ml6_pooled_forecast", f"WITH {_PT}, q AS (SELECT 'momentum' AS symbol, ts * 16 + (ascii(symbol) % 16) AS ts, pred, target FROM pt), {_RK} {_REPORT}")
 def ml6(spark, d):
     rows = pairs(spark, d).select(F.lit("momentum").alias("symbol"), (F.col("ts") * 16 + F.ascii("symbol") % 16).alias("ts"), "pred", "target")
-    out = metrics.forecast(rows, P)
-    return out.select("symbol", F.round("ic", 6).alias("ic"), F.round("sharpe", 5).alias("sharpe"), F.round("mean_return", 6).alias("mean_return"))
+    return rounded(metrics.forecast(rows, P))
 
 
-@register("a13_hac", f"""WITH {_R}, x AS (SELECT symbol, ts, ret, count(*) OVER (PARTITION BY symbol) AS n, avg(ret) OVER (PARTITION BY symbol) AS m FROM ret WHERE ret IS NOT NULL),
-d AS (SELECT *, ret - m AS d FROM x), l AS (SELECT *, d * lag(d, 1) OVER ({W}) AS p1, d * lag(d, 2) OVER ({W}) AS p2, d * lag(d, 3) OVER ({W}) AS p3, d * lag(d, 4) OVER ({W}) AS p4, d * lag(d, 5) OVER ({W}) AS p5 FROM d),
-v AS (SELECT symbol, max(n) AS n, max(m) AS mean, (sum(d * d) + 2.0 * (5 / 6.0 * sum(p1) + 4 / 6.0 * sum(p2) + 3 / 6.0 * sum(p3) + 2 / 6.0 * sum(p4) + 1 / 6.0 * sum(p5))) / max(n) AS var FROM l GROUP BY 1)
-SELECT symbol, n, round(mean, 6) AS mean, round(CASE WHEN var > 0 THEN mean / sqrt(var / n) END, 5) AS t FROM v""")
+@register("a13_hac", f"""WITH {_R}, g AS (SELECT symbol, ts, CASE WHEN symbol = 'click' AND ts % 7200 = 0 OR symbol = 'view' AND ts > (SELECT min(ts) FROM bars) + 25200 THEN NULL ELSE ret END AS ret FROM ret),
+x AS (SELECT symbol, row_number() OVER ({W}) AS i, ret - avg(ret) OVER (PARTITION BY symbol) AS d, avg(ret) OVER (PARTITION BY symbol) AS m, count(*) OVER (PARTITION BY symbol) AS n FROM g WHERE ret IS NOT NULL),
+v AS (SELECT a.symbol, any_value(a.n) AS n, any_value(a.m) AS mean, sum(CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (a.i - b.i) / 6.0::DOUBLE) END * a.d * b.d) / any_value(a.n) AS var FROM x a JOIN x b ON a.symbol = b.symbol AND a.i - b.i BETWEEN 0 AND 5 GROUP BY 1)
+SELECT symbol, n, round(mean, 6) AS mean, round(CASE WHEN n > 7 AND var > 0 THEN mean / sqrt(var / n) END, 5) AS t FROM v""")
 def a13(spark, d):
-    out = metrics.hac_t(returns(spark, d), "ret")
+    r = returns(spark, d).join(F.broadcast(x.hourly_bars(spark, d).agg(F.min("ts").alias("t0"))))
+    gone = ((F.col("symbol") == "click") & (F.col("ts") % 7200 == 0)) | ((F.col("symbol") == "view") & (F.col("ts") > F.col("t0") + 25200))
+    out = metrics.hac_t(r.withColumn("ret", F.when(~gone, F.col("ret"))).drop("t0"), "ret")
     return out.select("symbol", "n", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"))
 
 
@@ -220,18 +244,20 @@ def a15(spark, d):
 
 
 @register("a16_losses", f"""WITH {_PT}, e AS (SELECT *, abs(pred - target) AS e, tanh(pred) * target AS r FROM pt)
-SELECT symbol, round(avg(CASE WHEN e <= 1 THEN 0.5 * e * e ELSE e - 0.5 END * CASE WHEN pred * target < 0 THEN 2.0 ELSE 1.0 END), 6) AS directional, round(-avg(r) / (stddev_samp(r) + 1e-8::DOUBLE), 5) AS neg_sharpe,
-  round(-avg(r) / (sqrt(avg(least(r, 0.0) ** 2)) + 1e-8::DOUBLE), 5) AS neg_sortino FROM e GROUP BY 1""")
+SELECT symbol, round(avg(CASE WHEN e <= 1 THEN 0.5 * e * e ELSE e - 0.5 END * CASE WHEN pred * target < 0 THEN 2.0 ELSE 1.0 END), 6) AS directional, round(-avg(r) / (stddev_samp(r) + 1e-6::DOUBLE), 5) AS neg_sharpe,
+  round(-avg(r) / sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END) + 1e-6::DOUBLE), 5) AS neg_sortino FROM e GROUP BY 1""")
 def a16(spark, d):
     out = metrics.losses(pairs(spark, d))
     return out.select("symbol", F.round("directional", 6).alias("directional"), F.round("neg_sharpe", 5).alias("neg_sharpe"), F.round("neg_sortino", 5).alias("neg_sortino"))
 
 
-@register("a16_multi_horizon", f"""WITH {BARS}, t AS (SELECT symbol, ts, ln(lead(close, 1) OVER w / close) AS h1, ln(lead(close, 5) OVER w / close) AS h5, ln(lead(close, 20) OVER w / close) AS h20 FROM bars WINDOW w AS ({W}))
-SELECT symbol, round(avg((0.5 * (0.01 - h1) ** 2 + 0.3 * (0.02 - h5) ** 2 + 0.2 * (0.03 - h20) ** 2) / 1.0), 6) AS loss FROM t WHERE h20 IS NOT NULL GROUP BY 1""")
+@register("a16_multi_horizon", f"""WITH {BARS}, t AS (SELECT symbol, ts, ln(lead(close, 1) OVER w / close) AS h1, ln(lead(close, 5) OVER w / close) AS h5, ln(lead(close, 20) OVER w / close) AS h20 FROM bars WINDOW w AS ({W})),
+l AS (SELECT symbol, unnest([5.0, 3.0, 2.0])::DOUBLE / 10 AS w, unnest([0.01, 0.02, 0.03])::DOUBLE AS p, unnest([h1, h5, h20]) AS y FROM t WHERE h20 IS NOT NULL),
+d AS (SELECT symbol, w, CASE WHEN abs(p - y) <= 1 THEN (p - y) ** 2 / 2 ELSE abs(p - y) - 0.5 END * CASE WHEN p * y < 0 THEN 2 ELSE 1 END AS loss FROM l), h AS (SELECT symbol, w, avg(loss) AS loss FROM d GROUP BY 1, 2)
+SELECT symbol, round(sum(w * loss), 6) AS loss FROM h GROUP BY 1""")
 def a16m(spark, d):
     rows = f.multi_targets(x.hourly_bars(spark, d)).withColumn("preds", F.array(F.lit(0.01), F.lit(0.02), F.lit(0.03)))
-    return rounded(metrics.multi_horizon_loss(rows, [0.5, 0.3, 0.2]))
+    return rounded(metrics.multi_horizon_loss(rows, [5.0, 3.0, 2.0]))
 
 
 _DIST = "max(CASE WHEN k = floor((n - 1) * {p} + 0.5) + 1 THEN v END)"
@@ -283,49 +309,94 @@ def a19(spark, d):
     return rounded(metrics.ks(e.where("label = 0"), e.where("label <> 0")))
 
 
-@register("a20_drift", f"""WITH {_PT}, dec AS (SELECT symbol AS dataset, ts AS as_of, pred AS predicted, target AS realized FROM pt QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 100),
-cur AS (SELECT dataset, predicted AS value FROM dec), ref AS (SELECT symbol AS dataset, pred AS value FROM pt QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts) <= 150),
-c AS (SELECT dataset, value, sum(a) AS a, sum(b) AS b FROM (SELECT dataset, value, 0 AS a, 1 AS b FROM cur UNION ALL SELECT dataset, value, 1, 0 FROM ref) GROUP BY 1, 2),
-k AS (SELECT dataset, max(abs(sa / ta - sb / tb)) AS max_ks FROM (SELECT dataset, sum(a) OVER w::DOUBLE AS sa, sum(b) OVER w::DOUBLE AS sb, sum(a) OVER p::DOUBLE AS ta, sum(b) OVER p::DOUBLE AS tb FROM c
-  WINDOW w AS (PARTITION BY dataset ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY dataset)) GROUP BY 1),
+@register("a20_drift", f"""WITH {_PT}, lg AS (SELECT symbol AS dataset, ts AS as_of, pred AS predicted, target AS realized, ts AS seq FROM pt WHERE ts % 10800 > 0 AND NOT (symbol = 'view' AND ts > (SELECT min(ts) FROM bars) + 90000)),
+dec AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY seq DESC) <= 100),
+ref AS (SELECT symbol AS dataset, pred AS value FROM pt QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts) <= 150),
+pts AS (SELECT dataset, predicted AS v FROM dec UNION SELECT dataset, value FROM ref WHERE dataset IN (SELECT dataset FROM dec)),
+k AS (SELECT dataset, max(abs((SELECT count(*) FROM ref r WHERE r.dataset = pts.dataset AND r.value <= pts.v) / (SELECT count(*) FROM ref r WHERE r.dataset = pts.dataset)::DOUBLE
+  - (SELECT count(*) FROM dec d WHERE d.dataset = pts.dataset AND d.predicted <= pts.v) / (SELECT count(*) FROM dec d WHERE d.dataset = pts.dataset)::DOUBLE)) AS max_ks FROM pts GROUP BY 1),
 q AS (SELECT dataset, count(*) AS n, corr(predicted, realized) AS ic, avg(CASE WHEN (predicted < 0) = (realized < 0) THEN 1.0 ELSE 0.0 END) AS hit_rate FROM dec GROUP BY 1)
-SELECT dataset, n, round(max_ks, 6) AS max_ks, round(ic, 6) AS ic, round(hit_rate, 6) AS hit_rate, CASE WHEN n < 100 THEN 'insufficient' WHEN max_ks >= 0.4 THEN 'halt' WHEN max_ks >= 0.2 THEN 'warn' ELSE 'ok' END AS status FROM q JOIN k USING (dataset)""")
+SELECT dataset, n, n AS outcomes, round(max_ks, 6) AS max_ks, round(ic, 6) AS ic, round(hit_rate, 6) AS hit_rate, CASE WHEN n < 100 THEN 'insufficient_data' WHEN max_ks >= 0.4 THEN 'halt' WHEN max_ks >= 0.2 THEN 'warn' ELSE 'ok' END AS status FROM q JOIN k USING (dataset)""")
 def a20(spark, d):
-    p = pairs(spark, d).withColumn("decision_id", F.struct("symbol", "ts"))
-    dec = p.select(F.col("symbol").alias("dataset"), F.col("ts").alias("as_of"), F.col("ts").alias("seq"), "decision_id", F.col("pred").alias("predicted"), F.create_map(F.lit("momentum"), F.col("pred")).alias("features"))
+    p = pairs(spark, d).withColumn("decision_id", F.struct("symbol", "ts")).join(F.broadcast(x.hourly_bars(spark, d).agg(F.min("ts").alias("t0"))))
+    kinds = F.when(F.col("ts") % 10800 == 0, "synthetic").when(F.col("ts") % 10800 == 3600, "live").otherwise("recorded_real")
+    model = F.when((F.col("symbol") == "view") & (F.col("ts") > F.col("t0") + 90000), "other").otherwise("momentum")
+    dec = p.select(F.col("symbol").alias("dataset"), F.col("ts").alias("as_of"), F.col("ts").alias("seq"), "decision_id", kinds.alias("provenance"), model.alias("model"), F.col("pred").alias("predicted"), F.create_map(F.lit("momentum"), F.col("pred")).alias("features"))
     out = p.select("decision_id", F.col("target").alias("realized"))
     first = p.withColumn("k", F.row_number().over(f.by_symbol())).where("k <= 150")
     ref = first.select(F.col("symbol").alias("dataset"), F.lit("momentum").alias("feature"), F.col("pred").alias("value"))
-    return rounded(metrics.monitor(dec, out, ref))
+    return rounded(metrics.monitor(dec, out, ref, identity={"model": "momentum"}))
+
 
+def _conf(score: str) -> str:
+    return f"""{_PT}, sp AS (SELECT *, abs(target - pred) AS residual, 0.01 + abs(pred) * 2 AS sigma FROM pt), sc AS (SELECT *, {score} AS score FROM sp),
+n AS (SELECT symbol, count(*) AS n, avg(residual) AS mean_residual, median(residual) AS median_residual, list_sort(list(score)) AS l FROM sc GROUP BY 1 HAVING count(*) >= 10),
+q AS (SELECT symbol, n, mean_residual, median_residual, l[CAST(ceil(least(1.0, ceil((n + 1) * 0.9::DOUBLE) / n) * (n - 1)) AS BIGINT) + 1] AS q FROM n)"""
 
-_CONF = f"""{_PT}, s AS (SELECT *, abs(target - pred) AS score, row_number() OVER (PARTITION BY symbol ORDER BY abs(target - pred), ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM pt),
-q AS (SELECT symbol, max(CASE WHEN k = ceil(least(ceil((n + 1) * 0.9) / n, 1.0) * (n - 1)) + 1 THEN score END) AS q, avg(score) AS mean_score, median(score) AS median_score, count(*) AS n FROM s WHERE n >= 10 GROUP BY 1)"""
 
+_ADAPT = "residual / greatest(sigma, 1e-6)"
 
-@register("a21_conformal", f"WITH {_CONF} SELECT symbol, {rnd('q mean_score median_score')}, n FROM q")
+
+@register("a21_conformal", f"WITH {_conf('residual')} SELECT symbol, {rnd('q mean_residual median_residual')}, n FROM q")
 def a21(spark, d):
     return rounded(metrics.conformal(pairs(spark, d), 0.1))
 
 
-_INT = f"""{_CONF}, i AS (SELECT pt.*, q, pred - q AS lower, pred + q AS upper FROM pt JOIN q USING (symbol))"""
+def spread(spark, d):
+    return pairs(spark, d).withColumn("sigma", 0.01 + F.abs("pred") * 2)
+
 
+@register("a21_adaptive", f"WITH {_conf(_ADAPT)} SELECT symbol, {rnd('q mean_residual median_residual')}, n FROM q")
+def a21b(spark, d):
+    return rounded(metrics.conformal(spread(spark, d), 0.1, normalised=True))
 
-@register("a22_intervals", f"""WITH {_INT} SELECT symbol, ts, {rnd('lower upper')}, round(CASE WHEN lower <= 0 AND upper >= 0 THEN least(abs(pred) / greatest((upper - lower) / 2, 1e-12::DOUBLE), 1.0) * 0.5 ELSE least(abs(pred) / greatest((upper - lower) / 2, 1e-12::DOUBLE), 1.0) END, 6) AS confidence FROM i""")
+
+def _int(score: str, half: str) -> str:
+    return f"{_conf(score)}, i AS (SELECT sp.*, {half} AS half, pred - {half} AS lower, pred + {half} AS upper FROM sp JOIN q USING (symbol))"
+
+
+_SURE = "round(least(greatest(abs(pred) / greatest(abs(pred) + half, 1e-8::DOUBLE) * CASE WHEN abs(pred) <= half THEN 0.5 ELSE 1.0 END, 0), 1), 5) AS confidence"
+
+
+@register("a22_intervals", f"WITH {_int('residual', 'q')} SELECT symbol, ts, {rnd('lower upper')}, {_SURE} FROM i")
 def a22(spark, d):
     p = pairs(spark, d)
-    return rounded(metrics.intervals(p, metrics.conformal(p, 0.1)).select("symbol", "ts", "lower", "upper", "confidence"))
+    out = metrics.intervals(p, metrics.conformal(p, 0.1)).select("symbol", "ts", "lower", "upper", "confidence")
+    return rounded(out.withColumn("confidence", F.round("confidence", 5)))
 
 
-@register("a22_coverage", f"WITH {_INT} SELECT symbol, round(avg(CASE WHEN target BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(upper - lower), 6) AS mean_width FROM i GROUP BY 1")
+@register("a22_adaptive_intervals", f"WITH {_int(_ADAPT, 'q * sigma')} SELECT symbol, ts, {rnd('lower upper')}, {_SURE} FROM i")
+def a22b(spark, d):
+    p = spread(spark, d)
+    out = metrics.intervals(p, metrics.conformal(p, 0.1, normalised=True), normalised=True).select("symbol", "ts", "lower", "upper", "confidence")
+    return rounded(out.withColumn("confidence", F.round("confidence", 5)))
+
+
+@register("a22_coverage", f"""WITH {_int(_ADAPT, 'q * sigma')}, s AS (SELECT symbol, sum(CASE WHEN target >= lower AND target <= upper THEN 1 ELSE 0 END) / count(*)::DOUBLE AS c, avg(upper - lower) AS w, median(upper - lower) AS m FROM i GROUP BY 1)
+SELECT symbol, round(c, 6) AS coverage, round(c - 0.9::DOUBLE, 6) AS coverage_error, round(w, 6) AS mean_width, round(m, 6) AS median_width FROM s""")
 def a22c(spark, d):
-    p = pairs(spark, d)
-    return rounded(metrics.coverage(metrics.intervals(p, metrics.conformal(p, 0.1))))
+    p = spread(spark, d)
+    return rounded(metrics.coverage(metrics.intervals(p, metrics.conformal(p, 0.1, normalised=True), normalised=True)))
+
+
+def _weights() -> str:
+    """(d, k, w): the weights of each d = 0, 0.1 ... 1."""
+    grid, d = [], 0.0
+    while d <= 1.0:
+        grid.append(d)
+        d += 0.1
+    return ", ".join(f"({d!r}::DOUBLE, {k}, {w!r}::DOUBLE)" for d in dict.fromkeys([*grid, 1.0]) for k, w in enumerate(fracdiff_taps(d, 1e-3, 500)))
 
 
-@register("a23_minimum_d")
+@register("a23_minimum_d", f"""WITH {BARS}, i AS (SELECT symbol, close, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), tw AS (SELECT * FROM (VALUES {_weights()}) t(d, k, w)), tn AS (SELECT d, count(*) AS size FROM tw GROUP BY 1),
+z AS (SELECT a.symbol, a.i, tw.d, least(any_value(size), any_value(a.n)) AS win, sum(tw.w * b.close) AS v FROM i a JOIN i b ON a.symbol = b.symbol AND b.i <= a.i JOIN tw ON tw.k = a.i - b.i JOIN tn ON tn.d = tw.d WHERE tw.k < least(size, a.n) GROUP BY 1, 2, 3 HAVING a.i >= least(any_value(size), any_value(a.n))),
+h AS (SELECT *, row_number() OVER (PARTITION BY symbol, d ORDER BY i) AS k, count(*) OVER (PARTITION BY symbol, d) AS m FROM z),
+s AS (SELECT symbol, d, any_value(win) AS win, max(m) AS m, var_samp(v) FILTER (WHERE k <= m // 2) AS a, var_samp(v) FILTER (WHERE k > m // 2) AS b, avg(v) AS mean, stddev_samp(v) AS std FROM h GROUP BY 1, 2),
+ok AS (SELECT symbol, min(d) AS d, arg_min(win, d) AS win FROM s WHERE m >= 20 AND a > 1e-12 AND b > 1e-12 AND greatest(a / b, b / a) < 2 AND std > 1e-12 AND abs(mean / std) < 2 GROUP BY 1)
+SELECT DISTINCT bars.symbol, coalesce(d, 1.0) AS minimum_d, CAST(coalesce(win, 2) AS BIGINT) AS "window" FROM bars LEFT JOIN ok USING (symbol)""")
 def a23(spark, d):
-    return metrics.minimum_d(x.hourly_bars(spark, d), (0.2, 0.4, 0.6, 0.8, 1.0))
+    out = metrics.minimum_d(x.hourly_bars(spark, d))
+    return out.select("symbol", "minimum_d", F.col("window").cast("long").alias("window"))
 
 
 @register("a24_reference_rate", """WITH r AS (SELECT o_orderpriority AS pair, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 4) AS rate FROM orders GROUP BY 1, 2), m AS (SELECT max(day) + 3 AS today FROM r),
@@ -372,4 +443,4 @@ def a12(spark, d):
     from ..operators.bootstrap import study_summary
 
     rows = costed(spark, d).select("symbol", "ts", "ret", "turnover").join(pairs(spark, d), ["symbol", "ts"])
-    return rounded(study_summary(rows.withColumn("ret", F.greatest("ret", F.lit(-0.9))), P, 50))
+    return rounded(study_summary(rows.withColumn("ret", F.greatest("ret", F.lit(-0.9))), P, 2000))

@@ -138,13 +138,15 @@ def pw9(spark, d):
     return rounded(p.clamp_quantity(regime_rows(spark, d)).select("symbol", "ts", "allowed"))
 
 
-_ELIG = f"""{ORDERS}, o AS (SELECT *, close * 0.99::DOUBLE AS limit_price, least(greatest(quantity, -volume * 0.05), volume * 0.05) AS q0 FROM corders),
+_ELIG = f"""{ORDERS}, p AS (SELECT *, close * 0.99::DOUBLE AS limit_price, volume * CASE WHEN l_linenumber % 3 = 0 THEN 0.02 WHEN l_linenumber % 3 = 1 THEN 0.001 ELSE 0.05 END::DOUBLE AS most FROM corders),
+o AS (SELECT *, least(greatest(quantity, -most), most) AS q0 FROM p),
 e AS (SELECT *, CASE WHEN abs(quantity) < 1e-8 OR abs(q0) < 1e-8 OR (is_limit AND quantity > 0 AND low > limit_price) OR (is_limit AND quantity < 0 AND high < limit_price) THEN 0 ELSE q0 END AS q FROM o)"""
 _FP = "CASE WHEN q = 0 THEN CASE WHEN is_limit THEN limit_price ELSE close END ELSE close + sign(q) * slip END"
 
 
 def orders(spark, d):
-    return x.cost_orders(spark, d).withColumn("limit_price", F.col("close") * 0.99)
+    cap = F.when(F.col("l_linenumber") % 3 == 0, 0.02).when(F.col("l_linenumber") % 3 == 1, 0.0001)
+    return x.cost_orders(spark, d).withColumns({"limit_price": F.col("close") * 0.99, "participation_cap": cap})
 
 
 def cost_summary(rows, extra):
@@ -161,18 +163,29 @@ def tc1(spark, d):
     return cost_summary(p.linear_costs(orders(spark, d)), [F.round(F.sum("commission"), 2).alias("commission")])
 
 
-@register("tc2_impact_costs", f"WITH {_ELIG}, s AS (SELECT *, close * (2e-4::DOUBLE + CASE WHEN high > low THEN greatest((high - low) / close, 0.02) ELSE 0.02 END * (0.314 * least(abs(q) / 1e6, 1) + 0.142 * sqrt(least(abs(q) / greatest(volume, 1), 1)))) AS slip FROM e) {_SUM} FROM s GROUP BY 1, 2")
+_IMPACT = "s AS (SELECT *, close * (2e-4::DOUBLE + CASE WHEN high > low THEN greatest((high - low) / close, 0.02) ELSE 0.02 END * (0.314 * least(abs(q) / 1e6, 1) + 0.142 * sqrt(least(abs(q) / greatest(volume, 1), 1)))) AS slip FROM e)"
+_TIER = "abs(q) * CASE WHEN is_limit THEN -0.0015 ELSE 0.0030 END::DOUBLE"
+
+
+@register("tc2_impact_costs", f"WITH {_ELIG}, {_IMPACT} {_SUM}, round(sum(CASE WHEN q = 0 THEN 0 WHEN is_limit THEN {_TIER} ELSE greatest({_TIER}, 0.5) END), 6) AS commission FROM s GROUP BY 1, 2")
 def tc2(spark, d):
-    return cost_summary(p.impact_costs(orders(spark, d)), [])
+    return cost_summary(p.impact_costs(orders(spark, d)), [F.round(F.sum("commission"), 6).alias("commission")])
+
 
+@register("tc2_impact_fills", f"WITH {_ELIG}, {_IMPACT} SELECT l_orderkey, l_linenumber, round(q, 6) AS fill_quantity, round({_FP}, 6) AS fill_price, round(CASE WHEN q = 0 THEN 0 ELSE slip END, 6) AS slippage, round(CASE WHEN q = 0 THEN 0 WHEN abs(q) * ({_FP}) > 0 THEN greatest(abs(q) * ({_FP}) * 3e-4::DOUBLE, 0.25) ELSE abs(q) * ({_FP}) * 3e-4::DOUBLE END, 5) AS commission FROM s")
+def tc2b(spark, d):
+    out = p.impact_costs(orders(spark, d), schedule=p.Schedule.flat(3.0, 0.25))
+    return rounded(out.select("l_orderkey", "l_linenumber", "fill_quantity", "fill_price", "slippage", F.round("commission", 5).alias("commission")))
 
-@register("tc3_tiered_fees", f"""WITH {FILLS}, c AS (SELECT instrument, fill_seq, quantity * price * 100 AS quantity, fill_seq % 2 = 0 AS is_maker FROM fills),
+
+@register("tc3_tiered_fees", f"""WITH {FILLS}, c AS (SELECT instrument, fill_seq, quantity * price * 100 AS quantity, price, fill_seq % 2 = 0 AS is_maker FROM fills),
 r AS (SELECT *, coalesce(sum(abs(quantity)) OVER (PARTITION BY instrument ORDER BY fill_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM c),
-s AS (SELECT *, abs(quantity) * CASE WHEN cum >= 1000000 THEN CASE WHEN is_maker THEN -0.0025 ELSE 0.0010 END WHEN cum >= 100000 THEN CASE WHEN is_maker THEN -0.0020 ELSE 0.0020 END ELSE CASE WHEN is_maker THEN -0.0015 ELSE 0.0030 END END::DOUBLE AS raw FROM r)
+t AS (SELECT * FROM (VALUES (0.0, 0.0030, -0.0015, 0.0), (20000.0, 0.0020, -0.0020, 0.5), (200000.0, 0.0010, -0.0025, 1.5)) t(low, taker, maker, bps)),
+s AS (SELECT instrument, fill_seq, any_value(cum) AS cum, arg_max(abs(quantity) * CASE WHEN is_maker THEN maker ELSE taker END + abs(quantity) * price * bps * 1e-4, low)::DOUBLE AS raw FROM r JOIN t ON cum >= low GROUP BY 1, 2)
 SELECT instrument, fill_seq, round(cum, 4) AS cumulative, round(CASE WHEN raw > 0 THEN greatest(raw, 0.5) ELSE raw END, 6) AS fee FROM s""")
 def tc3(spark, d):
-    rows = x.fills(spark, d).select("instrument", "fill_seq", (F.col("quantity") * F.col("price") * 100).alias("quantity"), (F.col("fill_seq") % 2 == 0).alias("is_maker"))
-    out = p.tiered_fees(rows)
+    rows = x.fills(spark, d).select("instrument", "fill_seq", (F.col("quantity") * F.col("price") * 100).alias("quantity"), "price", (F.col("fill_seq") % 2 == 0).alias("is_maker"))
+    out = p.tiered_fees(rows, p.Schedule(((0.0, 0.0030, -0.0015, 0.0), (20_000.0, 0.0020, -0.0020, 0.5), (200_000.0, 0.0010, -0.0025, 1.5))))
     return out.select("instrument", "fill_seq", F.round("cumulative", 4).alias("cumulative"), F.round("fee", 6).alias("fee"))
 
 
@@ -188,14 +201,28 @@ def lg1(spark, d):
     return out.select("fill_seq", F.round("cash", 6).alias("cash"), F.round("commissions", 6).alias("commissions"), "position")
 
 
-@register("lg2_ledger")
+_LED = f"""{FILLS}, o AS (SELECT run_id, instrument, fill_seq, quantity AS q, price AS p, commission AS c, row_number() OVER (PARTITION BY run_id, instrument ORDER BY fill_seq) AS i FROM fills),
+led AS (SELECT run_id, instrument, fill_seq AS seq, i, q AS qty, p AS price, c AS fees, 0.0::DOUBLE AS realized, 0.0::DOUBLE AS closed, NULL::DOUBLE AS pnl, NULL::DOUBLE AS entry FROM o WHERE i = 1
+  UNION ALL SELECT o.run_id, o.instrument, o.fill_seq, o.i, CASE WHEN adds OR abs(l.qty + o.q) >= 1e-8 THEN l.qty + o.q ELSE 0 END,
+    CASE WHEN adds THEN (abs(l.qty) * l.price + abs(o.q) * o.p) / abs(l.qty + o.q) WHEN abs(l.qty + o.q) < 1e-8 THEN 0 WHEN sign(l.qty + o.q) = sign(l.qty) THEN l.price ELSE o.p END,
+    CASE WHEN adds THEN l.fees + o.c WHEN abs(l.qty + o.q) < 1e-8 THEN 0 WHEN sign(l.qty + o.q) = sign(l.qty) THEN l.fees - l.fees * shut / abs(l.qty) ELSE o.c - o.c * shut / abs(o.q) END,
+    CASE WHEN adds THEN l.realized ELSE l.realized + shut * sign(l.qty) * (o.p - l.price) END, CASE WHEN adds THEN 0 ELSE shut END,
+    CASE WHEN NOT adds THEN shut * sign(l.qty) * (o.p - l.price) - l.fees * shut / abs(l.qty) - o.c * shut / abs(o.q) END, CASE WHEN NOT adds THEN l.price END
+  FROM led l JOIN o ON o.run_id = l.run_id AND o.instrument = l.instrument AND o.i = l.i + 1, LATERAL (SELECT abs(l.qty) < 1e-8 OR sign(l.qty) = sign(o.q) AS adds, least(abs(l.qty), abs(o.q)) AS shut) z)"""
+
+
+@register("lg2_ledger", f"WITH RECURSIVE {_LED} SELECT run_id, instrument, seq, {rnd('qty price fees realized closed pnl entry', 5)} FROM led")
 def lg2(spark, d):
-    return rounded(p.fold_fills(x.fills(spark, d)))
+    return rounded(p.fold_fills(x.fills(spark, d)), 5)
 
 
-@register("a2_trades")
+@register("a2_trades", f"""WITH RECURSIVE {_LED}, t AS (SELECT run_id, count(*) AS closed_trades, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl < 0) AS losing, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS profits, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS losses,
+  coalesce(avg(pnl / (closed * entry)) FILTER (WHERE pnl > 0), 0) AS avg_win, coalesce(avg(pnl / (closed * entry)) FILTER (WHERE pnl < 0), 0) AS avg_loss FROM led WHERE pnl IS NOT NULL GROUP BY 1),
+f AS (SELECT run_id, count(*) AS total_trades, sum(abs(quantity * price)) / 1000 AS turnover FROM fills GROUP BY 1)
+SELECT run_id, total_trades, {rnd('turnover profits losses', 4)}, closed_trades, wins, losing, {rnd('avg_win avg_loss', 4)}, round(wins / closed_trades, 4) AS hit_rate, round(CASE WHEN losses > 1e-8 THEN profits / losses WHEN profits > 1e-8 THEN 10 ELSE 1 END, 4) AS profit_factor FROM f JOIN t USING (run_id)""")
 def a2(spark, d):
-    return rounded(p.trade_statistics(p.fold_fills(x.fills(spark, d))))
+    fills = x.fills(spark, d)
+    return rounded(p.trade_statistics(p.fold_fills(fills), fills, 1000.0), 4)
 
 
 @register("lg3_marks", f"""WITH {FILLS}, q AS (SELECT instrument, sum(quantity) AS qty, avg(price) AS price, arg_max(price, fill_seq) AS current FROM fills GROUP BY 1)
@@ -220,14 +247,14 @@ def clipped(spark, d, limit):
     return bars.select("symbol", "ts", ret.alias("ret"), f.log_return().alias("_r")).where("_r is not null").drop("_r")
 
 
-_MR = f"""{MONTHLY}, mr AS (SELECT symbol, ts, greatest(least((volume - lag(volume) OVER ({W})) / lag(volume) OVER ({W}) / 20.0::DOUBLE, 0.05), -0.05) AS ret FROM monthly WHERE sector = 'ASIA' QUALIFY lag(volume) OVER ({W}) IS NOT NULL),
+_MR = f"""{MONTHLY}, mr AS (SELECT symbol, ts, greatest(least((volume - lag(volume) OVER ({W})) / lag(volume) OVER ({W}) / 20.0::DOUBLE, 0.05), -0.05) AS ret FROM monthly QUALIFY lag(volume) OVER ({W}) IS NOT NULL),
 ix AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY symbol) AS n, ret FROM mr), sz AS (SELECT DISTINCT symbol, n FROM ix)"""
 
 
 def month_returns(spark, d):
     before = F.lag("volume").over(f.by_symbol())
     ret = F.greatest(F.least((F.col("volume") - before) / before / 20.0, F.lit(0.05)), F.lit(-0.05))
-    rows = x.monthly_bars(spark, d).where("sector = 'ASIA'").select("symbol", "ts", before.alias("_b"), ret.alias("ret"))
+    rows = x.monthly_bars(spark, d).select("symbol", "ts", before.alias("_b"), ret.alias("ret"))
     return rows.where("_b is not null").drop("_b")
 
 
@@ -236,17 +263,19 @@ def _u(*parts: str) -> str:
 
 
 _PATHS = f"""{_MR}, st AS (SELECT symbol, n, path, step, CASE WHEN step = 1 OR {_u("'mc'", 'path', 'step', "'r'")} < 0.2 THEN least(CAST(floor({_u("'mc'", 'path', 'step', "'i'")} * n) AS BIGINT), n - 1) - step END AS s
-  FROM sz, unnest(range(20)) p(path), unnest(range(1, n + 1)) q(step)),
+  FROM sz, unnest(range(1000)) p(path), unnest(range(1, n + 1)) q(step)),
 lo AS (SELECT symbol, path, step, n, last_value(s IGNORE NULLS) OVER (PARTITION BY symbol, path ORDER BY step ROWS UNBOUNDED PRECEDING) AS o FROM st),
 paths AS (SELECT lo.symbol, path, step, ret FROM lo JOIN ix ON lo.symbol = ix.symbol AND ix.idx = ((o + step) % lo.n + lo.n) % lo.n),
 cu AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, path ORDER BY step ROWS UNBOUNDED PRECEDING)) AS nav FROM paths)"""
 
 
 @register("bs1_bootstrap", f"""WITH {_PATHS}, dd AS (SELECT *, 1 - nav / greatest(max(nav) OVER (PARTITION BY symbol, path ORDER BY step ROWS UNBOUNDED PRECEDING), 1) AS dd FROM cu),
-s AS (SELECT symbol, path, count(*) AS n, avg(ret) / stddev_samp(ret) * sqrt(12.0::DOUBLE) AS sharpe, max(dd) AS mdd, arg_max(nav, step) AS fin FROM dd GROUP BY 1, 2)
-SELECT symbol, path, round(sharpe, 6) AS sharpe, round(mdd, 6) AS max_drawdown, round(pow(fin, 1 / (n / 12.0::DOUBLE)) - 1, 6) AS cagr, mdd >= 0.5 AS ruin FROM s""")
+s AS (SELECT symbol, path, count(*) AS n, CASE WHEN stddev_samp(ret) > 1e-8 THEN avg(ret) / stddev_samp(ret) * sqrt(12.0::DOUBLE) ELSE 0 END AS sharpe, max(dd) AS mdd, arg_max(nav, step) AS fin FROM dd GROUP BY 1, 2)
+SELECT symbol, path, round(sharpe, 6) AS sharpe, round(mdd + 1e-9::DOUBLE, 6) AS max_drawdown, round(pow(fin, 1 / (n / 12.0::DOUBLE)) - 1, 6) AS cagr, mdd >= 0.5 AS ruin FROM s""")
 def bs1(spark, d):
-    return rounded(bs.path_statistics(bs.stationary_paths(month_returns(spark, d), 20), 12.0))
+    out = bs.path_statistics(bs.stationary_paths(month_returns(spark, d), 1000), 12.0)
+    # clipped returns make drawdowns of few digits: moved off the middle between two rounded values
+    return rounded(out.withColumn("max_drawdown", F.col("max_drawdown") + 1e-9))
 
 
 _Q = "max(CASE WHEN k = floor((n - 1) * {p} + 0.5) + 1 THEN round(nav, 4) END)"
@@ -256,20 +285,20 @@ _Q = "max(CASE WHEN k = floor((n - 1) * {p} + 0.5) + 1 THEN round(nav, 4) END)"
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol, step ORDER BY nav) AS k, count(*) OVER (PARTITION BY symbol, step) AS n FROM a)
 SELECT symbol, step, {', '.join(f"{_Q.format(p=v)} AS p{int(v * 100)}" for v in (0.05, 0.25, 0.5, 0.75, 0.95))}, round(avg(nav), 4) AS mean FROM r GROUP BY 1, 2""")
 def bs3(spark, d):
-    out = bs.nav_bands(bs.stationary_paths(month_returns(spark, d), 20), 1000.0)
+    out = bs.nav_bands(bs.stationary_paths(month_returns(spark, d), 1000), 1000.0)
     return rounded(out.withColumn("step", F.col("step").cast("long")), 4)
 
 
-_MB = f"""{_MR}, mb AS (SELECT symbol, n, rep, blk, CAST(floor({_u("'mb'", 'rep', 'blk')} * greatest(n - 5, 1)) AS BIGINT) AS a FROM sz, unnest(range(30)) p(rep), unnest(range(CAST(ceil(n / 6.0) AS BIGINT))) q(blk)),
-smp AS (SELECT mb.symbol, rep, ret FROM mb, unnest(range(6)) o(o) JOIN ix ON ix.symbol = mb.symbol AND ix.idx = a + o WHERE blk * 6 + o < mb.n AND a + o < mb.n),
+_MB = f"""{_MR}, mb AS (SELECT symbol, n, rep, blk, CAST(floor({_u("'mb'", 'rep', 'blk')} * greatest(n - 19, 1)) AS BIGINT) AS a FROM sz, unnest(range(2000)) p(rep), unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) q(blk)),
+smp AS (SELECT mb.symbol, rep, ret FROM mb, unnest(range(20)) o(o) JOIN ix ON ix.symbol = mb.symbol AND ix.idx = a + o WHERE blk * 20 + o < mb.n AND a + o < mb.n),
 sh AS (SELECT symbol, rep, avg(ret) / stddev_samp(ret) * sqrt(12.0::DOUBLE) AS sharpe FROM smp GROUP BY 1, 2)"""
 
 
 @register("bs2_sharpe_interval", f"WITH {_MB} SELECT symbol, round(quantile_cont(sharpe, 0.025), 6) AS low, round(quantile_cont(sharpe, 0.975), 6) AS high, count(*) AS replicates FROM sh GROUP BY 1")
 def bs2(spark, d):
-    return rounded(bs.sharpe_interval(bs.moving_blocks(month_returns(spark, d), 30, 6), 12.0))
+    return rounded(bs.sharpe_interval(bs.moving_blocks(month_returns(spark, d), 2000, 20), 12.0))
 
 
 @register("bs4_paired_difference", f"WITH {_MB}, dd AS (SELECT a.sharpe - b.sharpe AS d FROM sh a JOIN sh b USING (rep) WHERE a.symbol = 'CHINA' AND b.symbol = 'INDIA') SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM dd")
 def bs4(spark, d):
-    return rounded(bs.paired_difference(bs.moving_blocks(month_returns(spark, d), 30, 6), "CHINA", "INDIA", 12.0))
+    return rounded(bs.paired_difference(bs.moving_blocks(month_returns(spark, d), 2000, 20), "CHINA", "INDIA", 12.0))

@@ -42,12 +42,30 @@ def io11(spark, d):
     return dq.training_contract(rows, FEATURES)
 
 
-@register("io14_sessions", """WITH e AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS z FROM events), d AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM e)
-SELECT CAST(date AS VARCHAR) AS date, CAST(epoch(date) AS BIGINT) + 52200 AS open_ts, CAST(epoch(date) AS BIGINT) + 75600 AS close_ts, false AS is_early_close FROM d
-WHERE isodow(date) <= 5 AND date NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19')""")
+def _holidays() -> str:
+    """Rules of the closed days as conditions on a date ``d``: (month, day, weekday with 1 Monday)."""
+    on = lambda *c: "(" + " AND ".join(c) + ")"
+    m, day, wd = "month(d) = {}", "day(d) = {}", "isodow(d) = {}"
+    rules = [on(m.format(1), day.format(1)), on(m.format(1), day.format(2), wd.format(1)), on(m.format(12), day.format(31), wd.format(5))]
+    rules += [on(m.format(k), wd.format(1), "day(d) BETWEEN 15 AND 21") for k in (1, 2)]
+    rules += [on(m.format(5), wd.format(1), "day(d) >= 25"), on(m.format(9), wd.format(1), "day(d) <= 7"), on(m.format(11), wd.format(4), "day(d) BETWEEN 22 AND 28")]
+    for month, dom, more in ((6, 19, "year(d) >= 2021"), (7, 4, "true"), (12, 25, "true")):
+        rules += [on(m.format(month), more, f"(day(d) = {dom} OR (day(d) = {dom + 1} AND isodow(d) = 1) OR (day(d) = {dom - 1} AND isodow(d) = 5))")]
+    # Good Fridays
+    good = "2019-04-19 2020-04-10 2021-04-02 2022-04-15 2023-04-07 2024-03-29 2025-04-18 2026-04-03 2027-03-26 2028-04-14".split()
+    rules.append("d IN (" + ", ".join(f"DATE '{g}'" for g in good) + ")")
+    return " OR ".join(rules)
+
+
+@register("io14_sessions", f"""WITH b AS (SELECT min(ts)::DATE AS a FROM events), s AS (SELECT unnest(generate_series(make_date(year(a) - 5, 1, 1), make_date(year(a) + 4, 12, 31), INTERVAL 1 DAY))::DATE AS d FROM b),
+o AS (SELECT d, month(d) = 7 AND day(d) = 3 OR month(d) = 12 AND day(d) = 24 OR month(d) = 11 AND isodow(d) = 5 AND day(d) BETWEEN 23 AND 29 AS early,
+  d >= (make_date(year(d), 3, 8) + CAST((7 - isodow(make_date(year(d), 3, 8))) % 7 AS INT)) AND d < (make_date(year(d), 11, 1) + CAST((7 - isodow(make_date(year(d), 11, 1))) % 7 AS INT)) AS summer FROM s WHERE isodow(d) <= 5 AND NOT ({_holidays()})),
+t AS (SELECT d, early, epoch(d)::BIGINT + 52200 - CASE WHEN summer THEN 3600 ELSE 0 END AS open_ts, CASE WHEN early THEN 12600 ELSE 23400 END AS length FROM o)
+SELECT CAST(d AS VARCHAR) AS date, open_ts, open_ts + length AS close_ts, early AS is_early_close, lead(open_ts) OVER (ORDER BY d) AS next_open_ts, CAST(lag(d) OVER (ORDER BY d) AS VARCHAR) AS prev_date, CAST(lead(d) OVER (ORDER BY d) AS VARCHAR) AS next_date FROM t""")
 def io14(spark, d):
-    a, z = x.table(spark, d, "events").agg(F.min("ts").cast("date").cast("string"), F.max("ts").cast("date").cast("string")).first()
-    return calendar.sessions(spark, a, z).select(F.col("date").cast("string").alias("date"), "open_ts", "close_ts", "is_early_close")
+    year = x.table(spark, d, "events").agg(F.year(F.min("ts"))).first()[0] or 2024
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return calendar.sessions(spark, f"{year - 5}-01-01", f"{year + 4}-12-31").select(text("date"), "open_ts", "close_ts", "is_early_close", "next_open_ts", text("prev_date"), text("next_date"))
 
 
 def folds(spark, d):

@@ -33,11 +33,12 @@ def _observed(day: Column) -> Column:
 
 
 def holidays(year: Column) -> Column:
-    """Full-day holidays of a year; New Year is not moved to a Friday, Juneteenth counts from 2021."""
+    """Full-day holidays of a year; New Year's Day on a Saturday closes the Friday before, of this year; Juneteenth counts from 2021."""
     fixed = lambda m, d: F.make_date(year, F.lit(m), F.lit(d))
     new_year = F.when(F.weekday(fixed(1, 1)) == 6, F.date_add(fixed(1, 1), 1)).when(F.weekday(fixed(1, 1)) < 5, fixed(1, 1))
     days = [
         new_year,
+        F.when(F.weekday(fixed(12, 31)) == 4, fixed(12, 31)),
         _nth(year, 1, 0, 3),
         _nth(year, 2, 0, 3),
         F.date_sub(easter(year), 2),

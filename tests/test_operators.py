@@ -55,7 +55,7 @@ def test_regime_labels(spark):
 
 def test_downsample_keeps_extremes(spark):
     rows = [("a", i, float((i * 37) % 101)) for i in range(1000)]
-    out = core.downsample(spark.createDataFrame(rows, "symbol string, ts long, v double"), "v", 50).collect()
+    out = core.downsample(spark.createDataFrame(rows, "symbol string, ts long, v double"), ["v"], 50).collect()
     assert len(out) <= 52 and {r["v"] for r in out} >= {0.0, 100.0} and {r["ts"] for r in out} >= {0, 999}
 
 
