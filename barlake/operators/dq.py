@@ -189,34 +189,48 @@ def event_rules(records: DataFrame) -> DataFrame:
 
 
 def audit(log: DataFrame) -> DataFrame:
-    """One row a session of a hash-chained log ``(session_id, seq, previous_checksum, checksum, payload, received_at_ms, type)``.
+    """One row a session of a hash-chained journal.
 
-    A record's checksum is the SHA-256 of the one before, a colon and the payload.
-    Each record meets its predecessor by an equi-join on (session, seq - 1).
+    ``log(session_id, seq, previous_checksum, checksum, line, received_at_ms, type,
+    feed, symbols, symbol, reason)``, ``line`` being the record's text.  A checksum is
+    the SHA-256 of the line without its checksum.  The first record is the session's
+    header; market records must have its feed and one of its symbols.  Each record
+    meets its predecessor by an equi-join on (session, seq - 1).
     """
     before = log.select("session_id", (F.col("seq") + 1).alias("seq"), F.col("checksum").alias("_sum"), F.col("received_at_ms").alias("_at"), F.col("type").alias("_type"))
-    rows = log.join(before, ["session_id", "seq"], "left")
-    own = F.sha2(F.concat_ws(":", F.coalesce("previous_checksum", F.lit("")), "payload"), 256)
-    rows = rows.withColumns(
-        {
-            "bad_link": F.when(F.col("seq") == 1, F.coalesce(F.col("previous_checksum"), F.lit("")) != "").otherwise(~F.col("previous_checksum").eqNullSafe(F.col("_sum"))),
-            "bad_sum": own != F.col("checksum"),
-            "back": F.coalesce(F.col("received_at_ms") < F.col("_at"), F.lit(False)),
-            "after_stop": F.coalesce(F.col("_type") == "stop", F.lit(False)),
-        }
-    )
+    header = log.where("seq = 1").groupBy("session_id").agg(F.first("feed").alias("_feed"), F.first("symbols").alias("_symbols"), F.first("type").alias("_first"))
+    rows = log.join(before, ["session_id", "seq"], "left").join(header, "session_id", "left")
+    own = F.sha2(F.regexp_replace("line", r'"checksum":"[0-9a-f]*",|,"checksum":"[0-9a-f]*"(?=\}$)', ""), 256)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    market = F.col("type") == "market"
+    faults = {
+        "chain": F.when(F.col("seq") == 1, F.coalesce("previous_checksum", F.lit("")) != "").otherwise(~F.col("previous_checksum").eqNullSafe(F.col("_sum"))),
+        "checksum": no(own == F.col("checksum")),
+        "clock": no(F.col("received_at_ms") > 0) | F.coalesce(F.col("received_at_ms") < F.col("_at"), F.lit(False)),
+        "after stop": F.coalesce(F.col("_type") == "stop", F.lit(False)),
+        "header": (F.col("seq") == 1) & no((F.col("type") == "session") & (F.size("symbols") > 0)),
+        "type": (F.col("seq") > 1) & no(F.col("type").isin("market", "gap", "stop")),
+        "feed": market & no(F.col("feed") == F.col("_feed")),
+        "symbol": market & no(F.array_contains("_symbols", F.col("symbol"))),
+    }
+    rows = rows.withColumn("faults", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in faults.items()))))
     return rows.groupBy("session_id").agg(
         F.count("*").alias("records"),
+        F.first("_feed").alias("feed"),
         F.count_if(F.col("type") == "gap").alias("gaps"),
-        (F.max_by("type", "seq") == "stop").alias("clean_shutdown"),
+        F.coalesce((F.max_by("type", "seq") == "stop") & (F.max_by("reason", "seq") == "shutdown"), F.lit(False)).alias("clean_shutdown"),
         F.max_by("checksum", "seq").alias("head"),
-        F.count_if(F.col("bad_link") | F.col("bad_sum") | F.col("back") | F.col("after_stop")).alias("faults"),
+        F.count_if(F.size("faults") > 0).alias("faults"),
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("faults")))), ",").alias("kinds"),
         (F.max("seq") != F.count("*")).alias("missing"),
     )
 
 
-def import_gate(summary: DataFrame, bars: DataFrame, delayed: bool = False) -> DataFrame:
-    """Why a session may not be imported: no clean stop, gaps, a delayed feed, repeated minutes, no bars."""
+def import_gate(summary: DataFrame, bars: DataFrame) -> DataFrame:
+    """Why a session may not be imported: no clean stop, gaps, faults, a test or delayed feed, repeated minutes, no bars.
+
+    ``summary`` as of :func:`audit`, ``bars`` with every publication of a minute.
+    """
     n = bars.agg(F.count("*").alias("n"), F.count_distinct("symbol", "ts").alias("d"))
     rows = summary.join(F.broadcast(n))
     return flag(
@@ -225,7 +239,7 @@ def import_gate(summary: DataFrame, bars: DataFrame, delayed: bool = False) -> D
             "no clean stop": ~F.col("clean_shutdown"),
             "gaps": F.col("gaps") > 0,
             "faults": (F.col("faults") > 0) | F.col("missing"),
-            "delayed": F.lit(delayed),
+            "delayed": ~F.coalesce(F.col("feed").isin("iex", "sip"), F.lit(False)),
             "repeated minutes": F.col("n") > F.col("d"),
             "empty": F.col("n") == 0,
         },

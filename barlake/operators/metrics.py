@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import cdf, quantile
+from ..functions.normal import cdf
 from .features import curve_returns, drawdown
 
 
@@ -61,7 +62,7 @@ def deflated_probability(returns: DataFrame, trials: int, variance: float, key:
     skew = F.sqrt(n * (n - 1.0)) / (n - 2) * m3 / F.pow("m2", 1.5)
     kurt = (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * m4 / (F.col("m2") * F.col("m2")) - 3 * (n - 1)) + 3
     euler = 0.5772156649015329
-    best = math.sqrt(variance) * ((1 - euler) * quantile(F.lit(1 - 1 / trials)) + euler * quantile(F.lit(1 - 1 / (trials * math.e))))
+    best = math.sqrt(variance) * ((1 - euler) * NormalDist().inv_cdf(1 - 1 / trials) + euler * NormalDist().inv_cdf(1 - 1 / (trials * math.e)))
     sr = m / F.col("s")
     inside = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
     p = F.when((n > 3) & (F.col("s") > 0) & (inside > 0), cdf((sr - best) * F.sqrt(n - 1.0) / F.sqrt(inside)))
@@ -262,6 +263,13 @@ def drift_status(n: Column, worst: Column, window: int = 100, warn: float = 0.2,
     return F.when(n < window, "insufficient_data").when(worst >= halt, "halt").when(worst >= warn, "warn").otherwise("ok")
 
 
+def counted(decisions: DataFrame, identity: dict[str, str] | None = None) -> DataFrame:
+    """Decisions of live or recorded real data whose columns have the values of ``identity``."""
+    for column, value in (identity or {}).items():
+        decisions = decisions.where(F.col(column) == value)
+    return decisions.where(F.col("provenance").isin("live", "recorded_real"))
+
+
 def monitor(decisions: DataFrame, outcomes: DataFrame, reference: DataFrame, window: int = 100, identity: dict[str, str] | None = None) -> DataFrame:
     """Status of each dataset's newest distinct decisions against the reference features.
 
@@ -274,9 +282,7 @@ def monitor(decisions: DataFrame, outcomes: DataFrame, reference: DataFrame, win
     """
     from .core import distinct_decisions
 
-    for column, value in (identity or {}).items():
-        decisions = decisions.where(F.col(column) == value)
-    some = distinct_decisions(decisions.where(F.col("provenance").isin("live", "recorded_real")), window)
+    some = distinct_decisions(counted(decisions, identity), window)
     own = some.select("dataset", F.explode("features").alias("feature", "value"))
     key = lambda r: r.select(F.struct("dataset", "feature").alias("feature"), "value")
     worst = ks(key(reference.join(own.select("dataset", "feature").distinct(), ["dataset", "feature"], "left_semi")), key(own))

@@ -180,6 +180,63 @@ def dq5(spark, d):
     return dq.split_overlap(rows)
 
 
+def journal_rows(spark, d):
+    """Every event as a journal record of some kind, many of them with a fault."""
+    e = x.table(spark, d, "events").withColumns({"k": F.col("event_id") % 8, "t": F.floor(x.seconds("ts") / 60) * 60, "v": F.col("value")})
+    kind = F.element_at(F.array(*map(F.lit, ("t", "q", "b", "u", "c", "x", "zz", "b"))), (F.col("k") + 1).cast("int"))
+    at = F.when(F.col("event_id") % 17 == 0, "yesterday").otherwise(F.date_format(F.timestamp_seconds(F.col("t") + F.when(F.col("event_id") % 13 == 0, 7).otherwise(0)), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    odd = F.when(F.col("event_id") % 11 == 0, -1.0).otherwise(F.col("v"))
+    event = F.struct(
+        kind.alias("kind"), F.col("event_type").alias("symbol"), at.alias("time"), F.when(F.col("event_id") % 3 > 0, "C").otherwise("?").alias("action"), F.col("v").alias("o"), (F.col("v") + 1).alias("h"), odd.alias("l"), F.col("v").alias("c"), odd.alias("v"),
+        odd.alias("p"), F.lit(1.0).alias("size"), F.col("v").alias("bp"), F.col("v").alias("ap"), odd.alias("bs"), F.lit(0.0).alias("as_size"), F.col("v").alias("op"), odd.alias("cp"),
+    )
+    received = (F.col("t") + F.when(F.col("event_id") % 19 == 0, -10).when(F.col("event_id") % 23 == 0, 30).otherwise(61)) * 1000
+    return e.select("event_id", received.alias("received_at_ms"), event.alias("event"))
+
+
+@register("dq7_event_rules", """WITH e AS (SELECT event_id, ['t','q','b','u','c','x','zz','b'][event_id % 8 + 1] AS kind, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS t, value AS v, CASE WHEN event_id % 11 = 0 THEN -1.0 ELSE value END AS odd FROM events),
+f AS (SELECT *, event_id % 17 = 0 AS bad_time, t + CASE WHEN event_id % 13 = 0 THEN 7 ELSE 0 END AS at, t + CASE WHEN event_id % 19 = 0 THEN -10 WHEN event_id % 23 = 0 THEN 30 ELSE 61 END AS got FROM e),
+r AS (SELECT event_id, 'bad time' AS rule FROM f WHERE bad_time UNION ALL SELECT event_id, 'unknown kind' FROM f WHERE kind = 'zz' UNION ALL SELECT event_id, 'future' FROM f WHERE bad_time OR at > got + 5
+  UNION ALL SELECT event_id, 'bad trade' FROM f WHERE kind = 't' AND odd <= 0 UNION ALL SELECT event_id, 'bad quote' FROM f WHERE kind = 'q' AND (v <= 0 OR odd < 0)
+  UNION ALL SELECT event_id, 'bad bar' FROM f WHERE kind IN ('b', 'u') AND (v <= 0 OR odd <= 0 OR odd > v) UNION ALL SELECT event_id, 'unaligned bar' FROM f WHERE kind IN ('b', 'u') AND (bad_time OR at % 60 <> 0)
+  UNION ALL SELECT event_id, 'early bar' FROM f WHERE kind IN ('b', 'u') AND (bad_time OR got < at + 60) UNION ALL SELECT event_id, 'bad correction' FROM f WHERE kind = 'c' AND (v <= 0 OR odd <= 0)
+  UNION ALL SELECT event_id, 'bad cancel' FROM f WHERE kind = 'x' AND event_id % 3 = 0)
+SELECT * FROM r""")
+def dq7(spark, d):
+    out = dq.event_rules(journal_rows(spark, d))
+    return out.select("event_id", F.explode("faults").alias("rule"))
+
+
+def minute_rows(spark, d):
+    """Minute bars of the events inside sessions, available half a minute after their end, some too late."""
+    m = minutes(spark, d).groupBy("symbol", "ts").agg(F.count("*").alias("n"))
+    late = F.when(F.col("n") > 2, 90).otherwise(30)
+    return core.regular_minutes(m, sessions(spark, d)).withColumn("avail_ts", F.col("ts") + late)
+
+
+@register("dq9_minutes_continue", f"""WITH {_SESSIONS}, nx AS (SELECT *, lead(open_ts) OVER (ORDER BY date) AS next_open FROM sessions), m AS (SELECT symbol, ts, count(*) AS n FROM ({_MINUTES}) GROUP BY 1, 2),
+r AS (SELECT symbol, ts, ts + CASE WHEN n > 2 THEN 90 ELSE 30 END AS avail, close_ts, next_open FROM m JOIN nx ON ts > open_ts AND ts <= close_ts),
+p AS (SELECT *, lag(ts) OVER w AS b, lag(avail) OVER w AS pa, lag(close_ts) OVER w AS pc, lag(next_open) OVER w AS pn FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, 'gap' AS rule FROM p WHERE b IS NOT NULL AND ts IS DISTINCT FROM CASE WHEN b < pc THEN b + 60 ELSE pn + 60 END UNION ALL SELECT symbol, ts, 'not increasing' FROM p WHERE avail <= pa UNION ALL SELECT symbol, ts, 'late' FROM p WHERE pa >= ts""")
+def dq9(spark, d):
+    s = sessions(spark, d)
+    ahead = F.lead("open_ts").over(joins.Window.partitionBy(F.lit(0)).orderBy("date"))
+    return dq.minutes_continue(minute_rows(spark, d), s.withColumn("next_open_ts", ahead))
+
+
+@register("dq10_import_gate", f"""WITH {_SESSIONS}, s AS (SELECT user_id AS session_id, count(*) FILTER (WHERE event_type = 'click') AS gaps, arg_max(event_type, event_id) IN ('purchase', 'view') AS clean, count(*) FILTER (WHERE value > 90) AS faults, CASE user_id % 3 WHEN 0 THEN 'iex' WHEN 1 THEN 'sip' ELSE 'test' END AS feed FROM events GROUP BY 1),
+m AS (SELECT count(*) AS n, count(DISTINCT (symbol, ts)) AS u FROM ({_MINUTES}) JOIN sessions ON ts > open_ts AND ts <= close_ts)
+SELECT session_id, 'no clean stop' AS rule FROM s WHERE NOT clean UNION ALL SELECT session_id, 'gaps' FROM s WHERE gaps > 0 UNION ALL SELECT session_id, 'faults' FROM s WHERE faults > 0 UNION ALL SELECT session_id, 'delayed' FROM s WHERE feed = 'test'
+UNION ALL SELECT session_id, 'repeated minutes' FROM s, m WHERE n > u UNION ALL SELECT session_id, 'empty' FROM s, m WHERE n = 0""")
+def dq10(spark, d):
+    e = x.table(spark, d, "events")
+    summary = e.groupBy(F.col("user_id").alias("session_id")).agg(
+        F.count_if(F.col("event_type") == "click").alias("gaps"), F.max_by("event_type", "event_id").isin("purchase", "view").alias("clean_shutdown"), F.count_if(F.col("value") > 90).alias("faults"), F.lit(False).alias("missing")
+    )
+    feed = F.when(F.col("session_id") % 3 == 0, "iex").when(F.col("session_id") % 3 == 1, "sip").otherwise("test")
+    return dq.import_gate(summary.withColumn("feed", feed), core.regular_minutes(minutes(spark, d), sessions(spark, d)))
+
+
 @register("dq11_candles", """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS symbol, c_acctbal AS a, c_nationkey AS k FROM customer),
 v AS (SELECT symbol, k AS t, CASE WHEN k % 7 = 0 THEN 0 ELSE a - 1 END AS lo, CASE WHEN k % 5 = 0 THEN a - 2 ELSE a + 1 END AS hi, a, CASE WHEN k % 6 = 0 THEN 0 ELSE k END AS vol FROM c)
 SELECT symbol, CAST(t AS BIGINT) AS ts, 'not finite' AS rule FROM v WHERE lo < 0 OR hi < 0 OR a < 0 UNION ALL SELECT symbol, t, 'no time' FROM v WHERE t = 0 UNION ALL SELECT symbol, t, 'no price' FROM v WHERE lo = 0

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dq
+from ..operators import core, dq
 
+# Fixed value: the header of an OHLCV file.
 OHLCV = "timestamp string, open double, high double, low double, close double, volume bigint"
 #: An RFC 3339 time with its zone.
 RFC3339 = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
@@ -19,6 +20,7 @@ JOURNAL = (
 # The short names of an event's fields.
 TEXT_FIELDS = {"kind": "T", "symbol": "S", "time": "t", "action": "a"}
 NUMBER_FIELDS = {"o": "o", "h": "h", "l": "l", "c": "c", "v": "v", "p": "p", "size": "s", "bp": "bp", "ap": "ap", "bs": "bs", "as_size": "as", "op": "op", "cp": "cp", "os": "os", "cs": "cs"}
+# Fixed value: a vendor's envelope.
 ENVELOPE = "status string, meta struct<symbol:string,exchange:string,currency:string,exchange_timezone:string,interval:string,type:string>, `values` array<struct<datetime:string,open:string,high:string,low:string,close:string,volume:string>>"
 
 
@@ -27,10 +29,16 @@ def _symbol():
 
 
 def read_ohlcv(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Strict OHLCV files, one symbol each by file name, within [start, end) epoch seconds; a bad file fails."""
+    """Strict OHLCV files, one symbol each by file name, within [start, end) epoch seconds.
+
+    All rows are checked before the range is taken, so a bad one isn't hidden: a
+    field that doesn't parse, a time without zone or out of order, a price that
+    isn't sound fails.
+    """
     rows = spark.read.schema(OHLCV).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     at = F.when(F.col("timestamp").rlike(RFC3339), F.unix_seconds(F.to_timestamp("timestamp"))).otherwise(F.raise_error(F.lit("a time needs its zone")).cast("long"))
     rows = rows.select(_symbol().alias("symbol"), at.alias("ts"), "open", "high", "low", "close", "volume").withColumn("avail_ts", F.col("ts"))
+    dq.assert_clean(dq.bars_sound(rows.withColumn("row_seq", F.monotonically_increasing_id())))
     if start is not None:
         rows = rows.where(F.col("ts") >= start)
     return rows if end is None else rows.where(F.col("ts") < end)
@@ -69,7 +77,9 @@ def read_envelopes(spark: SparkSession, path: str, market: dict[str, str], now:
     day = F.unix_seconds(F.to_utc_timestamp(F.date_add(F.to_date(F.substring("v.datetime", 1, 10)), 1).cast("timestamp"), zone))
     at = F.when(F.col("meta.interval") == "1min", minute).otherwise(day)
     out = rows.select(F.col("meta.symbol").alias("symbol"), at.alias("ts"), *(F.col(f"v.{c}").cast("double").alias(c) for c in ("open", "high", "low", "close")), F.col("v.volume").cast("double").cast("long").alias("volume"))
-    return out.withColumn("avail_ts", F.col("ts")).where((F.col("ts") >= start) & (F.col("ts") < end) & (F.col("ts") <= now))
+    out = out.withColumn("avail_ts", F.col("ts")).where((F.col("ts") >= start) & (F.col("ts") < end) & (F.col("ts") <= now))
+    dq.assert_clean(dq.bars_sound(out.withColumn("row_seq", F.col("ts"))))
+    return out.orderBy("symbol", "ts")
 
 
 def parse_event(records: DataFrame) -> DataFrame:
@@ -87,6 +97,23 @@ def minute_bars(records: DataFrame) -> DataFrame:
     return rows.where(F.col("avail_ms") >= F.col("ts") * 1000).withColumn("avail_ts", F.ceil(F.col("avail_ms") / 1000))
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A journal's records as :func:`dq.audit` takes them, with their text."""
+    rows = spark.read.text(path).withColumnRenamed("value", "line").where("trim(line) <> ''")
+    r = rows.select("line", F.from_json("line", JOURNAL + ", reason string").alias("r")).select("line", "r.*")
+    return r.withColumn("symbol", F.get_json_object("event", "$.S"))
+
+
+def import_minutes(records: DataFrame, sessions: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
+    """A symbol's regular-session minute bars of a closed range of dates, every publication of each.
+
+    ``sessions`` as of :func:`calendar.sessions`.  Check them with
+    :func:`dq.import_gate` and :func:`dq.minutes_continue` before use.
+    """
+    rows = minute_bars(records).where((F.col("symbol") == symbol) & F.to_date(F.timestamp_seconds(F.col("ts") - 60)).between(start, end))
+    return core.regular_minutes(rows, sessions)
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return parse_event(spark.read.schema(JOURNAL).json(path))
 
@@ -122,6 +149,7 @@ def read_version(spark: SparkSession, root: str, version: str, schema) -> DataFr
     differs = now.join(there, now["symbol"] == there["s"], "full").where("s is null or symbol is null or rows <> n or sha256 <> h")
     if (bad := differs.head(1)) != []:
         raise ValueError(f"the version differs from its manifest: {bad[0].asDict()}")
+    dq.assert_clean(dq.bars_sound(bars.withColumn("row_seq", F.col("ts"))))
     return bars
 
 

@@ -8,6 +8,8 @@ import pytest
 from barlake.plans import all_queries, all_sql
 
 SF = "/root/testdata/sf0.001"
+#: Twins without a row on the smallest tables.
+EMPTY: set[str] = set()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -36,6 +38,6 @@ def test_query_equals_sql(spark, duck, name):
     a, b = all_queries()[name](spark, SF).toPandas(), duck.sql(all_sql()[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
     x, y = plain(a), plain(b)
-    assert len(x) == len(y)
+    assert len(x) == len(y) and (x or name in EMPTY)
     for r, s in zip(x, y):
         assert all(p == q or (isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 2e-5 * max(1, abs(q))) for p, q in zip(r, s)), (r, s)
