@@ -48,8 +48,9 @@ def leaf_paths(tree: DataFrame) -> DataFrame:
 
     ``tree(tree, node, parent)``.  A parent that is no node counts as none.  After
     round r every path is known for 2**r steps, so the rounds grow with the
-    logarithm of the depth.  Nodes on a cycle have no leaf and give no path; a
-    leaf whose way up ends in a cycle raises an error.
+    logarithm of the depth.  A node without an id is left out.  Nodes on a cycle
+    have no leaf, and a leaf whose way up ends in a cycle has no root: neither gives
+    a path.  Nodes must not be repeated.
     """
     nodes = tree.select(F.col("tree"), F.col("node"), F.col("parent"))
     known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n")).distinct()
@@ -59,10 +60,13 @@ def leaf_paths(tree: DataFrame) -> DataFrame:
     parents = jump.select(F.col("tree").alias("_t"), F.col("to").alias("_n")).distinct()
     paths = nodes.join(parents, nodes["tree"].eqNullSafe(parents["_t"]) & (nodes["node"] == parents["_n"]), "left_anti")
     paths = paths.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    step = 1
+    step, longest = 1, None
     while not jump.isEmpty():
-        if step > 1 << 40:
-            raise ValueError("a reply tree has a cycle")
+        if step > 64:
+            longest = longest or nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+            if step > longest:  # what still goes up goes round
+                lost = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
+                return paths.join(lost, paths["tree"].eqNullSafe(lost["_t"]) & (paths["leaf"] == lost["_n"]), "left_anti")
         j = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "to")
         far = paths.join(j, paths["tree"].eqNullSafe(j["_t"]) & (paths["node"] == j["_n"]))
         paths = materialize(
@@ -82,8 +86,11 @@ def format_branches(tree: DataFrame, branches: int = 1, learn_role: str = "assis
     of its messages' scores (null: 0); ties go to the longer branch, then to the
     smaller leaf.  The best ``branches`` of each tree are kept.  ``loss_spans`` are
     (start, length) code-point ranges of ``formatted`` that hold the escaped texts
-    of ``learn_role``.  Other columns are left out; no row gives no row.
+    of ``learn_role``.  Of rows that repeat a node the least by (parent, role, text,
+    score) counts, nulls first.  Other columns are left out; no row gives no row.
     """
+    one = tree.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("r"))
+    tree = one.select("tree", "node", "r.*")
     paths = leaf_paths(tree)
     body = tree.select(
         F.col("tree").alias("_t"),

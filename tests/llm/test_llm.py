@@ -176,6 +176,17 @@ def test_chat_trees(spark):
     assert chat.format_branches(t.limit(0)).count() == 0
 
 
+def test_odd_trees(spark):
+    """Cycles, ways up into a cycle, repeated nodes, missing parents, ids and columns of clashing names."""
+    rows = [("c", 1, 2, "user", "a"), ("c", 2, 1, "user", "b"), ("c", 3, 1, "user", "c")]  # a cycle and a leaf below it
+    rows += [("t", 1, None, "user", "hi"), ("t", 1, None, "user", "hi"), ("t", 2, 1, "assistant", "x"), ("t", 2, 1, "assistant", "w"), ("t", None, 1, "user", "lost"), ("t", 4, 77, "user", "far")]
+    rows += [("long", k, k - 1 if k > 1 else None, "user", str(k)) for k in range(1, 200)] + [(None, 1, None, None, None)]
+    t = spark.createDataFrame([(*r, 0.0, "z", 1) for r in rows], "tree string, node int, parent int, role string, text string, score double, leaf string, up int")
+    done = chat.format_branches(t, branches=5).select("tree", "leaf", chat.read_turns(F.col("formatted")).alias("t"))
+    got = {(r["tree"], r["leaf"]): [x["text"] for x in r["t"]] for r in done.collect()}
+    assert got == {("t", 2): ["hi", "w"], ("t", 4): ["far"], ("long", 199): [str(k) for k in range(1, 200)], (None, 1): [""]}
+
+
 def test_quality_rules(rows, docs, empty):
     got = {r["doc_id"]: r for r in quality_rules.clean_lines(docs).collect()}
     for i, t, *_ in rows:
@@ -261,7 +272,7 @@ def test_a_spaced_sentence_is_toxic():
     c = language()
     m = toxicity.Model(c.grams, {"idiot": 3.0}, (-2.0, 1.0, 1.0, 0.0))
     said = " ".join("youarethesuchanyouarethesuchanyouarethesuchanyouarethesuchanyouareanidiot")
-    assert toxicity.summary(toxicity.Readings(c, m.hits), said)[0] == 3.0
+    assert toxicity.summary(toxicity.Readings(c, m.hits), said)[0] == pytest.approx(np.log(4))
 
 
 def test_toxicity_and_quality_learn(spark):
