@@ -298,7 +298,7 @@ class Model:
 
 def summary(readings: Readings, text: str) -> list[float]:
     found = [x for x in readings.of(text) if x]
-    return [min(sum(found), 40.0), float(bool(found)), math.log1p(len(found))]
+    return [math.log1p(sum(found)), float(bool(found)), math.log1p(len(found))]
 
 
 def probability(x: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
@@ -320,16 +320,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 50)
     return tuple(w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_size: int = 400, least_odds: float = 4.0, least_docs: int = 3, least_ratio: float = 6.0, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, least_odds: float = 4.0, least_docs: int = 3, least_ratio: float = 6.0, seed: int = 11) -> Model:
     """The character model from all of ``docs``; words and curve from labelled rows.
 
     At most ``max_labelled`` labelled rows, the lowest by a hash of their id, are
-    used: that bound is the only sample.  One half gives the lexicon, the
-    ``lexicon_size`` features of greatest likelihood ratio among those ``least_odds``
-    times likelier under the label, met in ``least_docs`` toxic texts and with a log
-    likelihood ratio of ``least_ratio`` or more; the other
-    half gives the curve.  Copies teach the lexicon once.  With one label only,
-    every score is near that label.
+    used: that bound is the only sample; of rows that repeat an id the least text
+    counts.  One half gives the lexicon: the features ``least_odds`` times likelier
+    under the label, met in ``least_docs`` toxic texts and with a log likelihood
+    ratio of ``least_ratio`` or more; the other half gives the curve.  Copies teach
+    the lexicon once.  A token counts once in a text.  With one label only, every
+    score is near that label; without rows they are near 0.
     """
     counted = materialize(count_language(docs), "language")
     grams = {r["gram"]: r["n"] for r in counted.where("gram not like ' %'").collect()}
@@ -339,7 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
     rows = rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "toxic").limit(max_labelled)
     half = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0
     known = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = known.join(F.broadcast(rows), known["doc_id"] == rows["_id"]).select("doc_id", "text", "toxic", half.alias("first"))
+    known = known.join(F.broadcast(rows), known["doc_id"] == rows["_id"]).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    known = known.select("doc_id", "text", "toxic", half.alias("first"))
     share = docs.sparkSession.sparkContext.broadcast((grams, words))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
     fair = (F.col("n0") + F.col("n1")) * (n1 / (n0 + n1))
     ratio = F.col("n1") * F.log(F.col("n1") / fair) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (F.col("n0") + F.col("n1") - fair))).otherwise(0.0)
     found = found.where(F.col("n1") >= least_docs).select("x", odds.alias("odds"), ratio.alias("ratio"))
-    top = found.where(F.col("odds") >= math.log(least_odds)).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "x").limit(lexicon_size).collect()
+    top = found.where(F.col("odds") >= math.log(least_odds)).where(F.col("ratio") >= least_ratio).collect()
     model = Model(grams, {r["x"]: r["odds"] for r in top}, (0.0,) * 4, words)
     use = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -373,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
 
     second = known.where("not first").select("text", "toxic").mapInArrow(summaries, "x array<double>, toxic int")
-    got = second.groupBy("x", "toxic").agg(F.count("*").alias("n")).orderBy("x", "toxic").limit(2 * max_labelled).toPandas()
+    got = second.groupBy("x", "toxic").agg(F.count("*").alias("n")).orderBy("x", "toxic").toPandas()
     if not len(got):
         return Model(grams, model.lexicon, (-2.0, 1.0, 1.0, 0.0), words)
     x = np.repeat(np.array(got["x"].tolist()), got["n"], axis=0)
