@@ -52,7 +52,7 @@ ALL_DESIGNATED, DESIGNATED = 40, 12
 #: So many document ids are broadcast to thin out the texts before they are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Signatures that are grouped in one call, and that one run of texts holds.
-BUCKET, RUN = 1_000_000, 1_000_000
+BUCKET, RUN = 1_000_000, 500_000
 #: Shingles of all members of a cell, and members, from which a group is cut.
 CELL_SHINGLES, CELL = 2_000_000, 4096
 #: Leaders that a group has in the first step; whoever meets none of them is left to the next steps.
