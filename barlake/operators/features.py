@@ -39,12 +39,23 @@ def dot(values: Column, taps: list[float]) -> Column:
     return sum((F.get(values, F.lit(i)) * F.lit(w) for i, w in enumerate(taps)), F.lit(0.0))
 
 
+def newest(c: str, n: int) -> Column:
+    """The last n values, oldest first; null before there are n.
+
+    Made of offsets into the sorted partition: each is a step of one pointer, where
+    a collected frame would gather n values anew at every row.
+    """
+    w = by_symbol()
+    back = [F.lag(c, k).over(w) for k in range(n - 1, 0, -1)]
+    return F.when(F.lag(c, n - 1).over(w).isNotNull() if n > 1 else F.col(c).isNotNull(), F.array(*back, F.col(c)))
+
+
 def closes(n: int = WINDOW) -> Column:
-    return F.collect_list("close").over(last(n))
+    return newest("close", n)
 
 
 def on_window(of: Callable[[Column], Column], n: int = WINDOW) -> Column:
-    return F.when(F.size(closes(n)) == n, of(closes(n)))
+    return F.when(F.lag("close", n - 1).over(by_symbol()).isNotNull(), of(closes(n)))
 
 
 def sma(p: int) -> Column:
@@ -92,8 +103,7 @@ def true_range() -> Column:
 
 def atr(bars: DataFrame, p: int, n: int = WINDOW, name: str = "atr") -> DataFrame:
     bars = bars.withColumn("_tr", true_range())
-    ranges = F.collect_list("_tr").over(last(n - 1))
-    value = F.when((F.size(ranges) == n - 1) & (F.size(closes(n)) == n), dot(ranges, wilder_taps(p, n - 1)))
+    value = F.when(F.lag("close", n - 1).over(by_symbol()).isNotNull(), dot(newest("_tr", n - 1), wilder_taps(p, n - 1)))
     return bars.withColumn(name, value).drop("_tr")
 
 
@@ -130,10 +140,10 @@ def garman_klass(p: int, periods: float) -> Column:
 
 
 def fracdiff(d: float, threshold: float = 1e-5, cap: int = 500, log: bool = True) -> Column:
-    taps = fracdiff_taps(d, threshold, cap)[::-1]
+    """The fractional difference of closes or their logs; null before there are as many as weights."""
+    w = by_symbol()
     value = F.log("close") if log else F.col("close")
-    rows = F.collect_list(value).over(last(len(taps)))
-    return F.when(F.size(rows) == len(taps), dot(rows, taps))
+    return sum((F.lag(value, k).over(w) * F.lit(t) for k, t in enumerate(fracdiff_taps(d, threshold, cap)) if k), value)
 
 
 def full_ema(bars: DataFrame, p: int) -> DataFrame:
@@ -191,7 +201,6 @@ BASELINE = ("sma_20", "ema_12", "rsi_14", "macd_hist", "bollinger_bw", "atr_14",
 def baseline(bars: DataFrame, periods: float = HOURS_A_YEAR, n: int = WINDOW) -> DataFrame:
     """The baseline_v1 feature set: rows on which every feature is defined, at the time a bar may be used."""
     bars = bars.withColumn("log_return_1", log_return()).withColumn("_tr", true_range())
-    ranges = F.collect_list("_tr").over(last(n - 1))
     band = bollinger(20, 2.0)["bandwidth"]
     vol = F.stddev_samp("log_return_1").over(last(20)) * math.sqrt(periods)
     out = bars.select(
@@ -201,11 +210,11 @@ def baseline(bars: DataFrame, periods: float = HOURS_A_YEAR, n: int = WINDOW) ->
         "close",
         sma(20).alias("sma_20"),
         closes(n).alias("_c"),
-        ranges.alias("_t"),
+        newest("_tr", n - 1).alias("_t"),
         band.alias("bollinger_bw"),
         vol.alias("volatility_20"),
         "log_return_1",
-    ).where((F.size("_c") == n) & (F.size("_t") == n - 1))
+    ).where("_c is not null and _t is not null")
     c = F.col("_c")
     steps = [F.get(c, F.lit(i + 1)) - F.get(c, F.lit(i)) for i in range(n - 1)]
     gain = _wilder([F.greatest(s, F.lit(0.0)) for s in steps], 14)
