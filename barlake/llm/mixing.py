@@ -77,15 +77,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, alp
         rates = F.broadcast(rates)
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text))
-    rows = docs.select(F.struct(*keep).alias("row"), name.alias("name"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+    own = [f"c{k}" for k in range(len(keep))]  # the columns of docs travel under names that nothing else has
+    rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, own)), name.alias("name"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     drawn = rows.join(rates, "source").withColumn("u", uniform(F.lit(seed), "name"))
     more = F.transform(F.sequence(F.lit(2), F.col("draws")), lambda k: uniform(F.lit(seed), "name", F.lit("draw"), k.cast("string")))
     rest = F.aggregate(more, F.lit(0), lambda n, x: n + F.size(F.filter("cdf", lambda c: x >= c)))
     first = F.size(F.filter("cdf", lambda c: F.col("u") >= c))
-    drawn = drawn.withColumn("n", first + F.when(F.col("draws") > 1, rest).otherwise(0)).where("n > 0").select("row", "name", "n")
+    drawn = drawn.withColumn("n", first + F.when(F.col("draws") > 1, rest).otherwise(0)).where("n > 0").select(*own, "name", "n")
     blocks = drawn.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BLOCK}").cast("int"))))
     within = F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("n"), (F.col("block") + 1) * BLOCK))
-    copies = blocks.select("row", "name", F.explode(within).alias("copy"))
+    copies = blocks.select(*own, "name", F.explode(within).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), "name", F.col("copy").cast("string")).cast("binary"))
-    copies = copies.select("row", "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
-    return copies.select(*(F.col("row")[c].alias(c) for c in keep), "copy", "shuffle_key")
+    copies = copies.select(*own, "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.select(*(F.col(k).alias(c) for c, k in zip(keep, own)), "copy", "shuffle_key")
