@@ -31,6 +31,8 @@ from .shingles import U, mix, slices, word_hashes
 BEGIN, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 #: Bigrams that a task holds before it sends them off.
 HELD = 1_500_000
+#: Tokens whose bigrams a bucket takes, so that merging one needs as much memory at any size.
+BUCKET = 2_000_000
 #: A count of this is looked up in the list of large counts.
 LARGE = 255
 PARTS = "bucket int, contexts binary, sizes binary, words binary, counts binary"
@@ -258,9 +260,9 @@ class Model:
 def fit(texts: DataFrame) -> Model:
     """Learn from ``texts(text)``; null texts are empty; with no row every token is unknown."""
     spark = texts.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = materialize(count_words(texts), "words")
     tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET)
     # fewer than 4 * buckets words can be this frequent
     hot = tuple(int(r["h"]) & (1 << 64) - 1 for r in words.where(F.col("c") > max(1, tokens // (4 * buckets))).select("h").collect())
     hot += (int(BEGIN),)
