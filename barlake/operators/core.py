@@ -87,12 +87,14 @@ def tradable(products: DataFrame) -> DataFrame:
 
 
 def incompatible(models: DataFrame, datasets: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs (model, dataset) of a symbol that differ in some field; null equals null."""
-    m = models.select(F.col("model_id"), F.col("symbol"), F.struct(*on).alias("m"))
-    d = datasets.select(F.col("dataset_id"), F.col("symbol").alias("_s"), F.struct(*on).alias("d"))
-    both = m.join(d, F.col("symbol") == F.col("_s"))
-    differs = F.array_compact(F.array(*(F.when(~F.col(f"m.{c}").eqNullSafe(F.col(f"d.{c}")), F.lit(c)) for c in on)))
-    return both.withColumn("differs", F.array_join(differs, ",")).where("differs <> ''").select("model_id", "dataset_id", "symbol", "differs")
+    """Kinds of models and of datasets of a symbol that differ in some field, and how many there are of each; null equals null.
+
+    Models and datasets alike in all fields are one kind, so pairs are as few as kinds.
+    """
+    kinds = lambda df, side: df.groupBy("symbol", *on).agg(F.count("*").alias(f"{side}s")).select("symbol", f"{side}s", *(F.col(c).alias(f"{side}_{c}") for c in on))
+    both = kinds(models, "model").join(kinds(datasets, "dataset"), "symbol")
+    differs = F.array_compact(F.array(*(F.when(~F.col(f"model_{c}").eqNullSafe(F.col(f"dataset_{c}")), F.lit(c)) for c in on)))
+    return both.withColumn("differs", F.array_join(differs, ",")).where("differs <> ''")
 
 
 def recent(rows: DataFrame, n: int, key: str = "symbol") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,14 +12,27 @@ def zero(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pred", F.lit(0.0))
 
 
+def flattened(rows: DataFrame, features: list[str], lookback: int) -> tuple[DataFrame, list[str]]:
+    """Rows with the features of their last ``lookback`` bars as columns of their own, and these columns' names; the first rows go."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    names = {f"{c}_{k}": F.lag(c, k).over(w) if k else F.col(c) for c in features for k in range(lookback)}
+    out = rows.withColumns(names)
+    return out.where(" and ".join(f"{c}_{lookback - 1} is not null" for c in features)), list(names)
+
+
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
 
 
 def ridge(train: DataFrame, features: list[str], alpha: float):
-    """Ridge with penalty ``alpha`` on the sum of squares; Spark's loss is a mean, so the penalty is divided by the rows."""
+    """Ridge with penalty ``alpha`` on the sum of squares.
+
+    Spark's loss is a mean and its penalty is divided by the label's deviation, so
+    the penalty is given over the rows and times the deviation.
+    """
     rows = assemble(train, features)
-    return LinearRegression(labelCol="target", regParam=alpha / max(1, rows.count()), elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
+    n, std = rows.agg(F.count("*"), F.coalesce(F.stddev_pop("target"), F.lit(1.0))).first()
+    return LinearRegression(labelCol="target", regParam=alpha / max(1, n) * std, elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
 
 
 def boosted(train: DataFrame, features: list[str], rounds: int = 20, depth: int = 3):
@@ -33,11 +46,18 @@ def score(model, rows: DataFrame, features: list[str], model_id: str) -> DataFra
 
 
 def walk(rows: DataFrame, fit, features: list[str], model_id: str, folds: list[int]) -> DataFrame:
-    """Out-of-sample predictions of every fold; ``rows`` as of walk_forward with ``target``."""
+    """Out-of-sample predictions of every fold; ``rows`` as of walk_forward with ``target``.
+
+    Features are scaled by the means and deviations of each fold's training rows.
+    """
+    from .splits import fit_scaler, scale
+
     out = None
     for k in folds:
-        model = fit(rows.where((F.col("fold") == k) & (F.col("role") == "train")))
-        part = score(model, rows.where((F.col("fold") == k) & (F.col("role") == "test")), features, model_id)
+        train, test = (rows.where((F.col("fold") == k) & (F.col("role") == r)) for r in ("train", "test"))
+        scaler = fit_scaler(train, features)
+        model = fit(scale(train, scaler, features))
+        part = score(model, scale(test, scaler, features), features, model_id)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -130,12 +130,14 @@ def pf9(spark, d):
     return core.tradable(rows).select("c_custkey", "id", "name")
 
 
-@register("pf10_model_compat", """WITH m AS (SELECT s_suppkey AS model_id, s_nationkey AS symbol, s_suppkey % 2 AS interval, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 3 END AS source FROM supplier),
-d AS (SELECT c_custkey AS dataset_id, c_nationkey AS symbol, c_custkey % 2 AS interval, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 3 END AS source FROM customer WHERE c_acctbal > 9000),
-j AS (SELECT model_id, dataset_id, m.symbol, concat_ws(',', CASE WHEN m.interval IS DISTINCT FROM d.interval THEN 'interval' END, CASE WHEN m.source IS DISTINCT FROM d.source THEN 'source' END) AS differs FROM m JOIN d ON m.symbol = d.symbol)
-SELECT * FROM j WHERE differs <> ''""")
+@register("pf10_model_compat", """WITH m AS (SELECT s_nationkey AS symbol, s_suppkey % 2 AS interval, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 3 END AS source FROM supplier),
+d AS (SELECT c_nationkey AS symbol, c_custkey % 2 AS interval, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 3 END AS source FROM customer),
+j AS (SELECT m.symbol, m.interval AS model_interval, m.source AS model_source, d.interval AS dataset_interval, d.source AS dataset_source FROM m JOIN d ON m.symbol = d.symbol WHERE m.interval <> d.interval OR m.source IS DISTINCT FROM d.source),
+k AS (SELECT DISTINCT * FROM j)
+SELECT *, (SELECT count(*) FROM m WHERE m.symbol = k.symbol AND interval = model_interval AND source IS NOT DISTINCT FROM model_source) AS models, (SELECT count(*) FROM d WHERE d.symbol = k.symbol AND interval = dataset_interval AND source IS NOT DISTINCT FROM dataset_source) AS datasets,
+  CASE WHEN model_interval = dataset_interval THEN 'source' WHEN model_source IS NOT DISTINCT FROM dataset_source THEN 'interval' ELSE 'interval,source' END AS differs FROM k""")
 def pf10(spark, d):
-    s, c = x.table(spark, d, "supplier"), x.table(spark, d, "customer").where("c_acctbal > 9000")
+    s, c = x.table(spark, d, "supplier"), x.table(spark, d, "customer")
     m = s.selectExpr("s_suppkey AS model_id", "s_nationkey AS symbol", "s_suppkey % 2 AS interval", "CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 3 END AS source")
     n = c.selectExpr("c_custkey AS dataset_id", "c_nationkey AS symbol", "c_custkey % 2 AS interval", "CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 3 END AS source")
     return core.incompatible(m, n, ["interval", "source"])
@@ -195,11 +197,11 @@ def journal_rows(spark, d):
 
 
 @register("dq7_event_rules", """WITH e AS (SELECT event_id, ['t','q','b','u','c','x','zz','b'][event_id % 8 + 1] AS kind, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS t, value AS v, CASE WHEN event_id % 11 = 0 THEN -1.0 ELSE value END AS odd FROM events),
-f AS (SELECT *, event_id % 17 = 0 AS bad_time, t + CASE WHEN event_id % 13 = 0 THEN 7 ELSE 0 END AS at, t + CASE WHEN event_id % 19 = 0 THEN -10 WHEN event_id % 23 = 0 THEN 30 ELSE 61 END AS got FROM e),
-r AS (SELECT event_id, 'bad time' AS rule FROM f WHERE bad_time UNION ALL SELECT event_id, 'unknown kind' FROM f WHERE kind = 'zz' UNION ALL SELECT event_id, 'future' FROM f WHERE bad_time OR at > got + 5
+f AS (SELECT *, event_id % 17 = 0 AS bad_time, t + CASE WHEN event_id % 13 = 0 THEN 7 ELSE 0 END AS due, t + CASE WHEN event_id % 19 = 0 THEN -10 WHEN event_id % 23 = 0 THEN 30 ELSE 61 END AS got FROM e),
+r AS (SELECT event_id, 'bad time' AS rule FROM f WHERE bad_time UNION ALL SELECT event_id, 'unknown kind' FROM f WHERE kind = 'zz' UNION ALL SELECT event_id, 'future' FROM f WHERE bad_time OR due > got + 5
   UNION ALL SELECT event_id, 'bad trade' FROM f WHERE kind = 't' AND odd <= 0 UNION ALL SELECT event_id, 'bad quote' FROM f WHERE kind = 'q' AND (v <= 0 OR odd < 0)
-  UNION ALL SELECT event_id, 'bad bar' FROM f WHERE kind IN ('b', 'u') AND (v <= 0 OR odd <= 0 OR odd > v) UNION ALL SELECT event_id, 'unaligned bar' FROM f WHERE kind IN ('b', 'u') AND (bad_time OR at % 60 <> 0)
-  UNION ALL SELECT event_id, 'early bar' FROM f WHERE kind IN ('b', 'u') AND (bad_time OR got < at + 60) UNION ALL SELECT event_id, 'bad correction' FROM f WHERE kind = 'c' AND (v <= 0 OR odd <= 0)
+  UNION ALL SELECT event_id, 'bad bar' FROM f WHERE kind IN ('b', 'u') AND (v <= 0 OR odd <= 0 OR odd > v) UNION ALL SELECT event_id, 'unaligned bar' FROM f WHERE kind IN ('b', 'u') AND (bad_time OR due % 60 <> 0)
+  UNION ALL SELECT event_id, 'early bar' FROM f WHERE kind IN ('b', 'u') AND (bad_time OR got < due + 60) UNION ALL SELECT event_id, 'bad correction' FROM f WHERE kind = 'c' AND (v <= 0 OR odd <= 0)
   UNION ALL SELECT event_id, 'bad cancel' FROM f WHERE kind = 'x' AND event_id % 3 = 0)
 SELECT * FROM r""")
 def dq7(spark, d):

@@ -12,10 +12,11 @@ from .base import BARS, register, rnd, rounded
 from .feature_queries import _BASE, _TARGET
 
 
-@register("io7_fingerprint", f"""WITH {BARS}, h AS (SELECT symbol, ts, ts // 86400 AS day, sha256(concat_ws('|', ts, volume)) AS h FROM bars),
-d AS (SELECT symbol, day, count(*) AS n, min(ts) AS a, max(ts) AS z FROM h GROUP BY 1, 2) SELECT symbol, CAST(sum(n) AS BIGINT) AS rows, min(a) AS first_ts, max(z) AS last_ts FROM d GROUP BY 1""")
+@register("io7_fingerprint", f"""WITH {BARS}, h AS (SELECT symbol, ts, ts // 86400 AS day, sha256(concat_ws('|', ts, open, high, low, close, volume)) AS h FROM bars),
+d AS (SELECT symbol, day, count(*) AS n, min(ts) AS a, max(ts) AS z, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1, 2)
+SELECT symbol, CAST(sum(n) AS BIGINT) AS rows, min(a) AS first_ts, max(z) AS last_ts, sha256(string_agg(h, '' ORDER BY day)) AS sha256 FROM d GROUP BY 1""")
 def io7(spark, d):
-    return io.fingerprint(x.hourly_bars(spark, d)).drop("sha256")
+    return io.fingerprint(x.hourly_bars(spark, d))
 
 
 FEATURES = ["sma_20", "rsi_14", "log_return_1"]
@@ -68,8 +69,13 @@ def io14(spark, d):
     return calendar.sessions(spark, f"{year - 5}-01-01", f"{year + 4}-12-31").select(text("date"), "open_ts", "close_ts", "is_early_close", "next_open_ts", text("prev_date"), text("next_date"))
 
 
+LOOKBACK = 5
+
+
 def folds(spark, d):
-    return splits.walk_forward(labelled(spark, d), 3, 1, 2)
+    """Walk-forward folds of flattened windows of all baseline features, and the names of their columns."""
+    rows, names = models.flattened(labelled(spark, d), list(f.BASELINE), LOOKBACK)
+    return splits.walk_forward(rows, 3, 1, 2), names
 
 
 @register("ml1_zero", f"WITH {BARS} SELECT symbol, ts, 0.0::DOUBLE AS pred FROM bars")
@@ -79,11 +85,13 @@ def ml1(spark, d):
 
 @register("ml2_ridge")
 def ml2(spark, d):
-    out = models.walk(folds(spark, d), lambda t: models.ridge(t, FEATURES, 1.0), FEATURES, "ridge", [0, 1, 2])
+    rows, names = folds(spark, d)
+    out = models.walk(rows, lambda t: models.ridge(t, names, 1.0), names, "ridge", [0, 1, 2])
     return rounded(out.select("symbol", "ts", "fold", "model_id", "pred", "target"))
 
 
 @register("ml3_boosted")
 def ml3(spark, d):
-    out = models.walk(folds(spark, d), lambda t: models.boosted(t, FEATURES, 5), FEATURES, "boosted", [2])
+    rows, names = folds(spark, d)
+    out = models.walk(rows, lambda t: models.boosted(t, names, 20), names, "boosted", [0, 1, 2])
     return rounded(out.select("symbol", "ts", "fold", "model_id", "pred", "target"))

@@ -436,3 +436,31 @@ def test_whole_series_ema(spark):
                 e += 2 / (period + 1) * (closes[i] - e)
             assert got[i] == pytest.approx(e, rel=1e-12)
         assert len(got) == len(closes) - period + 1
+
+
+def test_ridge_equals_the_normal_equations(spark):
+    import numpy as np
+    from barlake.operators import models
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2)) * [3.0, 0.2] + 1
+    y = x @ [0.5, -2.0] + rng.normal(size=60) / 10
+    rows = [("a", i, float(a), float(b), float(t), 0, "train" if i < 40 else "test") for i, ((a, b), t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "symbol string, ts long, u double, v double, target double, fold int, role string")
+    out = models.walk(df, lambda t: models.ridge(t, ["u", "v"], 2.0), ["u", "v"], "ridge", [0]).orderBy("ts").collect()
+    z = (x - x[:40].mean(0)) / x[:40].std(0)
+    w = np.linalg.solve(z[:40].T @ z[:40] + 2.0 * np.eye(2), z[:40].T @ (y[:40] - y[:40].mean()))
+    assert [r["pred"] for r in out] == pytest.approx(list(z[40:] @ w + y[:40].mean()))
+    wide, names = models.flattened(df, ["u"], 3)
+    got = wide.orderBy("ts").first()
+    assert names == ["u_0", "u_1", "u_2"] and [got[c] for c in names] == pytest.approx(list(x[[2, 1, 0], 0])) and wide.count() == 58
+
+
+def test_boosted_trees_predict_every_fold(spark):
+    from barlake.operators import models
+
+    rows = [("a", i, float(i % 7), float((i % 7) ** 2), k, "train" if i < 40 else "test") for k in (0, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, u double, target double, fold int, role string")
+    out = models.walk(df, lambda t: models.boosted(t, ["u"], 10), ["u"], "boosted", [0, 1]).collect()
+    assert {(r["fold"], r["ts"]) for r in out} == {(k, i) for k in (0, 1) for i in range(40, 60)}
+    assert max(abs(r["pred"] - r["target"]) for r in out) < 3
