@@ -19,6 +19,7 @@ def last_value(df, c):
 
 
 def test_golden_values(spark):
+    # Published example series with their indicators
     sma = frame(spark, [22.27, 22.19, 22.08, 22.17, 22.18, 22.13, 22.23, 22.43, 22.24, 22.29])
     assert last_value(sma, f.sma(5)) == pytest.approx(22.264)
     bands = frame(spark, [20, 22, 21, 23, 24])

@@ -31,6 +31,7 @@ def test_signals_wait_for_a_later_bar(spark):
 
 
 def test_after_cost_return(spark):
+    # worked by hand: cost of 10 basis points on both sides
     rows = spark.createDataFrame([(1.0, 100.0, 110.0), (-1.0, 100.0, 90.0)], "pred double, next_open double, next_close double")
     a, b = metrics.after_cost(rows, 10.0).orderBy(F.desc("pred")).collect()
     assert (a["ret"], a["turnover"]) == pytest.approx((1.1 * 0.999 / 1.001 - 1, 2.1)) and (b["ret"], b["turnover"]) == (0, 0)
@@ -48,6 +49,7 @@ def test_round_trip_with_fees(spark):
 
 
 def test_regime_labels(spark):
+    # Runs of returns at the edges of the regime rules
     rows = [("bull", i, r) for i, r in enumerate([0.005, 0.004, 0.006, 0.003, 0.005])] + [("crisis", i, r) for i, r in enumerate([0.01, -0.07, 0.0, 0.01, 0.0])]
     got = {r["symbol"]: r["regime"] for r in metrics.regimes(spark.createDataFrame(rows, "symbol string, ts int, ret double"), 252.0).collect()}
     assert got == {"bull": "Bull", "crisis": "Crisis"}
