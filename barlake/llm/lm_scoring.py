@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram scores.
+"""Interpolated modified Kneser-Ney n-gram scores, of order 2 or 3.
 
 Counted in Spark, stored as sorted hash arrays in the shared folder, and
 memory-mapped by the workers that score.
@@ -9,6 +9,9 @@ bigrams of the few contexts that are more than a bucket's fair share are spread
 over all buckets by the whole bigram.  A bucket's task merges its arrays and
 writes one file of sorted bigram hashes with their counts.  Only sums of counts
 reach the driver.
+
+Order 3 counts trigrams in the same way, by buckets of the whole trigram, and
+takes for the counts of bigrams how many different words stand before them.
 """
 
 from __future__ import annotations
@@ -45,6 +48,13 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(h, at[1:], END), np.insert(h, at[:-1], BEGIN), at + np.arange(len(at))
 
 
+def before_that(context: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The token two before each, by the tokens before each of texts that begin at ``at``."""
+    out = np.concatenate([context[:1], context[:-1]])
+    out[at[:-1]] = BEGIN
+    return out
+
+
 def bigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * U(0xD1342543DE82EF95) + word)
 
@@ -119,6 +129,85 @@ def count_bigrams(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, PARTS)
 
 
+def count_trigrams(texts: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, before, middle, word, count)``: packed trigram counts of ``texts(text)``, several rows a bucket."""
+    names = ["bucket", "before", "middle", "word", "count"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            u, v, w = (np.concatenate(x) for x in zip(*held))
+            key = bigram_key(bigram_key(u, v), w)
+            at, count = _distinct(key, np.ones(len(key), np.uint32))
+            bucket = ((key[at] >> U(20)) % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            at, count, bucket = at[order], count[order].astype(np.uint32), bucket[order]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            rows = [(int(bucket[a]), *(x[at[a:z]].tobytes() for x in (u, v, w)), count[a:z].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(bucket)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows))], names)
+
+        for b in batches:
+            for _, some in slices(b.column(0)):
+                word, before, at = sequences(some)
+                held.append((before_that(before, at), before, word))
+                size += len(word)
+                if size >= HELD:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return texts.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in names[1:]))
+
+
+def merge_trigrams(folder: str):
+    """As :func:`merge_bucket`; besides, kind "pair": h and a, the last two words of a different trigram each."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        take = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in rows.column(c).combine_chunks()])
+        u, v, w, count = take("before", U), take("middle", U), take("word", U), take("count", np.uint32).astype(np.int64)
+        context = bigram_key(u, v)
+        at, count = _distinct(bigram_key(context, w), count)
+        context, v, w = context[at], v[at], w[at]
+        key = bigram_key(context, w)
+        large = count >= LARGE
+        path = write_array(folder, [key, key[large], count[large], np.minimum(count, LARGE).astype(np.uint8)])
+        bucket = rows.column("bucket")[0].as_py()
+        out = [pa.table({"kind": ["file"], "h": [bucket], "a": [len(key)], "b": [int(large.sum())], "c": [0], "d": [0], "path": [path]})]
+        out.append(pa.table({"kind": ["counts"], "h": [bucket], **{c: [int((count == k).sum())] for k, c in enumerate("abcd", 1)}, "path": pa.nulls(1, pa.string())}))
+        order = np.argsort(context, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(context[order]) != 0]))
+        c = count[order]
+        out.append(_table("context", context[order][first], [np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c > 2)]))
+        zero = np.zeros(len(v), np.int64)
+        out.append(_table("pair", v, [w.view(np.int64), zero, zero, zero]))
+        return pa.concat_tables(out)
+
+    return merge
+
+
+def pack_pairs(pairs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """``pairs(h, a, n)``, bigrams and their counts, packed as :func:`count_bigrams` does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            context, word = (b.column(k).to_numpy().view(U) for k in (0, 1))
+            count = b.column(2).to_numpy().astype(np.uint32)
+            bucket = bucket_of(context, bigram_key(context, word), hot, buckets)
+            order = np.lexsort((word, context, bucket))
+            context, word, count, bucket = context[order], word[order], count[order], bucket[order]
+            rows = []
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+            for a, z in zip(cut, np.append(cut[1:], len(bucket))):
+                rows.append((int(bucket[a]), context[a:z].tobytes(), np.ones(z - a, np.uint32).tobytes(), word[a:z].tobytes(), count[a:z].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows))], ["bucket", "contexts", "sizes", "words", "counts"])
+
+    return pairs.select("h", "a", "n").mapInArrow(run, PARTS)
+
+
 def open_folder(uri: str):
     from pyarrow import fs
 
@@ -214,35 +303,51 @@ class Model:
     word_files: tuple = ()  # (least hash, name, entries), in order
     discount: tuple[float, float, float] = (0.5, 1.0, 1.5)
     floor: float = 1.0  # the lower-order probability of an unknown word
+    order: int = 2
+    trigram_files: dict = field(default_factory=dict)
+    context_files: tuple = ()
+    trigram_discount: tuple[float, float, float] = (0.5, 1.0, 1.5)
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per hash: count, lower-order probability, total and leftover weight as a context."""
-        out = np.zeros((4, len(h)))
-        out[1], out[3] = self.floor, 1.0
+        return self._ranged(h, self.word_files, (0.0, self.floor, 0.0, 1.0))
+
+    def pairs(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Per hash of two words: total and leftover weight as a context."""
+        return self._ranged(h, self.context_files, (0.0, 1.0))
+
+    def _ranged(self, h: np.ndarray, files: tuple, without: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+        out = np.repeat(np.array(without)[:, None], len(h), axis=1)
         x = h.view(np.int64)
-        lows = np.array([f[0] for f in self.word_files], np.int64)
+        lows = np.array([f[0] for f in files], np.int64)
         which = np.searchsorted(lows, x, "right") - 1
         order = np.argsort(x)
         for k in np.unique(which[which >= 0]):
-            _, name, n = self.word_files[k]
+            _, name, n = files[k]
             data = map_file(f"{self.folder}/{name}")
             keys = data[: 8 * n].view(np.int64)
             some = order[which[order] == k]
             at = np.minimum(np.searchsorted(keys, x[some]), n - 1)
             hit = keys[at] == x[some]
-            for j in range(4):
+            for j in range(len(without)):
                 col = data[8 * n * (j + 1) : 8 * n * (j + 2)].view(np.float64)
                 out[j][some[hit]] = col[at[hit]]
         return tuple(out)
 
     def bigram_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         key = bigram_key(context, word)
-        bucket = bucket_of(context, key, np.array(self.hot, U), self.buckets)
+        return self._counts(key, bucket_of(context, key, np.array(self.hot, U), self.buckets), self.bigram_files)
+
+    def trigram_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        key = bigram_key(context, word)
+        return self._counts(key, ((key >> U(20)) % U(self.buckets)).astype(np.int64), self.trigram_files)
+
+    def _counts(self, key: np.ndarray, bucket: np.ndarray, files: dict) -> np.ndarray:
         order = np.lexsort((key, bucket))
         out = np.zeros(len(key), np.int64)
         edges = np.flatnonzero(np.diff(bucket[order])) + 1
         for some in np.split(order, edges) if len(order) else ():
-            if (found := self.bigram_files.get(int(bucket[some[0]]))) is None:
+            if (found := files.get(int(bucket[some[0]]))) is None:
                 continue
             name, n, large = found
             data = map_file(f"{self.folder}/{name}")
@@ -257,8 +362,33 @@ class Model:
         return out
 
 
-def fit(texts: DataFrame) -> Model:
+def _weights(context: DataFrame, d: tuple[float, float, float]) -> DataFrame:
+    """``(h, total, gamma)`` of each context."""
+    context = context.groupBy("h").agg(*(F.sum(c).alias(c) for c in "abcd"))
+    gamma = (F.col("b") * d[0] + F.col("c") * d[1] + F.col("d") * d[2]) / F.col("a")
+    return context.select("h", F.col("a").cast("double").alias("total"), gamma.alias("gamma"))
+
+
+def _sharded(rows: DataFrame, folder: str, what: str) -> tuple:
+    """``rows``, h and doubles, as sorted arrays in files by ranges of h: (least hash, name, entries) of each."""
+    columns = len(rows.columns)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            cols = [np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(columns)]
+            name = write_array(folder, cols)
+            yield pa.RecordBatch.from_arrays([pa.array([cols[0][0]]), pa.array([name]), pa.array([len(cols[0])])], ["h", "path", "n"])
+
+    ordered = rows.repartitionByRange("h").sortWithinPartitions("h")
+    shards = materialize(ordered.mapInArrow(write, "h long, path string, n long"), what).collect()
+    return tuple(sorted((r["h"], r["path"], r["n"]) for r in shards))
+
+
+def fit(texts: DataFrame, order: int = 2) -> Model:
     """Learn from ``texts(text)``; null texts are empty; with no row every token is unknown."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = texts.sparkSession
     words = materialize(count_words(texts), "words")
     tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -267,14 +397,21 @@ def fit(texts: DataFrame) -> Model:
     hot = tuple(int(r["h"]) & (1 << 64) - 1 for r in words.where(F.col("c") > max(1, tokens // (4 * buckets))).select("h").collect())
     hot += (int(BEGIN),)
     folder = scratch_path(spark, "bigrams")
-    packed = count_bigrams(texts, np.array(hot, U), buckets)
-    merged = materialize(packed.groupBy("bucket").applyInArrow(merge_bucket(folder), MERGED), "merged")
-    files = {r["h"]: (r["path"], r["a"], r["b"]) for r in merged.where("kind = 'file'").collect()}
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in "abcd"]
+    place = lambda rows: {r["h"]: (r["path"], r["a"], r["b"]) for r in rows.where("kind = 'file'").collect()}
+    more: dict = {"order": order}
+    if order == 3:
+        high = materialize(count_trigrams(texts, buckets).groupBy("bucket").applyInArrow(merge_trigrams(folder), MERGED), "trigrams")
+        more["trigram_files"] = place(high)
+        more["trigram_discount"] = discounts(tuple(high.where("kind = 'counts'").agg(*sums).first()))
+        more["context_files"] = _sharded(_weights(high.where("kind = 'context'"), more["trigram_discount"]), folder, "contexts")
+        packed = pack_pairs(high.where("kind = 'pair'").groupBy("h", "a").agg(F.count("*").alias("n")), np.array(hot, U), buckets)
+    else:
+        packed = count_bigrams(texts, np.array(hot, U), buckets)
+    merged = materialize(packed.groupBy("bucket").applyInArrow(merge_bucket(folder), MERGED), "merged")
+    files = place(merged)
     d = discounts(tuple(merged.where("kind = 'counts'").agg(*sums).first()))
-    context = merged.where("kind = 'context'").groupBy("h").agg(*(F.sum(c).alias(c) for c in "abcd"))
-    gamma = (F.col("b") * d[0] + F.col("c") * d[1] + F.col("d") * d[2]) / F.col("a")
-    context = context.select("h", F.col("a").cast("double").alias("total"), gamma.alias("gamma"))
+    context = _weights(merged.where("kind = 'context'"), d)
     follows = merged.where("kind = 'word'").groupBy("h").agg(F.sum("a").alias("n"))
     all_n, *n = follows.agg(F.coalesce(F.sum("n"), F.lit(0)), *(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)), F.count_if(F.col("n") > 2)).first()
     e = discounts(tuple(n[:4]))
@@ -287,16 +424,7 @@ def fit(texts: DataFrame) -> Model:
         "h", F.coalesce("c", F.lit(0)).cast("double").alias("c"), lower.alias("p"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("gamma", F.lit(1.0)).alias("gamma")
     )
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            cols = [np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(5)]
-            name = write_array(folder, cols)
-            yield pa.RecordBatch.from_arrays([pa.array([cols[0][0]]), pa.array([name]), pa.array([len(cols[0])])], ["h", "path", "n"])
-
-    ordered = whole.repartitionByRange("h").sortWithinPartitions("h")
-    shards = materialize(ordered.mapInArrow(write, "h long, path string, n long"), "shards").collect()
-    return Model(folder, tokens, types, hot, buckets, files, tuple(sorted((r["h"], r["path"], r["n"]) for r in shards)), d, floor)
+    return Model(folder, tokens, types, hot, buckets, files, _sharded(whole, folder, "shards"), d, floor, **more)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -321,7 +449,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 c = m.bigram_counts(before[pair], word[pair])[back]
                 t = total[u]
                 high = np.where(t > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(t, 1), 0)
-                p = np.log10(high + np.where(t > 0, gamma[u], 1.0) * lower[w])
+                likely = high + np.where(t > 0, gamma[u], 1.0) * lower[w]
+                if m.order == 3:
+                    two = bigram_key(before_that(before, at), before)
+                    some, back = np.unique(two, return_inverse=True)
+                    t, left = (x[back] for x in m.pairs(some))
+                    pair, back = np.unique(bigram_key(two, word), return_index=True, return_inverse=True)[1:]
+                    c = m.trigram_counts(two[pair], word[pair])[back]
+                    d3 = np.array([0.0, *m.trigram_discount])
+                    likely = np.where(t > 0, np.maximum(c - d3[np.minimum(c, 3)], 0) / np.maximum(t, 1), 0) + left * likely
+                p = np.log10(likely)
                 base = np.log10((count[w] + 1) / (m.tokens + m.types + 1))
                 known = (count[w] > 0).astype(np.int64)
                 for k, x in enumerate((np.ones(len(w), np.int64), known, base, p)):

@@ -165,6 +165,42 @@ def test_language_model(rows, docs, empty):
     assert lm_scoring.score(docs, lm_scoring.fit(empty.select("text"))).count() == len(rows)
 
 
+def test_language_model_of_order_three(rows, docs, empty):
+    model = lm_scoring.fit(docs.where("doc_id % 4 <> 0").select("text"), order=3)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, model).collect()}
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["</>"] for i, t, *_ in rows}
+    three = lambda w: zip(["<s>", "<s>", *w[:-2]][: len(w)], ["<s>", *w[:-1]], w)
+    tri, uni = Counter(), Counter()
+    for i, w in tokens.items():
+        if i % 4:
+            tri.update(three(w))
+            uni.update(w)
+    bi = Counter((v, w) for _, v, w in tri)
+    one = Counter(w for _, w in bi)
+    cut = lambda counts: lm_scoring.discounts(tuple(Counter(counts.values())[k] for k in (1, 2, 3, 4)))
+    less = lambda c, d: d[min(c, 3) - 1]
+    d3, d2, d1 = cut(tri), cut(bi), cut(one)
+
+    def weights(counts, d):
+        total, spare = Counter(), Counter()
+        for (*u, _), c in counts.items():
+            total[tuple(u)] += c
+            spare[tuple(u)] += less(c, d)
+        return total, spare
+
+    (t3, s3), (t2, s2) = weights(tri, d3), weights(bi, d2)
+    left = sum(less(c, d1) for c in one.values()) / len(bi) / (len(uni) + 1)
+    p1 = lambda w: (max(one[w] - less(one[w], d1), 0) / len(bi) if one[w] else 0) + left
+
+    def step(c, d, total, spare, u, lower):
+        return (max(c - less(c, d), 0) / total[u] if c else 0) + spare[u] / total[u] * lower if total[u] else lower
+
+    for i, w in tokens.items():
+        p = [step(tri[u, v, x], d3, t3, s3, (u, v), step(bi[v, x], d2, t2, s2, (v,), p1(x))) for u, v, x in three(w)]
+        assert got[i] == pytest.approx(sum(np.log10(p)))
+    assert lm_scoring.score(docs, lm_scoring.fit(empty.select("text"), order=3)).count() == len(rows)
+
+
 def test_chat_trees(spark):
     tree = [(1, 1, None, "user", "hi [INST] <|text|>", 0.0), (1, 2, 1, "assistant", "</s><\\x", 1.0), (1, 3, 1, "assistant", None, 5.0), (1, 4, 3, "user", "[\\INST]", 0.0), (2, 1, 9, None, "", 0.0)]
     t = spark.createDataFrame(tree, "tree int, node int, parent int, role string, text string, score double")
