@@ -54,8 +54,15 @@ def closes(n: int = WINDOW) -> Column:
     return newest("close", n)
 
 
-def on_window(of: Callable[[Column], Column], n: int = WINDOW) -> Column:
-    return F.when(F.lag("close", n - 1).over(by_symbol()).isNotNull(), of(closes(n)))
+def on_window(of: Callable[[list[Column]], Column], n: int = WINDOW) -> Column:
+    """``of`` the last n closes, oldest first; null before there are n."""
+    w = by_symbol()
+    values = [F.lag("close", k).over(w) for k in range(n - 1, 0, -1)] + [F.col("close")]
+    return F.when(values[0].isNotNull(), of(values))
+
+
+def weighted(values: list[Column], taps: list[float]) -> Column:
+    return sum((v * F.lit(t) for v, t in zip(values, taps)), F.lit(0.0))
 
 
 def sma(p: int) -> Column:
@@ -71,23 +78,23 @@ def rolling_mean(p: int, c: str = "close") -> Column:
 
 
 def ema(p: int, n: int = WINDOW) -> Column:
-    return on_window(lambda c: dot(c, ema_taps(p, n)), n)
+    return on_window(lambda c: weighted(c, ema_taps(p, n)), n)
 
 
 def macd(n: int = WINDOW) -> tuple[Column, Column, Column]:
     """Line, signal, histogram."""
-    return tuple(on_window(lambda c, t=t: dot(c, t), n) for t in macd_taps(n))
+    return tuple(on_window(lambda c, t=t: weighted(c, t), n) for t in macd_taps(n))
 
 
 def _wilder(values: list[Column], p: int) -> Column:
-    return sum((v * F.lit(w) for v, w in zip(values, wilder_taps(p, len(values)))), F.lit(0.0))
+    return weighted(values, wilder_taps(p, len(values)))
 
 
 def rsi(p: int, n: int = WINDOW) -> Column:
     """50 without movement, 100 without losses."""
 
-    def of(c: Column) -> Column:
-        steps = [F.get(c, F.lit(i + 1)) - F.get(c, F.lit(i)) for i in range(n - 1)]
+    def of(c: list[Column]) -> Column:
+        steps = [b - a for a, b in zip(c, c[1:])]
         gain = _wilder([F.greatest(s, F.lit(0.0)) for s in steps], p)
         loss = _wilder([F.greatest(-s, F.lit(0.0)) for s in steps], p)
         return F.when((gain == 0) & (loss == 0), 50.0).when(loss == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + gain / loss))

@@ -54,11 +54,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+#: Added where values have few digits and so often lie in the middle between two rounded ones.
+OFF = 1.234567e-9
+
+
+def rounded(df: DataFrame, digits: int = 6, off: float = 0.0) -> DataFrame:
     """Doubles rounded, so that the order in which an engine adds does not show; no negative zero."""
-    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    moved = lambda c: F.col(c) + off if off else F.col(c)
+    return df.select(*((F.round(moved(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def rnd(cols: str, digits: int = 6) -> str:
+def rnd(cols: str, digits: int = 6, off: float = 0.0) -> str:
     """``round(x, 6) AS x`` for each of the names."""
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols.split())
+    return ", ".join(f"round({c}{f' + {off!r}::DOUBLE' if off else ''}, {digits}) AS {c}" for c in cols.split())

@@ -10,7 +10,7 @@ from ..operators import bootstrap as bs
 from ..operators import features as f
 from ..operators import portfolio as p
 from ..sources import fixtures as x
-from .base import BARS, FILLS, MONTHLY, ORDERS, PREDICTIONS, register, rnd, rounded
+from .base import BARS, FILLS, MONTHLY, OFF, ORDERS, PREDICTIONS, register, rnd, rounded
 from .feature_queries import W, predictions
 
 _SIG = f"""{PREDICTIONS}, sig AS (SELECT symbol, as_of, value AS expected_return, CASE WHEN value > 0.01 THEN 1 WHEN value < -0.01 THEN -1 ELSE 0 END AS direction,
@@ -167,26 +167,27 @@ _IMPACT = "s AS (SELECT *, close * (2e-4::DOUBLE + CASE WHEN high > low THEN gre
 _TIER = "abs(q) * CASE WHEN is_limit THEN -0.0015 ELSE 0.0030 END::DOUBLE"
 
 
-@register("tc2_impact_costs", f"WITH {_ELIG}, {_IMPACT} {_SUM}, round(sum(CASE WHEN q = 0 THEN 0 WHEN is_limit THEN {_TIER} ELSE greatest({_TIER}, 0.5) END), 6) AS commission FROM s GROUP BY 1, 2")
+@register("tc2_impact_costs", f"WITH {_ELIG}, {_IMPACT} {_SUM}, round(sum(CASE WHEN q = 0 THEN 0 WHEN is_limit THEN {_TIER} ELSE greatest({_TIER}, 0.5) END) + 1.234567e-9::DOUBLE, 6) AS commission FROM s GROUP BY 1, 2")
 def tc2(spark, d):
-    return cost_summary(p.impact_costs(orders(spark, d)), [F.round(F.sum("commission"), 6).alias("commission")])
+    return cost_summary(p.impact_costs(orders(spark, d)), [F.round(F.sum("commission") + OFF, 6).alias("commission")])
 
 
-@register("tc2_impact_fills", f"WITH {_ELIG}, {_IMPACT} SELECT l_orderkey, l_linenumber, round(q, 6) AS fill_quantity, round({_FP}, 6) AS fill_price, round(CASE WHEN q = 0 THEN 0 ELSE slip END, 6) AS slippage, round(CASE WHEN q = 0 THEN 0 WHEN abs(q) * ({_FP}) > 0 THEN greatest(abs(q) * ({_FP}) * 3e-4::DOUBLE, 0.25) ELSE abs(q) * ({_FP}) * 3e-4::DOUBLE END, 5) AS commission FROM s")
+@register("tc2_impact_fills", f"WITH {_ELIG}, {_IMPACT} SELECT l_orderkey, l_linenumber, round(q + 1.234567e-9::DOUBLE, 6) AS fill_quantity, round({_FP} + 1.234567e-9::DOUBLE, 6) AS fill_price, round(CASE WHEN q = 0 THEN 0 ELSE slip END + 1.234567e-9::DOUBLE, 6) AS slippage, round(1.234567e-9::DOUBLE + CASE WHEN q = 0 THEN 0 WHEN abs(q) * ({_FP}) > 0 THEN greatest(abs(q) * ({_FP}) * 3e-4::DOUBLE, 0.25) ELSE abs(q) * ({_FP}) * 3e-4::DOUBLE END, 5) AS commission FROM s")
 def tc2b(spark, d):
     out = p.impact_costs(orders(spark, d), schedule=p.Schedule.flat(3.0, 0.25))
-    return rounded(out.select("l_orderkey", "l_linenumber", "fill_quantity", "fill_price", "slippage", F.round("commission", 5).alias("commission")))
+    off = lambda c, digits: (F.round(F.col(c) + OFF, digits) + 0.0).alias(c)
+    return out.select("l_orderkey", "l_linenumber", *(off(c, 6) for c in ("fill_quantity", "fill_price", "slippage")), off("commission", 5))
 
 
 @register("tc3_tiered_fees", f"""WITH {FILLS}, c AS (SELECT instrument, fill_seq, quantity * price * 100 AS quantity, price, fill_seq % 2 = 0 AS is_maker FROM fills),
 r AS (SELECT *, coalesce(sum(abs(quantity)) OVER (PARTITION BY instrument ORDER BY fill_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM c),
 t AS (SELECT * FROM (VALUES (0.0, 0.0030, -0.0015, 0.0), (20000.0, 0.0020, -0.0020, 0.5), (200000.0, 0.0010, -0.0025, 1.5)) t(low, taker, maker, bps)),
 s AS (SELECT instrument, fill_seq, any_value(cum) AS cum, arg_max(abs(quantity) * CASE WHEN is_maker THEN maker ELSE taker END + abs(quantity) * price * bps * 1e-4, low)::DOUBLE AS raw FROM r JOIN t ON cum >= low GROUP BY 1, 2)
-SELECT instrument, fill_seq, round(cum, 4) AS cumulative, round(CASE WHEN raw > 0 THEN greatest(raw, 0.5) ELSE raw END, 6) AS fee FROM s""")
+SELECT instrument, fill_seq, round(cum, 4) AS cumulative, round(CASE WHEN raw > 0 THEN greatest(raw, 0.5) ELSE raw END + 1.234567e-9::DOUBLE, 6) AS fee FROM s""")
 def tc3(spark, d):
     rows = x.fills(spark, d).select("instrument", "fill_seq", (F.col("quantity") * F.col("price") * 100).alias("quantity"), "price", (F.col("fill_seq") % 2 == 0).alias("is_maker"))
     out = p.tiered_fees(rows, p.Schedule(((0.0, 0.0030, -0.0015, 0.0), (20_000.0, 0.0020, -0.0020, 0.5), (200_000.0, 0.0010, -0.0025, 1.5))))
-    return out.select("instrument", "fill_seq", F.round("cumulative", 4).alias("cumulative"), F.round("fee", 6).alias("fee"))
+    return out.select("instrument", "fill_seq", F.round("cumulative", 4).alias("cumulative"), (F.round(F.col("fee") + OFF, 6) + 0.0).alias("fee"))
 
 
 @register("tc4_borrow_fee", "SELECT c_custkey, round(abs(c_acctbal) * (0.015 / 365.25::DOUBLE), 6) AS fee FROM customer WHERE c_acctbal < 0")
@@ -211,9 +212,9 @@ led AS (SELECT run_id, instrument, fill_seq AS seq, i, q AS qty, p AS price, c A
   FROM led l JOIN o ON o.run_id = l.run_id AND o.instrument = l.instrument AND o.i = l.i + 1, LATERAL (SELECT abs(l.qty) < 1e-8 OR sign(l.qty) = sign(o.q) AS adds, least(abs(l.qty), abs(o.q)) AS shut) z)"""
 
 
-@register("lg2_ledger", f"WITH RECURSIVE {_LED} SELECT run_id, instrument, seq, {rnd('qty price fees realized closed pnl entry', 5)} FROM led")
+@register("lg2_ledger", f"WITH RECURSIVE {_LED} SELECT run_id, instrument, seq, {rnd('qty price fees realized closed pnl entry', 5, OFF)} FROM led")
 def lg2(spark, d):
-    return rounded(p.fold_fills(x.fills(spark, d)), 5)
+    return rounded(p.fold_fills(x.fills(spark, d)), 5, OFF)
 
 
 @register("a2_trades", f"""WITH RECURSIVE {_LED}, t AS (SELECT run_id, count(*) AS closed_trades, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl < 0) AS losing, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS profits, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS losses,
@@ -271,11 +272,11 @@ cu AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, path ORDER BY s
 
 @register("bs1_bootstrap", f"""WITH {_PATHS}, dd AS (SELECT *, 1 - nav / greatest(max(nav) OVER (PARTITION BY symbol, path ORDER BY step ROWS UNBOUNDED PRECEDING), 1) AS dd FROM cu),
 s AS (SELECT symbol, path, count(*) AS n, CASE WHEN stddev_samp(ret) > 1e-8 THEN avg(ret) / stddev_samp(ret) * sqrt(12.0::DOUBLE) ELSE 0 END AS sharpe, max(dd) AS mdd, arg_max(nav, step) AS fin FROM dd GROUP BY 1, 2)
-SELECT symbol, path, round(sharpe, 6) AS sharpe, round(mdd + 1e-9::DOUBLE, 6) AS max_drawdown, round(pow(fin, 1 / (n / 12.0::DOUBLE)) - 1, 6) AS cagr, mdd >= 0.5 AS ruin FROM s""")
+SELECT symbol, path, round(sharpe, 6) AS sharpe, round(mdd + 1.234567e-9::DOUBLE, 6) AS max_drawdown, round(pow(fin, 1 / (n / 12.0::DOUBLE)) - 1, 6) AS cagr, mdd >= 0.5 AS ruin FROM s""")
 def bs1(spark, d):
     out = bs.path_statistics(bs.stationary_paths(month_returns(spark, d), 1000), 12.0)
     # clipped returns make drawdowns of few digits: moved off the middle between two rounded values
-    return rounded(out.withColumn("max_drawdown", F.col("max_drawdown") + 1e-9))
+    return rounded(out.withColumn("max_drawdown", F.col("max_drawdown") + OFF))
 
 
 _Q = "max(CASE WHEN k = floor((n - 1) * {p} + 0.5) + 1 THEN round(nav, 4) END)"
