@@ -35,7 +35,7 @@ FILLS = """fills AS (SELECT 'run' AS run_id, user_id AS instrument, CAST(floor(e
 ORDERS = """orows AS (SELECT p_brand AS symbol, strftime(l_shipdate, '%Y-%m') AS month, l_orderkey, l_linenumber, l_quantity, l_extendedprice / l_quantity AS unit,
     CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, l_linenumber % 2 = 0 AS is_limit
   FROM lineitem JOIN part ON l_partkey = p_partkey),
-obars AS (SELECT symbol, month, max(unit) AS high, min(unit) AS low, round(sum(unit * l_quantity) / sum(l_quantity), 6) AS close, sum(l_quantity) AS volume FROM orows GROUP BY 1, 2),
+obars AS (SELECT symbol, month, max(unit) AS high, min(unit) AS low, round(sum(unit * l_quantity) / sum(l_quantity) + 1.234567e-9::DOUBLE, 6) AS close, sum(l_quantity) AS volume FROM orows GROUP BY 1, 2),
 corders AS (SELECT * FROM orows JOIN obars USING (symbol, month))"""
 #: Momentum of hourly bars as a model's predictions.
 PREDICTIONS = f"""{BARS}, rets AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS r FROM bars),
