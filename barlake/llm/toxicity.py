@@ -206,7 +206,27 @@ class Channel:
     def spelled(self, word: str) -> float:
         """Log-probability of a word by its letters."""
         s = "^^" + "".join(map(_fold, word)) + "$"
-        return sum(self.step(s[i : i + 2], s[i + 2]) for i in range(len(s) - 2))
+        steps, total = self.steps, 0.0
+        for i in range(len(s) - 2):
+            p = steps.get(s[i : i + 3])
+            total += self.step(s[i : i + 2], s[i + 2]) if p is None else p
+        return total
+
+    def undoubled(self, token: str, word: str, pairs: list[int]) -> str:
+        """As ``restore_token`` of letters alone with few pairs of equal ones: all readings of the lattice are tried one by one."""
+        readings = [(word, 0)]
+        for i in reversed(pairs):
+            readings += [(w[:i] + w[i + 1 :], n + 1) for w, n in readings]
+        spelt = [self.spelled(w) for w, _ in readings]
+        k = max(range(len(readings)), key=lambda k: spelt[k] - self.double * readings[k][1])
+        found = []
+        for j in (0, k):
+            w, n = readings[j]
+            found.append(((self.known[w] if w in self.known else self.unknown + spelt[j]) - self.double * n, w if j else token))
+        for w, n in readings:
+            if n in (0, 1, len(pairs)) and w in self.known:
+                found.append((self.known[w] - self.double * n, w))
+        return max(found, key=lambda x: x[0])[1]
 
     def score(self, reading: str) -> float:
         """Log-probability of the words of a reading."""
@@ -219,8 +239,15 @@ class Channel:
         doubled letters made single are compared by words.
         """
         bare = token.strip(_EDGE)
-        if not (_MIXED.search(bare) or _TWICE.search(bare)) or not any(map(str.isalpha, bare)):
+        if bare.isalpha():
+            if not _TWICE.search(bare):
+                return token
+        elif not (_MIXED.search(bare) or _TWICE.search(bare)) or not any(map(str.isalpha, bare)):
             return token
+        if bare.isalpha() and len(bare) <= 2 * self.longest and not _LONG_RUN.search(bare):
+            pairs = [i for i in range(1, len(bare)) if bare[i] == bare[i - 1]]
+            if len(pairs) <= 3:
+                return self.undoubled(token, bare, pairs)
         p, said = self.search(self.readings(bare))
         found = [(p - sum(map(self.spelled, LETTERS.findall(said))) + self.score(said), said)]
         parts = LETTERS.findall(bare)
@@ -262,7 +289,7 @@ def channel(grams: dict[str, int], words: dict[str, int]) -> Channel:
 class Readings(dict):
     """What the words of a token are when restored; remembers a bounded number of tokens."""
 
-    def __init__(self, channel: Channel, use, remembered: int = 300_000):
+    def __init__(self, channel: Channel, use, remembered: int = 600_000):
         self.channel, self.use, self.remembered = channel, use, remembered
 
     def __missing__(self, token: str):
