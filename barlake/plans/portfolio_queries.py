@@ -279,15 +279,15 @@ def bs1(spark, d):
     return rounded(out.withColumn("max_drawdown", F.col("max_drawdown") + OFF))
 
 
-_Q = "max(CASE WHEN k = floor((n - 1) * {p} + 0.5) + 1 THEN round(nav, 4) END)"
+_Q = "max(CASE WHEN k = floor((n - 1) * {p} + 0.5) + 1 THEN round(nav + 1.234567e-9::DOUBLE, 4) END)"
 
 
 @register("bs3_nav_bands", f"""WITH {_PATHS}, a AS (SELECT symbol, step, 1000 * nav AS nav FROM cu UNION ALL SELECT DISTINCT symbol, 0, 1000.0 FROM cu, range(1)),
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol, step ORDER BY nav) AS k, count(*) OVER (PARTITION BY symbol, step) AS n FROM a)
-SELECT symbol, step, {', '.join(f"{_Q.format(p=v)} AS p{int(v * 100)}" for v in (0.05, 0.25, 0.5, 0.75, 0.95))}, round(avg(nav), 4) AS mean FROM r GROUP BY 1, 2""")
+SELECT symbol, step, {', '.join(f"{_Q.format(p=v)} AS p{int(v * 100)}" for v in (0.05, 0.25, 0.5, 0.75, 0.95))}, round(avg(nav) + 1.234567e-9::DOUBLE, 4) AS mean FROM r GROUP BY 1, 2""")
 def bs3(spark, d):
     out = bs.nav_bands(bs.stationary_paths(month_returns(spark, d), 1000), 1000.0)
-    return rounded(out.withColumn("step", F.col("step").cast("long")), 4)
+    return rounded(out.withColumn("step", F.col("step").cast("long")), 4, OFF)
 
 
 _MB = f"""{_MR}, mb AS (SELECT symbol, n, rep, blk, CAST(floor({_u("'mb'", 'rep', 'blk')} * greatest(n - 19, 1)) AS BIGINT) AS a FROM sz, unnest(range(2000)) p(rep), unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) q(blk)),
