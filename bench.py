@@ -47,7 +47,6 @@ def scaled(bars) -> dict:
     fills = bars.select(F.lit("run").alias("run_id"), F.col("symbol").alias("instrument"), F.col("ts").alias("fill_seq"), F.when(F.col("volume") % 2 == 0, 1.0).otherwise(-1.0).alias("quantity"), F.col("close").alias("price"), F.lit(0.1).alias("commission"))
     return {
         "w16_baseline_many": features.baseline(bars),
-        "j1_training_rows_many": joins.label(features.baseline(bars), features.targets(bars)),
         "w13_fracdiff_many": bars.select("symbol", "ts", features.fracdiff(0.4, 1e-3, 60).alias("v")),
         "w15_full_ema_many": features.full_ema(bars, 12),
         "w23_rank_normal_many": features.rank_normal(bars.select("symbol", "ts", "close"), "close"),
