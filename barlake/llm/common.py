@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +72,18 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return frequent.unionByName(rare)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, and at its end the memory that it has freed goes back to the system: workers wait for their next task beside the executor's heap."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def training_rows(column: str, modulus: int) -> F.Column:
     """The remainder of crc32 of an id as text."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, forget, materialize
+from .common import connected_components, forget, materialize, trimmed
 from .shingles import U, mix, shingle_sets, slices
 
 NUM, DEN = 3, 4
@@ -221,7 +221,7 @@ def describe(docs: DataFrame, n: int = 5) -> DataFrame:
                 cols = [pa.array(x) for x in (keys, size, seed, over[:, 0], over[:, 1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *cols, *(_binary(d, w) for d, w in zip(data, bits))], names)
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names[1:6]) + ", bits0 binary, bits1 binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{k} long" for k in names[1:6]) + ", bits0 binary, bits1 binary")
 
 
 def signatures(docs: DataFrame, buckets: int, seed: int, n: int = 5) -> DataFrame:
@@ -271,7 +271,7 @@ def signatures(docs: DataFrame, buckets: int, seed: int, n: int = 5) -> DataFram
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, PAYLOAD)
+    return docs.mapInArrow(trimmed(run), PAYLOAD)
 
 
 def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -385,7 +385,7 @@ def proposals(rows: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)) for k in zip(*found)], ["a", "b", "u", "v"])
 
-    return rows.select("members").mapInArrow(run, "a long, b long, u long, v long")
+    return rows.select("members").mapInArrow(trimmed(run), "a long, b long, u long, v long")
 
 
 def _possible(m: pa.Array, fold: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
@@ -443,7 +443,7 @@ def likeliest_pairs(cells: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), *(pa.array(k) for k in np.concatenate(found, axis=1))], ["cell", "a", "b", "u", "v"])
 
-    return cells.select("cell", "members").mapInArrow(run, "cell string, a long, b long, u long, v long")
+    return cells.select("cell", "members").mapInArrow(trimmed(run), "cell string, a long, b long, u long, v long")
 
 
 def possible_members(cells: DataFrame, fold: bool = False) -> DataFrame:
@@ -463,7 +463,7 @@ def possible_members(cells: DataFrame, fold: bool = False) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(np.concatenate(keys))], ["cell", "key"])
 
-    return cells.select("cell", "members").mapInArrow(run, "cell string, key long")
+    return cells.select("cell", "members").mapInArrow(trimmed(run), "cell string, key long")
 
 
 def joining_links(cells: DataFrame) -> DataFrame:
@@ -498,7 +498,7 @@ def joining_links(cells: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in zip(*found)], ["u", "v"])
 
-    return cells.select("members").mapInArrow(run, "u long, v long")
+    return cells.select("members").mapInArrow(trimmed(run), "u long, v long")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -516,7 +516,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n: int = 5, of: Callable = lambd
                 sets, size, keys = _flat(texts, n)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _binary(*of(sets, size))], ["key", "tokens"])
 
-    found = _only(docs, ids).select("text").mapInArrow(run, "key long, tokens binary")
+    found = _only(docs, ids).select("text").mapInArrow(trimmed(run), "key long, tokens binary")
     return found.groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
@@ -535,7 +535,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
                 ok.append(100 * common >= 75 * (len(r) + len(s) - common))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(trimmed(run), "u long, v long")
 
 
 def _labelled(classes: DataFrame, label: DataFrame | None) -> DataFrame:

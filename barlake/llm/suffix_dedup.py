@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, scratch_path, spread_join
+from .common import forget, materialize, scratch_path, spread_join, trimmed
 from .shingles import U, mix, powers
 
 DEPTH = 3
@@ -143,7 +143,7 @@ def first_digit(texts: DataFrame, length: int) -> DataFrame:
                 if core:
                     yield _rows([core, context, uid[text], _code(pos, pos - first, pos - last, 0)])
 
-    return texts.mapInArrow(run, ROWS)
+    return texts.mapInArrow(trimmed(run), ROWS)
 
 
 def next_digit(texts: DataFrame, length: int, level: int) -> DataFrame:
@@ -179,7 +179,7 @@ def next_digit(texts: DataFrame, length: int, level: int) -> DataFrame:
             if out[0]:
                 yield _rows(out)
 
-    return texts.mapInArrow(run, ROWS)
+    return texts.mapInArrow(trimmed(run), ROWS)
 
 
 def sort_out(rows: DataFrame) -> DataFrame:
@@ -295,5 +295,5 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     from pyspark.sql.types import StructType
 
     schema = StructType().add("row", row).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
-    done = whole.mapInArrow(run, schema)
+    done = whole.mapInArrow(trimmed(run), schema)
     return done.select(*[F.col("row")[c].alias(c) for c in keep], *added)
