@@ -117,6 +117,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         seen = now
     label = state.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(label, nodes["node"] == label["u"], "left").select(
+    named = nodes.join(label, nodes["node"] == label["u"], "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
+    named = materialize(named, "components")
+    forget(state, nodes)
+    return named

@@ -642,17 +642,19 @@ def join_components(docs: DataFrame, n: int = 5) -> DataFrame:
 
     first = materialize(proposals(first_meetings(groups, classes)).distinct(), "pairs")
     links = materialize(verify(first, docs, n), "links")
-    label = connected_components(links, "u", "v")
-    rows = materialize(mixed_members(groups, _labelled(classes, label)), "members")
-    pairs = materialize(likeliest_pairs(meeting_cells(rows, label)), "pairs")
+    near = connected_components(links, "u", "v")
+    rows = materialize(mixed_members(groups, _labelled(classes, near)), "members")
+    forget(groups, first)
+    pairs = materialize(likeliest_pairs(meeting_cells(rows, near)), "pairs")
     got = verify(pairs.select("a", "b", "u", "v").distinct(), docs, n)
-    links = materialize(links.union(got), "links")
+    found, links = links, materialize(links.union(got), "links")
+    forget(found, near)
     label = connected_components(links, "u", "v")
 
     # a group without a possible pair so far has none later
     some = rows.join(pairs.select(F.substring_index("cell", ":", 2).alias("g")).distinct(), "g", "left_semi")
     left = materialize(possible_members(meeting_cells(some, label)), "possible")
-    forget(groups, first, rows, pairs)
+    forget(rows, pairs)
     place = materialize(_labelled(classes, label).select("key", "n", "rep", "part"), "places")
 
     def bring(left: DataFrame, of: Callable, *member) -> DataFrame:
@@ -663,10 +665,14 @@ def join_components(docs: DataFrame, n: int = 5) -> DataFrame:
     sharp = bring(left, lambda sets, size: sharp_parities(sets, size), F.lit(0).alias("role"), F.lit(False).alias("skip"), "n", "key", "rep", "part", "tokens")
     last = materialize(possible_members(sharp, fold=True), "possible")
     more = materialize(joining_links(bring(last, lambda sets, size: (sets, size * 8), "rep", "part", "tokens")), "links")
+    forget(left, last)
     if not more.isEmpty():
-        label = connected_components(links.union(more), "u", "v")
+        before, label = label, connected_components(links.union(more), "u", "v")
+        forget(before)
 
     done = _labelled(classes, label).select(F.col("key").alias("_k"), F.col("n").alias("_n"), F.col("part").alias("c"))
     out = known.join(done, (known["key"] == done["_k"]) & (known["n_shingles"] == done["_n"]), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id")), "joined")
+    forget(known, classes, links, more, place, label)
+    return out

@@ -225,9 +225,10 @@ def stage_texts(docs: DataFrame) -> DataFrame:
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     """``(uid, level, code)``: bundles all of whose windows are repeated."""
     bare = texts.select("uid", "text")
-    rows, found = first_digit(bare, length), []
+    rows, found, passes = first_digit(bare, length), [], []
     for level in range(DEPTH + 1):
         got = sort_out(rows)
+        passes.append(got)
         found.append(got.where("repeated").select("uid", F.lit(level).alias("level"), "code"))
         if level < DEPTH:
             todo = got.where("open").groupBy("uid").agg(F.collect_list("code").alias("codes"))
@@ -235,6 +236,8 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
+    out = materialize(out, "repeated")
+    forget(*passes)
     return out
 
 
