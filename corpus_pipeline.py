@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm import mixing, ngram_join, packing, quality_classifier, suffix_dedup
-from barlake.llm.common import materialize, table
+from barlake.llm.common import forget, materialize, table
 from barlake.llm.queries import tokenizer
 
 
@@ -32,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document whose rows are repeated whole keeps one of them.  Rows that share
     an id but differ in any column all stay or all go.
     """
-    groups = materialize(ngram_join.join_components(docs), "components")
+    groups = ngram_join.join_components(docs)
     rows, ids = groups.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows > ids:
         docs = docs.where("doc_id is not null").dropDuplicates().union(docs.where("doc_id is null"))
@@ -77,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage has read goes once its own rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
