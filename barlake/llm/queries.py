@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import (
+    chat,
+    filter_audit,
+    fingerprints,
+    lm_scoring,
+    mixing,
+    ngram_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    vector_codes,
+)
 from .common import table, training_rows
 
 #: The vocabulary of byte_bpe_50k.json as ranks: the same ids, in less time.
@@ -111,6 +125,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(training_rows("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -123,6 +153,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_token_counts": op13_token_counts,
     }
 
 
@@ -216,5 +249,94 @@ FROM r
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), f AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM d
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT '' AS filter_order
+  UNION ALL SELECT filter_order || x FROM o JOIN letters ON NOT contains(filter_order, x)
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, '[' || substr('-' || filter_order, 1, step) || ']' AS before
+  FROM o, generate_series(1, 5) g(step) WHERE length(filter_order) = 5
+), r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE NOT contains(fails, own) AND NOT regexp_matches(fails, before)), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE contains(fails, own) AND NOT regexp_matches(fails, before)), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE contains(fails, own) AND regexp_matches(fails, before)), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE contains(fails, own) AND NOT regexp_matches(fails, before)), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE contains(fails, own) AND NOT regexp_matches(fails, before)), 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def _op12() -> str:
+    """The rounds as plain assignments to all entries."""
+    ctes = [
+        """
+kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), cells AS (
+  SELECT vec_id, CAST((i - 1) // (n // 16) AS BIGINT) AS part, CAST((i - 1) % (n // 16) AS BIGINT) AS place, v
+  FROM (SELECT vec_id, len(x) AS n, unnest(x) AS v, unnest(generate_series(1, len(x))) AS i FROM kept)
+), c0 AS (
+  SELECT part, entry, place, v FROM cells
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)
+)"""
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        ctes.append(f"""
+d{k} AS (
+  SELECT vec_id, part, entry, sum((a.v - b.v) * (a.v - b.v)) AS d
+  FROM cells a JOIN c{k} b USING (part, place) GROUP BY vec_id, part, entry
+), a{k} AS (
+  SELECT vec_id, part, entry, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1
+)""")
+        if k < vector_codes.ROUNDS:
+            ctes.append(f"""
+m{k} AS (
+  SELECT part, entry, place, sum(v) AS s, count(*) AS n FROM cells JOIN a{k} USING (vec_id, part) GROUP BY part, entry, place
+), c{k + 1} AS (
+  SELECT part, entry, place, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), c.v) AS v FROM c{k} c LEFT JOIN m{k} USING (part, entry, place)
+)""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH {",".join(ctes)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) FROM c{last}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": _OP5, "op6_quality_rules": _OP6, "op9_mixing": _OP9}
+    return {
+        "op5_chat_formatting": _OP5,
+        "op6_quality_rules": _OP6,
+        "op9_mixing": _OP9,
+        "op11_filter_audit": _OP11,
+        "op12_vector_codes": _op12(),
+    }
