@@ -13,12 +13,12 @@ RESERVED = "CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]"
 FRESH = {"trade": 30_000, "minute": 120_000, "snapshot_1m": 180_000, "snapshot_1d": 4 * 86_400_000}
 
 
-def between(rows: DataFrame, symbol: str, start: int, end: int) -> DataFrame:
+def between(rows: DataFrame, symbol: str, start: int | Column, end: int | Column) -> DataFrame:
     """A symbol's rows of a closed interval, in order of time."""
     return rows.where((F.col("symbol") == symbol) & F.col("ts").between(start, end)).orderBy("ts")
 
 
-def as_of(rows: DataFrame, ts: int, instruments: list[str]) -> DataFrame:
+def as_of(rows: DataFrame, ts: int | Column, instruments: list[str]) -> DataFrame:
     return rows.where((F.col("ts") <= ts) & F.col("symbol").isin(instruments))
 
 
@@ -47,9 +47,11 @@ def fresh(at: Column, now: Column | int, limit: int) -> Column:
     return (F.lit(now) if isinstance(now, int) else now).__sub__(at).between(0, limit)
 
 
-def freshness(rows: DataFrame, now: int, limit: int) -> DataFrame:
-    """How many of the symbols' latest ages are within the limit, and which ones."""
+def freshness(rows: DataFrame, now: int | DataFrame, limit: int) -> DataFrame:
+    """How many of the symbols' latest ages are within the limit, and which ones; ``now`` may be a row (now)."""
     last = rows.groupBy("symbol").agg(F.max("at_ms").alias("at_ms"))
+    if isinstance(now, DataFrame):
+        last, now = last.join(F.broadcast(now)), F.col("now")
     ok = fresh(F.col("at_ms"), now, limit)
     return last.groupBy(ok.alias("fresh")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("symbol")), ",").alias("symbols"))
 

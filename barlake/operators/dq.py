@@ -42,7 +42,7 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "ts").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def availability(bars: DataFrame, now: int) -> DataFrame:
+def availability(bars: DataFrame, now: int | Column) -> DataFrame:
     """Usable before its end, not later than the bar before, or in the future."""
     before = F.lag("avail_ts").over(Window.partitionBy("symbol").orderBy("ts"))
     return flag(

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.normal import quantile
 from ..functions.taps import ema_taps, fracdiff_taps, macd_taps, wilder_taps
+from .graph import FeatureRegistry, FeatureSpec, Past, compile_features
+from .ordered import MOST, numbered
 
 WINDOW = 35
 HOURS_A_YEAR = 252.0 * 24
@@ -178,77 +179,71 @@ def full_ema(bars: DataFrame, p: int) -> DataFrame:
     return rows.select("symbol", "ts", (F.col("own") + F.coalesce("end", F.lit(0.0)) * F.pow(F.lit(fade), F.col("at") + 1)).alias("ema"))
 
 
-@dataclass(frozen=True)
-class FeatureSpec:
-    """A named, versioned feature: a column over the bars of a symbol."""
-
-    name: str
-    version: int
-    lookback: int
-    expr: Callable[[], Column]
-
-    @property
-    def id(self) -> str:
-        return f"{self.name}@v{self.version}"
+BASELINE = ("sma_20", "ema_12", "rsi_14", "macd_hist", "bollinger_bw", "atr_14", "volatility_20", "log_return_1")
 
 
-class FeatureRegistry(dict):
-    """Features by name; another version of a known name is an error."""
+def baseline_registry(periods: float = HOURS_A_YEAR, n: int = WINDOW) -> FeatureRegistry:
+    """The features of baseline_v1, recursive ones over a window of n bars."""
+
+    def change(past: Past) -> Column:
+        return F.log(past("close") / past("close", 1))
+
+    def spread(past: Past) -> Column:
+        before = past("close", 1)
+        return F.greatest(past("high") - past("low"), F.abs(past("high") - before), F.abs(past("low") - before))
+
+    def bandwidth(past: Past) -> Column:
+        mid = past.frame("avg", "close", 20)
+        return F.when(mid > 0, 4.0 * past.frame("stddev_pop", "close", 20) / mid).otherwise(0.0)
+
+    def strength(past: Past) -> Column:
+        """Smoothed gains and losses are half the sum and half the difference of the smoothed |steps| and steps."""
+        moved, net = past("rsi_moved"), past("rsi_net")
+        return F.when(moved == 0, 50.0).when(moved == net, 100.0).otherwise(100.0 - 100.0 / (1.0 + (moved + net) / (moved - net)))
+
+    wilder = wilder_taps(14, n - 1)
+    known = FeatureRegistry()
+    for spec in (
+        FeatureSpec("step", 1, 2, ("close",), lambda p: p("close") - p("close", 1), helper=True),
+        FeatureSpec("true_range", 1, 2, ("high", "low", "close"), spread, helper=True),
+        FeatureSpec("log_return_1", 1, 2, ("close",), change),
+        FeatureSpec("sma_20", 1, 20, ("close",), lambda p: p.frame("avg", "close", 20)),
+        FeatureSpec("ema_12", 1, n, ("close",), lambda p: weighted(p.values("close", n), ema_taps(12, n))),
+        FeatureSpec("macd_hist", 1, n, ("close",), lambda p: weighted(p.values("close", n), macd_taps(n)[2])),
+        FeatureSpec("rsi_net", 1, n - 1, ("step",), lambda p: weighted(p.values("step", n - 1), wilder), helper=True),
+        FeatureSpec("rsi_moved", 1, n - 1, ("step",), lambda p: weighted([F.abs(s) for s in p.values("step", n - 1)], wilder), helper=True),
+        FeatureSpec("rsi_14", 1, 1, ("rsi_net", "rsi_moved"), strength),
+        FeatureSpec("bollinger_bw", 1, 20, ("close",), bandwidth),
+        FeatureSpec("atr_14", 1, n - 1, ("true_range",), lambda p: weighted(p.values("true_range", n - 1), wilder)),
+        FeatureSpec("volatility_20", 1, 20, ("log_return_1",), lambda p: p.frame("stddev_samp", "log_return_1", 20) * math.sqrt(periods)),
+    ):
+        known.add(spec)
+    return known
 
-    def add(self, spec: FeatureSpec) -> FeatureSpec:
-        if spec.name in self and self[spec.name].version != spec.version:
-            raise ValueError(f"{spec.name} is registered as {self[spec.name].id}")
-        self[spec.name] = spec
-        return spec
 
+def baseline(bars: DataFrame, periods: float = HOURS_A_YEAR, n: int = WINDOW) -> DataFrame:
+    """The baseline_v1 feature set: rows on which every feature is defined, at the time a bar may be used."""
+    return compile_features(bars, BASELINE, baseline_registry(periods, n))
 
-BASELINE = ("sma_20", "ema_12", "rsi_14", "macd_hist", "bollinger_bw", "atr_14", "volatility_20", "log_return_1")
 
+def in_chunks(bars: DataFrame, make: Callable[[DataFrame], DataFrame], rows: int, lookback: int = WINDOW, most: int = MOST) -> DataFrame:
+    """``make`` over chunks of ``rows`` successive bars, so that one long symbol is no single task.
 
-def baseline(bars: DataFrame, periods: float = HOURS_A_YEAR, n: int = WINDOW) -> DataFrame:
-    """The baseline_v1 feature set: rows on which every feature is defined, at the time a bar may be used."""
-    bars = bars.withColumn("log_return_1", log_return()).withColumn("_tr", true_range())
-    band = bollinger(20, 2.0)["bandwidth"]
-    vol = F.stddev_samp("log_return_1").over(last(20)) * math.sqrt(periods)
-    out = bars.select(
-        "symbol",
-        "ts",
-        "avail_ts",
-        "close",
-        sma(20).alias("sma_20"),
-        closes(n).alias("_c"),
-        newest("_tr", n - 1).alias("_t"),
-        band.alias("bollinger_bw"),
-        vol.alias("volatility_20"),
-        "log_return_1",
-    ).where("_c is not null and _t is not null")
-    c = F.col("_c")
-    steps = [F.get(c, F.lit(i + 1)) - F.get(c, F.lit(i)) for i in range(n - 1)]
-    gain = _wilder([F.greatest(s, F.lit(0.0)) for s in steps], 14)
-    loss = _wilder([F.greatest(-s, F.lit(0.0)) for s in steps], 14)
-    out = out.withColumns({"ema_12": dot(c, ema_taps(12, n)), "macd_hist": dot(c, macd_taps(n)[2]), "atr_14": dot(F.col("_t"), wilder_taps(14, n - 1)), "_g": gain, "_l": loss})
-    flat = (F.col("_g") == 0) & (F.col("_l") == 0)
-    out = out.withColumn("rsi_14", F.when(flat, 50.0).when(F.col("_l") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col("_g") / F.col("_l"))))
-    return out.select("symbol", F.col("avail_ts").alias("ts"), "close", *BASELINE)
-
-
-def in_chunks(bars: DataFrame, make: Callable[[DataFrame], DataFrame], seconds: int, lookback: int = WINDOW) -> DataFrame:
-    """``make`` over chunks of time, so that one long symbol is no single task.
-
-    Each bar also goes, as a halo, to the chunk after its own; rows of the halo are
-    dropped again.  A chunk with fewer than ``lookback`` - 1 bars would need more
-    than its neighbour: that raises an error.
+    Bars are numbered; the last ``lookback`` - 1 of a chunk also go, as a halo, to the
+    next one, whatever time lies between them.  ``make`` gives each bar's row the bar's
+    ``avail_ts`` as ``ts``, which must increase with it; rows of the halo are dropped.
     """
-    own = bars.withColumn("_chunk", F.floor(F.col("ts") / seconds)).withColumn("_halo", F.lit(False))
-    halo = own.withColumn("_chunk", F.col("_chunk") + 1).withColumn("_halo", F.lit(True))
-    short = own.groupBy("symbol", "_chunk").agg(F.count("*").alias("n"))
-    ends = short.groupBy("symbol").agg(F.max("_chunk").alias("e"))
-    if not short.join(ends, "symbol").where((F.col("n") < lookback - 1) & (F.col("_chunk") < F.col("e"))).isEmpty():
-        raise ValueError("a chunk is shorter than the lookback")
-    rows = own.union(halo).withColumn("symbol", F.struct("symbol", "_chunk", F.lit(seconds).alias("_w")))
-    done = make(rows.drop("_chunk", "_halo"))
-    inside = F.floor(F.col("ts") / F.col("symbol._w")) == F.col("symbol._chunk")
-    return done.where(inside).withColumn("symbol", F.col("symbol.symbol"))
+    halo = lookback - 1
+    if rows <= halo:
+        raise ValueError("a chunk must be longer than the halo")
+    numbers = numbered(bars, "symbol", "ts", most)
+    chunk, place = F.floor(F.col("_n") / rows), F.col("_n") % rows
+    begins = numbers.where(place == 0).select("symbol", chunk.alias("_chunk"), F.col("avail_ts").alias("_from"))
+    both = F.when(place >= rows - halo, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    parts = numbers.withColumn("_chunk", F.explode(both)).join(begins, ["symbol", "_chunk"])
+    parts = parts.withColumn("symbol", F.struct("symbol", "_chunk", "_from")).drop("_chunk", "_from", "_n")
+    done = make(parts).where(F.col("ts") >= F.col("symbol._from"))
+    return done.withColumn("symbol", F.col("symbol.symbol"))
 
 
 def targets(bars: DataFrame, horizon: int = 1, neutral: float = 0.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def label(features: DataFrame, targets: DataFrame) -> DataFrame:
     """Features with their targets at the same availability; of several targets the last ends latest."""
@@ -13,14 +15,15 @@ def label(features: DataFrame, targets: DataFrame) -> DataFrame:
     return features.join(targets, ["symbol", "ts"])
 
 
-def adjust(bars: DataFrame, actions: DataFrame, as_of: int) -> DataFrame:
+def adjust(bars: DataFrame, actions: DataFrame, as_of: int | Column, most: int = ordered.MOST) -> DataFrame:
     """Bars with splits and dividends known at ``as_of`` that came into effect after the bar.
 
-    ``actions(symbol, effective_ts, kind, amount)``.  Prices are divided by the
-    product of split ratios, then dividends are taken off; volume is multiplied.
-    A split ratio that isn't positive raises an error.  Bars and actions are sorted
-    together, so each takes the product and sum of what comes after it: rows stay
-    as many as there are bars and actions.
+    ``actions(symbol, effective_ts, kind, amount)``; ``as_of`` may be a column of
+    theirs.  Prices are divided by the product of split ratios, then dividends are
+    taken off; volume is multiplied.  A split ratio that isn't positive raises an
+    error.  Bars and actions are sorted together, newest first, and each bar takes
+    the running sums of the actions before it in that order; a symbol above ``most``
+    rows is scanned in cells, to which the totals of all later cells are added.
     """
     bad = (F.col("kind") == "split") & ~(F.col("amount") > 0)
     amount = F.when(bad, F.raise_error(F.lit("a split ratio must be positive")).cast("double")).otherwise(F.col("amount"))
@@ -30,31 +33,38 @@ def adjust(bars: DataFrame, actions: DataFrame, as_of: int) -> DataFrame:
         "symbol", F.col("effective_ts").alias("_at"), F.lit(None).cast(row.schema["_row"].dataType).alias("_row"),
         F.when(F.col("kind") == "split", F.log(amount)).otherwise(0.0).alias("_log"), F.when(F.col("kind") == "dividend", F.col("amount")).otherwise(0.0).alias("_paid"),
     )
-    later = Window.partitionBy("symbol").orderBy("_at").rangeBetween(1, Window.unboundedFollowing)
-    both = row.union(news).withColumns({"factor": F.exp(-F.coalesce(F.sum("_log").over(later), F.lit(0.0))), "dividends": F.coalesce(F.sum("_paid").over(later), F.lit(0.0))})
-    out = both.where("_row is not null").select("symbol", "_row.*", "factor", "dividends")
+    both = ordered.cells(row.union(news), "symbol", "_at", most)
+    both = ordered.carried(both, "symbol", backwards=True, _log_sum=F.sum("_log"), _paid_sum=F.sum("_paid"))
+    # a bar comes before the actions of its own time, which are not after it
+    newer = Window.partitionBy("symbol", "_cell").orderBy(F.desc("_at"), F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    log = F.sum("_log").over(newer) + F.coalesce("_log_sum", F.lit(0.0))
+    paid = F.sum("_paid").over(newer) + F.coalesce("_paid_sum", F.lit(0.0))
+    out = both.withColumns({"factor": F.exp(-log), "dividends": paid}).where("_row is not null").select("symbol", "_row.*", "factor", "dividends")
     price = lambda c: (F.col(c) * F.col("factor") - F.col("dividends")).alias(c)
     rest = [c for c in bars.columns if c not in ("open", "high", "low", "close", "volume")]
     return out.select(*rest, *(price(c) for c in ("open", "high", "low", "close")), F.round(F.col("volume") / F.col("factor")).cast("long").alias("volume"))
 
 
-def deliver(bars: DataFrame, signals: DataFrame, key: str = "symbol") -> DataFrame:
+def deliver(bars: DataFrame, signals: DataFrame, key: str = "symbol", seq: str | None = None, most: int = ordered.MOST) -> DataFrame:
     """Each signal with the first bar strictly after it, never the first bar; the last one per key and bar wins.
 
-    ``bars(key, ts)``, ``signals(key, as_of, ...)``.  Both are sorted together per
-    key in one window: no pair is tried that doesn't match.
+    ``bars(key, ts)``, ``signals(key, as_of, ...)``; of equal ``as_of`` the last
+    arrival by ``seq`` wins, without it the greatest row.  Both are sorted together,
+    newest first, and each signal takes the least time of a bar before it in that
+    order.  A key above ``most`` rows is scanned in cells, to which the first bar of
+    the later cells is carried.
     """
     rest = [c for c in signals.columns if c not in (key, "as_of")]
-    first = Window.partitionBy(key).orderBy("ts")
-    marks = bars.select(key, "ts", (F.row_number().over(first) > 1).alias("later"))
-    marks = marks.select(key, F.col("ts").alias("t"), F.lit(0).alias("kind"), F.when(F.col("later"), F.col("ts")).alias("bar_ts"), F.lit(None).cast(signals.select(F.struct("as_of", *rest).alias("s")).schema["s"].dataType).alias("s"))
-    news = signals.select(key, F.col("as_of").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("bar_ts"), F.struct("as_of", *rest).alias("s"))
-    # a bar sorts before a signal of its own time, so that the signal waits for the next bar
-    ahead = Window.partitionBy(key).orderBy("t", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = marks.union(news).withColumn("bar_ts", F.min("bar_ts").over(ahead)).where("kind = 1 and bar_ts is not null")
-    newest = Window.partitionBy(key, "bar_ts").orderBy(F.desc("t"))
-    rows = rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1")
-    return rows.select(key, F.col("bar_ts").alias("ts"), "s.*")
+    kept = F.struct("as_of", *rest).alias("s")
+    first = bars.groupBy(key).agg(F.min("ts").alias("_first"))
+    marks = bars.join(first, key).where("ts > _first").select(key, F.col("ts").alias("t"), F.lit(0).alias("kind"), F.col("ts").alias("bar_ts"), F.lit(None).cast(signals.select(kept).schema["s"].dataType).alias("s"))
+    news = signals.select(key, F.col("as_of").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("bar_ts"), kept)
+    rows = ordered.carried(ordered.cells(marks.union(news), key, "t", most), key, backwards=True, _later_min=F.min("bar_ts"))
+    # a signal comes before the bar of its own time, so that it waits for the next one
+    newer = Window.partitionBy(key, "_cell").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("bar_ts", F.coalesce(F.min("bar_ts").over(newer), "_later_min")).where("kind = 1 and bar_ts is not null")
+    last = F.max_by("s", F.struct("t", f"s.{seq}")) if seq else F.max("s")
+    return rows.groupBy(key, "bar_ts").agg(last.alias("s")).select(key, F.col("bar_ts").alias("ts"), "s.*")
 
 
 def pull(queries: DataFrame, rows: DataFrame, length: int, value: str, key: str = "symbol") -> DataFrame:

@@ -58,7 +58,7 @@ def inner(rows: DataFrame, purge: int, embargo: int, share: float = 0.85) -> Dat
     return rows.withColumn("inner_role", role).drop("_i", "_n")
 
 
-def calendar_folds(rows: DataFrame, cuts: tuple[int, int, int], purge: int, embargo: int) -> DataFrame:
+def calendar_folds(rows: DataFrame, cuts: tuple[int | Column, ...], purge: int, embargo: int) -> DataFrame:
     """Rows of train, val and test between the calendar times ``cuts``, which end them.
 
     Train and val end ``purge`` rows early, val and test begin ``embargo`` rows late;

@@ -16,15 +16,15 @@ T0, T1 = 1704070800, 1704671000
 @register("pf1_range", f"WITH {BARS} SELECT symbol, ts, close FROM bars WHERE symbol = 'click' AND ts BETWEEN (SELECT min(ts) + 36000 FROM bars) AND (SELECT min(ts) + 720000 FROM bars)")
 def pf1(spark, d):
     bars = x.hourly_bars(spark, d)
-    start = bars.agg(F.min("ts")).first()[0] or 0
-    return core.between(bars, "click", start + 36000, start + 720000).select("symbol", "ts", "close")
+    bars = bars.join(F.broadcast(bars.agg(F.min("ts").alias("start"))))
+    return core.between(bars, "click", F.col("start") + 36000, F.col("start") + 720000).select("symbol", "ts", "close")
 
 
 @register("pf2_as_of", f"WITH {BARS} SELECT symbol, ts, close FROM bars WHERE ts <= (SELECT min(ts) + 720000 FROM bars) AND symbol IN ('click', 'view')")
 def pf2(spark, d):
     bars = x.hourly_bars(spark, d)
-    start = bars.agg(F.min("ts")).first()[0] or 0
-    return core.as_of(bars, start + 720000, ["click", "view"]).select("symbol", "ts", "close")
+    bars = bars.join(F.broadcast(bars.agg(F.min("ts").alias("start"))))
+    return core.as_of(bars, F.col("start") + 720000, ["click", "view"]).select("symbol", "ts", "close")
 
 
 @register("pf3_ordered", f"WITH {_BASE} SELECT symbol, ts, {rnd('rsi_14 sma_20 log_return_1')} FROM features")
@@ -61,8 +61,7 @@ n AS (SELECT max(CAST(floor(epoch(ts)) AS BIGINT) * 1000) AS now FROM events)
 SELECT now - at_ms BETWEEN 0 AND 86400000 AS fresh, count(*) AS n, string_agg(CAST(symbol AS VARCHAR), ',' ORDER BY CAST(symbol AS VARCHAR)) AS symbols FROM l, n GROUP BY 1""")
 def pf5(spark, d):
     e = x.table(spark, d, "events").select(F.col("user_id").cast("string").alias("symbol"), (x.seconds("ts") * 1000).alias("at_ms"))
-    now = e.agg(F.max("at_ms")).first()[0] or 0
-    return core.freshness(e, now, 86_400_000)
+    return core.freshness(e, e.agg(F.max("at_ms").alias("now")), 86_400_000)
 
 
 _SRC = "CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size % 7 = 1 THEN 'Mock ' || p_brand WHEN p_size % 7 = 2 THEN 'unknown' WHEN p_size % 7 = 3 THEN p_name || ' FIXTURE' ELSE p_type END"
@@ -164,8 +163,8 @@ b AS (SELECT *, lag(avail_ts) OVER ({W}) AS before FROM a, n)
 SELECT symbol, ts, unnest(list_filter([CASE WHEN avail_ts < ts THEN 'before end' END, CASE WHEN avail_ts <= before THEN 'not increasing' END, CASE WHEN avail_ts > now THEN 'future' END], lambda r: r IS NOT NULL)) AS rule FROM b""")
 def dq3(spark, d):
     bars = x.hourly_bars(spark, d).withColumn("avail_ts", F.expr(_LATE))
-    now = (bars.agg(F.max("ts")).first()[0] or 0) - 86400
-    return dq.availability(bars, now)
+    bars = bars.join(F.broadcast(bars.agg((F.max("ts") - 86400).alias("now"))))
+    return dq.availability(bars, F.col("now"))
 
 
 @register("dq4_leakage", f"""WITH {BARS}, t AS (SELECT symbol, ts AS feature_ts, lead(ts) OVER ({W}) - CASE WHEN ts % 86400 = 0 THEN 7200 ELSE 3600 END AS target_start FROM bars) SELECT * FROM t WHERE feature_ts > target_start""")
@@ -291,21 +290,20 @@ def actions(bars):
 SELECT symbol, ts, round(open * factor - paid, 6) AS open, round(high * factor - paid, 6) AS high, round(low * factor - paid, 6) AS low, round(close * factor - paid, 6) AS close, CAST(round(volume / factor) AS BIGINT) AS volume FROM f""")
 def j2(spark, d):
     bars = x.hourly_bars(spark, d)
-    end = (bars.agg(F.max("ts")).first()[0] or 0) - 86400
-    return rounded(joins.adjust(bars.drop("avail_ts"), actions(bars), end)).select("symbol", "ts", "open", "high", "low", "close", "volume")
+    known = actions(bars).join(F.broadcast(bars.agg((F.max("ts") - 86400).alias("end"))))
+    return rounded(joins.adjust(bars.drop("avail_ts"), known, F.col("end"))).select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
-_SIGNALS = f"""{PREDICTIONS}, signals AS (SELECT symbol, as_of + CASE WHEN as_of % 10800 = 0 THEN 900 WHEN as_of % 10800 = 3600 THEN 0 ELSE -7200 END AS as_of, value FROM predictions)"""
+_SIGNALS = f"""{PREDICTIONS}, signals AS (SELECT symbol, as_of AS seq, as_of + CASE WHEN as_of % 10800 = 0 THEN 900 WHEN as_of % 10800 = 3600 THEN 0 ELSE -7200 END AS as_of, value FROM predictions)"""
 
 
-@register("j3_delivered_signals", f"""WITH {_SIGNALS}, m AS (SELECT s.symbol, s.as_of, s.value, min(b.ts) AS ts FROM signals s JOIN (SELECT symbol, ts FROM bars QUALIFY row_number() OVER ({W}) > 1) b ON s.symbol = b.symbol AND b.ts > s.as_of GROUP BY ALL),
-one AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY as_of DESC) = 1 AND count(*) OVER (PARTITION BY symbol, ts, as_of) = 1)
-SELECT symbol, ts, as_of, round(value, 6) AS value FROM one""")
+@register("j3_delivered_signals", f"""WITH {_SIGNALS}, m AS (SELECT s.symbol, s.as_of, s.seq, s.value, min(b.ts) AS ts FROM signals s JOIN (SELECT symbol, ts FROM bars QUALIFY row_number() OVER ({W}) > 1) b ON s.symbol = b.symbol AND b.ts > s.as_of GROUP BY ALL),
+one AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY as_of DESC, seq DESC) = 1)
+SELECT symbol, ts, as_of, seq, round(value, 6) AS value FROM one""")
 def j3(spark, d):
     shift = F.when(F.col("as_of") % 10800 == 0, 900).when(F.col("as_of") % 10800 == 3600, 0).otherwise(-7200)
-    s = predictions(spark, d).select("symbol", (F.col("as_of") + shift).alias("as_of"), "value")
-    n = F.count("*").over(joins.Window.partitionBy("symbol", "ts", "as_of"))
-    return rounded(joins.deliver(x.hourly_bars(spark, d), s).withColumn("n", n).where("n = 1").drop("n"))
+    s = predictions(spark, d).select("symbol", (F.col("as_of") + shift).alias("as_of"), F.col("as_of").alias("seq"), "value")
+    return rounded(joins.deliver(x.hourly_bars(spark, d), s, seq="seq"))
 
 
 @register("j4_recent_window", f"""WITH {BARS}, q AS (SELECT DISTINCT symbol, ts + 1800 AS as_of FROM bars WHERE ts % 86400 = 0),
@@ -433,10 +431,10 @@ def tk5(spark, d):
     return core.distinct_decisions(rows, 40)
 
 
-@register("so1_union", f"WITH {BARS} SELECT symbol, ts, close, NULL::BIGINT AS volume FROM bars WHERE symbol = 'click' UNION ALL SELECT symbol, ts, NULL, volume FROM bars WHERE symbol = 'view'")
+@register("so1_union", f"WITH {BARS} SELECT symbol, ts, close, NULL::BIGINT AS volume FROM bars UNION ALL SELECT symbol, ts, NULL, volume FROM bars")
 def so1(spark, d):
     bars = x.hourly_bars(spark, d)
-    return core.union_all(bars.where("symbol = 'click'").select("symbol", "ts", "close"), bars.where("symbol = 'view'").select("volume", "ts", "symbol"))
+    return core.union_all(bars.select("symbol", "ts", "close"), bars.select("volume", "ts", "symbol"))
 
 
 @register("so2_common_times", f"WITH {BARS} SELECT ts FROM bars WHERE symbol = 'click' INTERSECT SELECT ts FROM bars WHERE symbol = 'view' INTERSECT SELECT ts FROM bars WHERE symbol = 'signup'")

@@ -165,11 +165,11 @@ def w21(spark, d):
 
 @register("w21_cross_section_many", f"""WITH {MONTHLY}, v AS (UNPIVOT (SELECT symbol, ts, open, close, volume::DOUBLE AS volume FROM monthly) ON open, close, volume INTO NAME feature VALUE value),
 xs AS (SELECT symbol, ts, feature, value, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS std, count(*) OVER w AS universe FROM v WINDOW w AS (PARTITION BY ts, feature))
-SELECT symbol, ts, feature, round((value - mean) / std, 6) AS z FROM xs WHERE universe >= 2 AND std > 1e-12""")
+SELECT symbol, ts, feature, CASE WHEN std <= 1e-12 THEN 0.0::DOUBLE ELSE round((value - mean) / std, 6) END AS z FROM xs WHERE universe >= 2""")
 def w21_many(spark, d):
     rows = x.monthly_bars(spark, d).select("symbol", "ts", "open", "close", F.col("volume").cast("double").alias("volume"))
     rows = f.melt(rows, ["symbol", "ts"], ["open", "close", "volume"]).withColumn("ts", F.struct("ts", "feature"))
-    out = f.cross_section(rows).where("std > 1e-12")
+    out = f.cross_section(rows)
     return rounded(out.select("symbol", "ts.ts", "feature", "z"))
 
 

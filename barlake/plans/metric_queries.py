@@ -61,8 +61,8 @@ def sp4(spark, d):
 
 def calendar(spark, d):
     bars = x.hourly_bars(spark, d)
-    day = (bars.agg(F.min("ts")).first()[0] or 0) // 86400
-    return splits.calendar_folds(f.targets(bars).select("symbol", "ts", "target_ts"), tuple((day + k) * 86400 for k in (3, 8, 14)), 5, 8)
+    rows = f.targets(bars).select("symbol", "ts", "target_ts").join(F.broadcast(bars.agg(F.floor(F.min("ts") / 86400).alias("day"))))
+    return splits.calendar_folds(rows, tuple((F.col("day") + k) * 86400 for k in (3, 8, 14)), 5, 8).drop("day")
 
 
 @register("sp4_calendar_faults", f"""WITH {_CF}, n AS (SELECT s.symbol, (SELECT count(*) FROM folds f WHERE f.symbol = s.symbol AND f.role = r.role) AS n FROM (SELECT DISTINCT symbol FROM bars) s, (VALUES ('train'), ('val'), ('test')) r(role)),
@@ -163,11 +163,11 @@ def a7(spark, d):
     return out.select("symbol", "scenario", F.round("pnl", 4).alias("pnl"), F.round("pnl_pct", 6).alias("pnl_pct"))
 
 
-@register("a8_exposures", """WITH p AS (SELECT o_orderpriority AS symbol, CAST(epoch(date_trunc('month', o_orderdate)) AS BIGINT) AS ts, o_custkey % 9 - 4 AS q, o_totalprice AS price FROM orders WHERE o_custkey % 9 <> 4),
+@register("a8_exposures", """WITH p AS (SELECT o_orderpriority AS symbol, CAST(epoch(date_trunc('month', o_orderdate)) AS BIGINT) AS ts, o_custkey % 9 - 4 AS q, o_totalprice AS price FROM orders),
 s AS (SELECT symbol, ts, sum(q * price) AS net_value, sum(abs(q * price)) AS gross_value FROM p GROUP BY 1, 2)
 SELECT symbol, ts, round(net_value, 2) AS net_value, round(gross_value, 2) AS gross_value, round(1e9 + net_value, 2) AS nav, round(gross_value / (1e9 + net_value), 6) AS gross_exposure, round(net_value / (1e9 + net_value), 6) AS net_exposure FROM s""")
 def a8(spark, d):
-    o = x.table(spark, d, "orders").where("o_custkey % 9 <> 4")
+    o = x.table(spark, d, "orders")
     ts = F.unix_seconds(F.trunc("o_orderdate", "month").cast("timestamp"))
     p = o.select(F.col("o_orderpriority").alias("symbol"), ts.alias("ts"), (F.col("o_custkey") % 9 - 4).alias("quantity"), F.col("o_totalprice").alias("price"))
     cash = p.select("symbol", "ts").distinct().withColumn("cash", F.lit(1e9))
@@ -406,8 +406,8 @@ SELECT pair, max(rate) FILTER (WHERE k = 1) AS last, round((max(rate) FILTER (WH
 def a24(spark, d):
     o = x.table(spark, d, "orders")
     r = o.groupBy(F.col("o_orderpriority").alias("pair"), F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice"), 4).alias("rate"))
-    today = F.date_add(F.lit(r.agg(F.max("day")).first()[0]), 3)
-    out = metrics.reference_rate(r, today)
+    r = r.join(F.broadcast(r.agg(F.max("day").alias("newest"))))
+    out = metrics.reference_rate(r, F.date_add("newest", 3))
     return out.withColumns({"change_pct": F.round("change_pct", 6), "mean": F.round("mean", 4)})
 
 

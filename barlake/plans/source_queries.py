@@ -64,9 +64,10 @@ o AS (SELECT d, month(d) = 7 AND day(d) = 3 OR month(d) = 12 AND day(d) = 24 OR
 t AS (SELECT d, early, epoch(d)::BIGINT + 52200 - CASE WHEN summer THEN 3600 ELSE 0 END AS open_ts, CASE WHEN early THEN 12600 ELSE 23400 END AS length FROM o)
 SELECT CAST(d AS VARCHAR) AS date, open_ts, open_ts + length AS close_ts, early AS is_early_close, lead(open_ts) OVER (ORDER BY d) AS next_open_ts, CAST(lag(d) OVER (ORDER BY d) AS VARCHAR) AS prev_date, CAST(lead(d) OVER (ORDER BY d) AS VARCHAR) AS next_date FROM t""")
 def io14(spark, d):
-    year = x.table(spark, d, "events").agg(F.year(F.min("ts"))).first()[0] or 2024
+    year = x.table(spark, d, "events").agg(F.year(F.min("ts")).alias("year"))
+    day = lambda k, m, n: F.make_date(F.col("year") + k, F.lit(m), F.lit(n))
     text = lambda c: F.col(c).cast("string").alias(c)
-    return calendar.sessions(spark, f"{year - 5}-01-01", f"{year + 4}-12-31").select(text("date"), "open_ts", "close_ts", "is_early_close", "next_open_ts", text("prev_date"), text("next_date"))
+    return calendar.sessions(spark, day(-5, 1, 1), day(4, 12, 31), of=year).select(text("date"), "open_ts", "close_ts", "is_early_close", "next_open_ts", text("prev_date"), text("next_date"))
 
 
 LOOKBACK = 5

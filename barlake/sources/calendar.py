@@ -58,13 +58,14 @@ def early_closes(year: Column) -> Column:
     return F.array(day(7, 3), F.date_add(_nth(year, 11, 3, 4), 1), day(12, 24))
 
 
-def sessions(spark: SparkSession, start: str, end: str, extra: tuple[str, ...] = (), zone: str = "America/New_York") -> DataFrame:
+def sessions(spark: SparkSession, start: str | Column, end: str | Column, extra: tuple[str, ...] = (), zone: str = "America/New_York", of: DataFrame | None = None) -> DataFrame:
     """``(date, open_ts, close_ts, is_early_close, next_open_ts, prev_date, next_date)`` of a closed range of dates.
 
     Times are epoch seconds; 09:30 to 16:00 in the zone, daylight saving included.
-    ``extra`` names further closed days.
+    ``extra`` names further closed days.  The range's ends may be columns of ``of``, a table of one row.
     """
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
+    one = spark.range(1) if of is None else of
+    days = one.select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
     closed = F.array_contains(holidays(F.year("date")), F.col("date"))
     if extra:
         closed = closed | F.col("date").isin([*extra])

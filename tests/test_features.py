@@ -63,17 +63,15 @@ def test_no_feature_sees_the_future(spark):
 
 
 def test_chunks_change_nothing(spark):
-    bars = frame(spark, [50 + math.sin(i) * 3 for i in range(200)])
-    a = f.baseline(bars).orderBy("ts").collect()
-    b = f.in_chunks(bars, f.baseline, 60 * DAY).orderBy("ts").collect()
-    assert len(a) == len(b) and all(x["ts"] == y["ts"] and x["ema_12"] == pytest.approx(y["ema_12"]) for x, y in zip(a, b))
-
-
-def test_registry_rejects_another_version():
-    r = f.FeatureRegistry()
-    r.add(f.FeatureSpec("sma", 1, 20, lambda: f.sma(20)))
+    """A series with holes and a burst, cut by the number of its rows, in numbering cells smaller than it."""
+    bars = frame(spark, [50 + math.sin(i) * 3 for i in range(300)])
+    gone = bars.where(~F.col("ts").between(80 * DAY, 230 * DAY)).withColumn("ts", F.when(F.col("ts") > 250 * DAY, F.col("ts") + 9000 * DAY).otherwise(F.col("ts")))
+    bars = gone.union(gone.withColumn("symbol", F.lit("short")).where(F.col("ts") < 40 * DAY)).withColumn("avail_ts", F.col("ts"))
+    a = f.baseline(bars).orderBy("symbol", "ts").collect()
+    for size, most in ((40, 50), (37, 1 << 20), (1000, 50)):
+        assert f.in_chunks(bars, f.baseline, size, most=most).orderBy("symbol", "ts").collect() == a
     with pytest.raises(ValueError):
-        r.add(f.FeatureSpec("sma", 2, 20, lambda: f.sma(20)))
+        f.in_chunks(bars, f.baseline, 34)
 
 
 def test_normal_functions(spark):
