@@ -188,6 +188,11 @@ def event_rules(records: DataFrame) -> DataFrame:
     return records.withColumn("faults", F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in rules.items()))))
 
 
+def own_checksum() -> Column:
+    """The SHA-256 of a record's ``line`` without its checksum."""
+    return F.sha2(F.regexp_replace("line", r'"checksum":"[0-9a-f]*",|,"checksum":"[0-9a-f]*"(?=\}$)', ""), 256)
+
+
 def audit(log: DataFrame) -> DataFrame:
     """One row a session of a hash-chained journal.
 
@@ -200,7 +205,7 @@ def audit(log: DataFrame) -> DataFrame:
     before = log.select("session_id", (F.col("seq") + 1).alias("seq"), F.col("checksum").alias("_sum"), F.col("received_at_ms").alias("_at"), F.col("type").alias("_type"))
     header = log.where("seq = 1").groupBy("session_id").agg(F.first("feed").alias("_feed"), F.first("symbols").alias("_symbols"), F.first("type").alias("_first"))
     rows = log.join(before, ["session_id", "seq"], "left").join(header, "session_id", "left")
-    own = F.sha2(F.regexp_replace("line", r'"checksum":"[0-9a-f]*",|,"checksum":"[0-9a-f]*"(?=\}$)', ""), 256)
+    own = own_checksum()
     no = lambda c: ~F.coalesce(c, F.lit(False))
     market = F.col("type") == "market"
     faults = {

@@ -338,22 +338,29 @@ def minimum_d(bars: DataFrame, step: float = 0.1, threshold: float = 1e-3, cap:
     """
     from ..functions.taps import fracdiff_taps
 
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    rows = bars.select("symbol", "ts", "close", F.least(n, F.lit(cap)).alias("most"))
-    back = Window.partitionBy("symbol").orderBy("ts")
     grid, d = [], 0.0
     while d <= 1.0:
         grid.append(d)
         d += step
-    outs = None
-    for d in dict.fromkeys([*grid, 1.0]):
-        taps = fracdiff_taps(d, threshold, cap)
-        recent = F.collect_list("close").over(back.rowsBetween(1 - len(taps), 0))
-        size = F.least(F.lit(len(taps)), F.col("most"))
-        near = F.slice(F.reverse("v"), 1, F.col("window"))
-        value = F.aggregate(F.zip_with(near, F.slice(F.array(*map(F.lit, taps)), 1, F.col("window")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        got = rows.select("symbol", "ts", recent.alias("v"), size.alias("window")).where("size(v) >= window").select("symbol", "ts", F.lit(d).alias("d"), "window", value.alias("v"))
-        outs = got if outs is None else outs.union(got)
+    every = Window.partitionBy("symbol")
+    back = every.orderBy("ts")
+    rows = bars.select("symbol", "ts", "close", F.row_number().over(back).alias("_i"), F.count("*").over(every).alias("_all"))
+    all_d = list(dict.fromkeys([*grid, 1.0]))
+    kept, made = rows.columns, []
+    # a few differences at a time share one set of offsets; all steps share one sort
+    for at in range(0, len(all_d), 3):
+        few = [fracdiff_taps(d, threshold, cap) for d in all_d[at : at + 3]]
+        longest = max(map(len, few))
+        rows = rows.select("*", *(F.lag("close", k, 0.0).over(back).alias(f"_c{k}") for k in range(1, longest)))
+        past = [F.coalesce("close", F.lit(0.0)), *(F.coalesce(f"_c{k}", F.lit(0.0)) for k in range(1, longest))]
+        new = []
+        for d, taps in zip(all_d[at : at + 3], few):
+            value = sum((past[k] * F.lit(t) for k, t in enumerate(taps)), F.lit(0.0))
+            size = F.least(F.lit(len(taps)), F.col("_all"), F.lit(cap))
+            new.append(F.struct(F.lit(d).alias("d"), size.alias("window"), value.alias("v")).alias(f"_d{len(made) + len(new)}"))
+        rows = rows.select(*kept, *made, *new)
+        made += [f"_d{len(made) + k}" for k in range(len(new))]
+    outs = rows.select("symbol", "ts", "_i", F.explode(F.array(*made)).alias("x")).where(F.col("_i") >= F.col("x.window")).select("symbol", "ts", "x.*")
     w = Window.partitionBy("symbol", "d")
     r = outs.withColumns({"k": F.row_number().over(w.orderBy("ts")), "n": F.count("*").over(w)})
     half = F.floor(F.col("n") / 2)

@@ -274,7 +274,7 @@ cu AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, path ORDER BY s
 s AS (SELECT symbol, path, count(*) AS n, CASE WHEN stddev_samp(ret) > 1e-8 THEN avg(ret) / stddev_samp(ret) * sqrt(12.0::DOUBLE) ELSE 0 END AS sharpe, max(dd) AS mdd, arg_max(nav, step) AS fin FROM dd GROUP BY 1, 2)
 SELECT symbol, path, round(sharpe, 6) AS sharpe, round(mdd + 1.234567e-9::DOUBLE, 6) AS max_drawdown, round(pow(fin, 1 / (n / 12.0::DOUBLE)) - 1, 6) AS cagr, mdd >= 0.5 AS ruin FROM s""")
 def bs1(spark, d):
-    out = bs.path_statistics(bs.stationary_paths(month_returns(spark, d), 1000), 12.0)
+    out = bs.whole_statistics(bs.whole_paths(month_returns(spark, d), 1000), 12.0)
     # clipped returns make drawdowns of few digits: moved off the middle between two rounded values
     return rounded(out.withColumn("max_drawdown", F.col("max_drawdown") + OFF))
 
@@ -286,7 +286,7 @@ _Q = "max(CASE WHEN k = floor((n - 1) * {p} + 0.5) + 1 THEN round(nav + 1.234567
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol, step ORDER BY nav) AS k, count(*) OVER (PARTITION BY symbol, step) AS n FROM a)
 SELECT symbol, step, {', '.join(f"{_Q.format(p=v)} AS p{int(v * 100)}" for v in (0.05, 0.25, 0.5, 0.75, 0.95))}, round(avg(nav) + 1.234567e-9::DOUBLE, 4) AS mean FROM r GROUP BY 1, 2""")
 def bs3(spark, d):
-    out = bs.nav_bands(bs.stationary_paths(month_returns(spark, d), 1000), 1000.0)
+    out = bs.whole_bands(bs.whole_paths(month_returns(spark, d), 1000), 1000.0)
     return rounded(out.withColumn("step", F.col("step").cast("long")), 4, OFF)
 
 
@@ -297,9 +297,9 @@ sh AS (SELECT symbol, rep, avg(ret) / stddev_samp(ret) * sqrt(12.0::DOUBLE) AS s
 
 @register("bs2_sharpe_interval", f"WITH {_MB} SELECT symbol, round(quantile_cont(sharpe, 0.025), 6) AS low, round(quantile_cont(sharpe, 0.975), 6) AS high, count(*) AS replicates FROM sh GROUP BY 1")
 def bs2(spark, d):
-    return rounded(bs.sharpe_interval(bs.moving_blocks(month_returns(spark, d), 2000, 20), 12.0))
+    return rounded(bs.sharpe_interval(bs.moving_blocks(month_returns(spark, d), 2000, 20), 12.0).drop("defined"))
 
 
 @register("bs4_paired_difference", f"WITH {_MB}, dd AS (SELECT a.sharpe - b.sharpe AS d FROM sh a JOIN sh b USING (rep) WHERE a.symbol = 'CHINA' AND b.symbol = 'INDIA') SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM dd")
 def bs4(spark, d):
-    return rounded(bs.paired_difference(bs.moving_blocks(month_returns(spark, d), 2000, 20), "CHINA", "INDIA", 12.0))
+    return rounded(bs.paired_difference(month_returns(spark, d), "CHINA", "INDIA", 12.0))

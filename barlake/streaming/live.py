@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,13 +44,27 @@ def regular(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     return hit.withColumn("next_ts", F.when(F.col("ts") < F.col("_close"), F.col("ts") + 60).otherwise(F.col("_next") + 60)).drop("_d", "_close", "_next")
 
 
-class BarBuffer(StatefulProcessor):
-    """The newest bars since a symbol's last gap, in order of arrival.
+def advance(kept: list, new: Iterable, limit: int) -> list:
+    """A buffer of bars (ts, ..., avail_ms, next_ts) after ``new`` ones, in order of arrival.
 
     A bar not later than the last is ignored.  One that isn't the minute due next,
     that ended before the last was available, or that isn't available later than it
     clears the buffer first.
     """
+    kept = list(kept)
+    for bar in new:
+        if kept:
+            ts, avail, due = kept[-1][0], kept[-1][-2], kept[-1][-1]
+            if bar[0] <= ts:
+                continue
+            if bar[0] != due or avail >= bar[0] * 1000 or bar[-2] <= avail:
+                kept = []
+        kept.append(bar)
+    return kept[-limit:]
+
+
+class BarBuffer(StatefulProcessor):
+    """The newest bars since a symbol's last gap, as :func:`advance` has them."""
 
     LIMIT = 300
 
@@ -58,17 +72,9 @@ class BarBuffer(StatefulProcessor):
         self.rows = handle.getListState("rows", "ts bigint, close double, avail bigint, next bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        kept = [tuple(r) for r in self.rows.get()]
-        for r in pd.concat(list(rows)).sort_values(["avail_ms", "ts"]).itertuples():
-            if kept:
-                ts, _, avail, due = kept[-1]
-                if r.ts <= ts:
-                    continue
-                if r.ts != due or avail >= r.ts * 1000 or r.avail_ms <= avail:
-                    kept = []
-            due = int(r.next_ts) if pd.notna(r.next_ts) else -1
-            kept.append((int(r.ts), float(r.close), int(r.avail_ms), due))
-        kept = kept[-self.LIMIT :]
+        rows = pd.concat(list(rows)).sort_values(["avail_ms", "ts"])
+        new = ((int(r.ts), float(r.close), int(r.avail_ms), int(r.next_ts) if pd.notna(r.next_ts) else -1) for r in rows.itertuples())
+        kept = advance([tuple(r) for r in self.rows.get()], new, self.LIMIT)
         self.rows.put(kept)
         if kept:
             yield pd.DataFrame({"symbol": [key[0]], "ts": [kept[-1][0]], "close": [kept[-1][1]], "size": [len(kept)]})
@@ -156,24 +162,6 @@ def accounting(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.count("*").alias("records"), F.count_if(F.col("type") == "gap").alias("gaps"), F.count_if(F.col("type") == "stop").alias("stops"))
 
 
-def readiness(rows: DataFrame, now_ms: int) -> DataFrame:
-    """Symbols whose last trade is fresh, and those whose isn't."""
-    t = rows.where("event.kind = 't'").select(F.col("event.symbol").alias("symbol"), F.unix_millis(F.try_to_timestamp("event.time")).alias("at_ms"))
-    return core.freshness(t, now_ms, core.FRESH["trade"])
-
-
-def forecasts(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, least: int = 35):
-    """Score each batch's symbols whose buffer is long enough, as Parquet by batch; one run over what has landed.
-
-    ``score`` takes the symbols and applies the gates of :func:`live_inputs`.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        score(batch.where(F.col("size") >= least)).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def monitored(decisions: DataFrame, outcomes: Callable[[], DataFrame], reference: DataFrame, path: str, history: str, checkpoint: str, window: int = 100, identity: dict[str, str] | None = None):
     """The drift status after each batch of decisions, in ``path`` by batch.
 
