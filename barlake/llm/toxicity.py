@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 #: What a sign may stand for.
 LEET = {
@@ -50,8 +50,9 @@ _RUN = re.compile(r"([^\W\d_])\1+")
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][ .\-_*]){2,}[^\W_](?=[\s.,;:!?]|$)")
 _EDGE = ".,;:!?\"'()[]{}<>#%&*|-_"
 PREFIXES = (4, 5, 6)
-#: Words of the corpus, the most frequent, by which spaced runs are cut into words; others are judged by their letters.
-KNOWN_WORDS = 50_000
+#: A word is known if it is at least one in so many of the corpus's words; others are judged by their letters.
+#: A share, not a rank: a word is known or not whatever the corpus's size, and no more than RAREST words can be.
+RAREST = 1_000_000
 
 
 def _fold(c: str) -> str:
@@ -213,7 +214,7 @@ class Channel:
         return total
 
     def undoubled(self, token: str, word: str, pairs: list[int]) -> str:
-        """As ``restore_token`` of letters alone with few pairs of equal ones: all readings of the lattice are tried one by one."""
+        """The outcome of ``by_search`` for letters alone with few pairs of equal ones, in less time: all readings of the lattice are tried one by one."""
         readings = [(word, 0)]
         for i in reversed(pairs):
             readings += [(w[:i] + w[i + 1 :], n + 1) for w, n in readings]
@@ -228,40 +229,40 @@ class Channel:
                 found.append((self.known[w] - self.double * n, w))
         return max(found, key=lambda x: x[0])[1]
 
+    def by_search(self, token: str, bare: str) -> str:
+        """The likeliest of the plain reading, that of the search, and the joined parts as they are or with doubled letters made single, compared by words."""
+        p, said = self.search(self.readings(bare))
+        found = [(p - sum(map(self.spelled, LETTERS.findall(said))) + self.score(said), said)]
+        if LEET.keys().isdisjoint(bare):
+            if not _LONG_RUN.search(bare):
+                found.insert(0, (self.score(bare), token))
+            parts = LETTERS.findall(bare)
+            joined = "".join(parts)
+            single, n = _RUN.subn(r"\1", joined)
+            near = [(single, n)]
+            if len(joined) <= self.longest + 1:  # longer ones aren't known
+                near += [(joined, 0), *((joined[:i] + joined[i + 1 :], 1) for i in range(1, len(joined)) if joined[i] == joined[i - 1])]
+            cost = self.cost * (len(parts) - 1)
+            found += [(self.known[w] - cost - self.double * n, w) for w, n in near if w in self.known]
+        return max(found, key=lambda x: x[0])[1]
+
     def score(self, reading: str) -> float:
         """Log-probability of the words of a reading."""
         return sum(self.known[w] if w in self.known else self.unknown + self.spelled(w) for w in LETTERS.findall(reading))
 
     def restore_token(self, token: str) -> str:
-        """A lower-case token's likeliest reading; without signs and doubled letters there is one only.
-
-        The plain one, that of the search, and the joined parts as they are or with
-        doubled letters made single are compared by words.
-        """
+        """A lower-case token's likeliest reading; without signs and doubled letters there is one only."""
         bare = token.strip(_EDGE)
         if bare.isalpha():
             if not _TWICE.search(bare):
                 return token
         elif not (_MIXED.search(bare) or _TWICE.search(bare)) or not any(map(str.isalpha, bare)):
             return token
-        if bare.isalpha() and len(bare) <= 2 * self.longest and not _LONG_RUN.search(bare):
+        if bare.isalpha() and not _LONG_RUN.search(bare):
             pairs = [i for i in range(1, len(bare)) if bare[i] == bare[i - 1]]
             if len(pairs) <= 3:
                 return self.undoubled(token, bare, pairs)
-        p, said = self.search(self.readings(bare))
-        found = [(p - sum(map(self.spelled, LETTERS.findall(said))) + self.score(said), said)]
-        parts = LETTERS.findall(bare)
-        joined = "".join(parts)
-        if not _LONG_RUN.search(bare) and LEET.keys().isdisjoint(bare):
-            found.insert(0, (self.score(bare), token))
-        if LEET.keys().isdisjoint(bare) and len(joined) <= 2 * self.longest:
-            cost = self.cost * (len(parts) - 1)
-            pairs = [i for i in range(1, len(joined)) if joined[i] == joined[i - 1]]
-            single = _RUN.sub(r"\1", joined)
-            for w, n in [(joined, 0), *((joined[:i] + joined[i + 1 :], 1) for i in pairs), (single, len(pairs))]:
-                if w in self.known:
-                    found.append((self.known[w] - cost - self.double * n, w))
-        return max(found, key=lambda x: x[0])[1]
+        return self.by_search(token, bare)
 
     def runs(self, text: str) -> list[list[str]]:
         """The words of each run of letters with a blank or mark between them; the whole run too if it comes out as several."""
@@ -360,8 +361,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, least_od
     """
     counted = materialize(count_language(docs), "language")
     grams = {r["gram"]: r["n"] for r in counted.where("gram not like ' %'").collect()}
-    words = counted.where("gram like ' %'").orderBy(F.desc("n"), "gram").limit(KNOWN_WORDS).collect()
-    words = {r["gram"][1:]: r["n"] for r in words}
+    spoken = sum(n for g, n in grams.items() if g[:2] == "^^")
+    words = {r["gram"][1:]: r["n"] for r in counted.where("gram like ' %'").where(F.col("n") * RAREST >= spoken).collect()}
+    forget(counted)
     rows = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "toxic").limit(max_labelled)
     half = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0

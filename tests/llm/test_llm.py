@@ -304,6 +304,39 @@ def test_marks_and_doubled_letters_inside_words():
         assert c.restore_token(plain) == plain
 
 
+def test_few_doubled_letters_are_read_as_by_the_search():
+    """The short way for letters alone gives what the search gives."""
+    rng = random.Random(9)
+    c = language()
+    known = [w for w in c.known if w.isalpha()]
+    odd = ["".join(rng.choice("abcdeilost") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    for w in rng.choices(known, k=300) + odd:
+        for _ in range(3):
+            i = rng.randrange(len(w))
+            w = w[: i + 1] + w[i:]
+            pairs = [k for k in range(1, len(w)) if w[k] == w[k - 1]]
+            if not toxicity._LONG_RUN.search(w) and len(pairs) <= 4:
+                assert c.undoubled(w, w, pairs) == c.by_search(w, w)
+
+
+def test_long_runs_and_long_tokens_find_their_word():
+    c = language()
+    assert c.restore_token("stu" + "u" * 500 + "pid") == "stupid" and c.restore_token("st" + "u" * 60 + "pid") == "stupid"
+    assert c.restore_token("l-o-s-e-r") == "loser"
+
+
+def test_a_reading_is_the_same_in_a_larger_corpus():
+    """Counts ten and a thousand times as large, and many rare words beside them, change no reading of these disguises."""
+    words = Counter({"you": 300, "are": 300, "the": 400, "an": 200, "such": 80, "idiot": 30, "clown": 30, "stupid": 30, "loser": 30, "letter": 60, "well": 90, "known": 80})
+    texts = ["st0pid", "y o u i d i o t", "lo-ser", "stuupid", "id-ioot", "letter", "well-known", "s t u u p i d l o s e r"]
+
+    def read(k):
+        c = toxicity.Channel(dict(toxicity.trigrams(Counter({w: n * k for w, n in words.items()}))), words={w: n * k for w, n in words.items()})
+        return [c.restore(t) for t in texts]
+
+    assert read(1) == read(10) == read(1000)
+
+
 def test_a_spaced_sentence_is_toxic():
     c = language()
     m = toxicity.Model(c.grams, {"idiot": 3.0}, (-2.0, 1.0, 1.0, 0.0))

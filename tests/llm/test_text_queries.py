@@ -127,13 +127,20 @@ def test_op7(spark, texts):
 
 
 @pytest.mark.parametrize("name, threshold, label", [("op8_toxicity", 0.5, "toxic"), ("op10_quality_classifier", 0.3, "quality")])
-def test_classifiers(spark, duck, texts, name, threshold, label):
-    got = {r["doc_id"]: r for r in rows(spark, name)}
-    assert got.keys() == texts.keys()
+def test_classifiers(spark, name, threshold, label):
+    """Accuracy over the held-out labelled rows alone, of a larger table."""
+    sf = SF.replace("0.001", "0.01")
+    got = {r["doc_id"]: r for r in queries.queries()[name](spark, sf).collect()}
+    assert got.keys() == {i for (i,) in duckdb.sql(f"SELECT doc_id FROM '{sf}/documents.parquet'").fetchall()}
     for i, r in got.items():
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= threshold)
-    labels = dict(duck.sql(f"SELECT doc_id, {label} FROM labels").fetchall())
-    assert np.mean([got[i]["predicted"] == y for i, y in labels.items()]) > 0.85
+    held = [(i, y) for i, y in duckdb.sql(f"SELECT doc_id, {label} FROM '{sf}/labels.parquet'").fetchall() if got[i]["held_out"]]
+    assert len(held) > 50 and np.mean([got[i]["predicted"] == y for i, y in held]) > 0.9
+
+
+def shingles(text):
+    w = WORD.findall(text.translate(LOWER))
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
 def test_pipeline(spark, texts):
@@ -148,10 +155,18 @@ def test_pipeline(spark, texts):
         assert kept[-1].columns == docs.columns
     ids = [Counter(r["doc_id"] for r in k.select("doc_id").collect()) for k in kept]
     assert set(ids[1]) < set(ids[0]) and set(ids[2]) <= set(ids[1]) and ids[3] == ids[2] and set(ids[4]) <= set(ids[3])
-    copies = {}
-    for r in kept[2].select("doc_id", "text").collect():
-        copies.setdefault(" ".join(WORD.findall((r["text"] or "").translate(LOWER))), []).append(r["doc_id"])
-    assert all(len(v) == 1 for k, v in copies.items() if k)
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b) > 0
+    sets = {r["doc_id"]: shingles(r["text"] or "") for r in kept[1].select("doc_id", "text").collect()}
+    left = set(ids[2])
+    assert not any(near(sets[a], sets[b]) for a in left for b in left if a < b)
+    for gone in set(sets) - left:  # each that went has a chain of near copies to one that stayed
+        reached, front = {gone}, [gone]
+        while front and not reached & left:
+            now = front.pop()
+            new = [b for b in sets if b not in reached and near(sets[now], sets[b])]
+            reached.update(new)
+            front += new
+        assert reached & left
     cut = {r["doc_id"]: r["text"] for r in kept[3].select("doc_id", "text").collect()}
     long = Counter(t[k : k + 400] for t in cut.values() if t.isascii() for k in range(len(t) - 399))
     assert max(long.values(), default=1) == 1
