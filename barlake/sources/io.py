@@ -154,8 +154,10 @@ def read_version(spark: SparkSession, root: str, version: str, schema) -> DataFr
 
 
 def write_features(features: DataFrame, root: str, feature_set: str, version: int) -> None:
-    out = features.withColumns({"feature_set": F.lit(feature_set), "version": F.lit(version)})
-    out.write.mode("errorifexists").partitionBy("feature_set", "version", "symbol").parquet(root)
+    """A version of a feature set, written once, partitioned by symbol; ``ts`` must not be null, its columns keep their ids."""
+    guard = F.when(F.col("ts").isNull(), F.raise_error(F.lit("a feature row has no time")).cast("long")).otherwise(F.col("ts"))
+    out = features.withColumn("ts", guard)
+    out.write.mode("errorifexists").partitionBy("symbol").parquet(f"{root}/feature_set={feature_set}/version={version}")
 
 
 def training_table(labelled: DataFrame, features: list[str], version: int, horizon: int) -> DataFrame:
@@ -166,10 +168,43 @@ def training_table(labelled: DataFrame, features: list[str], version: int, horiz
     )
 
 
+def training_manifest(rows: DataFrame, features: list[str]) -> DataFrame:
+    """``(row_count, feature_columns, content_hash)`` of a training table, whatever the order of its rows."""
+    cells = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("symbol", "timestamp", "target_timestamp", "target", *sorted(features))))
+    digest = F.sum(F.conv(F.substring(F.sha2(cells, 256), 1, 15), 16, 10).cast("decimal(38,0)"))
+    return rows.agg(F.count("*").alias("row_count"), F.array(*map(F.lit, sorted(features))).alias("feature_columns"), F.coalesce(digest.cast("string"), F.lit("0")).alias("content_hash"))
+
+
+def training_differs(rows: DataFrame, features: list[str], manifest: DataFrame) -> DataFrame:
+    """``(rule)``: in what a training table differs from its manifest, a row of :func:`training_manifest`, and whether it is empty."""
+    now = training_manifest(rows, features).select(F.struct("*").alias("n"))
+    both = now.join(F.broadcast(manifest.select(F.struct("row_count", "feature_columns", "content_hash").alias("m"))))
+    rules = {
+        "empty": F.col("n.row_count") == 0,
+        "row count": F.col("n.row_count") != F.col("m.row_count"),
+        "feature columns": F.col("n.feature_columns") != F.sort_array("m.feature_columns"),
+        "content": F.col("n.content_hash") != F.col("m.content_hash"),
+    }
+    return both.select(F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("rule"))
+
+
 def write_run(tables: dict[str, DataFrame], root: str) -> None:
-    """A run's series (equity, trades, positions, ...), each partitioned by run."""
+    """A run's series (equity, trades, positions, ...), each partitioned by run, and last its manifest.
+
+    A run that is written again replaces what there was of it in each table that has
+    rows of it; other runs stay.
+    """
+    counts = None
     for name, rows in tables.items():
-        rows.write.mode("append").partitionBy("run_id").parquet(f"{root}/{name}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}")
+        n = rows.groupBy("run_id").agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+        counts = n if counts is None else counts.union(n)
+    counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/manifest")
+
+
+def completed_runs(spark: SparkSession, root: str) -> DataFrame:
+    """``(completed_runs)``: how many runs have a manifest."""
+    return spark.read.parquet(f"{root}/manifest").agg(F.count_distinct("run_id").alias("completed_runs"))
 
 
 def catalogue(spark: SparkSession, root: str) -> DataFrame:
