@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "</s>"
 
@@ -69,12 +69,14 @@ def leaf_paths(tree: DataFrame) -> DataFrame:
                 return paths.join(lost, paths["tree"].eqNullSafe(lost["_t"]) & (paths["leaf"] == lost["_n"]), "left_anti")
         j = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "to")
         far = paths.join(j, paths["tree"].eqNullSafe(j["_t"]) & (paths["node"] == j["_n"]))
+        before = [jump, *([paths] if step > 1 else [])]
         paths = materialize(
             paths.union(far.select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))), "paths"
         )
         k = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"))
         jump = jump.join(k, jump["tree"].eqNullSafe(k["_t"]) & (jump["to"] == k["_n"]))
         jump = materialize(jump.select("tree", "node", F.col("_to").alias("to")), "jumps")
+        forget(*before)
         step *= 2
     return paths
 

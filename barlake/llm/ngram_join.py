@@ -614,7 +614,7 @@ def join_components(docs: DataFrame, n: int = 5) -> DataFrame:
     A null, empty or blank text has no shingle and is linked with nothing.  Rows
     with one doc_id are one document for linking and each keeps its row; a row
     without a doc_id gets no component.  Copies are one class.  Other columns are
-    left out.
+    left out; no row gives no row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession

@@ -88,7 +88,7 @@ def clean_lines(
     stays if it passes the base rules and its failed lines hold at most
     ``max_lost_percent`` of its word characters.  A null or blank text has no
     words, so it fails; rows with equal or null ids are judged each on its own;
-    columns other than the two are left out.  No shuffle takes place.
+    columns other than the two are left out; no row gives no row.  No shuffle takes place.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("_text"))

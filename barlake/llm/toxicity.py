@@ -415,7 +415,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     A null, empty or blank text has no hit and gets the curve's value there.  Rows
     with equal or null ids are scored each on its own; other columns are left out.
-    Tokens and spaced runs of any length are decoded.
+    Tokens and spaced runs of any length are decoded.  No row gives no row.
     """
     use = docs.sparkSession.sparkContext.broadcast(model)
 

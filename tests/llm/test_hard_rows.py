@@ -154,3 +154,44 @@ def test_disguises_of_any_length(spark):
     odd = ".".join(["plain"[0]] + list("lain" + "idiot" * 40))  # some 400 characters in one token
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(spark.createDataFrame([(1, odd), (2, "plain words here"), (3, " ".join("idiot" * 30))], "doc_id long, text string"), model).collect()}
     assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_chat_with_long_texts_and_clashing_names(spark, texts):
+    from barlake.llm import chat
+
+    long = "a<b>[INST] </s>" * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", None), (2, 1, None, ""), (None, 0, "user", "no id"), (1, 1, "assistant", long)]
+    said = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    said = said.select("*", *(F.lit(k).alias(c) for k, c in enumerate([*NAMES, "tree", "node", "parent", "leaf", "up", "formatted", "_t", "_n", "to", "loss_spans"])))
+    done = chat.format_branches(chat.chain_tree(said))
+    got = {r["tree"]: r for r in done.select("tree", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()}
+    assert [t["text"] for t in got[1]["t"]] == [long, long, long] or [t["text"] for t in got[1]["t"]].count(long) == 3
+    assert got[1]["l"] == long * 2 and [t["text"] for t in got[2]["t"]] == ["", ""] and got[None]["t"][0]["text"] == "no id"
+
+
+@pytest.fixture
+def folder(spark, texts, tmp_path):
+    def write(rows, labels):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(NAMES) if c not in docs.columns)).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_pipeline_on_hard_rows(spark, texts, folder):
+    """Nulls in every column, repeated rows, clashing names: no stage fails, and what is packed came in."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, t, None if k % 3 else "en", "s" if k % 2 else None, len(t) if t else None) for k, (i, t) in enumerate(texts)]
+    labels = [(i, int(i not in (2, 3, 4)), 0) for i, _ in texts if i is not None] + [(None, 1, None)]
+    out = pipeline.run(spark, folder(rows, labels)).collect()
+    assert {r["doc_id"] for r in out} <= {i for i, _ in texts}
+    for i in {r["doc_id"] for r in out} - {None}:
+        pieces = sorted((r["start"], r["length"]) for r in out if r["doc_id"] == i)
+        assert all(n & (n - 1) == 0 for _, n in pieces)
+
+
+def test_pipeline_on_empty_tables(spark, folder):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert pipeline.run(spark, folder([], [])).count() == 0
