@@ -44,7 +44,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that are found elsewhere too; cut characters are marked as such.
 
-    Every row stays, with what is left of its text; a null text becomes empty.
+    Every row stays, with what is left of its text; a null text becomes empty.  Rows
+    repeated whole lose all but short texts in each of them; no row gives no row.
     """
     done = suffix_dedup.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("kept").cast("string"))
@@ -55,12 +56,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate draws it, in shuffled order; a null source is a source of its own."""
+    """Each document as often as its source's rate draws it, in shuffled order.
+
+    A null source is a source of its own, repeated rows are drawn alike, and no row
+    gives no row.
+    """
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length with their token ids; an empty or null text is one token, its end."""
+    """Sequences of power-of-two length with their token ids.
+
+    An empty or null text is one token, its end; repeated rows are packed each; no
+    row gives no row.
+    """
     return packing.pack_documents(docs, *tokenizer())
 
 
