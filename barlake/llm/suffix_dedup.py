@@ -31,8 +31,8 @@ from .common import forget, materialize, scratch_path, spread_join, trimmed
 from .shingles import U, mix, powers
 
 DEPTH = 3
-#: Bytes of text that are looked at in one go; longer texts are read in blocks.
-BLOCK = 4 << 20
+#: Bytes of text that are looked at in one go, some 60 bytes of memory each; longer texts are read in blocks.
+BLOCK = 1 << 20
 ROWS = "core long, context long, uid long, code long"
 
 
@@ -130,7 +130,7 @@ def first_digit(texts: DataFrame, length: int) -> DataFrame:
     k = length - w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             uid = b.column(0).to_numpy()
             some = [t.as_py() for t in b.column(1)]
             for text, pos, first, last in anchors(some, length, k):
@@ -138,8 +138,8 @@ def first_digit(texts: DataFrame, length: int) -> DataFrame:
                 for t, p in zip(text.tolist(), pos.tolist()):
                     data = some[t]
                     core.append(_hash(data[p : p + k]))
-                    whole = p >= w and p + length <= len(data)
-                    context.append(_hash(data[p - w : p + length]) if whole else _hash(b"%d %d" % (uid[t], p)))
+                    inside = p >= w and p + length <= len(data)
+                    context.append(_hash(data[p - w : p + length]) if inside else _hash(b"%d %d" % (uid[t], p)))
                 if core:
                     yield _rows([core, context, uid[text], _code(pos, pos - first, pos - last, 0)])
 
@@ -173,7 +173,7 @@ def next_digit(texts: DataFrame, length: int, level: int) -> DataFrame:
                             context = _hash(data[lo : hi + length]) if inside else _hash(b"%d %d %d" % (uid, pos, part))
                         for c, v in zip(out, (core, context, uid, code >> 9 << 9 | part)):
                             c.append(v)
-                if len(out[0]) > 200_000:
+                if len(out[0]) > 50_000:
                     yield _rows(out)
                     out = [[], [], [], []]
             if out[0]:
