@@ -1,8 +1,9 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Besides the registered queries, whose derived series are short, the same operators
-run over $BENCH_COPIES copies of all symbols (10 million bars or more) and the
-bootstrap over 1,000 paths of 252 steps, with rows and rows a second of each.
+run over $BENCH_COPIES copies of all symbols (10 million bars or more), some over one
+symbol of a million bars, and the bootstrap over 1,000 paths of 252 steps, with rows
+and rows a second of each.
 """
 
 import json
@@ -13,7 +14,7 @@ import time
 from barlake.operators import bootstrap, features, joins, metrics, portfolio
 from barlake.plans import all_queries
 from barlake.sources import fixtures
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES = (
@@ -45,17 +46,37 @@ def scaled(bars) -> dict:
     curve = features.buy_and_hold(bars, 1000.0).select("symbol", "ts", F.col("benchmark_nav").alias("nav"))
     actions = bars.where("ts % 604800 = 86400").select("symbol", (F.col("ts") + 1800).alias("effective_ts"), F.lit("split").alias("kind"), F.lit(2.0).alias("amount"))
     fills = bars.select(F.lit("run").alias("run_id"), F.col("symbol").alias("instrument"), F.col("ts").alias("fill_seq"), F.when(F.col("volume") % 2 == 0, 1.0).otherwise(-1.0).alias("quantity"), F.col("close").alias("price"), F.lit(0.1).alias("commission"))
+    signals = bars.where("ts % 10800 = 0").select("symbol", (F.col("ts") - 900).alias("as_of"), F.col("close").alias("value"))
     return {
         "w16_baseline_many": features.baseline(bars),
         "w13_fracdiff_many": bars.select("symbol", "ts", features.fracdiff(0.4, 1e-3, 60).alias("v")),
         "w15_full_ema_many": features.full_ema(bars, 12),
         "w23_rank_normal_many": features.rank_normal(bars.select("symbol", "ts", "close"), "close"),
         "j2_adjusted_many": joins.adjust(bars.drop("avail_ts"), actions, 1 << 40),
+        "j3_delivered_many": joins.deliver(bars, signals),
         "a1_performance_many": metrics.performance(curve, 1000.0, 6048.0),
         "lg2_ledger_many": portfolio.fold_fills(fills),
     }
 
 
+def one_symbol(bars, n: int):
+    """The first n bars of all symbols as the bars of one, an hour apart."""
+    seq = F.row_number().over(Window.orderBy("symbol", "ts"))  # one task: a single series is what is made here
+    at = (seq * 3600).cast("long")
+    return bars.limit(n).withColumn("_at", at).withColumns({"symbol": F.lit("one"), "ts": F.col("_at"), "avail_ts": F.col("_at")}).drop("_at")
+
+
+def long_series(bars) -> dict:
+    """Name and plan of the operators that cut a single long series."""
+    actions = bars.where("ts % 604800 = 86400").select("symbol", (F.col("ts") + 1800).alias("effective_ts"), F.lit("dividend").alias("kind"), F.lit(0.001).alias("amount"))
+    signals = bars.select("symbol", (F.col("ts") - 900).alias("as_of"), F.col("close").alias("value"))
+    return {
+        "w16_baseline_one_long": features.in_chunks(bars, features.baseline, 50_000, most=100_000),
+        "j2_adjusted_one_long": joins.adjust(bars.drop("avail_ts"), actions, 1 << 40, most=100_000),
+        "j3_delivered_one_long": joins.deliver(bars, signals, most=100_000),
+    }
+
+
 def main() -> None:
     where, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -90,9 +111,14 @@ def main() -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(8 * int(cpus)))
         for name, plan in scaled(many).items():
             timed(name, lambda: plan, n)
+        one_symbol(many, 1_000_000).write.parquet(f"{folder}/one")
+        one = spark.read.parquet(f"{folder}/one")
+        m = one.count()
+        for name, plan in long_series(one).items():
+            timed(name, lambda: plan, m)
         year = many.where(F.col("symbol") == many.agg(F.min("symbol")).first()[0]).orderBy("ts").limit(252)
         returns = year.select("symbol", "ts", (F.col("close") / 1e4 - 0.005).alias("ret"))
-        timed("bs1_paths_1000x252", lambda: bootstrap.path_statistics(bootstrap.stationary_paths(returns, 1000), 252.0), 252_000)
+        timed("bs1_paths_1000x252", lambda: bootstrap.whole_statistics(bootstrap.whole_paths(returns, 1000), 252.0), 252_000)
     print(
         json.dumps(
             {
