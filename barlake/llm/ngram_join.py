@@ -12,7 +12,8 @@ partner agrees with it in some segment within that segment's limit.
 hold all segments of small bands, also those of the subsets less one token.
 *Allocation*: empty subsets are skipped at once.  What is left over above the
 needed sum may be skipped too, and the costliest groups are, once group sizes are
-known: that cuts off subsets that very many unlike texts share.  A set whose
+known: that cuts off subsets that very many unlike texts share.  A signature of a
+designated segment counts for two then, as its segment may give that much.  A set whose
 non-empty subsets don't suffice is indexed again with another hash, together with
 the sets of its own and the neighbouring bands.
 
@@ -27,9 +28,9 @@ another part are compared by bits four to eight times as many, and what is then
 left brings its whole sets to the group, which decides: it returns the links that
 join parts, fewer than it has members.
 
-A group of many members is cut into cells of bounded size: most members lie in the
-group's largest part and needn't meet each other, so each lies in one cell, and
-only the others are sent to every cell.
+A group of many members is cut into cells of bounded size, each for some members
+of the group's own band and some that probe; a member that skips the group needn't
+probe, and members of the group's largest part needn't meet each other.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ CELL_SHINGLES, CELL = 2_000_000, 4096
 LEADERS = 64
 PAYLOAD = "bucket int, key binary, role binary, node binary, low binary, high binary"
 GROUPS = "g1 long, g2 long, size int, piece int, mult long, keys array<long>, roles array<byte>"
-#: The mult of a group that is not to be skipped.
-ALWAYS = 1_000_000
+#: What skipping a signature of a designated segment takes from the sum at most, and that of another segment.
+SPECIAL, PLAIN = 2, 1
 
 
 @lru_cache(None)
@@ -284,8 +285,9 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
 
 
 def shared_groups(rows: pa.Table, seed: int = 0) -> pa.Table:
-    """The groups of one bucket in which at least two different sets agree; ``mult`` groups have the same members.
+    """The groups of one bucket in which at least two different sets agree; groups with the same members are one.
 
+    ``mult`` is what skipping all of them takes from a member's sum, at most.
     (g1, g2) names a group by its members, so that equal groups of other buckets
     can be added.  A group of more than CELL members comes in pieces.
     """
@@ -327,7 +329,7 @@ def shared_groups(rows: pa.Table, seed: int = 0) -> pa.Table:
     order = np.lexsort((special, size, g2, g1))
     new = _starts(g1[order], g2[order], size[order])
     pick = order[new]
-    mult = np.add.reduceat(np.where(special[order] == 1, ALWAYS, 1), new)
+    mult = np.add.reduceat(np.where(special[order] == 1, SPECIAL, PLAIN), new)
     length, begin = size[pick], first[pick]
     pieces = -(-length // CELL)
     row = np.repeat(np.arange(len(pick)), pieces)
@@ -584,28 +586,42 @@ def mixed_members(groups: DataFrame, place: DataFrame) -> DataFrame:
 def meeting_cells(rows: DataFrame, label: DataFrame) -> DataFrame:
     """``(cell, members)`` of ``mixed_members``, with the part of each by ``label(node, component)``.
 
-    A group above CELL members or CELL_SHINGLES is dealt to cells: members of its
-    largest part to one each, the others to all of these and, among themselves, to
-    a cell for each two of their blocks.
+    A pair meets if one member is of the group's own band and the other probes, that
+    is doesn't skip the group; so a group where all skip is left out.  A group above
+    CELL members or CELL_SHINGLES is dealt to cells, each for a block of its own
+    members and one of those that probe: p that probe among g members are at most
+    g * (p / CELL + 2) + p * (g / CELL + 2) rows.  Those of the largest part needn't
+    meet each other.
     """
     few = label.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     parts = label.select(F.col("node").alias("rep"), "component")
     rows = rows.join(F.broadcast(parts) if few else parts, "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    member = F.struct("role", "skip", "n", "key", "rep", "part", "bits").alias("m")
-    small = rows.where("blocks = 1").select(F.col("g").alias("cell"), member)
+    member = lambda role, skip: F.struct(role.alias("role"), skip.alias("skip"), "n", "key", "rep", "part", "bits").alias("m")
+    small = rows.where("blocks = 1").select(F.col("g").alias("cell"), member(F.col("role"), F.col("skip")))
 
     big = rows.where("blocks > 1")
-    sizes = big.groupBy("g", "part").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    total = sizes.groupBy("g").agg(F.max_by("part", F.struct("c", "part")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("c"), F.sum("w").alias("w"))
-    rest = F.ceil((F.col("c") - F.col("most")) * F.greatest(F.lit(1.0), F.col("w") / F.col("c") * CELL / CELL_SHINGLES) / CELL).cast("int")
-    big = big.join(total.select("g", "top", F.greatest(F.lit(1), rest).alias("rest")), "g").withColumn("main", F.col("part") == F.col("top"))
-    big = big.withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("blocks")).otherwise(F.col("rest"))).cast("int"))
-    each = F.sequence(F.lit(0), F.col("rest") - 1)
-    among = F.transform(each, lambda j: F.concat_ws(":", "g", F.lit("o"), F.least(j, "mine"), F.greatest(j, "mine")))
-    across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "g", F.lit("m"), j, "mine"))
-    to_main = F.transform(each, lambda j: F.concat_ws(":", "g", F.lit("m"), "mine", j))
-    big = big.select(F.explode(F.when(F.col("main"), to_main).otherwise(F.concat(across, among))).alias("cell"), member)
-    return small.union(big).groupBy("cell").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
+    own, probes = F.col("role") == 0, ~F.col("skip")
+    counts = [F.count("*").alias("c"), F.sum("n").alias("w"), F.count_if(own).alias("own"), F.count_if(probes).alias("probes")]
+    of_parts = big.groupBy("g", "part").agg(*counts)
+    top = F.max(F.struct("c", "part", "own", "probes")).alias("t")
+    total = of_parts.groupBy("g").agg(top, *(F.sum(c).alias(c) for c in ("c", "w", "own", "probes"))).where("probes > 0")
+    wide = F.greatest(F.lit(1.0), F.col("w") / F.col("c") * CELL / CELL_SHINGLES) / CELL
+    blocks = {f"{who}_{where}": F.ceil(wide * (F.col(f"t.{who}") if where == "top" else F.col(who) - F.col(f"t.{who}"))).cast("int") for who in ("own", "probes") for where in ("top", "rest")}
+    big = big.join(total.select("g", F.col("t.part").alias("top"), *(c.alias(k) for k, c in blocks.items())), "g")
+
+    def cells(mine: str, others: str) -> F.Column:
+        """The cells of this row as one of the ``mine`` blocks, with every block of ``others``."""
+        block = F.pmod(F.xxhash64("rep"), F.greatest(F.col(mine), F.lit(1)))
+        name = lambda j: F.concat_ws(":", "g", *((F.lit(f"{mine}-{others}"), block, j) if mine < others else (F.lit(f"{others}-{mine}"), j, block)))
+        return F.when(F.col(others) > 0, F.transform(F.sequence(F.lit(0), F.col(others) - 1), name)).otherwise(F.array().cast("array<string>"))
+
+    main = F.col("part") == F.col("top")
+    as_own = F.when(main, cells("own_top", "probes_rest")).otherwise(F.concat(cells("own_rest", "probes_rest"), cells("own_rest", "probes_top")))
+    as_probe = F.when(main, cells("probes_top", "own_rest")).otherwise(F.concat(cells("probes_rest", "own_rest"), cells("probes_rest", "own_top")))
+    dealt_own = big.where(own).select(F.explode(as_own).alias("cell"), member(F.col("role"), F.lit(True)))
+    dealt_probes = big.where(probes).select(F.explode(as_probe).alias("cell"), member(F.lit(1).cast(rows.schema["role"].dataType), F.col("skip")))
+    met = small.union(dealt_own).union(dealt_probes).groupBy("cell").agg(F.collect_list("m").alias("members"))
+    return met.where((F.size("members") > 1) & F.exists("members", lambda m: ~m["skip"]))
 
 
 def join_components(docs: DataFrame, n: int = 5) -> DataFrame:
