@@ -368,6 +368,30 @@ def test_toxicity_and_quality_learn(spark):
     assert 0 <= quality_classifier.score_quality(blank, ranking).first()["score"] <= 1
 
 
+def test_quality_learns_from_every_row_and_pair(spark):
+    """The weights are the optimum of all pairs, the threshold is a rank of all rows, more than 20,000 here."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "be", "cat,", "Dog.", "#1", "|", "EEE!", "f2f"])
+    kinds = [" ".join(word() for _ in range(rng.randrange(3, 30))) for _ in range(700)]
+    texts = [kinds[i % 700] for i in range(21_000)]
+    good = [int(t.count("#") + t.count("!") + rng.randrange(4) < 7) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int")
+    some = labels.where("doc_id < 1400")
+    got = quality_classifier.fit(docs, some)
+    assert quality_classifier.fit(docs.repartition(7), some.repartition(5)) == got
+    x = np.array([quality_classifier.text_features(t) for t in texts])
+    y = np.array(good[:1400])
+    z = (x[:1400] - x[:1400].mean(0)) / np.where(x[:1400].std(0) < 1e-9, 1, x[:1400].std(0))
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    grad = -(d / (1 + np.exp(d @ np.array(got.weights)))[:, None]).mean(0) + 1e-3 * np.array(got.weights)
+    assert np.abs(grad).max() < 5e-4  # bins of the score are a sixteenth wide
+    every = quality_classifier.fit(quality_classifier.with_features(docs, ["doc_id"]), labels)
+    s = np.sort(((x - np.array(every.mean)) / np.array(every.scale) * np.array(every.weights)).sum(1))
+    n_bad = good.count(0)
+    assert every.mean == pytest.approx(x.mean(0)) and every.threshold == pytest.approx((s[n_bad - 1] + s[n_bad]) / 2, abs=1e-12)
+
+
 def test_mixing(docs, rows, empty):
     out = mixing.mix_sources(docs, epochs=3.0)
     n = Counter(r["doc_id"] for r in out.collect())
