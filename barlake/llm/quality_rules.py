@@ -7,6 +7,7 @@ fail are removed; documents that lose too much of their text go.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ BOILERPLATE = (
 BARS = ("|", "›", "»", "•", "·")
 #: What a link begins with.
 LINKS = ("http://", "https://", "www.")
+#: What a text with bars, links or a line cut off by an ellipsis holds.
+OTHER = (*BARS[1:], "http", "www", "…", "...")
 #: How a line of prose may end.
 ENDS = ".!?:;,…\"'”»)]"
 
@@ -37,31 +40,46 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def repeated_words(words: Column, n: int = 5) -> Column:
+def _holds(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether any phrase is in the text; searches of bytes, a pattern of many branches takes several times as long."""
+    return reduce(lambda x, y: x | y, (F.contains(text, F.lit(p)) for p in phrases))
+
+
+def word_windows(words: Column) -> Column:
+    """A 64-bit hash of each window of five words, made of the words' own hashes, so a word is read once."""
+
+    def pairs(values: Column, others: Column, gap: int) -> Column:
+        """Hashes of each value with the one ``gap`` places on."""
+        n = F.greatest(F.size(others) - gap, F.lit(0))
+        return F.zip_with(F.slice(values, 1, n), F.slice(others, 1 + gap, n), lambda x, y: F.xxhash64(x, y))
+
+    def fives(hashes: Column) -> Column:
+        fours = let(pairs(hashes, hashes, 1), lambda twos: pairs(twos, twos, 2))
+        return let(fours, lambda x: pairs(x, hashes, 4))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), fives)
+
+
+def repeated_words(windows: Column, n: int = 5) -> Column:
     """Words that lie in an n-word window found twice or more, all of them counted.
 
-    A window is compared by the 64-bit hash of its words.  Texts without a
-    repeated window stop at the distinct count; others sort (hash, place), take
-    the places whose neighbour in that order has the same hash, and add up what
-    these windows cover.  The work is n log n in the words of the text.
+    Of the windows' hashes, (hash, place) are sorted, the places whose neighbour
+    in that order has the same hash are taken, and what these windows cover is
+    added up.  The work is n log n in the words of the text; each step is bound
+    to a name, as it would be worked out anew wherever it is used.
     """
-    size = F.size(words)
-    windows = F.when(
-        size >= n,
-        F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, n))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return windows
 
+    def places(pairs: Column) -> Column:
+        same = F.zip_with(pairs, F.slice(pairs, 2, F.size(pairs)), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
+        met = let(same, lambda after: F.zip_with(after, F.concat(F.array(F.lit(False)), after), lambda x, y: x | y))
+        return F.sort_array(F.filter(F.zip_with(pairs, met, lambda p, f: F.when(f, p["i"])), lambda x: x.isNotNull()))
+
+    def covered(places: Column) -> Column:
+        steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda x, y: F.least(F.coalesce(y - x, F.lit(n)), F.lit(n)))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-def _covered(windows: Column, n: int) -> Column:
     pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = F.zip_with(pairs, F.slice(pairs, 2, F.size(windows)), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
-    before = F.concat(F.array(F.lit(False)), same)
-    places = F.sort_array(
-        F.filter(F.zip_with(pairs, F.zip_with(same, before, lambda x, y: x | y), lambda p, f: F.when(f, p["i"])), lambda x: x.isNotNull())
-    )
-    steps = F.zip_with(places, F.slice(places, 2, F.size(windows)), lambda x, y: F.least(F.coalesce(y - x, F.lit(n)), F.lit(n)))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+    return let(let(pairs, places), covered)
 
 
 def clean_lines(
@@ -93,20 +111,19 @@ def clean_lines(
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("_text"))
     rows = rows.withColumn("_words", _words(F.col("_text")))
-    rows = rows.withColumn("_windows", repeated_words(F.col("_words")))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD))
-    boiler = F.lower("_text").rlike("|".join(BOILERPLATE))
-    other = F.col("_text").rlike("|".join(("[›»•·]", "http", "www", r"…", r"\.\.\.")))
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.ltrim(x, F.lit(SPACE)) != "")
+    # columns of their own, or they would be worked out wherever they are used
+    rows = rows.withColumns({"_lower": F.lower("_text"), "_lines": lines})
     ended = F.array(*(F.lit(c) for c in ENDS))
     short = lambda x: let(F.rtrim(x, F.lit(SPACE)), lambda t: (F.length(t) <= menu_chars) & ~F.array_contains(ended, F.right(t, F.lit(1))))
     rows = rows.withColumns(
         {
-            "_lines": lines,
+            "_windows": word_windows(F.col("_words")),
             "_n_symbols": F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")),
             "_shouts": F.contains("_text", F.lit("!!")),
-            "_boiler": boiler,
-            "_other": other,
-            "_short": F.transform(lines, short),
+            "_boiler": _holds(F.col("_lower"), BOILERPLATE),
+            "_other": _holds(F.col("_text"), OTHER),
+            "_short": F.transform("_lines", short),
         }
     )
     rows = rows.withColumn("_menu", F.size(F.filter("_short", lambda x: x)) >= menu_lines)
@@ -140,7 +157,7 @@ def clean_lines(
     rows = rows.withColumn("_good", good.otherwise(F.col("_lines")))
     size = F.size("_words").cast("long")
     repeats = F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(F.col("_windows"), 5)
+        F.size(F.array_distinct("_windows")) < F.size("_windows"), repeated_words(F.col("_windows"))
     ).otherwise(F.lit(0).cast("long"))
     rows = rows.select(
         "doc_id",

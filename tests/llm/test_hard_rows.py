@@ -105,6 +105,18 @@ def test_rules_of_lines(spark):
     assert got[3]["n_bad_lines"] == 0 and got[3]["kept"] and not got[2]["kept"]
 
 
+def test_rules_work_steps_out_once(docs, spark):
+    """What several steps use isn't worked out in each of them, and windows are counted in texts of few and of equal words."""
+    plan = quality_rules.clean_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 2 and plan.count("lower(_text") == 1
+    texts = [" ".join("a" * n) for n in range(12)] + ["a b c d e\ta  b\nc d e", "a b c d e b c d e a", "a b c d e f a b c d e g b c d e f", "ab c d e f a bc d e f", "a b b a c b a a b c"]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.clean_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        seen = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        assert got[i] == len({k + j for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for j in range(5)})
+
+
 def test_versions(docs, ids):
     out = fingerprints.compare_versions(docs.withColumn("edited", F.concat(F.coalesce("text", F.lit("")), F.lit("\nx"))), "text", {"edited": "edited"})
     assert count(out) == ids and {r["id"] for r in out.select("id").collect()} == {NAMES.index("id")}
