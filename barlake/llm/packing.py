@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered, trimmed
+
 PIECE = "doc_id long, start long, length long, bucket int, doc_tokens long, ids binary"
 
 
@@ -62,7 +63,7 @@ class PieceEncoder(dict):
         return np.array(self.encode(first), "<u4").tobytes() + b"".join(map(self.__getitem__, rest))
 
 
-@lru_cache(1)
+@remembered
 def encoder(path: str, pattern: str | None) -> PieceEncoder:
     """One a worker: later tasks find the words of earlier ones."""
     return PieceEncoder(path, pattern)
@@ -115,7 +116,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pattern: str | None = None,
             if out[0]:
                 yield rows(out)
 
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run, encoder), PIECE)
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
