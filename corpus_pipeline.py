@@ -44,10 +44,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that are found elsewhere too; cut characters are marked as such.
 
+    Passages are of over 50 words, or of 400 bytes where these are fewer words.
+
     Every row stays, with what is left of its text; a null text becomes empty.  Rows
     repeated whole lose all but short texts in each of them; no row gives no row.
     """
-    done = suffix_dedup.remove_repeats(docs)
+    done = suffix_dedup.remove_repeats(docs, words=51)
     text = F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("kept").cast("string"))
     done = done.withColumn("text", text)
     if "n_chars" in docs.columns:

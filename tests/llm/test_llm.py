@@ -126,6 +126,57 @@ def test_suffix_dedup(rows, docs, empty):
     assert suffix_dedup.remove_repeats(empty, length).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_suffix_dedup_of_words(spark, docs, rows, block, monkeypatch):
+    words = re.compile(rb"[^\x20\x09-\x0D]+")
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    texts = [(t or "").encode() for _, t, *_ in rows] + [b"x" * 150 + b" end " + b"y" * 99, b" \n ", b""]
+    for t, (codes, start, end) in zip(texts, suffix_dedup.spelled(texts)):
+        assert [t[a:z] for a, z in zip(start, end)] == words.findall(t) and len(codes) == 8 * len(start)
+    n, length = 9, 200
+    seen, seen_words = Counter(), Counter()
+    data = {i: (t or "").encode() for i, t, *_ in rows}
+    for b in data.values():
+        seen.update(b[k : k + length] for k in range(len(b) - length + 1))
+        w = words.findall(b)
+        seen_words.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    of_words = 0
+    for r in suffix_dedup.remove_repeats(docs, length, n).collect():
+        b = data[r["doc_id"]]
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = True
+        before = gone.sum()
+        w = list(words.finditer(b))
+        for k in range(len(w) - n + 1):
+            if seen_words[tuple(x[0] for x in w[k : k + n])] > 1:
+                gone[w[k].start() : w[k + n - 1].end()] = True
+        of_words += gone.sum() > before
+        assert bytes(r["kept"]) == np.frombuffer(b, np.uint8)[~gone].tobytes() and r["n_removed"] == gone.sum()
+    assert of_words
+
+
+def test_pipeline_removes_passages_of_over_50_words(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(5)
+
+    def some(k):
+        return " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 6))) for _ in range(k))
+
+    passage, short, long = some(51), some(50), "".join(chr(97 + x) for x in rng.integers(0, 26, 450))
+    assert len(passage) < 400
+    around = [some(30) for _ in range(14)]
+    texts = [f"{around[0]} {passage} {around[1]}", f"{around[2]}\n{passage}\n{around[3]}", passage.replace(" ", "  ")]
+    texts += [f"{around[4]} {short} {around[5]}", f"{around[6]} {short} {around[7]}"]
+    texts += [f"{around[8]} {long} {around[9]}", f"{around[10]} {long} {around[11]}", f"{around[12]} {around[13]}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: r["text"] for r in pipeline.without_repeats(spark, docs, "").collect()}
+    assert [got[0], got[1], got[2]] == [f"{around[0]}  {around[1]}", f"{around[2]}\n\n{around[3]}", ""]
+    assert [got[3], got[4], got[7]] == [texts[3], texts[4], texts[7]]
+    assert got[5] + got[6] == f"{around[8]}{around[9]}{around[10]}{around[11]}"
+
+
 def test_suffix_dedup_reads_long_texts_in_blocks(monkeypatch):
     rng = np.random.default_rng(2)
     text = bytes(rng.integers(97, 100, 5000).astype(np.uint8))
